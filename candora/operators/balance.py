@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candora.functions.columns import focal, sigmoid
+from candora.plans.scalars import one_row
 
 
 def class_weights(df: DataFrame, label: str = "label", classes: int = 2) -> DataFrame:
@@ -41,12 +42,12 @@ def focal_alpha(df: DataFrame, label: str = "label") -> DataFrame:
 
 def with_class_weight(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
     """Attach each row's balanced class weight ``n / (classes * n_class)``."""
-    counts = df.agg(
-        F.count(label).alias("_n"), F.count(F.when(F.col(label) == 1, True)).alias("_n1")
+    counts = one_row(
+        df.agg(F.count(label).alias("n"), F.count(F.when(F.col(label) == 1, True)).alias("n1"))
     )
-    own = F.when(F.col(label) == 1, F.col("_n1")).otherwise(F.col("_n") - F.col("_n1"))
-    weighted = df.crossJoin(F.broadcast(counts))  # a single row
-    return weighted.withColumn(out, F.col("_n") / (F.lit(2.0) * own)).drop("_n", "_n1")
+    n, n1 = counts["n"], counts["n1"]
+    positive, negative = n / (2.0 * max(n1, 1)), n / (2.0 * max(n - n1, 1))
+    return df.withColumn(out, F.when(F.col(label) == 1, F.lit(positive)).otherwise(F.lit(negative)))
 
 
 def focal_loss(

@@ -318,14 +318,11 @@ def standardize_fit(df: DataFrame, columns: Sequence[str] = tuple(BEHAVIOR_FEATU
 def standardize_apply(
     df: DataFrame, stats: DataFrame, columns: Sequence[str] = tuple(BEHAVIOR_FEATURES)
 ) -> DataFrame:
-    """Scale the columns with fitted statistics; the statistics travel as one row."""
-    pick = [
-        F.max(F.when(F.col("feature") == c, F.struct("mean", "scale"))).alias(f"_{c}") for c in columns
-    ]
-    scaled = df.crossJoin(F.broadcast(stats.agg(*pick)))  # a single row
-    for c in columns:
-        scaled = scaled.withColumn(c, (F.col(c) - F.col(f"_{c}.mean")) / F.col(f"_{c}.scale"))
-    return scaled.drop(*[f"_{c}" for c in columns])
+    """Scale the columns with fitted statistics (one row per column, used as constants)."""
+    fitted = {r["feature"]: r for r in stats.collect()}
+    return df.withColumns(
+        {c: (F.col(c) - F.lit(fitted[c]["mean"])) / F.lit(fitted[c]["scale"]) for c in columns}
+    )
 
 
 def split_feature_sets(
