@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from candora.catalog.views import EVENT_REVIEWS_SQL, REVIEWS_SQL, event_reviews, r6, reviews, rounded
 from candora.operators import asof, behavior, splits
+from candora.plans.storage import freeze
 from candora.schema import BEHAVIOR_FEATURES
 
 
@@ -43,7 +44,7 @@ def standardize_fit(spark, sf):
 
 
 def standardize_apply(spark, sf):
-    features = behavior.behavior_features(reviews(spark, sf))
+    features = freeze(behavior.behavior_features(reviews(spark, sf)))
     return rounded(behavior.standardize_apply(features, behavior.standardize_fit(features)))
 
 

@@ -75,7 +75,7 @@ _LENGTHS = f"""
       SELECT CAST(label AS INTEGER) AS label, regexp_replace(text, '^{SPACE}+|{SPACE}+$', '', 'g') AS text
       FROM text_reviews WHERE label IS NOT NULL),
     lengths AS (
-      SELECT label, len(list_filter(regexp_split_to_array(text, '{SPACE}+'), w -> w <> '')) AS text_length,
+      SELECT label, len(list_filter(regexp_split_to_array(text, '{SPACE}+'), lambda w: w <> '')) AS text_length,
              length(text) AS char_length FROM cleaned WHERE text <> ''),
     clipped AS (SELECT label, least(text_length, 500) AS v FROM lengths)"""
 

@@ -228,7 +228,7 @@ ORACLES = {
     "text_lengths": f"""
         WITH {TEXT_REVIEWS_SQL}
         SELECT review_id,
-               CAST(len(list_filter(regexp_split_to_array(text, '{SPACE}+'), w -> w <> '')) AS INTEGER) AS text_length,
+               CAST(len(list_filter(regexp_split_to_array(text, '{SPACE}+'), lambda w: w <> '')) AS INTEGER) AS text_length,
                CAST(length(text) AS INTEGER) AS char_length
         FROM text_reviews""",
     "dataset_profile": f"""

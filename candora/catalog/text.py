@@ -70,7 +70,7 @@ _TERMS = f"""{_TOKENS},
     terms AS (
       SELECT review_id, label, unnest(toks) AS term FROM tokens
       UNION ALL
-      SELECT review_id, label, unnest(list_transform(range(1, len(toks)), i -> toks[i] || ' ' || toks[i + 1])) AS term
+      SELECT review_id, label, unnest(list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1])) AS term
       FROM tokens WHERE len(toks) >= 2),
     counts AS (SELECT review_id, label, term, count(*) AS tf FROM terms GROUP BY ALL)"""
 
@@ -98,7 +98,7 @@ ORACLES = {
         WITH {TEXT_REVIEWS_SQL}, {_TOKENS},
         grams AS (
           SELECT review_id,
-                 list_concat(toks, list_transform(range(1, len(toks)), i -> toks[i] || ' ' || toks[i + 1])) AS g
+                 list_concat(toks, list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1])) AS g
           FROM tokens)
         SELECT review_id, CAST(len(g) AS INTEGER) AS n_terms, md5(array_to_string(g, '|')) AS digest FROM grams""",
     "build_vocabulary": f"WITH {TEXT_REVIEWS_SQL}, {_TERMS}, {_vocabulary()} SELECT term, df, cf FROM vocabulary",

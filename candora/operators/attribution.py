@@ -92,16 +92,14 @@ def shapley_linear(
     means = one_row(
         background.agg(*[F.avg(F.col(column)[j].cast("double")) for j in range(len(weights))])
     )
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(feature).alias("feature"),
-                F.lit(branch).alias("branch"),
-                F.col(column)[j].cast("double").alias("value"),
-                (F.lit(float(w)) * (F.col(column)[j].cast("double") - F.lit(means[j]))).alias("phi"),
-            )
-            for j, ((feature, branch), w) in enumerate(zip(names, weights, strict=True))
-        ]
+    vector = F.col(column).cast("array<double>")
+    centred = F.zip_with(vector, F.array(*[F.lit(float(m)) for m in means]), lambda x, m: x - m)
+    phi = F.zip_with(centred, F.array(*[F.lit(float(w)) for w in weights]), lambda d, w: d * w)
+    cells = F.arrays_zip(
+        F.array(*[F.lit(feature) for feature, _ in names]).alias("feature"),
+        F.array(*[F.lit(branch) for _, branch in names]).alias("branch"),
+        vector.alias("value"),
+        phi.alias("phi"),
     )
     return explain.select("review_id", "label", F.explode(cells).alias("_c")).select(
         "review_id", "label", "_c.*"

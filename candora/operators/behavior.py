@@ -331,8 +331,11 @@ def split_feature_sets(
     """Features of each split from its own rows, scaled with train statistics, as padded vectors."""
     from candora.functions.columns import pad_vector
 
-    parts = {"train": behavior_features(train, keep=keep), "test": behavior_features(test, keep=keep)}
-    stats = freeze(standardize_fit(parts["train"]))
+    parts = {
+        "train": freeze(behavior_features(train, keep=keep)),  # used twice: fitting and scaling
+        "test": behavior_features(test, keep=keep),
+    }
+    stats = standardize_fit(parts["train"])
     out = None
     for split, part in parts.items():
         scaled = standardize_apply(part, stats)

@@ -20,24 +20,24 @@ _POSITION_BITS = 33  # layout of monotonically_increasing_id: partition << 33 |
 
 
 def _chunked(df: DataFrame, order: Sequence[str | Column]) -> tuple[DataFrame, int]:
-    """Sorted, frozen copy of ``df`` with ``_chunk`` (range partition) and ``_pos`` (row within it)."""
-    placed = freeze(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()))
+    """Sorted, frozen copy of ``df`` with ``_o_chunk`` (range partition) and ``_o_pos`` (row within it)."""
+    placed = freeze(df.orderBy(*order).withColumn("_o_id", F.monotonically_increasing_id()))
     chunks = placed.rdd.getNumPartitions()
-    placed = placed.withColumn("_chunk", F.shiftright("_mid", _POSITION_BITS))
-    placed = placed.withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)))
-    return placed.drop("_mid"), chunks
+    placed = placed.withColumn("_o_chunk", F.shiftright("_o_id", _POSITION_BITS))
+    placed = placed.withColumn("_o_pos", F.col("_o_id").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)))
+    return placed.drop("_o_id"), chunks
 
 
 def global_row_number(df: DataFrame, order: Sequence[str | Column], out: str) -> DataFrame:
     """0-based position of every row in the total order ``order`` (which must break all ties)."""
     placed, chunks = _chunked(df, order)
     if chunks <= 1:
-        return placed.withColumn(out, F.col("_pos")).drop("_chunk", "_pos")
-    sizes = placed.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)  # one row per chunk
-    offsets = sizes.select("_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    numbered = placed.join(F.broadcast(offsets), "_chunk")
-    return numbered.withColumn(out, F.col("_pos") + F.col("_offset")).drop("_chunk", "_pos", "_offset")
+        return placed.withColumn(out, F.col("_o_pos")).drop("_o_chunk", "_o_pos")
+    sizes = placed.groupBy("_o_chunk").agg(F.count(F.lit(1)).alias("_o_n"))
+    before = Window.orderBy("_o_chunk").rowsBetween(Window.unboundedPreceding, -1)  # one row per chunk
+    offsets = sizes.select("_o_chunk", F.coalesce(F.sum("_o_n").over(before), F.lit(0)).alias("_o_offset"))
+    numbered = placed.join(F.broadcast(offsets), "_o_chunk")
+    return numbered.withColumn(out, F.col("_o_pos") + F.col("_o_offset")).drop("_o_chunk", "_o_pos", "_o_offset")
 
 
 def running_totals(
@@ -51,43 +51,43 @@ def running_totals(
     by = list(by)
     placed, chunks = _chunked(df, [*by, *order])
     inside = (
-        Window.partitionBy("_chunk", *by).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy("_o_chunk", *by).orderBy("_o_pos").rowsBetween(Window.unboundedPreceding, 0)
     )
     summed = placed
     for out, source in totals.items():
         summed = summed.withColumn(out, F.sum(source).over(inside))
     if chunks <= 1:
-        return summed.drop("_chunk", "_pos")
+        return summed.drop("_o_chunk", "_o_pos")
 
-    key = F.struct(*[F.col(c) for c in by], F.lit(0).alias("_one"))
-    edges = placed.groupBy("_chunk").agg(
-        F.min_by(key, "_pos").alias("_head"), F.max_by(key, "_pos").alias("_tail")
+    key = F.struct(*[F.col(c) for c in by], F.lit(0).alias("_o_one"))
+    edges = placed.groupBy("_o_chunk").agg(
+        F.min_by(key, "_o_pos").alias("_o_head"), F.max_by(key, "_o_pos").alias("_o_tail")
     )
-    tail_rows = placed.withColumn("_key", key).join(F.broadcast(edges), "_chunk")
+    tail_rows = placed.withColumn("_o_key", key).join(F.broadcast(edges), "_o_chunk")
     tails = (
-        tail_rows.filter(F.col("_key").eqNullSafe(F.col("_tail")))
-        .groupBy("_chunk", "_key")
-        .agg(*[F.sum(source).alias(f"_t_{out}") for out, source in totals.items()])
+        tail_rows.filter(F.col("_o_key").eqNullSafe(F.col("_o_tail")))
+        .groupBy("_o_chunk", "_o_key")
+        .agg(*[F.sum(source).alias(f"_ot_{out}") for out, source in totals.items()])
     )
-    heads = edges.filter(~F.col("_head").eqNullSafe(F.col("_tail"))).select(
-        "_chunk", F.col("_head").alias("_key"), *[F.lit(0).alias(f"_t_{out}") for out in totals]
+    heads = edges.filter(~F.col("_o_head").eqNullSafe(F.col("_o_tail"))).select(
+        "_o_chunk", F.col("_o_head").alias("_o_key"), *[F.lit(0).alias(f"_ot_{out}") for out in totals]
     )
     earlier = (  # at most two rows per chunk take part
-        Window.partitionBy("_key").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("_o_key").orderBy("_o_chunk").rowsBetween(Window.unboundedPreceding, -1)
     )
     carry = tails.unionByName(heads).select(
-        F.col("_chunk").alias("_c"),
-        F.col("_key").alias("_k"),
-        *[F.sum(f"_t_{out}").over(earlier).alias(f"_c_{out}") for out in totals],
+        F.col("_o_chunk").alias("_o_c"),
+        F.col("_o_key").alias("_o_k"),
+        *[F.sum(f"_ot_{out}").over(earlier).alias(f"_oc_{out}") for out in totals],
     )
-    joined = summed.withColumn("_key", key).join(
+    joined = summed.withColumn("_o_key", key).join(
         F.broadcast(carry),
-        (F.col("_chunk") == F.col("_c")) & F.col("_key").eqNullSafe(F.col("_k")),
+        (F.col("_o_chunk") == F.col("_o_c")) & F.col("_o_key").eqNullSafe(F.col("_o_k")),
         "left",
     )
     for out in totals:
-        joined = joined.withColumn(out, F.col(out) + F.coalesce(F.col(f"_c_{out}"), F.lit(0)))
-    return joined.drop("_chunk", "_pos", "_key", "_c", "_k", *[f"_c_{out}" for out in totals])
+        joined = joined.withColumn(out, F.col(out) + F.coalesce(F.col(f"_oc_{out}"), F.lit(0)))
+    return joined.drop("_o_chunk", "_o_pos", "_o_key", "_o_c", "_o_k", *[f"_oc_{out}" for out in totals])
 
 
 def exact_percentiles(
@@ -103,11 +103,11 @@ def exact_percentiles(
     counts = (
         source.filter(F.col(value).isNotNull())
         .groupBy(*group, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.count(F.lit(1)).alias("_o_n"))
     )
-    ranked = running_totals(counts, group, ["_v"], {"_cum": "_n"})
+    ranked = running_totals(counts, group, ["_v"], {"_cum": "_o_n"})
     sizes = ranked.groupBy(*group).agg(
-        F.sum("_n").alias("_size"), F.count(F.lit(1)).alias("_rows")
+        F.sum("_o_n").alias("_size"), F.count(F.lit(1)).alias("_rows")
     )
     sized = spread_join(ranked, sizes, group, "_rows", spread_by=["_v"])
     picks = []
