@@ -23,6 +23,7 @@ from candora.operators.balance import with_class_weight
 from candora.operators.splits import stratified_kfold
 from candora.operators.text import tfidf_fit, tfidf_vectors
 from candora.operators.validation import Fit, Score
+from candora.plans.storage import shared_dir
 
 
 def as_vectors(df: DataFrame, column: str = "features") -> DataFrame:
@@ -32,6 +33,18 @@ def as_vectors(df: DataFrame, column: str = "features") -> DataFrame:
     return df.withColumn(column, array_to_vector(F.col(column).cast("array<double>")))
 
 
+def _placed(df: DataFrame) -> DataFrame:
+    """Training rows hashed by id over at least as many partitions as there are cores, and cached.
+
+    Every optimiser iteration and tree level is a pass over these rows.
+    """
+    spark = df.sparkSession
+    partitions = max(
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
+    return df.repartition(partitions, "review_id").persist()
+
+
 def _with_prob(scored: DataFrame) -> DataFrame:
     return (
         scored.withColumn("prob", vector_to_array("probability")[1])
@@ -46,12 +59,13 @@ def logreg_balanced(train: DataFrame, c: float = 1.0, max_iter: int = 100) -> Sc
     ``regParam`` = 1 / (c · Σ weight): the penalty of a loss summed, not averaged, over the rows. Balanced
     weights sum to the number of rows.
     """
-    weighted = with_class_weight(as_vectors(train))
-    rows = weighted.count()
+    placed = _placed(as_vectors(train))
+    weighted, rows = with_class_weight(placed), placed.count()
     learner = LogisticRegression(
         weightCol="weight", regParam=1.0 / (c * rows), standardization=False, maxIter=max_iter
     )
     model = learner.fit(weighted)
+    placed.unpersist()
 
     def score(df: DataFrame) -> DataFrame:
         return _with_prob(model.transform(as_vectors(df)))
@@ -65,7 +79,7 @@ def linear_svm_calibrated(train: DataFrame, c: float = 1.0, folds: int = 3, max_
     Each of ``folds`` models is fitted on the other folds and calibrated on its own fold; probabilities are
     averaged over the models.
     """
-    numbered = stratified_kfold(as_vectors(train), folds).persist()
+    numbered = _placed(stratified_kfold(as_vectors(train), folds))
     members = []
     for fold in range(1, folds + 1):
         rest = with_class_weight(numbered.filter(F.col("fold") != fold).drop("fold"))
@@ -113,12 +127,18 @@ def random_forest(
     train: DataFrame, trees: int = 200, depth: int = 15, balanced: bool = False, seed: int = 42
 ) -> ForestScore:
     """Random forest, plain or with balanced class weights."""
-    learner = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=True)
-    rows = as_vectors(train)
+    shared_dir(train.sparkSession)  # node ids are checkpointed there
+    learner = RandomForestClassifier(
+        numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=True, maxMemoryInMB=1024
+    )
+    placed = _placed(as_vectors(train))
+    rows = placed
     if balanced:
-        rows = with_class_weight(rows)
+        rows = with_class_weight(placed)
         learner = learner.setWeightCol("weight")
-    return ForestScore(learner.fit(rows))
+    model = learner.fit(rows)
+    placed.unpersist()
+    return ForestScore(model)
 
 
 def rf_feature_importance(forest: ForestScore, names: Sequence[str]) -> DataFrame:
@@ -143,7 +163,7 @@ def on_tfidf(learner: Fit, max_features: int = 50_000, min_df: int = 2) -> Fit:
 
     def fit(train: DataFrame) -> Score:
         model = tfidf_fit(train, max_features, min_df)
-        inner = learner(tfidf_vectors(train, model).persist())
+        inner = learner(tfidf_vectors(train, model))
 
         def score(df: DataFrame) -> DataFrame:
             return inner(tfidf_vectors(df, model))

@@ -117,7 +117,7 @@ def tfidf_vectors(df: DataFrame, model: TfidfModel, keep: tuple[str, ...] = ("la
 def _sparse(size: int):
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    @F.udf(VectorUDT())
+    @F.udf(VectorUDT(), useArrow=True)
     def build(entries):
         if not entries:
             return SparseVector(size, [], [])
