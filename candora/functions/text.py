@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
-PLAIN = r"[^\x{0}-\x{bb}]"  # nothing below this folds to several characters
+PLAIN = r"[^\x{0}-\x{bb}\x{bf}-\x{131}]"  # nothing outside this class folds to several characters
 _MERGE_GAP = 64  # neighbouring ranges this close become one: fewer, coarser regex ranges
 
 

@@ -31,7 +31,8 @@ def _per_user(df: DataFrame, *aggregates: Column) -> DataFrame:
 
 
 def _attach(df: DataFrame, stats: DataFrame, key: str) -> DataFrame:
-    return spread_join(df, stats, [key], "_rows", spread_by=["review_id"])
+    sizes = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    return spread_join(df, stats, [key], "_rows", spread_by=["review_id"], sizes=sizes)
 
 
 def _or_zero(df: DataFrame, name: str, value: Column | None = None) -> DataFrame:
@@ -106,10 +107,11 @@ def _review_times(df: DataFrame) -> DataFrame:
 def _split_by_weight(times: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Users whose times fit one small array, and the others (None when there are none)."""
     heavy = times.groupBy("user_id").agg(F.count(F.lit(1)).alias("_rows"))
-    heavy = freeze(heavy.filter(F.col("_rows") > ARRAY_LIMIT))
+    heavy = heavy.filter(F.col("_rows") > ARRAY_LIMIT)
     found = heavy.count()
     if found == 0:
         return times, None
+    heavy = freeze(heavy)
     if found <= BROADCAST_LIMIT:
         ids = F.broadcast(heavy.select("user_id"))
         return times.join(ids, "user_id", "left_anti"), times.join(ids, "user_id", "left_semi")
@@ -225,7 +227,8 @@ def burst_windows(df: DataFrame, days: int = 30) -> DataFrame:
     """
     located = _windowed_times(df, days).withColumnRenamed("n", "_rows")
     timed = df.withColumn("t", epoch_micros(df, "date"))
-    joined = spread_join(timed, located, ["user_id", "t"], "_rows", spread_by=["review_id"])
+    sizes = _review_times(df).withColumnRenamed("n", "_rows")
+    joined = spread_join(timed, located, ["user_id", "t"], "_rows", spread_by=["review_id"], sizes=sizes)
     size = F.when(F.col("user_id").isNotNull(), F.coalesce("window_size", F.lit(1)))
     start = F.timestamp_micros("window_start").cast(df.schema["date"].dataType)
     return (

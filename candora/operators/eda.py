@@ -8,25 +8,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candora.functions.columns import ratio
-from candora.plans.ordering import exact_percentiles
+from candora.plans.ordering import percentiles_of_counts, value_counts
 from candora.plans.scalars import one_row
+from candora.plans.storage import freeze
 from candora.schema import BEHAVIOR_FEATURES
 
 
+def _weighted_std(value: Column, n: Column) -> Column:
+    """Sample standard deviation of values that occur ``n`` times."""
+    value = value.cast("double")
+    total, first, second = F.sum(n), F.sum(n * value), F.sum(n * value * value)
+    variance = (second - first * first / total) / (total - 1)
+    return F.when(total > 1, F.sqrt(F.greatest(variance, F.lit(0.0))))
+
+
 def describe_by_label(
     df: DataFrame, columns: Sequence[str] = ("text_length", "char_length"), label_col: str = "label"
 ) -> DataFrame:
     """Count, mean, sample standard deviation, extremes and quartiles per label and column."""
-    long = df.unpivot([label_col], list(columns), "measure", "value").filter(F.col("value").isNotNull())
-    basic = long.groupBy(label_col, "measure").agg(
-        F.count(F.lit(1)).alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
+    long = df.unpivot([label_col], list(columns), "measure", "value")
+    counts = freeze(value_counts(long, "value", [label_col, "measure"]))
+    basic = counts.groupBy(label_col, "measure").agg(
+        F.sum("n").alias("count"),
+        (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"),
+        _weighted_std(F.col("value"), F.col("n")).alias("std"),
         F.min("value").cast("double").alias("min"),
         F.max("value").cast("double").alias("max"),
     )
-    quartiles = exact_percentiles(
-        long, "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, [label_col, "measure"]
+    quartiles = percentiles_of_counts(
+        counts, "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, [label_col, "measure"]
     )
     return basic.join(quartiles, [label_col, "measure"])
 
@@ -112,15 +122,12 @@ def rating_distribution(df: DataFrame, label_col: str = "label") -> DataFrame:
 
 def rating_box_stats(df: DataFrame, label_col: str = "label") -> DataFrame:
     """Quartiles, whiskers at the last values inside 1.5 interquartile ranges, and outliers per label."""
-    rated = df.filter(F.col("rating").isNotNull() & F.col(label_col).isin(0, 1))
-    counts = rated.groupBy(label_col, F.col("rating").cast("double").alias("rating")).agg(
-        F.count(F.lit(1)).alias("n")
+    rated = df.filter(F.col(label_col).isin(0, 1)).select(
+        label_col, F.col("rating").cast("double").alias("rating")
     )
-    quartiles = exact_percentiles(
-        rated.select(label_col, F.col("rating").cast("double").alias("rating")),
-        "rating",
-        {"q1": 0.25, "median": 0.5, "q3": 0.75},
-        [label_col],
+    counts = freeze(value_counts(rated, "rating", [label_col]))
+    quartiles = percentiles_of_counts(
+        counts, "rating", {"q1": 0.25, "median": 0.5, "q3": 0.75}, [label_col]
     )
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("rating") >= F.col("q1") - reach) & (F.col("rating") <= F.col("q3") + reach)
@@ -202,16 +209,11 @@ def feature_density(
         label_col,
         *[(F.log1p(c) if c in log_columns else F.col(c).cast("double")).alias(c) for c in columns],
     )
-    counts = (
-        shaped.unpivot([label_col], list(columns), "feature", "v")
-        .filter(F.col("v").isNotNull())
-        .groupBy(label_col, "feature", "v")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    long = shaped.unpivot([label_col], list(columns), "feature", "v").filter(F.col("v").isNotNull())
-    stats = long.groupBy(label_col, "feature").agg(
-        F.count(F.lit(1)).alias("total"),
-        F.stddev_samp("v").alias("sd"),
+    long = shaped.unpivot([label_col], list(columns), "feature", "v")
+    counts = freeze(value_counts(long, "v", [label_col, "feature"]))
+    stats = counts.groupBy(label_col, "feature").agg(
+        F.sum("n").alias("total"),
+        _weighted_std(F.col("v"), F.col("n")).alias("sd"),
         F.min("v").alias("lo"),
         F.max("v").alias("hi"),
     )

@@ -14,38 +14,37 @@ from candora.schema import DAY_MICROS
 _SECOND_MICROS = 1_000_000
 
 
-def _value_at(micros: DataFrame, position: int) -> int | None:
-    """The ``position``-th smallest (0-based) of column ``m``, null when there are too few values.
+def temporal_cutoff(df: DataFrame, fraction: float = 0.8, date_col: str = "date") -> int:
+    """Microseconds of the date at 0-based position ``int(n * fraction)`` of the date order.
 
     Narrows the range day, second, microsecond. Each step is a counting aggregation whose result is bounded
-    by the calendar (days), 86,400 (seconds of a day) or 1,000,000 (microseconds of a second).
+    by the calendar (days), 86,400 (seconds of a day) or 1,000,000 (microseconds of a second); it stops as
+    soon as the cell holds a single value. Undated rows count, and sort last.
     """
-    low = None
-    for width, outer in ((DAY_MICROS, None), (_SECOND_MICROS, DAY_MICROS), (1, _SECOND_MICROS)):
-        inside = micros if low is None else micros.filter(F.col("m").between(low, low + outer - 1))
-        cell = F.col("m") - F.pmod(F.col("m"), F.lit(width))
-        counts = inside.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-        running = counts.select(
-            "cell", "n", F.sum("n").over(Window.orderBy("cell")).alias("cum")
-        )
-        hit = running.filter(F.col("cum") > position).orderBy("cell").limit(1).collect()
-        if not hit:
-            return None
-        low = hit[0]["cell"]
-        position -= hit[0]["cum"] - hit[0]["n"]
-    return low
-
-
-def temporal_cutoff(df: DataFrame, fraction: float = 0.8, date_col: str = "date") -> int:
-    """Microseconds of the date at 0-based position ``int(n * fraction)`` of the date order."""
     if date_col not in df.columns:
         raise ValueError(f"date column {date_col!r} not found")
     micros = df.select(epoch_micros(df, date_col).alias("m"))
-    position = int(micros.count() * fraction)
-    cutoff = _value_at(micros.filter(F.col("m").isNotNull()), position)
-    if cutoff is None:
-        raise ValueError("the cutoff position lies outside the dated rows")
-    return cutoff
+    inside, position = micros, None
+    for width in (DAY_MICROS, _SECOND_MICROS, 1):
+        cell = F.col("m") - F.pmod(F.col("m"), F.lit(width))
+        counts = inside.groupBy(cell.alias("cell")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("m").alias("low"), F.max("m").alias("high")
+        )
+        running = counts.withColumn("cum", F.sum("n").over(Window.orderBy(F.asc_nulls_last("cell"))))
+        if position is None:
+            total = F.sum("n").over(Window.partitionBy())
+            target = F.floor(total * F.lit(float(fraction)))
+        else:
+            target = F.lit(position)
+        placed = running.withColumn("target", target).filter(F.col("cum") > F.col("target"))
+        hit = placed.orderBy(F.asc_nulls_last("cell")).limit(1).collect()
+        if not hit or hit[0]["cell"] is None:
+            raise ValueError("the cutoff position lies outside the dated rows")
+        if hit[0]["low"] == hit[0]["high"]:
+            return hit[0]["low"]
+        position = hit[0]["target"] - (hit[0]["cum"] - hit[0]["n"])
+        inside = micros.filter(F.col("m").between(hit[0]["low"], hit[0]["high"]))
+    raise AssertionError("a one-microsecond cell holds one value")
 
 
 def temporal_split(df: DataFrame, fraction: float = 0.8, date_col: str = "date") -> DataFrame:

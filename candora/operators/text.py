@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 
 from candora.functions.text import ngrams, tokens
 from candora.plans.ordering import global_row_number, running_totals
-from candora.plans.storage import freeze
+from candora.plans.storage import freeze, spread_few_files
 
 Encoder = Callable[[list[str]], np.ndarray]
 
 
 def tokenize_words(df: DataFrame, column: str = "text", out: str = "tokens") -> DataFrame:
-    return df.withColumn(out, tokens(F.col(column)))
+    """Add the array of lower-cased, accent-free tokens of two or more word characters."""
+    return spread_few_files(df, "review_id").withColumn(out, tokens(F.col(column)))
 
 
 def word_ngrams(df: DataFrame, low: int = 1, high: int = 2, column: str = "text") -> DataFrame:
@@ -36,7 +37,8 @@ def term_counts(df: DataFrame, low: int = 1, high: int = 2) -> DataFrame:
     the later per-id norm reuse that partitioning. (``explode_outer`` keeps the optimizer from copying the
     whole tokenizer into a non-empty-array filter below the shuffle.)
     """
-    slim = df.select("review_id", tokens(F.col("text")).alias("tokens"))
+    slim = spread_few_files(df.select("review_id", "text"), "review_id")
+    slim = slim.select("review_id", tokens(F.col("text")).alias("tokens"))
     placed = slim.repartition("review_id").withColumn("terms", ngrams(F.col("tokens"), low, high))
     exploded = placed.select("review_id", F.explode_outer("terms").alias("term"))
     counted = exploded.filter(F.col("term").isNotNull()).groupBy("review_id", "term")
@@ -182,7 +184,7 @@ def text_embedding(
                 frame["features"] = pd.Series([], dtype=object)
             yield frame
 
-    slim = df.select("review_id", *keep, "text")
+    slim = spread_few_files(df.select("review_id", *keep, "text"), "review_id")
     return slim.mapInPandas(run, schema=f"{columns}, features array<double>")
 
 

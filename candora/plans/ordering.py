@@ -97,17 +97,26 @@ def exact_percentiles(
 
     Works on distinct values and their counts, so a heavily repeated value costs one row.
     """
+    return percentiles_of_counts(value_counts(df, value, by), value, probs, by)
+
+
+def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Distinct non-null values per group with their number of rows ``n``."""
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value)
+    return counted.agg(F.count(F.lit(1)).alias("n"))
+
+
+def percentiles_of_counts(
+    counts: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = ()
+) -> DataFrame:
+    """:func:`exact_percentiles` from a table of :func:`value_counts`."""
     by = list(by)
     group = by or ["_all"]
-    source = df if by else df.withColumn("_all", F.lit(0))
-    counts = (
-        source.filter(F.col(value).isNotNull())
-        .groupBy(*group, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_o_n"))
-    )
-    ranked = running_totals(counts, group, ["_v"], {"_cum": "_o_n"})
+    source = counts if by else counts.withColumn("_all", F.lit(0))
+    source = source.select(*group, F.col(value).alias("_v"), F.col("n").alias("_n"))
+    ranked = running_totals(source, group, ["_v"], {"_cum": "_n"})
     sizes = ranked.groupBy(*group).agg(
-        F.sum("_o_n").alias("_size"), F.count(F.lit(1)).alias("_rows")
+        F.sum("_n").alias("_size"), F.count(F.lit(1)).alias("_rows")
     )
     sized = spread_join(ranked, sizes, group, "_rows", spread_by=["_v"])
     picks = []

@@ -16,6 +16,7 @@ def spread_join(
     size_col: str,
     spread_by: Sequence[str],
     *,
+    sizes: DataFrame | None = None,
     hot_keys: int = 1024,
     copies: int = 128,
     min_rows: int = 1_000_000,
@@ -26,10 +27,14 @@ def spread_join(
     ``spread_by`` and their single stats row is repeated as often. A key outside that list holds at most
     1/``hot_keys`` of all rows. Rows with a null key match nothing and are spread as well. The hot list has
     at most ``hot_keys`` rows, which is what allows it to be broadcast. ``size_col`` is dropped.
+
+    ``sizes`` may name a cheaper table with ``keys`` and ``size_col`` to find the hot keys in, so that
+    expensive statistics are not computed twice.
     """
     keys = list(keys)
+    measured = stats if sizes is None else sizes
     hot = (
-        stats.filter(F.col(size_col) >= min_rows)
+        measured.filter(F.col(size_col) >= min_rows)
         .orderBy(F.desc(size_col), *keys)
         .limit(hot_keys)
         .select(*keys, F.lit(True).alias("_hot"))
