@@ -91,6 +91,11 @@ _WEIGHTS = f"""{_TERMS}, {_vocabulary('WHERE label IS NOT NULL')},
       SELECT review_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY review_id)) AS weight FROM raw)"""
 
 ORACLES = {
+    # unit length wherever there is a token
+    "text_embedding": r"""
+        SELECT doc_id AS review_id, 64 AS width,
+               CASE WHEN regexp_matches(lower(text), '[\p{L}\p{N}_]{2,}') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm
+        FROM documents""",
     "tokenize_words": f"""
         WITH {TEXT_REVIEWS_SQL}, {_TOKENS}
         SELECT review_id, CAST(len(toks) AS INTEGER) AS n_tokens, array_to_string(toks, ' ') AS tokens FROM tokens""",

@@ -26,6 +26,9 @@ from candora.operators.validation import Fit, Score
 from candora.plans.storage import shared_dir
 
 
+TOLERANCE = 1e-4  # relative convergence tolerance of the iterative learners
+
+
 def as_vectors(df: DataFrame, column: str = "features") -> DataFrame:
     """ML vectors from double arrays; vectors pass through."""
     if isinstance(df.schema[column].dataType, VectorUDT):
@@ -33,16 +36,25 @@ def as_vectors(df: DataFrame, column: str = "features") -> DataFrame:
     return df.withColumn(column, array_to_vector(F.col(column).cast("array<double>")))
 
 
-def _placed(df: DataFrame) -> DataFrame:
-    """Training rows hashed by id over at least as many partitions as there are cores, and cached.
+ROWS_PER_TASK = 1000  # below this a task's start-up outweighs its work
+
+
+def _placed(df: DataFrame) -> tuple[DataFrame, int]:
+    """Training rows hashed by id and cached, and how many there are.
 
-    Every optimiser iteration and tree level is a pass over these rows.
+    Every optimiser iteration and tree level is a pass over these rows: large tables fill all shuffle
+    partitions, small ones take few tasks.
     """
     spark = df.sparkSession
-    partitions = max(
+    most = max(
         spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
     )
-    return df.repartition(partitions, "review_id").persist()
+    incoming = df.persist()
+    rows = incoming.count()
+    placed = incoming.repartition(min(max(rows // ROWS_PER_TASK, 1), most), "review_id").persist()
+    placed.count()
+    incoming.unpersist()
+    return placed, rows
 
 
 def _with_prob(scored: DataFrame) -> DataFrame:
@@ -59,10 +71,11 @@ def logreg_balanced(train: DataFrame, c: float = 1.0, max_iter: int = 100) -> Sc
     ``regParam`` = 1 / (c · Σ weight): the penalty of a loss summed, not averaged, over the rows. Balanced
     weights sum to the number of rows.
     """
-    placed = _placed(as_vectors(train))
-    weighted, rows = with_class_weight(placed), placed.count()
+    placed, rows = _placed(as_vectors(train))
+    weighted = with_class_weight(placed)
     learner = LogisticRegression(
-        weightCol="weight", regParam=1.0 / (c * rows), standardization=False, maxIter=max_iter
+        weightCol="weight", regParam=1.0 / (c * rows), standardization=False, maxIter=max_iter,
+        tol=TOLERANCE,
     )
     model = learner.fit(weighted)
     placed.unpersist()
@@ -79,15 +92,16 @@ def linear_svm_calibrated(train: DataFrame, c: float = 1.0, folds: int = 3, max_
     Each of ``folds`` models is fitted on the other folds and calibrated on its own fold; probabilities are
     averaged over the models.
     """
-    numbered = _placed(stratified_kfold(as_vectors(train), folds))
+    numbered, _ = _placed(stratified_kfold(as_vectors(train), folds))
     members = []
     for fold in range(1, folds + 1):
         rest = with_class_weight(numbered.filter(F.col("fold") != fold).drop("fold"))
         svm = LinearSVC(
-            weightCol="weight", regParam=1.0 / (c * rest.count()), standardization=False, maxIter=max_iter
+            weightCol="weight", regParam=1.0 / (c * rest.count()), standardization=False, maxIter=max_iter,
+            tol=TOLERANCE,
         ).fit(rest)
         margins = _margins(svm, numbered.filter(F.col("fold") == fold))
-        platt = LogisticRegression(featuresCol="_margin", maxIter=max_iter).fit(margins)
+        platt = LogisticRegression(featuresCol="_margin", maxIter=max_iter, tol=TOLERANCE).fit(margins)
         members.append((svm, platt))
     numbered.unpersist()
 
@@ -131,7 +145,7 @@ def random_forest(
     learner = RandomForestClassifier(
         numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=True, maxMemoryInMB=1024
     )
-    placed = _placed(as_vectors(train))
+    placed, _ = _placed(as_vectors(train))
     rows = placed
     if balanced:
         rows = with_class_weight(placed)
