@@ -101,9 +101,9 @@ def cross_domain_eval(spark, sf):
 
 
 def transfer_degradation(spark, sf):
-    """First half of the products as the home domain, second half as the foreign one, per order status."""
+    """Years up to 1997 as the home domain, later ones as the foreign one, per order status."""
     rows = scored(spark, sf).withColumnRenamed("grp", "model")
-    home = F.col("review_id") * 7919 % 50 < 25
+    home = F.year("date") <= 1997
     inside = evaluation.all_metrics(rows.filter(home), ["model"])
     outside = evaluation.all_metrics(rows.filter(~home), ["model"])
     return rounded(evaluation.transfer_degradation(inside, outside))
@@ -224,7 +224,7 @@ def _domain(model: str, column: str) -> str:
 
 _HALVES = f"""
     WITH {SCORED_SQL},
-    halves AS (SELECT *, grp || '|' || CASE WHEN review_id * 7919 % 50 < 25 THEN 'in' ELSE 'x' END AS side FROM scored),
+    halves AS (SELECT *, grp || '|' || CASE WHEN year(date) <= 1997 THEN 'in' ELSE 'x' END AS side FROM scored),
     {metrics_sql('halves', 'side')}, {auc_sql('halves', 'side')},
     measured AS (SELECT split_part(side, '|', 1) AS model, split_part(side, '|', 2) AS part, auc_roc, macro_f1
                  FROM metrics JOIN areas USING (side))"""

@@ -40,7 +40,7 @@ def hashed_embedding(spark, sf):
 
 
 def text_embedding(spark, sf):
-    embedded = text.text_embedding(text_reviews(spark, sf), text.hashing_encoder, 64, lazy=True)
+    embedded = text.text_embedding(text_reviews(spark, sf), text.hashing_encoder(64), 64)
     norm = F.sqrt(F.aggregate("features", F.lit(0.0), lambda a, x: a + x * x))
     return rounded(embedded.select("review_id", F.size("features").alias("width"), norm.alias("norm")))
 
