@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from candora.catalog.views import (
-    METRIC_NAMES, REVIEWS_SQL, SCORED_SQL, TEXT_REVIEWS_SQL, VECTORS_SQL, auc_sql, metrics_sql, r6, reviews,
+    METRIC_NAMES, REVIEWS_SQL, SCORED_SQL, VECTORS_SQL, auc_sql, metrics_sql, r6, reviews,
     rounded, scored, text_reviews, vectors,
 )
 from candora.operators import balance, behavior, cleaning, evaluation, mlp, models, splits

@@ -9,10 +9,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candora.functions.columns import epoch_micros
+from candora.functions.columns import epoch_micros, pad_vector
 from candora.plans.ordering import running_totals
 from candora.plans.skew import spread_join
 from candora.plans.storage import freeze
@@ -332,8 +332,6 @@ def split_feature_sets(
     train: DataFrame, test: DataFrame, width: int = 16, keep: Sequence[str] = ()
 ) -> DataFrame:
     """Features of each split from its own rows, scaled with train statistics, as padded vectors."""
-    from candora.functions.columns import pad_vector
-
     parts = {
         "train": freeze(behavior_features(train, keep=keep)),  # used twice: fitting and scaling
         "test": behavior_features(test, keep=keep),

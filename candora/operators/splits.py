@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candora.functions.columns import epoch_micros, hash_uniform, keyed_md5
+from candora.operators.balance import class_weights
 from candora.plans.ordering import global_row_number
 from candora.schema import DAY_MICROS
 
@@ -60,7 +62,8 @@ def _hash_position(df: DataFrame, by: str, key: str, seed: int) -> DataFrame:
     """``_rank`` = 0-based position of each row in the md5 order of its ``by`` group, ``_size`` = group size.
 
     The first four hex digits cut every group into 65,536 equal cells, so no task ranks more than a sliver
-    of a group however large it is. Rows are shuffled once: the join and the window share (by, cell).
+    of a group however large it is. Rows are shuffled once: the join and the window share (by, cell). Rows
+    without a ``by`` value belong to no stratum and are left out.
     """
     hashed = df.withColumn("_h", keyed_md5(seed, F.col(key))).withColumn(
         "_cell", F.substring("_h", 1, 4)
@@ -153,8 +156,6 @@ def oversample_minority(
     inverse distribution function at a hash of the row key, so it needs no shuffle and repeats exactly.
     Means above 32 are split into independent draws of at most 32. Column ``copy`` numbers the repeats.
     """
-    from candora.operators.balance import class_weights
-
     weights = class_weights(df, label).collect()  # one row per class
     drawn_from = sum(r["weight"] * r["n_rows"] for r in weights)
     total = sum(r["n_rows"] for r in weights)
@@ -177,8 +178,6 @@ def _poisson_draw(cdf: Column, u: Column) -> Column:
 
 def _poisson_cdf(mean: float) -> Column:
     """Poisson distribution function as an array constant, up to where it reaches 1 in double precision."""
-    import math
-
     term = total = math.exp(-mean)
     values, k = [total], 0
     while k < mean or term > 1e-17:

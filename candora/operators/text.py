@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -9,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA, PCAModel, StandardScaler, StandardScalerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,8 +121,6 @@ def tfidf_vectors(df: DataFrame, model: TfidfModel, keep: tuple[str, ...] = ("la
 
 
 def _sparse(size: int):
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
     @F.udf(VectorUDT(), useArrow=True)
     def build(entries):
         if not entries:
@@ -141,10 +143,6 @@ def hashing_encoder(dim: int = 64) -> Encoder:
     """Default encoder: signed, log-scaled counts of hashed tokens, scaled to unit length."""
 
     def encode(texts: list[str]) -> np.ndarray:
-        import re
-        import zlib
-        from collections import Counter
-
         out = np.zeros((len(texts), dim))
         for row, text in enumerate(texts):
             for token, count in Counter(re.findall(r"\w\w+", text.lower())).items():

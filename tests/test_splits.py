@@ -75,3 +75,8 @@ def test_large_poisson_means_are_split(spark):
     df = spark.range(20_001).select(F.col("id").alias("review_id"), (F.col("id") < 50).cast("int").alias("label"))
     counts = {r["label"]: r["count"] for r in splits.oversample_minority(df).groupBy("label").count().collect()}
     assert 0.9 < counts[1] / counts[0] < 1.1
+
+
+def test_row_level_ranks_are_not_single_partition(spark, orders, many_chunks):
+    for df in (splits.stratified_kfold(orders), splits.stratified_split(orders)):
+        assert "SinglePartition" not in df._jdf.queryExecution().executedPlan().toString()
