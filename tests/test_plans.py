@@ -51,7 +51,7 @@ def test_spread_join_with_hot_and_null_keys(spark):
     rows = [(i, 1 if i % 2 else (i % 9 if i % 5 else None)) for i in range(500)]
     df = spark.createDataFrame(rows, "id long, k long")
     stats = df.filter("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.sum("id").alias("s"))
-    joined = spread_join(df, stats, ["k"], "n", ["id"], hot_keys=3, copies=4, min_rows=1)
+    joined = spread_join(df, stats, ["k"], "n", ["id"], hot_keys=3, rows_per_task=2)
     sums = {}
     for i, k in rows:
         if k is not None:
@@ -66,7 +66,7 @@ def test_spread_join_spreads_the_hot_key(spark, many_chunks):
     try:
         df = spark.range(20_000).select("id", F.lit(1).alias("k"))
         stats = df.groupBy("k").agg(F.count("*").alias("n"))
-        joined = spread_join(df, stats, ["k"], "n", ["id"], min_rows=1)
+        joined = spread_join(df, stats, ["k"], "n", ["id"], rows_per_task=50)
         sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
         assert sum(sizes) == 20_000 and max(sizes) < 10_000
     finally:
