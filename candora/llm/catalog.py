@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from candora.llm import exact_dedup
+from candora.llm import decontamination, exact_dedup, minhash_dedup, mixing, toxicity
 
 QUERIES = {
+    "op2_mixing": mixing.op2_mixing,
+    "op4_minhash_dedup": minhash_dedup.op4_minhash_dedup,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_decontamination": decontamination.op9_decontamination,
 }
 ORACLES = {
     "op8_exact_dedup": exact_dedup.ORACLE,
+    "op9_decontamination": decontamination.ORACLE,
 }
