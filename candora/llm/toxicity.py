@@ -22,7 +22,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candora.llm import tokens
 from candora.llm.shared import over_batches, stored
 
 LENGTH = 4  # letters of a subsequence
@@ -34,7 +33,9 @@ DOCUMENTS = 3000  # training documents per class at most, by smallest hash of th
 CANDIDATES = 4000  # words with the strongest contrast that are looked at
 CLEAN_WORDS = 6000  # words of clean sentences used as negative examples, the most frequent and a hash sample
 LANDMARKS = 400
-FLOOR = 2.6  # deviations by which a word must be more frequent in toxic sentences
+FLOOR = 4.0  # added to the deviance that a word of toxic sentences must have
+HARD = -0.5  # decision value from which a word of clean sentences becomes a negative example of the second fit
+THRESHOLD = 0.3
 PIECE = 1 << 20  # characters scored at a time
 
 _OFFSETS = [(0, *rest) for rest in combinations(range(1, SPAN), LENGTH - 1)]
@@ -143,7 +144,6 @@ class ToxicityModel:
     table: np.ndarray
     intercept: float
     slope: float
-    empty: float = 0.01
 
     def score(self, text: str | None) -> float:
         """Score of a whole text; long texts go piece by piece, cut at white space."""
@@ -295,47 +295,112 @@ def fit_toxicity(labelled: DataFrame, id_col: str, text_col: str, label_col: str
         rows.filter(F.col("_toxic") == k).orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(DOCUMENTS)
         for k in (0, 1)
     ]
-    counts = stored(_sentence_words(parts[0].unionByName(parts[1])), "words")
+    sample = stored(parts[0].unionByName(parts[1]), "sample")
+    model = _fit_sample(sample)
+    raw = score_toxicity(sample, ToxicityModel(model.table, 0.0, 1.0), "_id", "_text", keep="_toxic").toPandas()
+    worst = np.log(raw["score"] / (1 - raw["score"])).to_numpy()  # at most 2 * DOCUMENTS numbers
+    return calibrate(model, worst, raw["_toxic"].to_numpy() == 1)
+
+
+def _fit_sample(sample: DataFrame) -> ToxicityModel:
+    counts = stored(_sentence_words(sample), "words")
     total = counts.agg(F.sum("_toxic").alias("t"), F.sum("_clean").alias("c")).collect()[0]
     if not total["t"] or not total["c"]:
         return fit_words([], np.zeros(0, bool), np.zeros(0))
     share = total["t"] / (total["t"] + total["c"])
-    seen = F.col("_toxic") + F.col("_clean")
-    contrast = (F.col("_toxic") - seen * share) / F.sqrt(seen * share * (1 - share))
-    strong = counts.filter((contrast > FLOOR) & (F.col("_toxic") > 4 * share / (1 - share) * (F.col("_clean") + 0.5)))
-    strong = strong.orderBy(contrast.desc(), "_word").limit(CANDIDATES).collect()
-    clean = counts.filter("_clean > 0").filter(~((contrast > FLOOR) & (F.col("_clean") < 3)))
+    vocabulary = counts.count()
+    t, c = F.col("_toxic"), F.col("_clean")
+    part = lambda x, p: F.when(x > 0, x * F.log(x / ((t + c) * p))).otherwise(0.0)
+    deviance = 2 * (part(t, share) + part(c, 1 - share)) * F.signum(t - (t + c) * share)
+    rated = counts.withColumn("_g", deviance)
+    # twice the logarithm of the number of words looked at: words that are frequent in toxic sentences by chance stay out
+    limit = 2 * float(np.log(max(2, vocabulary))) + FLOOR
+    strong = rated.filter((F.col("_g") > limit) & (t > 4 * share / (1 - share) * (c + 0.5)))
+    strong = strong.orderBy(F.desc("_g"), "_word").limit(CANDIDATES).collect()
+    clean = rated.filter((c > 0) & (F.col("_g") <= limit))
     common = clean.orderBy(F.desc("_clean"), "_word").limit(CLEAN_WORDS // 3).collect()
     spread = clean.orderBy(F.xxhash64("_word"), "_word").limit(CLEAN_WORDS - CLEAN_WORDS // 3).collect()
-    negatives = {r["_word"]: r for r in [*common, *spread]}
-    chosen = [r for r in strong if r["_word"] not in negatives] if strong else []
-    if chosen:
-        # keep what is clearly typical: weak contrasts are mostly rare words that happen to stand in one toxic text
-        best = max((r["_toxic"] for r in chosen))
-        chosen = [r for r in chosen if r["_toxic"] >= max(2, 0.02 * best)]
-    rest = [r for r in negatives.values()]
-    words = [_back(r["_word"]) for r in [*chosen, *rest]]
-    toxic = np.r_[np.ones(len(chosen), bool), np.zeros(len(rest), bool)]
-    weight = np.sqrt(np.array([r["_toxic"] for r in chosen] + [r["_clean"] for r in rest], float))
+    model = _fit_rows(strong, [*common, *spread])
+    # words of clean sentences that this model takes for insults join the negative examples
+    hard = _scored_words(clean.select("_word", "_clean"), model).filter(F.col("_value") + model.intercept > HARD)
+    hard = hard.orderBy(F.desc("_value"), "_word").limit(CLEAN_WORDS // 6).collect()
+    if hard:
+        model = _fit_rows(strong, [*hard, *common, *spread])
+    return model
+
+
+def _fit_rows(strong: list, negative: list) -> ToxicityModel:
+    clean = {r["_word"]: r["_clean"] for r in negative}
+    words = [_back(w) for w in [*(r["_word"] for r in strong), *clean]]
+    toxic = np.r_[np.ones(len(strong), bool), np.zeros(len(clean), bool)]
+    weight = np.sqrt(np.array([r["_toxic"] for r in strong] + list(clean.values()), float))
     return fit_words(words, toxic, weight)
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str, text_col: str) -> DataFrame:
-    """``id_col`` and ``score`` (0 to 1) of every whole text; null and empty texts have no word and score low."""
+def _scored_words(words: DataFrame, model: ToxicityModel) -> DataFrame:
+    shared = words.sparkSession.sparkContext.broadcast(model)  # 4 MB
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = batch.column(0).to_pylist()
+        sym = symbols(" ".join(_back(w) for w in own))
+        value = word_scores(sym, shared.value.table)
+        if len(value) != len(own):  # a run of single letters was joined: one by one then
+            value = np.array([word_scores(symbols(_back(w)), shared.value.table).max(initial=-1.0) for w in own])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value.astype(float))], ["_word", "_clean", "_value"])
+
+    return over_batches(words, work, "_word string, _clean long, _value double")
+
+
+def calibrate(model: ToxicityModel, worst: np.ndarray, toxic: np.ndarray) -> ToxicityModel:
+    """Place the score :data:`THRESHOLD` where it separates the documents' worst words best, in the widest such gap."""
+    if not toxic.any() or toxic.all():
+        return model
+    order = np.argsort(worst, kind="stable")
+    value, flag = worst[order], toxic[order]
+    missed = np.r_[0, np.cumsum(flag)] / flag.sum()
+    alarms = 1 - np.r_[0, np.cumsum(~flag)] / (~flag).sum()
+    loss = missed + alarms
+    edges = np.r_[value[0] - 1.0, value, value[-1] + 1.0]
+    gap = np.diff(edges)
+    loss[gap <= 0] = np.inf
+    best = np.flatnonzero(loss <= loss.min() + 1e-12)
+    at = best[np.argmax(gap[best])]
+    border = (edges[at] + edges[at + 1]) / 2
+    slope = 4.0 / max(0.05, float(np.median(worst[toxic])) - border)
+    return ToxicityModel(model.table, float(np.log(THRESHOLD / (1 - THRESHOLD)) / slope - border), slope)
+
+
+def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str, text_col: str, keep: str | None = None) -> DataFrame:
+    """``id_col``, ``score`` (0 to 1) of every whole text and the column ``keep``; texts without words score low."""
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB, whatever the data
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(1)
         scores = [shared.value.score_many(texts.slice(k, 200).to_pylist()) for k in range(0, len(texts), 200)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores))], [id_col, "score"])
+        columns = [batch.column(0), pa.array(np.concatenate(scores))]
+        return pa.RecordBatch.from_arrays(columns + list(batch.columns[2:]), [id_col, "score", *more])
 
+    more = [keep] if keep else []
+    extra = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in more)
     return over_batches(
-        docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")), work, f"`{id_col}` {kind}, score double"
+        docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_scored_text"), *more),
+        work,
+        f"`{id_col}` {kind}, score double{extra}",
     )
 
 
-THRESHOLD = 0.3
+def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of ``docs``, all columns, whose text scores below ``threshold``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB, whatever the data
+    at = docs.columns.index(text_col)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(at)
+        scores = [shared.value.score_many(texts.slice(k, 200).to_pylist()) for k in range(0, len(texts), 200)]
+        return batch.filter(pa.array(np.concatenate(scores) < threshold))
+
+    return over_batches(docs, work, docs.schema)
 
 
 def in_training(id_col: str):
@@ -353,7 +418,7 @@ def fit_from_folder(spark, docs: DataFrame, sf_dir: str) -> ToxicityModel:
     ]
     sample = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * DOCUMENTS rows at most
     teaching = docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("_label_id"))
-    return fit_toxicity(teaching, "doc_id", "text", "toxic")
+    return fit_toxicity(stored(teaching.select("doc_id", "text", "toxic"), "teaching"), "doc_id", "text", "toxic")
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
