@@ -18,7 +18,7 @@ HEADLINE = [
     "auc_roc", "roc_curve", "mean_roc_curve", "stratum_metrics", "classification_metrics", "risk_topk_by_group",
     "text_lengths", "tokenize_words", "build_vocabulary", "tfidf", "text_embedding", "mlp_score",
     "shapley_linear", "shapley_sampling", "describe_by_label", "feature_correlation", "feature_density",
-    "monthly_volume", "cross_validate", "logreg_balanced",
+    "monthly_volume", "cross_validate", "logreg_balanced", "linear_svm_calibrated", "random_forest", "mlp_focal_train",
 ]
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from candora.catalog import attribution, behavior, evaluation, exploration, learning, preparation, text
+from candora.catalog import attribution, behavior, evaluation, exploration, fitted, learning, preparation, text
 
-_AREAS = (preparation, behavior, text, learning, evaluation, attribution, exploration)
+_AREAS = (preparation, behavior, text, learning, fitted, evaluation, attribution, exploration)
 
 QUERIES = {name: query for area in _AREAS for name, query in area.QUERIES.items()}
 ORACLES = {name: sql for area in _AREAS for name, sql in area.ORACLES.items()}

@@ -104,8 +104,8 @@ ORACLES = {
         {_ATTR},
         volumes AS (SELECT review_id, value AS v FROM attr WHERE feature = 'review_count'),
         cuts AS (SELECT quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS q2, quantile_cont(v, 0.75) AS q3 FROM volumes),
-        placed AS (SELECT review_id, CASE WHEN v <= q1 THEN 'low' WHEN v <= q2 THEN 'medium' WHEN v <= q3 THEN 'high'
-                          ELSE 'power' END AS bucket FROM volumes, cuts),
+        placed AS (SELECT review_id, CASE WHEN v <= q1 THEN 'quartile 1' WHEN v <= q2 THEN 'quartile 2' WHEN v <= q3 THEN 'quartile 3'
+                          ELSE 'quartile 4' END AS bucket FROM volumes, cuts),
         shares AS (SELECT bucket, count(DISTINCT review_id) AS n, avg(abs(phi)) FILTER (branch = 'text') AS t,
                           avg(abs(phi)) FILTER (branch = 'behavior') AS b
                    FROM attr JOIN placed USING (review_id) GROUP BY bucket)

@@ -165,7 +165,7 @@ _STRATA = f"""
     counted AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS c FROM scored),
     strata AS (
       SELECT *, CASE WHEN c < 5 THEN '1-4' WHEN c < 20 THEN '5-19' WHEN c < 50 THEN '20-49' ELSE '50+' END AS stratum
-      FROM counted WHERE c < 10000),
+      FROM counted),
     {metrics_sql('strata', 'stratum')}, {auc_sql('strata', 'stratum', 'NULL')},
     result AS (
       SELECT stratum, tn + fp + fn + tp AS n_reviews, tp + fn AS n_fake,

@@ -31,11 +31,14 @@ def ingest_reviews(spark, sf):
 def normalize_types(spark, sf):
     raw = table(spark, sf, "orders").selectExpr(
         "o_orderkey AS review_id",
-        "CASE WHEN o_orderstatus = 'P' THEN 'n/a' ELSE CAST(1 + CAST(floor(o_totalprice) AS BIGINT) % 5 AS STRING) "
+        "CASE WHEN o_orderstatus = 'P' THEN element_at(array('n/a', 'nan', 'Infinity'), CAST(1 + o_orderkey % 3 AS INT)) "
+        "ELSE CAST(1 + CAST(floor(o_totalprice) AS BIGINT) % 5 AS STRING) "
         "END AS rating",
-        "CASE WHEN o_orderstatus = 'P' THEN '?' WHEN o_orderpriority = '1-URGENT' THEN '1' ELSE '0' END AS label",
+        "CASE WHEN o_orderstatus = 'P' THEN element_at(array('?', 'nan', '99999999999'), CAST(1 + o_orderkey % 3 AS INT)) "
+        "WHEN o_orderpriority = '1-URGENT' THEN '1' ELSE '0' END AS label",
         "CASE o_orderstatus WHEN 'F' THEN CAST(CAST(CAST(o_orderdate AS TIMESTAMP) AS BIGINT) AS STRING) "
-        "WHEN 'O' THEN CAST(o_orderdate AS STRING) ELSE 'unknown' END AS date",
+        "WHEN 'O' THEN CAST(o_orderdate AS STRING) "
+        "ELSE element_at(array('unknown', 'nan', '1e14'), CAST(1 + o_orderkey % 3 AS INT)) END AS date",
     )
     return sources.normalize_types(raw)
 

@@ -65,7 +65,8 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def text_reviews(spark: SparkSession, sf: str) -> DataFrame:
     labels = table(spark, sf, "labels").selectExpr("doc_id", "1 - quality AS label")
-    joined = table(spark, sf, "documents").join(labels, "doc_id", "left")
+    # a merge join deals the texts out by id even where the labels are small: work per text is heavy, the files may be few
+    joined = table(spark, sf, "documents").join(labels.hint("merge"), "doc_id", "left")
     return joined.selectExpr("doc_id AS review_id", "source AS product_id", "lang", "text", "label")
 
 

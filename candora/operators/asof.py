@@ -95,17 +95,25 @@ def rolling_burst_ratio(df: DataFrame, days: int = 30, k: float = 2.0) -> DataFr
     """One row per user: share of reviews whose trailing count exceeds the user's mean + k standard deviations."""
     counts = trailing_counts(df, days)
     weight = F.col("_rows")
+    exact = F.col("c").cast("decimal(18,0)")  # sums of products with 38 digits hold any user's history
     moments = counts.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("_times"),
         F.sum(weight).alias("_n"),
-        F.sum(weight * F.col("c")).alias("_s1"),
-        F.sum(weight * F.col("c") * F.col("c")).alias("_s2"),
+        F.sum(weight * exact).cast("decimal(38,0)").alias("_s1"),
+        F.sum((weight * exact * exact).cast("decimal(38,0)")).cast("decimal(38,0)").alias("_s2"),
+    )
+    # deviations from the mean's integer part: exact, and no large squares are subtracted afterwards
+    whole, n = F.floor(F.col("_s1") / F.col("_n")).cast("decimal(18,0)"), F.col("_n").cast("decimal(18,0)")
+    rest = F.col("_s1") - (n * whole).cast("decimal(38,0)")
+    around = F.col("_s2") - (2 * whole * F.col("_s1")).cast("decimal(38,0)") + (n * whole * whole).cast("decimal(38,0)")
+    moments = moments.select(
+        "user_id",
+        "_times",
+        (whole.cast("double") + rest.cast("double") / F.col("_n")).alias("_mean"),
+        (around.cast("double") / F.col("_n") - F.pow(rest.cast("double") / F.col("_n"), F.lit(2))).alias("_variance"),
     )
     joined = spread_join(counts, moments, ["user_id"], "_times", spread_by=["_t"])
-    mean = F.col("_s1") / F.col("_n")
-    variance = F.greatest(
-        (F.col("_n") * F.col("_s2") - F.col("_s1") * F.col("_s1")) / (F.col("_n") * F.col("_n")), F.lit(0.0)
-    )
+    mean, variance = F.col("_mean"), F.greatest(F.col("_variance"), F.lit(0.0))
     flagged = F.when(F.col("c") > mean + F.lit(float(k)) * F.sqrt(variance), weight).otherwise(0)
     return joined.groupBy("user_id").agg(
         F.sum(weight).alias("n_reviews"), (F.sum(flagged) / F.sum(weight)).alias("rolling_burst_ratio")

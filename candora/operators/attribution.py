@@ -22,6 +22,10 @@ def fused_names(text_width: int, behavior: Sequence[str] = tuple(BEHAVIOR_FEATUR
     return [*text, *[(name, "behavior") for name in behavior]]
 
 
+WORK_CELLS = 4_000_000  # numbers of a work array: 32 MB
+ROWS_AT_ONCE = 100  # explained rows per frame handed back
+
+
 def shapley_sampling(
     explain: DataFrame,
     background: DataFrame,
@@ -52,28 +56,34 @@ def shapley_sampling(
     branches = np.array([b for _, b in names], dtype=object)
     id_field, label_field = explain.schema["review_id"], explain.schema["label"]
 
+    # place of each feature in each order: at step s, the features placed before s come from the explained row
+    place = np.argsort(orders, axis=1)
+    at_once = max(1, WORK_CELLS // ((width + 1) * width))
+    steps = np.arange(width + 1)[:, None, None]
+
+    def attribute(x: np.ndarray) -> np.ndarray:
+        total = np.zeros(width)
+        for low in range(0, count, at_once):
+            part = slice(low, low + at_once)
+            walk = np.where(place[part][None] < steps, x, base[part][None])
+            scores = np.asarray(score(walk.reshape(-1, width)), dtype=float).reshape(width + 1, -1)
+            gains = np.diff(scores, axis=0).T
+            total += np.take_along_axis(gains, place[part], axis=1).sum(axis=0)
+        return total / count
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        every = np.arange(count)
         for frame in frames:
-            for key, label, vector in zip(frame["review_id"], frame["label"], frame[column], strict=True):
-                x = np.asarray(vector, dtype=float)
-                walk = np.empty((width + 1, count, width))
-                walk[0] = base
-                for step in range(width):
-                    walk[step + 1] = walk[step]
-                    moved = orders[:, step]
-                    walk[step + 1, every, moved] = x[moved]
-                scores = np.asarray(score(walk.reshape(-1, width)), dtype=float).reshape(width + 1, count)
-                phi = np.zeros((count, width))
-                phi[every[:, None], orders] = np.diff(scores, axis=0).T
+            for low in range(0, len(frame), ROWS_AT_ONCE):
+                part = frame.iloc[low : low + ROWS_AT_ONCE]
+                values = np.array([np.asarray(v, dtype=float) for v in part[column]]).reshape(len(part), width)
                 yield pd.DataFrame(
                     {
-                        "review_id": key,
-                        "label": label,
-                        "feature": features,
-                        "branch": branches,
-                        "value": x,
-                        "phi": phi.mean(axis=0),
+                        "review_id": part["review_id"].repeat(width).to_numpy(),
+                        "label": part["label"].repeat(width).to_numpy(),
+                        "feature": np.tile(features, len(part)),
+                        "branch": np.tile(branches, len(part)),
+                        "value": values.reshape(-1),
+                        "phi": np.concatenate([attribute(x) for x in values]),
                     }
                 )
 
@@ -123,8 +133,7 @@ def branch_importance(attr: DataFrame) -> DataFrame:
     return means.withColumn("pct", F.col("mean_abs_phi") / total * 100)
 
 
-# Reviewer volume quartiles.
-VOLUME_BUCKETS = ["low", "medium", "high", "power"]
+VOLUME_BUCKETS = ["quartile 1", "quartile 2", "quartile 3", "quartile 4"]
 
 
 def branch_by_volume(attr: DataFrame, feature: str = "review_count", least: int = 5) -> DataFrame:

@@ -14,12 +14,17 @@ from candora.plans.storage import freeze
 from candora.schema import BEHAVIOR_FEATURES
 
 
-def _weighted_std(value: Column, n: Column) -> Column:
-    """Sample standard deviation of values that occur ``n`` times."""
-    value = value.cast("double")
-    total, first, second = F.sum(n), F.sum(n * value), F.sum(n * value * value)
-    variance = (second - first * first / total) / (total - 1)
-    return F.when(total > 1, F.sqrt(F.greatest(variance, F.lit(0.0))))
+def _spreads(counts: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """``mean`` and sample standard deviation ``std`` per group of values that occur ``n`` times.
+
+    Squares are taken of deviations from the mean, so a small spread around a large mean keeps its digits.
+    """
+    means = counts.groupBy(*by).agg((F.sum(F.col("n") * F.col(value)) / F.sum("n")).alias("mean"))
+    away = F.col(value).cast("double") - F.col("mean")
+    joined = counts.join(F.broadcast(means), list(by))  # labels times measures
+    total = F.sum("n")
+    std = F.when(total > 1, F.sqrt(F.sum(F.col("n") * away * away) / (total - 1)))
+    return joined.groupBy(*by).agg(F.first("mean").alias("mean"), std.alias("std"))
 
 
 def describe_by_label(
@@ -30,15 +35,14 @@ def describe_by_label(
     counts = freeze(value_counts(long, "value", [label_col, "measure"]))
     basic = counts.groupBy(label_col, "measure").agg(
         F.sum("n").alias("count"),
-        (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"),
-        _weighted_std(F.col("value"), F.col("n")).alias("std"),
         F.min("value").cast("double").alias("min"),
         F.max("value").cast("double").alias("max"),
     )
     quartiles = percentiles_of_counts(
         counts, "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, [label_col, "measure"]
     )
-    return basic.join(quartiles, [label_col, "measure"])
+    spreads = _spreads(counts, "value", [label_col, "measure"])
+    return basic.join(spreads, [label_col, "measure"]).join(quartiles, [label_col, "measure"])
 
 
 def label_distribution(df: DataFrame, label_col: str = "label") -> DataFrame:
@@ -213,10 +217,11 @@ def feature_density(
     counts = freeze(value_counts(long, "v", [label_col, "feature"]))
     stats = counts.groupBy(label_col, "feature").agg(
         F.sum("n").alias("total"),
-        _weighted_std(F.col("v"), F.col("n")).alias("sd"),
         F.min("v").alias("lo"),
         F.max("v").alias("hi"),
     )
+    spreads = _spreads(counts, "v", [label_col, "feature"]).withColumnRenamed("std", "sd").drop("mean")
+    stats = stats.join(spreads, [label_col, "feature"])
     h = F.pow(F.col("total").cast("double"), F.lit(-0.2)) * F.col("sd") * adjust
     frame = (
         stats.filter(F.col("sd") > 0)

@@ -200,12 +200,12 @@ def aggregate_folds(metrics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-# Reviewer volume strata, lower edge inclusive, upper edge exclusive.
-STRATA = [("1-4", 1, 5), ("5-19", 5, 20), ("20-49", 20, 50), ("50+", 50, 10_000)]
+# Names and edges of the reviewer volume strata; lower edge inclusive, upper exclusive, the last open.
+STRATA = [("1-4", 1, 5), ("5-19", 5, 20), ("20-49", 20, 50), ("50+", 50, None)]
 
 
 def stratum_metrics(
-    df: DataFrame, strata: Sequence[tuple[str, int, int]] = tuple(STRATA), least: int = 10
+    df: DataFrame, strata: Sequence[tuple[str, int, int | None]] = tuple(STRATA), least: int = 10
 ) -> DataFrame:
     """Metrics by how many of the evaluated rows the reviewer wrote; strata below ``least`` rows are left out."""
     counts = (
@@ -216,7 +216,8 @@ def stratum_metrics(
     joined = spread_join(df, counts, ["user_id"], "_rows", spread_by=["review_id"])
     stratum = F.lit(None).cast("string")
     for name, low, high in strata:
-        stratum = F.when((F.col("_n") >= low) & (F.col("_n") < high), name).otherwise(stratum)
+        inside = F.col("_n") >= low if high is None else (F.col("_n") >= low) & (F.col("_n") < high)
+        stratum = F.when(inside, name).otherwise(stratum)
     rows = joined.withColumn("stratum", stratum).filter(F.col("stratum").isNotNull())
     wide = all_metrics(rows, ["stratum"], on_single_class=None)
     total = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
@@ -255,14 +256,22 @@ def model_comparison(results: DataFrame) -> DataFrame:
     return wide.withColumn("rank", F.row_number().over(better))
 
 
+PRUNED_K = 1000  # Spark's limit for pruning ranked groups before the shuffle
+
+
 def risk_topk(df: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
-    """The ``k`` riskiest rows overall or per group, by probability, then id.
+    """The ``k`` riskiest rows overall or per group, by probability, then id (``risk_rank`` from 1 per group).
 
-    Overall this is a per-task top-k and a merge; per group, Spark prunes to k rows per group before the
-    shuffle because the rank is filtered.
+    Overall this is a per-task top-k and a merge. Per group and up to :data:`PRUNED_K` rows, Spark prunes every task
+    to k rows a group before the shuffle, as the rank is filtered. Larger k are ranked by running counts over a global
+    sort, in which a group may span any number of tasks.
     """
     if not by:
         return df.orderBy(F.desc("prob"), "review_id").limit(k)
+    if k > PRUNED_K:
+        order = [F.desc_nulls_last("prob"), "review_id"]
+        counted = running_totals(df.withColumn("_one", F.lit(1).cast("long")), list(by), order, {"risk_rank": "_one"})
+        return counted.filter(F.col("risk_rank") <= k).drop("_one").withColumn("risk_rank", F.col("risk_rank").cast("int"))
     order = Window.partitionBy(*by).orderBy(F.desc("prob"), "review_id")
     return df.withColumn("risk_rank", F.row_number().over(order)).filter(F.col("risk_rank") <= k)
 

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.ml.classification import (
     LinearSVC,
     LogisticRegression,
+    LogisticRegressionModel,
     RandomForestClassificationModel,
     RandomForestClassifier,
 )
@@ -37,24 +38,22 @@ def as_vectors(df: DataFrame, column: str = "features") -> DataFrame:
 
 
 ROWS_PER_TASK = 1000  # below this a task's start-up outweighs its work
+MOST_ROWS = 500_000  # rows that a task holds at most
 
 
 def _placed(df: DataFrame) -> tuple[DataFrame, int]:
     """Training rows hashed by id and cached, and how many there are.
 
-    Every optimiser iteration and tree level is a pass over these rows: large tables fill all shuffle
-    partitions, small ones take few tasks.
+    Every optimiser iteration and tree level is a pass over these rows: small tables take few tasks, and no task
+    holds more than :data:`MOST_ROWS` rows, however large the table.
     """
     spark = df.sparkSession
-    most = max(
+    usual = max(
         spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
     )
-    incoming = df.persist()
-    rows = incoming.count()
-    placed = incoming.repartition(min(max(rows // ROWS_PER_TASK, 1), most), "review_id").persist()
-    placed.count()
-    incoming.unpersist()
-    return placed, rows
+    rows = df.count()
+    tasks = max(1, min(rows // ROWS_PER_TASK, usual), rows // MOST_ROWS)
+    return df.repartition(tasks, "review_id").persist(), rows
 
 
 def _with_prob(scored: DataFrame) -> DataFrame:
@@ -65,7 +64,19 @@ def _with_prob(scored: DataFrame) -> DataFrame:
     )
 
 
-def logreg_balanced(train: DataFrame, c: float = 1.0, max_iter: int = 100) -> Score:
+class LogisticScore:
+    """Fitted logistic regression: callable on rows."""
+
+    def __init__(self, model: LogisticRegressionModel) -> None:
+        self.model = model
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return _with_prob(self.model.transform(as_vectors(df)))
+
+
+def logreg_balanced(
+    train: DataFrame, c: float = 1.0, max_iter: int = 100, tolerance: float = TOLERANCE
+) -> LogisticScore:
     """L2 logistic regression with balanced class weights.
 
     ``regParam`` = 1 / (c · Σ weight): the penalty of a loss summed, not averaged, over the rows. Balanced
@@ -75,18 +86,37 @@ def logreg_balanced(train: DataFrame, c: float = 1.0, max_iter: int = 100) -> Sc
     weighted = with_class_weight(placed)
     learner = LogisticRegression(
         weightCol="weight", regParam=1.0 / (c * rows), standardization=False, maxIter=max_iter,
-        tol=TOLERANCE,
+        tol=tolerance,
     )
     model = learner.fit(weighted)
     placed.unpersist()
+    return LogisticScore(model)
 
-    def score(df: DataFrame) -> DataFrame:
-        return _with_prob(model.transform(as_vectors(df)))
 
-    return score
+class SvmScore:
+    """Calibrated linear SVMs, one per fold: callable on rows."""
 
+    def __init__(self, members: list) -> None:
+        self.members = members
 
-def linear_svm_calibrated(train: DataFrame, c: float = 1.0, folds: int = 3, max_iter: int = 100) -> Score:
+    def __call__(self, df: DataFrame, margins: bool = False) -> DataFrame:
+        """Add ``prob`` and ``pred``; with ``margins`` also the calibrated probability ``_m0``, … of each member."""
+        out, parts = as_vectors(df), []
+        for i, (svm, platt) in enumerate(self.members):
+            slope, offset = float(platt.coefficients[0]), float(platt.intercept)
+            raw = f"_raw{i}"
+            out = svm.copy({svm.rawPredictionCol: raw, svm.predictionCol: f"_p{i}"}).transform(out)
+            margin = vector_to_array(raw)[1]
+            parts.append(F.lit(1.0) / (F.lit(1.0) + F.exp(-(margin * slope + offset))))
+        if margins:
+            out = out.withColumns({f"_m{i}": part for i, part in enumerate(parts)})
+        count = len(self.members)
+        extra = [f"_raw{i}" for i in range(count)] + [f"_p{i}" for i in range(count)]
+        scored = out.withColumn("prob", sum(parts[1:], parts[0]) / count).drop(*extra)
+        return scored.withColumn("pred", (F.col("prob") >= 0.5).cast("int"))
+
+
+def linear_svm_calibrated(train: DataFrame, c: float = 1.0, folds: int = 3, max_iter: int = 100) -> SvmScore:
     """Balanced linear SVM (hinge loss) whose margin is turned into a probability by a sigmoid.
 
     Each of ``folds`` models is fitted on the other folds and calibrated on its own fold; probabilities are
@@ -104,21 +134,7 @@ def linear_svm_calibrated(train: DataFrame, c: float = 1.0, folds: int = 3, max_
         platt = LogisticRegression(featuresCol="_margin", maxIter=max_iter, tol=TOLERANCE).fit(margins)
         members.append((svm, platt))
     numbered.unpersist()
-
-    def score(df: DataFrame) -> DataFrame:
-        out, parts = as_vectors(df), []
-        for i, (svm, platt) in enumerate(members):
-            slope, offset = float(platt.coefficients[0]), float(platt.intercept)
-            raw = f"_raw{i}"
-            out = svm.copy({svm.rawPredictionCol: raw, svm.predictionCol: f"_p{i}"}).transform(out)
-            margin = vector_to_array(raw)[1]
-            parts.append(F.lit(1.0) / (F.lit(1.0) + F.exp(-(margin * slope + offset))))
-        prob = sum(parts[1:], parts[0]) / len(parts)
-        extra = [f"_raw{i}" for i in range(folds)] + [f"_p{i}" for i in range(folds)]
-        scored = out.withColumn("prob", prob).drop(*extra)
-        return scored.withColumn("pred", (F.col("prob") >= 0.5).cast("int"))
-
-    return score
+    return SvmScore(members)
 
 
 def _margins(svm, rows: DataFrame) -> DataFrame:
@@ -143,7 +159,8 @@ def random_forest(
     """Random forest, plain or with balanced class weights."""
     shared_dir(train.sparkSession)  # node ids are checkpointed there
     learner = RandomForestClassifier(
-        numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=True, maxMemoryInMB=1024
+        numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=True, maxMemoryInMB=1024,
+        bootstrap=trees > 1,  # a single tree sees every row once
     )
     placed, _ = _placed(as_vectors(train))
     rows = placed

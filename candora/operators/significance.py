@@ -57,10 +57,10 @@ def wilcoxon_signed_rank(df: DataFrame, a: str, b: str, alpha: float = 0.05) ->
     rank = F.col("cum") - (F.col("t") - 1) / 2.0
     sums = ranked.agg(
         F.coalesce(F.sum("rows"), F.lit(0)).alias("n_pairs"),
-        F.coalesce(F.sum("t"), F.lit(0)).cast("int").alias("n"),
-        F.sum(F.when(F.col("t") > 0, F.col("plus") * rank)).alias("w_plus"),
-        F.sum(F.when(F.col("t") > 0, F.col("minus") * rank)).alias("w_minus"),
-        F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double").alias("ties"),
+        F.coalesce(F.sum("t"), F.lit(0)).alias("n"),
+        F.sum(F.when(F.col("t") > 0, F.col("plus").cast("double") * rank)).alias("w_plus"),
+        F.sum(F.when(F.col("t") > 0, F.col("minus").cast("double") * rank)).alias("w_minus"),
+        F.sum(F.pow(F.col("t").cast("double"), F.lit(3)) - F.col("t")).alias("ties"),
     )
     sums = sums.withColumn("w", F.least("w_plus", "w_minus"))
     table = F.broadcast(_exact_table(df.sparkSession))  # n <= EXACT_LIMIT: under 3,000 rows

@@ -58,15 +58,19 @@ def temporal_split(df: DataFrame, fraction: float = 0.8, date_col: str = "date")
     )
 
 
+CELL_ROWS = 4096  # rows that a hash cell holds at most in expectation
+
+
 def _hash_position(df: DataFrame, by: str, key: str, seed: int) -> DataFrame:
     """``_rank`` = 0-based position of each row in the md5 order of its ``by`` group, ``_size`` = group size.
 
-    The first four hex digits cut every group into 65,536 equal cells, so no task ranks more than a sliver
-    of a group however large it is. Rows are shuffled once: the join and the window share (by, cell). Rows
+    Leading hex digits cut every group into equal cells, more of them the more rows there are, so that a task ranks
+    some thousand rows of a cell however large the group is. Rows are shuffled once: the join and the window share (by, cell). Rows
     without a ``by`` value belong to no stratum and are left out.
     """
+    digits = max(2, math.ceil(math.log(max(1, df.count()) / CELL_ROWS + 1, 16)))
     hashed = df.withColumn("_h", keyed_md5(seed, F.col(key))).withColumn(
-        "_cell", F.substring("_h", 1, 4)
+        "_cell", F.substring("_h", 1, digits)
     )
     cells = hashed.groupBy(by, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     ordered = Window.partitionBy(by).orderBy("_cell")
@@ -108,17 +112,16 @@ def stratified_kfold(
 
 
 def temporal_fold_bounds(n: int, k: int = 5, min_train: float = 0.4) -> list[tuple[int, int, int]]:
-    """``(fold, train end, test end)`` positions of the expanding windows over ``n`` sorted rows."""
-    size, least = n // k, int(n * min_train)
-    bounds = []
-    for fold in range(1, k + 1):
-        start = fold * size
-        if start < least:
-            continue
-        if start >= n:
-            break
-        bounds.append((fold, start, min(start + size, n)))
-    return bounds
+    """``(fold, train end, test end)`` positions of the expanding windows over ``n`` sorted rows.
+
+    Fold f trains on the first ``f * (n // k)`` rows and tests on the next ``n // k``. Folds run from the first one
+    that trains on at least ``int(n * min_train)`` rows to the last one that starts before row ``n``.
+    """
+    step, needed = n // k, int(n * min_train)
+    if step == 0:  # fewer rows than folds: every fold trains on nothing
+        return [(fold, 0, 0) for fold in range(1, k + 1)] if 0 < n and needed == 0 else []
+    first, last = max(1, math.ceil(needed / step)), min(k, (n - 1) // step)
+    return [(fold, fold * step, min(n, (fold + 1) * step)) for fold in range(first, last + 1)]
 
 
 def temporal_kfold(
@@ -141,10 +144,25 @@ def temporal_kfold(
     return used.select(key, "_r.fold", "_r.role")
 
 
+MERGED_ROWS = 100_000  # rows that one task may merge
+
+
 def sample_n(df: DataFrame, n: int, seed: int = 42, key: str = "review_id") -> DataFrame:
-    """``n`` rows without replacement: the smallest keyed hashes (top-k per task, then a merge)."""
-    order = keyed_md5(seed, F.col(key))
-    return df.withColumn("_h", order).orderBy("_h", key).limit(n).drop("_h")
+    """``n`` rows without replacement: those with the smallest keyed hashes.
+
+    Up to :data:`MERGED_ROWS` this is a top-k per task and a merge. More rows are cut off by position in a global sort
+    of the rows below a hash that slightly more than ``n`` rows lie under.
+    """
+    hashed = df.withColumn("_h", keyed_md5(seed, F.col(key)))
+    if n <= MERGED_ROWS:
+        return hashed.orderBy("_h", key).limit(n).drop("_h")
+    total = df.count()
+    if n >= total:
+        return df
+    slack = n + 10 * math.sqrt(n)  # ten deviations: fewer rows below the hash don't happen
+    below = format(min((1 << 60) - 1, int(slack / total * (1 << 60))), "015x")
+    placed = global_row_number(hashed.filter(F.substring("_h", 1, 15) <= below), ["_h", key], "_place")
+    return placed.filter(F.col("_place") < n).drop("_h", "_place")
 
 
 def oversample_minority(

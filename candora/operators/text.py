@@ -4,28 +4,30 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import PCA, PCAModel, StandardScaler, StandardScalerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from candora.functions.text import ngrams, tokens
 from candora.plans.ordering import global_row_number, running_totals
-from candora.plans.storage import freeze, spread_few_files
+from candora.plans.skew import spread_join
+from candora.plans.storage import freeze
 
 Encoder = Callable[[list[str]], np.ndarray]
 
 
 def tokenize_words(df: DataFrame, column: str = "text", out: str = "tokens") -> DataFrame:
     """Add the array of lower-cased, accent-free tokens of two or more word characters."""
-    return spread_few_files(df, "review_id").withColumn(out, tokens(F.col(column)))
+    return df.withColumn(out, tokens(F.col(column)))
 
 
 def word_ngrams(df: DataFrame, low: int = 1, high: int = 2, column: str = "text") -> DataFrame:
@@ -34,19 +36,74 @@ def word_ngrams(df: DataFrame, low: int = 1, high: int = 2, column: str = "text"
     return tokenized.withColumn("terms", ngrams(F.col("_tokens"), low, high)).drop("_tokens")
 
 
+TEXTS_PER_STEP = 500  # texts whose terms are counted at a time
+
+
+@dataclass
+class _Counts:
+    """Distinct terms of some texts: row and frequency of each, ordered by row; names on demand."""
+
+    row: np.ndarray
+    tf: np.ndarray
+    term: pa.Array
+
+
+def _count_terms(tokenized: pa.Array, low: int, high: int) -> _Counts:
+    """Count the n-grams of every token array, whole arrays at a time."""
+    lengths = pc.fill_null(pc.list_value_length(tokenized), 0).to_numpy(zero_copy_only=False)
+    words = pc.dictionary_encode(tokenized.flatten())
+    code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    rows, counts, terms = [], [], []
+    gram, names = code, words.dictionary
+    for n in range(1, high + 1):
+        if n > 1:
+            ends = max(0, len(gram) - 1)
+            same = row[:ends] == row[n - 1 :][:ends]
+            # a gram with a negative number crosses the end of a text
+            pair = gram[:-1] * (len(words.dictionary) + 1) + code[n - 1 :][:ends]
+            pair = np.where(same & (gram[:-1] >= 0), pair, -1)
+            distinct, inverse = np.unique(pair, return_inverse=True)
+            inside = distinct >= 0
+            first, last = (pa.array(x[inside]) for x in np.divmod(distinct, len(words.dictionary) + 1))
+            names = pc.binary_join_element_wise(names.take(first), words.dictionary.take(last), " ")
+            gram = inverse - int((~inside).sum())
+        if n < low:
+            continue
+        taken = np.flatnonzero(gram >= 0)
+        key, tf = np.unique(row[taken] * max(1, len(names)) + gram[taken], return_counts=True)
+        r, g = np.divmod(key, max(1, len(names)))
+        rows.append(r)
+        counts.append(tf)
+        terms.append(names.take(pa.array(g)))
+    r = np.concatenate(rows)
+    order = np.argsort(r, kind="stable")
+    return _Counts(r[order], np.concatenate(counts)[order], pa.concat_arrays(terms).take(pa.array(order)))
+
+
+def _counted_steps(batches: Iterator[pa.RecordBatch], low: int, high: int) -> Iterator[tuple[pa.RecordBatch, _Counts]]:
+    """Arrow batches with a last column of tokens, cut to steps, and their counts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS_PER_STEP):
+            step = batch.slice(at, TEXTS_PER_STEP)
+            yield step, _count_terms(step.column(step.num_columns - 1), low, high)
+
+
+def _tokenized(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    return df.select(*keep, tokens(F.col("text")).alias("_tokens"))
+
+
 def term_counts(df: DataFrame, low: int = 1, high: int = 2) -> DataFrame:
-    """``(review_id, term, tf)``.
+    """``(review_id, term, tf)``. A text's terms are counted where the text is: nothing is shuffled."""
 
-    Token arrays are shuffled once by id, before they are exploded into terms; counting per (id, term) and
-    the later per-id norm reuse that partitioning. (``explode_outer`` keeps the optimizer from copying the
-    whole tokenizer into a non-empty-array filter below the shuffle.)
-    """
-    slim = spread_few_files(df.select("review_id", "text"), "review_id")
-    slim = slim.select("review_id", tokens(F.col("text")).alias("tokens"))
-    placed = slim.repartition("review_id").withColumn("terms", ngrams(F.col("tokens"), low, high))
-    exploded = placed.select("review_id", F.explode_outer("terms").alias("term"))
-    counted = exploded.filter(F.col("term").isNotNull()).groupBy("review_id", "term")
-    return counted.agg(F.count(F.lit(1)).alias("tf"))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step, found in _counted_steps(batches, low, high):
+            yield pa.RecordBatch.from_arrays(
+                [step.column(0).take(pa.array(found.row)), found.term, pa.array(found.tf, pa.int64())], ["review_id", "term", "tf"]
+            )
+
+    kind = df.schema["review_id"].dataType.simpleString()
+    return _tokenized(df, ["review_id"]).mapInArrow(work, f"review_id {kind}, term string, tf bigint")
 
 
 def build_vocabulary(
@@ -97,13 +154,52 @@ def tfidf_fit(
 BROADCAST_TERMS = 1_000_000  # largest vocabulary that is broadcast
 
 
+def _weighted_steps(model: TfidfModel, low: int, high: int):
+    """Function over Arrow batches that yields each step with row, vocabulary place and weight of its terms.
+
+    Needs a vocabulary small enough to broadcast: at most :data:`BROADCAST_TERMS` terms.
+    """
+    known = model.vocabulary.select("term", "idf", "index").orderBy("index").toArrow().combine_chunks()
+    shared = model.vocabulary.sparkSession.sparkContext.broadcast(known)
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        table = shared.value
+        names = table.column("term").combine_chunks()
+        idf, index = (table.column(c).to_numpy() for c in ("idf", "index"))
+        for step, found in _counted_steps(batches, low, high):
+            place = pc.fill_null(pc.index_in(found.term, value_set=names), -1).to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(place >= 0)
+            at = at[np.lexsort((index[place[at]], found.row[at]))]
+            row, place = found.row[at], place[at]
+            weight = (1.0 + np.log(found.tf[at])) * idf[place]
+            norm = np.sqrt(np.bincount(row, weights=weight * weight, minlength=step.num_rows))
+            yield step, row, found.term.take(pa.array(at)), index[place], weight / norm[row]
+
+    return steps
+
+
 def tfidf_transform(df: DataFrame, model: TfidfModel, low: int = 1, high: int = 2) -> DataFrame:
-    """Long ``(review_id, term, index, weight)``: sublinear tf times idf, rows scaled to unit length."""
-    vocabulary = model.vocabulary.select("term", "idf", "index")
+    """Long ``(review_id, term, index, weight)``: sublinear tf times idf, rows scaled to unit length.
+
+    A vocabulary of up to :data:`BROADCAST_TERMS` terms is broadcast and texts are weighted where they are. Beyond, the
+    counts are joined with it, frequent terms spread over several tasks.
+    """
+    kind = df.schema["review_id"].dataType.simpleString()
     if model.size <= BROADCAST_TERMS:
-        vocabulary = F.broadcast(vocabulary)
-    counted = term_counts(df, low, high)
-    weighted = counted.join(vocabulary, "term").withColumn(
+        steps = _weighted_steps(model, low, high)
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for step, row, term, index, weight in steps(batches):
+                ids = step.column(0).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays(
+                    [ids, term, pa.array(index, pa.int32()), pa.array(weight)], ["review_id", "term", "index", "weight"]
+                )
+
+        schema = f"review_id {kind}, term string, index int, weight double"
+        return _tokenized(df, ["review_id"]).mapInArrow(work, schema)
+    vocabulary = model.vocabulary.select("term", "idf", "index", F.col("df").alias("_rows"))
+    joined = spread_join(term_counts(df, low, high), vocabulary, ["term"], "_rows", spread_by=["review_id"])
+    weighted = joined.filter(F.col("idf").isNotNull()).withColumn(
         "weight", (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")
     )
     norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("review_id")))
@@ -112,20 +208,44 @@ def tfidf_transform(df: DataFrame, model: TfidfModel, low: int = 1, high: int =
 
 def tfidf_vectors(df: DataFrame, model: TfidfModel, keep: tuple[str, ...] = ("label",)) -> DataFrame:
     """One sparse vector ``features`` per text; a text without vocabulary terms gets the zero vector."""
-    weights = tfidf_transform(df, model)
-    entries = weights.groupBy("review_id").agg(
-        F.sort_array(F.collect_list(F.struct("index", "weight"))).alias("entries")
-    )
-    joined = df.select("review_id", *keep).join(entries, "review_id", "left")
-    return joined.select("review_id", *keep, _sparse(model.size)("entries").alias("features"))
+    size = model.size
+    if size > BROADCAST_TERMS:
+        entries = tfidf_transform(df, model).groupBy("review_id").agg(
+            F.sort_array(F.collect_list(F.struct("index", "weight"))).alias("_e")
+        )
+        joined = df.select("review_id", *keep).join(entries, "review_id", "left")
+        empty = F.array().cast("array<int>"), F.array().cast("array<double>")
+        parts = joined.select(
+            "review_id", *keep, F.coalesce(F.col("_e.index"), empty[0]).alias("_i"), F.coalesce(F.col("_e.weight"), empty[1]).alias("_w")
+        )
+    else:
+        steps = _weighted_steps(model, 1, 2)
+        columns = ["review_id", *keep]
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for step, row, _, index, weight in steps(batches):
+                first = pa.array(np.searchsorted(row, np.arange(step.num_rows + 1)).astype(np.int32))
+                lists = [
+                    pa.ListArray.from_arrays(first, pa.array(index, pa.int32())),
+                    pa.ListArray.from_arrays(first, pa.array(weight)),
+                ]
+                yield pa.RecordBatch.from_arrays([*step.columns[:-1], *lists], [*columns, "_i", "_w"])
+
+        kept = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
+        parts = _tokenized(df, columns).mapInArrow(work, f"{kept}, _i array<int>, _w array<double>")
+    return parts.select("review_id", *keep, _sparse(size)("_i", "_w").alias("features"))
 
 
 def _sparse(size: int):
-    @F.udf(VectorUDT(), useArrow=True)
-    def build(entries):
-        if not entries:
-            return SparseVector(size, [], [])
-        return SparseVector(size, [e["index"] for e in entries], [e["weight"] for e in entries])
+    """Arrow columns of places and weights as a column of sparse vectors, without touching single rows."""
+
+    @F.arrow_udf(VectorUDT())
+    def build(index: pa.Array, weight: pa.Array) -> pa.Array:
+        rows = len(index)
+        return pa.StructArray.from_arrays(
+            [pa.array(np.zeros(rows, np.int8)), pa.array(np.full(rows, size, np.int32)), index, weight],
+            ["type", "size", "indices", "values"],
+        )
 
     return build
 
@@ -140,20 +260,29 @@ def hashed_embedding(weights: DataFrame, dim: int = 64) -> DataFrame:
 
 
 def hashing_encoder(dim: int = 64) -> Encoder:
-    """Default encoder: signed, log-scaled counts of hashed tokens, scaled to unit length."""
+    """Default encoder: signed, log-scaled counts of hashed words, scaled to unit length.
+
+    Words are those of :func:`tokenize_words` but for accents, which are kept: an encoder sees plain texts.
+    """
 
     def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim))
-        for row, text in enumerate(texts):
-            for token, count in Counter(re.findall(r"\w\w+", text.lower())).items():
-                code = zlib.crc32(token.encode())
-                out[row, (code >> 1) % dim] += (1.0 if code & 1 else -1.0) * (1.0 + np.log(count))
+        found = pa.array([_WORD.findall(text.lower()) for text in texts], pa.list_(pa.string()))
+        counts = _count_terms(found, 1, 1)
+        names = counts.term.dictionary_encode()
+        code = np.array([zlib.crc32(w.encode()) for w in names.dictionary.to_pylist()], np.int64).reshape(-1)
+        own = code[names.indices.to_numpy(zero_copy_only=False)] if len(code) else np.zeros(0, np.int64)
+        value = np.where(own & 1, 1.0, -1.0) * (1.0 + np.log(counts.tf))
+        cell = counts.row * dim + (own >> 1) % dim
+        out = np.bincount(cell, weights=value, minlength=len(texts) * dim).reshape(len(texts), dim)
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norms == 0, 1.0, norms)
 
     return encode
 
 
+_WORD = re.compile(r"\w\w+")
+
+
 def text_embedding(
     df: DataFrame,
     encoder: Encoder | Callable[[], Encoder],
@@ -182,8 +311,7 @@ def text_embedding(
                 frame["features"] = pd.Series([], dtype=object)
             yield frame
 
-    slim = spread_few_files(df.select("review_id", *keep, "text"), "review_id")
-    return slim.mapInPandas(run, schema=f"{columns}, features array<double>")
+    return df.select("review_id", *keep, "text").mapInPandas(run, schema=f"{columns}, features array<double>")
 
 
 @dataclass

@@ -29,14 +29,20 @@ def _stack(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def score_folds(df: DataFrame, folds: DataFrame, fit: Fit, keep: Sequence[str] = ()) -> DataFrame:
-    """Scored test rows of every fold; ``folds`` holds ``(review_id, fold, role)``."""
+    """Scored test rows of every fold; ``folds`` holds ``(review_id, fold, role)``.
+
+    A row's roles become one column by a single join; each fold then filters the stored rows.
+    """
     folds = freeze(folds)
     numbers = [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]
+    roles = folds.groupBy("review_id").agg(  # as many entries as folds
+        F.map_from_entries(F.collect_list(F.struct("fold", "role"))).alias("_roles")
+    )
+    rows = freeze(df.join(roles, "review_id"))
     parts = []
     for number in numbers:
-        roles = folds.filter(F.col("fold") == number)
-        train = df.join(roles.filter(F.col("role") == "train").select("review_id"), "review_id")
-        test = df.join(roles.filter(F.col("role") == "test").select("review_id"), "review_id")
+        role = F.col("_roles")[number]
+        train, test = (rows.filter(role == name).drop("_roles") for name in ("train", "test"))
         parts.append(fit(train)(test).select(*SCORED, *keep, F.lit(number).alias("fold")))
     return _stack(parts)
 
@@ -71,6 +77,17 @@ def cross_validate(df: DataFrame, folds: DataFrame, fit: Fit) -> CrossValidation
     return CrossValidation(freeze(score_folds(df, folds, fit)))
 
 
+def score_all(train: DataFrame, test: DataFrame, learners: Mapping[str, Fit]) -> DataFrame:
+    """Every learner fitted on ``train``: scored ``test`` rows as ``(model, review_id, label, pred, prob)``."""
+    parts = [fit(train)(test).select(*SCORED, F.lit(name).alias("model")) for name, fit in learners.items()]
+    return freeze(_stack(parts))
+
+
+def compared(scored: DataFrame) -> DataFrame:
+    """Long ``(model, section, metric, value)`` of scored rows, one grouped job for all models."""
+    return to_long(all_metrics(scored, ["model"]), ["model"]).withColumn("section", F.lit("in_domain"))
+
+
 def ablation(
     train: DataFrame, test: DataFrame, slices: Mapping[str, tuple[int, int]], fit: Fit, full: str,
     column: str = "features",

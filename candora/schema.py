@@ -1,5 +1,6 @@
 """Canonical review schema and feature names."""
 
+# Canonical review columns, in order.
 REVIEW_COLUMNS = [
     "review_id", "user_id", "product_id", "rating", "text", "label", "date", "dataset",
 ]

@@ -65,7 +65,7 @@ def main(folder, names):
     from candora.catalog import ORACLES, QUERIES
 
     spark = (
-        SparkSession.builder.master("local[8]")
+        SparkSession.builder.master(os.environ.get("ORACLE_MASTER", "local[8]"))
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
