@@ -40,42 +40,52 @@ def _letters() -> np.ndarray:
     return _TABLES[0]
 
 
-def _features(codes: np.ndarray) -> tuple[np.ndarray, bool]:
-    """Feature of every n-gram of a piece of text, and whether it holds a letter."""
+def _signs(text: str) -> np.ndarray:
+    """Lower-case letters as code points, 0 for anything else."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     sign = _letters()[np.minimum(codes, 0xFFFF)]
     wide = codes > 0xFFFF
     if wide.any():
         alpha = {int(c): ord(chr(c).lower()[0]) for c in np.unique(codes[wide]) if chr(c).isalpha()}
         sign[wide] = [alpha.get(int(c), 0) for c in codes[wide]]
-    if not sign.any():
-        return np.zeros(0, np.int64), False
-    blank = sign == 0
-    sign = np.concatenate([[np.uint32(0)], sign[~(blank & np.r_[True, blank[:-1]])], [np.uint32(0)]]).astype(np.uint64)
+    return sign
+
+
+def _features(sign: np.ndarray, seen: int) -> np.ndarray:
+    """Feature of every n-gram that ends at or after place ``seen``."""
+    sign = sign.astype(np.uint64)
     parts = []
     for n in (1, 2, 3):
-        if len(sign) < n:
+        first = max(0, seen - n + 1)
+        rows = len(sign) - n + 1 - first
+        if rows <= 0:
             continue
-        rows = len(sign) - n + 1
         total = np.full(rows, n, np.uint64)
         for k in range(n):
-            total = (total + sign[k : k + rows]) * np.uint64(0x9E3779B97F4A7C15)
+            total = (total + sign[first + k : first + k + rows]) * np.uint64(0x9E3779B97F4A7C15)
         total = (total ^ (total >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         code = (total >> np.uint64(48)).astype(np.int64)
-        parts.append(code[sign != 0] if n == 1 else code)
-    return np.concatenate(parts), True
+        parts.append(code[sign[first : first + rows] != 0] if n == 1 else code)
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 def text_counts(text: str) -> np.ndarray | None:
     """Number of occurrences of each feature in a whole text; None if it has no letter."""
     total = None
-    for low in range(0, len(text), PIECE):
-        # pieces share two characters, so that no n-gram at a cut is lost
-        piece = text[max(0, low - 2) : low + PIECE]
-        found, letters = _features(np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32))
-        if letters:
-            counts = np.bincount(found, minlength=BUCKETS)
+    tail, letters = np.zeros(1, np.uint32), False
+    for low in range(0, len(text) + 1, PIECE):
+        sign = _signs(text[low : low + PIECE])
+        if low + PIECE > len(text):
+            sign = np.append(sign, np.uint32(0))  # what follows the last letter
+        # one boundary sign between letters, also across pieces
+        sign = sign[~((sign == 0) & (np.r_[tail[-1:], sign[:-1]] == 0))]
+        letters = letters or bool(sign.any())
+        joined = np.concatenate([tail, sign])
+        if len(sign):
+            counts = np.bincount(_features(joined, len(tail)), minlength=BUCKETS)
             total = counts if total is None else total + counts
-    return total
+        tail = joined[-2:]
+    return total if letters else None
 
 
 @dataclass

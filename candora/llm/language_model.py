@@ -1,18 +1,20 @@
-"""Bigram language model as a weighted backoff automaton, learned from and applied to whole corpora.
+"""Trigram language model as a weighted backoff automaton, learned from and applied to whole corpora.
 
-States are the words seen in training and the beginning of a text. State h has an arc for every word w seen after it,
-with weight ``(c(h w) + m p(w)) / (c(h) + m)``, and one failure arc to the root with weight ``m / (c(h) + m)``; the
-root's arcs carry the discounted unigram probabilities p. Weights out of a state sum to one. A text is read once from
-left to right: from the present state the arc of the next word is taken, or the failure arc and then the root's arc,
-and the logarithms add up. A word unknown in training leads back to the root.
+States are the beginning of a text and the words and word pairs seen in training. A state h has an arc for every word w
+seen after it, with weight ``(c(h w) + m p(w)) / (c(h) + m)``, where p belongs to the state without h's first word, and a
+failure arc to that state with weight ``m / (c(h) + m)``. The root's arcs carry add-one unigram probabilities, one of
+them for the unknown word. Weights out of a state sum to one. A text is read once from left to right: from the present
+state the arc of the next word is taken, or failure arcs down to a state that has one, and the logarithms add up. A word
+unknown in training leads back to the root.
 
 The automaton of a large corpus fits no machine, so each task gets the part its texts can reach. Texts are cut into
-chunks. A chunk asks for the counts of its distinct words and bigrams, in one packed request per range of the hash
+chunks. A chunk asks for the counts of its distinct words, pairs and triples, in packed requests per range of the hash
 space; each range adds up the counts of all chunks and answers every request in the order of its keys. Work, shuffled
 bytes and answers grow with the input; no task holds more than a chunk or a range, whatever the word frequencies.
 
-The smoothing weight m is the one under which training texts set aside for this (one in seven) are likeliest when their
-own counts are taken out. All candidates are scored in the same traversal.
+The smoothing weight is ``m = a c(h) ** b`` with a and b for pairs and triples from :data:`SMOOTHING`: the choice under
+which training texts set aside for this (one in seven) are likeliest when their own counts are taken out. All choices
+are scored in the same traversal.
 """
 
 from __future__ import annotations
@@ -27,13 +29,14 @@ from pyspark.sql import functions as F
 
 from candora.llm import tokens
 from candora.llm.packing import pack, pack_keys, range_bounds, unpack, unpack_keys
-from candora.llm.shared import stored
+from candora.llm.shared import stored, stored_chunks
 
 CHUNK_TOKENS = 1 << 21
-RANGE_KEYS = 1 << 21  # keys that one range of the hash space adds up
-MASSES = [float(4**k) for k in range(10)]  # candidates of m
+RANGE_TOKENS = 1 << 20  # tokens of the corpus per range of the hash space
+# a and b of words, then of pairs: from texts that mostly repeat one another to texts that never do
+SMOOTHING = [(1, 0.9, 0.25, 1), (4, 0.75, 1, 0.75), (4, 0.9, 1, 0.5), (4, 0.9, 1, 1), (16, 0.9, 4, 1), (64, 1, 16, 1)]
 END, BEGIN = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
-BIGRAM = np.uint64(0x3C6EF372FE94F82B)
+PAIR, TRIPLE = np.uint64(0x3C6EF372FE94F82B), np.uint64(0xA54FF53A5F1D36F1)
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
@@ -84,8 +87,23 @@ def _chunks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(work, schema)
 
 
+def _numbered(values: np.ndarray, first: np.ndarray, last: np.ndarray, salt: np.uint64):
+    """Distinct values by hash: sorted hashes, and for every value its place among them. ``first`` and ``last`` hold the
+    hashes of a value's parts."""
+    _, at, inverse = np.unique(values, return_index=True, return_inverse=True)
+    keys = tokens.mix(first[at] * salt + tokens.mix(last[at]))
+    order = np.argsort(keys, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return keys[order], place[inverse]
+
+
 class Chunk:
-    """Decoded chunk: tokens, the state before each of them, and the distinct words and bigrams by hash."""
+    """Decoded chunk: its tokens, the words, pairs and triples that end at each of them, and their hashes.
+
+    A pair is a token and what stands before it, the beginning of a text included; a triple is a token and the pair
+    that ends before it (-1 for the first token of a text).
+    """
 
     def __init__(self, held, lengths, codes: bytes, words: bytes):
         self.lengths = np.asarray(lengths, np.int64)
@@ -93,26 +111,27 @@ class Chunk:
         self.words = unpack_keys(words)
         self.held = np.asarray(held, bool)
         self.start = np.cumsum(self.lengths) - self.lengths
-        before = np.empty(len(self.code), np.int64)
-        before[1:] = self.code[:-1]
-        before[self.start] = len(self.words)  # the beginning of a text
-        self.before = before
-        states = np.append(self.words, BEGIN)
-        pair = before * len(self.words) + self.code
-        own, inverse = np.unique(pair, return_inverse=True)
-        keys = tokens.mix(states[own // max(1, len(self.words))] * BIGRAM + tokens.mix(self.words[own % max(1, len(self.words))]))
-        order = np.argsort(keys, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.bigrams, self.pair = keys[order], place[inverse]
+        self.before = np.empty(len(self.code), np.int64)
+        self.before[1:] = self.code[:-1]
+        self.before[self.start] = len(self.words)  # the beginning of a text
+        states, token = np.append(self.words, BEGIN), self.words[self.code]
+        size = max(1, len(self.words))
+        self.pairs, self.pair = _numbered(self.before * size + self.code, states[self.before], token, PAIR)
+        inner = np.ones(len(self.code), bool)
+        inner[self.start] = False
+        self.inner = np.flatnonzero(inner)
+        context = self.pair[self.inner - 1]
+        values = context * size + self.code[self.inner]
+        self.triples, self.triple = _numbered(values, self.pairs[context], token[self.inner], TRIPLE)
         self.taught = ~np.repeat(self.held, self.lengths)
 
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Occurrences of the distinct words and bigrams in training texts of the chunk."""
-        return (
-            np.bincount(self.code[self.taught], minlength=len(self.words)),
-            np.bincount(self.pair[self.taught], minlength=len(self.bigrams)),
-        )
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.words, self.pairs, self.triples
+
+    def counts(self) -> list[np.ndarray]:
+        """Occurrences of the distinct words, pairs and triples in training texts of the chunk."""
+        taught = (self.code[self.taught], self.pair[self.taught], self.triple[self.taught[self.inner]])
+        return [np.bincount(x, minlength=len(k)) for x, k in zip(taught, self.keys(), strict=True)]
 
 
 def _requests(chunks: DataFrame, ranges: int) -> DataFrame:
@@ -123,7 +142,7 @@ def _requests(chunks: DataFrame, ranges: int) -> DataFrame:
                 name, held, lengths, codes, words = (batch.column(k)[row].as_py() for k in range(5))
                 chunk = Chunk(held, lengths, codes, words)
                 out = []
-                for kind, keys, counts in zip((0, 1), (chunk.words, chunk.bigrams), chunk.counts(), strict=True):
+                for kind, (keys, counts) in enumerate(zip(chunk.keys(), chunk.counts(), strict=True)):
                     cut = np.r_[0, np.searchsorted(keys, bounds), len(keys)]
                     for r in range(ranges):
                         if cut[r] < cut[r + 1]:
@@ -140,10 +159,10 @@ def _requests(chunks: DataFrame, ranges: int) -> DataFrame:
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """Add up the counts of a range; answer each request, and report the words' numbers (``_kind`` 2)."""
-    out, stats = [], [0, 0, 0, 0]
+    """Add up the counts of a range; answer each request, and report the words' numbers (``_kind`` 3)."""
+    out, stats = [], [0, 0]
     ranged = table.column("_range")[0].as_py() if table.num_rows else 0
-    for kind in (0, 1):
+    for kind in (0, 1, 2):
         rows = [r for r in table.to_pylist() if r["_kind"] == kind]
         if not rows:
             continue
@@ -157,55 +176,65 @@ def _answer(table: pa.Table) -> pa.Table:
             out.append((ranged, kind, r["_chunk"], pack(answers[at : at + len(k)])))
             at += len(k)
         if kind == 0:
-            stats = [int(total.sum()), int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum())]
-    out.append((ranged, 2, None, np.array(stats, np.int64).tobytes()))
+            stats = [int(total.sum()), int((total > 0).sum())]
+    out.append((ranged, 3, None, np.array(stats, np.int64).tobytes()))
     kinds = [pa.int32(), pa.int32(), pa.string(), pa.binary()]
     return pa.Table.from_arrays(
         [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["_range", "_kind", "_chunk", "_answer"]
     )
 
 
-def unigrams(count: np.ndarray, total: float, distinct: float, discount: float) -> np.ndarray:
-    """Discounted probability of words with these training counts; what is taken off is shared evenly by all words seen
-    and one that stands for the unknown."""
-    if np.isscalar(total) and total <= 0:
-        return np.full(len(count), 1.0 / (distinct + 1))
-    return np.maximum(count - discount, 0) / total + discount * distinct / total / (distinct + 1)
-
-
-def traverse(chunk: Chunk, word_counts: np.ndarray, pair_counts: np.ndarray, texts: float, stats: dict, tune: np.ndarray):
-    """Per text: known tokens, base score, score under each mass, and score with its own counts taken out (tuning)."""
-    total, distinct, discount = stats["total"], stats["distinct"], stats["discount"]
-    count = word_counts[chunk.code].astype(float)
-    states = np.append(word_counts, texts).astype(float)  # every training token has a successor
-    context, pair = states[chunk.before], pair_counts[chunk.pair].astype(float)
-    add = lambda x: np.add.reduceat(x, chunk.start) if len(chunk.start) else np.zeros(0)
-    known = add((count > 0).astype(np.int64))
-    base = add(np.log10((count + 1) / (total + (distinct + 1))))
-    p = unigrams(count, total, distinct, discount)
-    # arc where there is one, else the failure arc and the root's arc: with c(h w) = 0 the two weights are the same
-    scores = np.stack([add(np.log10((pair + m * p) / (context + m))) for m in MASSES], 1)
+def traverse(chunk: Chunk, counts: list[np.ndarray], texts: float, total: float, distinct: float, tune: np.ndarray):
+    """Per text: known tokens, base score, score under each smoothing, and score with its own counts taken out (tuning).
+
+    ``counts`` are those of the whole corpus for the chunk's words, pairs and triples; ``texts``, ``total`` and
+    ``distinct`` the training texts, tokens and words.
+    """
+    add = lambda x, at: np.add.reduceat(x, at) if len(at) else np.zeros(0)
+    word, pair = counts[0][chunk.code].astype(float), counts[1][chunk.pair].astype(float)
+    triple, around = np.zeros(len(word)), np.zeros(len(word))
+    triple[chunk.inner], around[chunk.inner] = counts[2][chunk.triple], pair[chunk.inner - 1]
+    context = np.append(counts[0], texts).astype(float)[chunk.before]  # every training token has a successor
+
+    def logs(w, p, h, t, g, n) -> Iterator[np.ndarray]:
+        unigram = (w + 1) / (n + (distinct + 1))
+        for a, b, a3, b3 in SMOOTHING:
+            # where there is no arc its count is 0, and what remains is the failure arc's weight and the arc below it
+            m = a * np.maximum(h, 1) ** b
+            below = (p + m * unigram) / (h + m)
+            m = a3 * np.maximum(g, 1) ** b3
+            yield np.log10((t + m * below) / (g + m))
+
+    known = add((word > 0).astype(np.int64), chunk.start)
+    base = add(np.log10((word + 1) / (total + (distinct + 1))), chunk.start)
+    scores = np.stack([add(x, chunk.start) for x in logs(word, pair, context, triple, around, total)], 1)
     without = np.zeros_like(scores)
-    mine = np.flatnonzero(tune & ~chunk.held)
-    if len(mine):
-        pick = np.zeros(len(chunk.lengths), bool)
-        pick[mine] = True
+    pick = tune & ~chunk.held
+    if pick.any():
         chosen = np.repeat(pick, chunk.lengths)
-        text = np.repeat(np.arange(len(chunk.lengths)), chunk.lengths)[chosen]
+        text = np.repeat(np.arange(len(chunk.lengths)), chunk.lengths)
 
-        def own(values: np.ndarray, size: int) -> np.ndarray:
-            _, inverse, n = np.unique(text * size + values, return_inverse=True, return_counts=True)
+        def own(values: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+            _, inverse, n = np.unique(rows * (size + 1) + values, return_inverse=True, return_counts=True)
             return n[inverse].astype(float)
 
         size = len(chunk.words) + 1
-        n_word, n_pair = own(chunk.code[chosen], size), own(chunk.pair[chosen], len(chunk.bigrams))
-        n_before = own(chunk.before[chosen], size)
-        rest = np.maximum(total - chunk.lengths[text], 1.0)
-        p = unigrams(count[chosen] - n_word, rest, distinct, discount)
-        starts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
-        c, h = pair[chosen] - n_pair, context[chosen] - n_before
-        for k, m in enumerate(MASSES):
-            without[text[starts], k] = np.add.reduceat(np.log10((c + m * p) / (h + m)), starts)
+        rows, inner = text[chosen], chosen[chunk.inner]
+        own_word, own_pair = own(chunk.code[chosen], rows, size), own(chunk.pair[chosen], rows, len(chunk.pairs))
+        own_before = own(chunk.before[chosen], rows, size)
+        own_triple, own_around = np.zeros(len(word)), np.zeros(len(word))
+        at = chunk.inner[inner]
+        own_triple[at] = own(chunk.triple[inner], text[at], len(chunk.triples))
+        spread = np.zeros(len(word))
+        spread[chosen] = own_pair
+        own_around[at] = spread[at - 1]
+        starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+        rest = np.maximum(total - chunk.lengths[rows], 1.0)
+        left = (
+            word[chosen] - own_word, pair[chosen] - own_pair, context[chosen] - own_before,
+            triple[chosen] - own_triple[chosen], around[chosen] - own_around[chosen], rest,
+        )
+        without[rows[starts]] = np.stack([add(x, starts) for x in logs(*left)], 1)
     return known, base, scores, without
 
 
@@ -214,25 +243,23 @@ def score_texts(docs: DataFrame, held_out, tuning, id_col: str = "doc_id", text_
 
     ``held_out`` and ``tuning`` are boolean columns of ``docs``; null counts as false. Columns: the id, ``held_out``,
     ``n_tokens`` (words and one end), ``n_known``, ``train_tokens``, ``base_score`` (add-one unigrams), ``score`` and
-    ``mass`` (the smoothing weight chosen). A-Z is lower-cased. Null and empty texts are a lone end. Without training
+    ``smoothing`` (place in :data:`SMOOTHING`). A-Z is lower-cased. Null and empty texts are a lone end. Without training
     texts every token has the probability of the one unknown word. Repeated ids and rows are texts of their own.
     """
     rows = docs.select(
         F.col(id_col).alias("_id"), F.coalesce(held_out, F.lit(False)).alias("_held"), F.coalesce(tuning, F.lit(False)).alias("_tune"),
         F.col(text_col).cast("string").alias("_text"),
     )
-    chunks = stored(_chunks(rows), "chunks")
+    chunks = stored_chunks(_chunks(rows), "chunks")
     size = chunks.agg(F.sum("_size").alias("n")).collect()[0]["n"] or 0
     texts = chunks.agg(F.sum(F.size(F.filter("_held", lambda x: ~x))).alias("n")).collect()[0]["n"] or 0
-    ranges = int(max(4, -(-size // RANGE_KEYS)))
+    ranges = int(max(4, -(-size // RANGE_TOKENS)))
     answers = _requests(chunks, ranges).groupBy("_range").applyInArrow(_answer, "_range int, _kind int, _chunk string, _answer binary")
     answers = stored(answers, "answers")
-    # one small row per range
-    summed = [0, 0, 0, 0]
-    for row in answers.filter("_kind = 2").select("_answer").toLocalIterator():
-        summed = [a + int(b) for a, b in zip(summed, np.frombuffer(row["_answer"], np.int64), strict=True)]
-    total, distinct, once, twice = summed
-    stats = {"total": float(total), "distinct": float(distinct), "discount": once / (once + 2 * twice) if once and twice else 0.5}
+    total = distinct = 0
+    for row in answers.filter("_kind = 3").select("_answer").toLocalIterator():  # one small row per range
+        numbers = np.frombuffer(row["_answer"], np.int64)
+        total, distinct = total + int(numbers[0]), distinct + int(numbers[1])
     kind = docs.schema[id_col].dataType.simpleString()
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -242,28 +269,29 @@ def score_texts(docs: DataFrame, held_out, tuning, id_col: str = "doc_id", text_
         ids = left.column("_ids").combine_chunks().flatten()
         chunk = Chunk(row["_held"], row["_lengths"], row["_codes"], row["_words"])
         order = right.select(["_kind", "_range", "_answer"]).sort_by([("_kind", "ascending"), ("_range", "ascending")])
+        none = np.zeros(0, np.uint64)  # texts of a lone end have no triple
         found = [
-            np.concatenate([unpack(a) for k, a in zip(order.column(0).to_pylist(), order.column(2).to_pylist(), strict=True) if k == kind])
-            for kind in (0, 1)
+            np.concatenate([none, *(unpack(a) for k, a in zip(order.column(0).to_pylist(), order.column(2).to_pylist(), strict=True) if k == kind)])
+            for kind in (0, 1, 2)
         ]
-        known, base, scores, without = traverse(chunk, found[0], found[1], texts, stats, tune)
+        known, base, scores, without = traverse(chunk, found, texts, float(total), float(distinct), tune)
         lists = lambda x: pa.ListArray.from_arrays(
-            pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(MASSES)), pa.array(np.ascontiguousarray(x).reshape(-1))
+            pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(SMOOTHING)), pa.array(np.ascontiguousarray(x).reshape(-1))
         )
         return pa.Table.from_arrays(
             [ids, pa.array(chunk.held), pa.array(chunk.lengths), pa.array(known), pa.array(base), lists(scores), lists(without)], names
         )
 
     schema = f"_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, _scores array<double>, _without array<double>"
-    requests = answers.filter("_kind < 2").select("_chunk", "_kind", "_range", "_answer")
+    requests = answers.filter("_kind < 3").select("_chunk", "_kind", "_range", "_answer")
     scored = chunks.groupBy("_chunk").cogroup(requests.groupBy("_chunk")).applyInArrow(finish, schema)
     scored = stored(scored, "scored")
-    sums = scored.agg(*[F.sum(F.col("_without")[k]).alias(f"s{k}") for k in range(len(MASSES))]).collect()[0]
-    likelihood = [sums[f"s{k}"] or 0.0 for k in range(len(MASSES))]
-    best = int(np.argmax(likelihood)) if any(likelihood) else len(MASSES) // 2
+    sums = scored.agg(*[F.sum(F.col("_without")[k]).alias(f"s{k}") for k in range(len(SMOOTHING))]).collect()[0]
+    likelihood = [sums[f"s{k}"] or 0.0 for k in range(len(SMOOTHING))]
+    best = int(np.argmax(likelihood)) if any(likelihood) else 3
     return scored.select(
         F.col("_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score",
-        F.col("_scores")[best].alias("score"), F.lit(MASSES[best]).alias("mass"),
+        F.col("_scores")[best].alias("score"), F.lit(best).alias("smoothing"),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -19,10 +20,23 @@ BATCH_ROWS = 2000
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below ``spark.checkpoint.dir`` and read it back: computed once, safe from lost executors."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_chunks(rows: DataFrame, name: str) -> DataFrame:
+    """Write rows with a ``_chunk`` name, a few large ones per task, to a table bucketed by it below the shared folder.
+
+    Later steps group it by chunk together with small tables of findings, and only the findings are shuffled.
+    """
+    spark = rows.sparkSession
+    table = f"candora_{name}_{uuid.uuid4().hex}"
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    writer = rows.write.bucketBy(buckets, "_chunk").option("compression", "zstd")
+    writer.option("path", scratch_path(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
 def over_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
     """Apply ``work`` to each Arrow batch of ``df``; its input never holds more than :data:`BATCH_ROWS` rows."""
 

@@ -18,7 +18,6 @@ Texts are held as compressed chunks in a table bucketed by chunk, read again by
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +29,7 @@ from pyspark.sql import functions as F
 
 from candora.llm import tokens
 from candora.llm.packing import pack, pack_keys, range_bounds, unpack, unpack_keys
-from candora.llm.shared import attach, stored
-from candora.plans.storage import scratch_path
+from candora.llm.shared import attach, stored, stored_chunks
 
 WINDOW = 20
 ANCHOR = 6  # words of an anchor
@@ -176,7 +174,6 @@ def segments_of(found: tokens.Words, window: int, anchor: int) -> dict[str, np.n
 
 def _chunk_table(docs: DataFrame) -> DataFrame:
     """Texts as compressed chunks in a table bucketed by chunk below the shared folder."""
-    spark = docs.sparkSession
     kind = docs.schema["_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,10 +204,7 @@ def _chunk_table(docs: DataFrame) -> DataFrame:
             yield chunk()
 
     rows = docs.mapInArrow(work, f"_chunk string, _ids array<{kind}>, _sizes array<long>, _data binary, _bytes long")
-    name = f"candora_chunks_{uuid.uuid4().hex}"
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows.write.bucketBy(buckets, "_chunk").option("path", scratch_path(spark, "chunks")).saveAsTable(name)
-    return spark.table(name)
+    return stored_chunks(rows, "texts")
 
 
 class Chunk:

@@ -65,24 +65,31 @@ def remainder(i, n):
     return zlib.crc32(str(i).encode()) % n
 
 
-def language_model(docs, mass):
-    """Known tokens, base score and score of each text under a bigram automaton with smoothing weight ``mass``."""
-    streams = {i: [*words(t, lower=True), None] for i, t in docs}
+def language_model(docs, smoothing):
+    """Known tokens, base score and score of each text under a trigram automaton, arc by arc."""
+    a2, b2, a3, b3 = smoothing
+    streams = {i: [("w", w) for w in words(t, lower=True)] + ["</s>"] for i, t in docs}
     taught = [s for i, s in streams.items() if remainder(i, 7) != 2]
     c1 = Counter(w for s in taught for w in s)
-    c2 = Counter(p for s in taught for p in zip(["<s>"] + [("w", w) for w in s], s, strict=False))
+    c2 = Counter(p for s in taught for p in zip(["<s>", *s], s, strict=False))
+    c3 = Counter(p for s in taught for p in zip(["<s>", *s], s, s[1:], strict=False))
     n, v = sum(c1.values()), len(c1)
-    once, twice = (sum(1 for c in c1.values() if c == k) for k in (1, 2))
-    d = once / (once + 2 * twice) if once and twice else 0.5
+    seen = {**c1, "<s>": len(taught)}
     out = {}
     for i, s in streams.items():
         base = score = 0.0
-        state, total = "<s>", len(taught)
+        first, state = None, "<s>"
         for w in s:
             base += math.log10((c1[w] + 1) / (n + v + 1))
-            p = max(c1[w] - d, 0) / n + d * v / n / (v + 1)
-            arc = c2[(state, w)]
-            score += math.log10((arc + mass * p) / (total + mass)) if arc else math.log10(mass / (total + mass)) + math.log10(p)
-            state, total = ("w", w), c1[w]
+            p = (c1[w] + 1) / (n + v + 1)
+            h = seen.get(state, 0)
+            m = a2 * max(h, 1) ** b2
+            p = (c2[state, w] + m * p) / (h + m) if c2[state, w] else m / (h + m) * p
+            if first is not None:
+                h = c2[first, state]
+                m = a3 * max(h, 1) ** b3
+                p = (c3[first, state, w] + m * p) / (h + m) if c3[first, state, w] else m / (h + m) * p
+            score += math.log10(p)
+            first, state = state, w
         out[i] = (len(s), sum(1 for w in s if c1[w]), n, base, score)
     return out
