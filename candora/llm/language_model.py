@@ -28,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candora.llm import tokens
-from candora.llm.packing import pack, pack_keys, range_bounds, unpack, unpack_keys
+from candora.llm.packing import pack, pack_keys, range_slices, unpack, unpack_keys
 from candora.llm.shared import stored, stored_chunks
 
-CHUNK_TOKENS = 1 << 21
+CHUNK_TOKENS = 1 << 19
 RANGE_TOKENS = 1 << 20  # tokens of the corpus per range of the hash space
+GUARD_BITS = 24
 # a and b of words, then of pairs: from texts that mostly repeat one another to texts that never do
 SMOOTHING = [(1, 0.9, 0.25, 1), (4, 0.75, 1, 0.75), (4, 0.9, 1, 0.5), (4, 0.9, 1, 1), (16, 0.9, 4, 1), (64, 1, 16, 1)]
 END, BEGIN = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
@@ -87,11 +88,11 @@ def _chunks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(work, schema)
 
 
-def _numbered(values: np.ndarray, first: np.ndarray, last: np.ndarray, salt: np.uint64):
+def _numbered(values: np.ndarray, first: np.ndarray, last: np.ndarray, salt: np.uint64, spare: int):
     """Distinct values by hash: sorted hashes, and for every value its place among them. ``first`` and ``last`` hold the
     hashes of a value's parts."""
     _, at, inverse = np.unique(values, return_index=True, return_inverse=True)
-    keys = tokens.mix(first[at] * salt + tokens.mix(last[at]))
+    keys = tokens.mix(first[at] * salt + tokens.mix(last[at])) >> np.uint64(spare) << np.uint64(spare)
     order = np.argsort(keys, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
@@ -105,10 +106,10 @@ class Chunk:
     that ends before it (-1 for the first token of a text).
     """
 
-    def __init__(self, held, lengths, codes: bytes, words: bytes):
+    def __init__(self, held, lengths, codes: bytes, words: bytes, spare: int):
         self.lengths = np.asarray(lengths, np.int64)
         self.code = unpack(codes).astype(np.int64)
-        self.words = unpack_keys(words)
+        self.words = unpack_keys(words) >> np.uint64(spare) << np.uint64(spare)
         self.held = np.asarray(held, bool)
         self.start = np.cumsum(self.lengths) - self.lengths
         self.before = np.empty(len(self.code), np.int64)
@@ -116,13 +117,13 @@ class Chunk:
         self.before[self.start] = len(self.words)  # the beginning of a text
         states, token = np.append(self.words, BEGIN), self.words[self.code]
         size = max(1, len(self.words))
-        self.pairs, self.pair = _numbered(self.before * size + self.code, states[self.before], token, PAIR)
+        self.pairs, self.pair = _numbered(self.before * size + self.code, states[self.before], token, PAIR, spare)
         inner = np.ones(len(self.code), bool)
         inner[self.start] = False
         self.inner = np.flatnonzero(inner)
         context = self.pair[self.inner - 1]
         values = context * size + self.code[self.inner]
-        self.triples, self.triple = _numbered(values, self.pairs[context], token[self.inner], TRIPLE)
+        self.triples, self.triple = _numbered(values, self.pairs[context], token[self.inner], TRIPLE, spare)
         self.taught = ~np.repeat(self.held, self.lengths)
 
     def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,20 +135,22 @@ class Chunk:
         return [np.bincount(x, minlength=len(k)) for x, k in zip(taught, self.keys(), strict=True)]
 
 
-def _requests(chunks: DataFrame, ranges: int) -> DataFrame:
+def _spare_bits(size: int) -> int:
+    """Low bits of a key that can go: what is left tells each of ``size`` tokens' words, pairs and triples from all
+    others but for one in ``2 ** GUARD_BITS``, in small corpora as in large ones."""
+    return max(0, 64 - GUARD_BITS - (3 * size).bit_length())
+
+
+def _requests(chunks: DataFrame, ranges: int, spare: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds = range_bounds(ranges)
         for batch in batches:
             for row in range(batch.num_rows):
                 name, held, lengths, codes, words = (batch.column(k)[row].as_py() for k in range(5))
-                chunk = Chunk(held, lengths, codes, words)
+                chunk = Chunk(held, lengths, codes, words, spare)
                 out = []
                 for kind, (keys, counts) in enumerate(zip(chunk.keys(), chunk.counts(), strict=True)):
-                    cut = np.r_[0, np.searchsorted(keys, bounds), len(keys)]
-                    for r in range(ranges):
-                        if cut[r] < cut[r + 1]:
-                            own = slice(cut[r], cut[r + 1])
-                            out.append((r, kind, name, pack_keys(keys[own]), pack(counts[own])))
+                    for r, own in range_slices(keys, ranges):
+                        out.append((r, kind, name, pack_keys(keys[own], spare), pack(counts[own])))
                 columns = list(zip(*out, strict=True))
                 kinds = [pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays(
@@ -254,7 +257,8 @@ def score_texts(docs: DataFrame, held_out, tuning, id_col: str = "doc_id", text_
     size = chunks.agg(F.sum("_size").alias("n")).collect()[0]["n"] or 0
     texts = chunks.agg(F.sum(F.size(F.filter("_held", lambda x: ~x))).alias("n")).collect()[0]["n"] or 0
     ranges = int(max(4, -(-size // RANGE_TOKENS)))
-    answers = _requests(chunks, ranges).groupBy("_range").applyInArrow(_answer, "_range int, _kind int, _chunk string, _answer binary")
+    spare = _spare_bits(size)
+    answers = _requests(chunks, ranges, spare).groupBy("_range").applyInArrow(_answer, "_range int, _kind int, _chunk string, _answer binary")
     answers = stored(answers, "answers")
     total = distinct = 0
     for row in answers.filter("_kind = 3").select("_answer").toLocalIterator():  # one small row per range
@@ -267,7 +271,7 @@ def score_texts(docs: DataFrame, held_out, tuning, id_col: str = "doc_id", text_
         row = {c: left.column(c)[0].as_py() for c in ("_held", "_lengths", "_codes", "_words")}
         tune = np.asarray(left.column("_tune")[0].as_py(), bool)
         ids = left.column("_ids").combine_chunks().flatten()
-        chunk = Chunk(row["_held"], row["_lengths"], row["_codes"], row["_words"])
+        chunk = Chunk(row["_held"], row["_lengths"], row["_codes"], row["_words"], spare)
         order = right.select(["_kind", "_range", "_answer"]).sort_by([("_kind", "ascending"), ("_range", "ascending")])
         none = np.zeros(0, np.uint64)  # texts of a lone end have no triple
         found = [

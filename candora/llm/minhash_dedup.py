@@ -6,9 +6,10 @@ tables that compare ``2 * width`` minhashes each: about the square root of what
 Jaccard similarity J meets in some table with probability ``(1 - (1 - J ** width) ** halves) ** 2``.
 
 Texts with equal shingle sets are one class and take part once. In a bucket, all members are first compared with the
-smallest one. Members still unconnected are then compared with everything of the bucket outside their component, a
-block of them per round, until no bucket spans two components: no pair that meets in a table is left undecided, yet
-members known to be connected are never paired. Pairs are screened by the minhashes and confirmed on full shingle sets.
+smallest one. Where a bucket still spans several components, the members outside the largest one are compared with
+everything outside their own, as arrays inside tasks and block by block, so that no list of all pairs is ever written:
+first everyone's closest partner is confirmed, which connects most, then whatever still agrees. No pair that meets in a
+table is left undecided, and connected members are not paired. Confirming uses full shingle sets.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candora.llm import tokens
@@ -26,8 +28,9 @@ from candora.llm.shared import attach, over_batches, stored
 
 WIDTH = 2  # minhashes of a half key
 MISS = 2e-4  # probability that a pair just at the threshold meets in no table
-BLOCK = 64  # members of a bucket compared with the rest of it in one round
-SCREEN = 0.5  # pairs with a smaller share of equal minhashes are not read; 4 deviations below the threshold and more
+BLOCK = 1000  # members of a bucket, or of a block of a larger one, that a task compares as arrays
+GROUP_ROWS = 20_000  # members of buckets handed to a task at a time
+WIDE = 512  # minhash bytes by which unconnected members are screened
 
 
 def halves_for(similarity: float, width: int = WIDTH, miss: float = MISS) -> int:
@@ -35,6 +38,16 @@ def halves_for(similarity: float, width: int = WIDTH, miss: float = MISS) -> int
     return max(2, math.ceil(math.log(miss / 2) / math.log(1 - similarity**width)))
 
 
+def least_equal(similarity: float, minhashes: int, miss: float = MISS / 4) -> int:
+    """Equal minhashes that a pair at ``similarity`` has but for a probability of ``miss``; pairs with fewer aren't read."""
+    below, k = 0.0, 0
+    while True:
+        below += math.comb(minhashes, k) * similarity**k * (1 - similarity) ** (minhashes - k)
+        if below > miss:
+            return k
+        k += 1
+
+
 def _seeds(count: int) -> tuple[np.ndarray, np.ndarray]:
     numbers = np.random.Generator(np.random.PCG64(4004)).integers(1, 1 << 63, (2, count), dtype=np.uint64)
     return numbers[0], numbers[1] | np.uint64(1)
@@ -69,7 +82,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, shingle: int, halves: in
         keys = bands[..., 0]
         for k in range(1, width):
             keys = keys * np.uint64(0x9E3779B97F4A7C15) + bands[..., k]
-        keys = tokens.mix(keys).view(np.int64)
+        keys = (tokens.mix(keys) >> np.uint64(32)).astype(np.uint32).view(np.int32)
         fixed = lambda a: pa.ListArray.from_arrays(
             pa.array(np.arange(rows + 1, dtype=np.int32) * halves), pa.array(np.ascontiguousarray(a).reshape(-1))
         )
@@ -91,7 +104,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, shingle: int, halves: in
     return over_batches(
         docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")),
         work,
-        f"_id {kind}, _n long, _f1 long, _f2 long, _a array<long>, _b array<long>, _sig binary",
+        f"_id {kind}, _n long, _f1 long, _f2 long, _a array<int>, _b array<int>, _sig binary",
     )
 
 
@@ -110,6 +123,114 @@ def _screened(pairs: DataFrame, signatures: DataFrame, least: int) -> DataFrame:
     return over_batches(pairs.join(left, "u").join(right, "v").select("u", "v", "_s", "_t"), work, f"u {kind}, v {kind}")
 
 
+def _wide_signatures(texts: DataFrame, shingle: int) -> DataFrame:
+    """``_id`` and one byte of each of :data:`WIDE` minhashes of the text."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        flip, factor = _seeds(WIDE)
+        data, offsets = tokens.buffers(batch.column(1))
+        out = np.zeros((batch.num_rows, WIDE), np.uint8)
+        for low, high in tokens.row_groups(offsets):
+            part = offsets[low : high + 1]
+            found = tokens.words(data[part[0] : part[-1]], part - part[0], lower=True)
+            value, row = tokens.distinct(*tokens.shingles(found, shingle))
+            at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else row
+            for k in range(WIDE if len(row) else 0):
+                out[row[at] + low, k] = tokens.mix(np.minimum.reduceat((value ^ flip[k]) * factor[k], at)).astype(np.uint8)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in out], pa.binary())], ["_id", "_sig"])
+
+    return over_batches(texts.select("_id", "_text"), work, f"_id {texts.schema['_id'].dataType.simpleString()}, _sig binary")
+
+
+class _Members:
+    """Members of buckets as arrays, from an Arrow table of them."""
+
+    def __init__(self, rows: pa.Table, labels: pa.Array):
+        self.ids = rows.column("_id").combine_chunks()
+        self.bands = [rows.column(c).combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1) for c in ("_a", "_b")]
+        self.sig = np.frombuffer(b"".join(rows.column("_sig").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+        self.size, self.table = rows.column("_n").to_numpy(), rows.column("_t").to_numpy()
+        self.label = labels.to_numpy(zero_copy_only=False)
+
+
+def _agreeing(one: _Members, mine: np.ndarray, other: _Members, theirs: np.ndarray, percent: int, least: int, best: bool):
+    """Places in ``one`` and ``other`` of unconnected pairs of a bucket that agree in ``least`` minhash bytes.
+
+    A pair that meets in several tables counts in the first of them; with ``best`` only the closest partner does.
+    """
+    found_u, found_v = [], []
+    halves = one.bands[0].shape[1]
+    for k in mine:
+        small, large = np.minimum(one.size[k], other.size[theirs]), np.maximum(one.size[k], other.size[theirs])
+        fits = theirs[(other.label[theirs] != one.label[k]) & (100 * small >= percent * large)]
+        if len(fits):
+            same = [(other.bands[x][fits] == one.bands[x][k]).argmax(1) for x in (0, 1)]
+            fits = fits[same[0] * halves + same[1] == one.table[k]]
+        equal = (other.sig[fits] == one.sig[k]).sum(1)
+        fits, equal = fits[equal >= least], equal[equal >= least]
+        if best and len(fits):
+            fits = fits[[equal.argmax()]]
+        found_u.append(np.full(len(fits), k))
+        found_v.append(fits)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *found_u]).astype(np.int64), np.concatenate([none, *found_v]).astype(np.int64)
+
+
+def _ordered(u: pa.Array, v: pa.Array) -> pa.Table:
+    return pa.Table.from_arrays([pc.if_else(pc.less(u, v), u, v), pc.if_else(pc.less(u, v), v, u)], ["u", "v"])
+
+
+def _close_pairs(rows: DataFrame, count: int, percent: int, least: int, best: bool) -> DataFrame:
+    """Unconnected pairs of open buckets (``count`` rows) that agree in ``least`` minhash bytes; who is outside the largest component
+    (``_label`` other than ``_main``) meets everyone of another one.
+
+    Tasks compare members as arrays, and only what agrees becomes a row: many buckets of up to :data:`BLOCK` members in
+    a task, larger ones dealt into blocks.
+    """
+    kind = rows.schema["_id"].dataType.simpleString()
+    schema = f"u {kind}, v {kind}"
+    columns = ["_key", "_t", "_id", "_n", "_label", "_main", "_a", "_b", "_sig"]
+    usual = rows.filter(F.col("_total") <= BLOCK)
+    usual = usual.withColumn("_g", F.pmod(F.xxhash64("_key"), F.lit(1 + count // GROUP_ROWS)))
+
+    def buckets(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_key")
+        labels = pa.concat_arrays([table.column(c).combine_chunks() for c in ("_label", "_main")]).dictionary_encode().indices
+        members = _Members(table, labels.slice(0, table.num_rows))
+        outside = members.label != labels.slice(table.num_rows).to_numpy(zero_copy_only=False)
+        key = table.column("_key").to_numpy()
+        edges = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
+        found = []
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            everyone = np.arange(low, high)
+            found.append(_agreeing(members, everyone[outside[low:high]], members, everyone, percent, least, best))
+        u, v = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        return _ordered(members.ids.take(pa.array(u)), members.ids.take(pa.array(v)))
+
+    pairs = usual.select("_g", *columns).groupBy("_g").applyInArrow(buckets, schema)
+
+    large = rows.filter(F.col("_total") > BLOCK)
+    place = F.xxhash64("_id")
+    out_blocks, all_blocks = (F.ceil(F.col(c) / BLOCK).cast("long") for c in ("_others", "_total"))
+    outside = large.filter("_label != _main").withColumn("_i", F.pmod(place, out_blocks))
+    outside = outside.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), all_blocks - 1))).select("_i", "_j", *columns)
+    # fresh names: both sides of the grouping come from one table
+    everyone = large.select(*[F.col(c).alias(c) for c in large.columns]).withColumn("_j", F.pmod(place, all_blocks))
+    everyone = everyone.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), out_blocks - 1))).select("_i", "_j", *columns)
+
+    def blocks(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:  # a block that nobody fell into
+            none = pa.concat_tables([left, right]).column("_id").combine_chunks().slice(0, 0)
+            return _ordered(none, none)
+        labels = pa.concat_arrays([t.column("_label").combine_chunks() for t in (left, right)]).dictionary_encode().indices
+        one, other = _Members(left, labels.slice(0, left.num_rows)), _Members(right, labels.slice(left.num_rows))
+        u, v = _agreeing(one, np.arange(left.num_rows), other, np.arange(right.num_rows), percent, least, best)
+        return _ordered(one.ids.take(pa.array(u)), other.ids.take(pa.array(v)))
+
+    keys = ["_key", "_i", "_j"]
+    return pairs.unionByName(outside.groupBy(*keys).cogroup(everyone.groupBy(*keys)).applyInArrow(blocks, schema))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Pairs whose full shingle sets have ``100 * intersection >= percent * union``."""
     left = texts.select(F.col("_id").alias("u"), F.col("_text").alias("_s"))
@@ -139,6 +260,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return over_batches(pairs.join(left, "u").join(right, "v").select("u", "v", "_s", "_t"), work, f"u {kind}, v {kind}")
 
 
+def _open_buckets(pending: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that span several components, with their label, the largest one's, and the bucket's size."""
+    named = pending.join(labels.withColumnRenamed("node", "_id"), "_id", "left")
+    named = named.withColumn("_label", F.coalesce("label", "_id")).drop("label")
+    parts = named.groupBy("_key", "_label").agg(F.count(F.lit(1)).alias("_part"))
+    keys = parts.groupBy("_key").agg(
+        F.max(F.struct("_part", "_label")).alias("_main"), F.count(F.lit(1)).alias("_parts"), F.sum("_part").alias("_total")
+    )
+    keys = keys.filter("_parts > 1").select(
+        "_key", F.col("_main._label").alias("_main"), "_total", (F.col("_total") - F.col("_main._part")).alias("_others")
+    )
+    return named.join(keys, "_key")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -164,58 +299,41 @@ def near_duplicates(
     tables = F.explode(F.sequence(F.lit(0), F.lit(halves * halves - 1)))
     keyed = reps.select("_id", "_n", "_a", "_b", tables.alias("_t"))
     first, second = F.floor(F.col("_t") / halves).cast("int"), F.col("_t") % halves
-    keyed = keyed.select("_id", "_n", F.xxhash64("_t", F.col("_a")[first], F.col("_b")[second]).alias("_key"))
+    keyed = keyed.select("_id", "_n", "_t", F.xxhash64("_t", F.col("_a")[first], F.col("_b")[second]).alias("_key"))
     buckets = keyed.groupBy("_key").agg(
         F.min("_id").alias("_low"), F.min_by("_n", "_id").alias("_low_n"), F.count(F.lit(1)).alias("_members")
     )
     buckets = buckets.filter("_members > 1")
-    members = attach(keyed, buckets, ["_key"], "_members", ["_id"]).filter("_members IS NOT NULL")
-    members = stored(members, "members")
+    members = stored(keyed.join(buckets, "_key"), "members")
 
     involved = members.select("_id").distinct()
-    signatures = stored(rows.select("_id", "_sig").join(involved, "_id", "left_semi"), "signatures")
+    signatures = stored(rows.select("_id", "_sig", "_a", "_b").join(involved, "_id", "left_semi"), "signatures")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     texts = stored(texts.join(involved, "_id", "left_semi"), "texts")
-    least = math.ceil(SCREEN * 2 * halves * width)
+    least = least_equal(percent / 100, 2 * halves * width)
 
     def comparable(n: str, m: str):
         return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs.distinct(), "pairs")
-        return stored(_verified(stored(_screened(pairs, signatures, least), "screened"), texts, shingle, percent), "links")
-
     star = members.filter((F.col("_id") != F.col("_low")) & comparable("_n", "_low_n"))
-    links = confirm(star.select(F.col("_low").alias("u"), F.col("_id").alias("v")))
+    pairs = star.select(F.col("_low").alias("u"), F.col("_id").alias("v")).distinct()
+    links = stored(_verified(_screened(pairs, signatures, least), texts, shingle, percent), "links")
     labels = stored(components(links), "labels")
-    pending = members.filter(F.col("_id") != F.col("_low")).select("_key", "_id", "_n")
-    while True:
-        # members other than the smallest are all still to be compared with one another, unless connected
-        named = pending.join(labels.withColumnRenamed("node", "_id"), "_id", "left")
-        named = named.withColumn("_label", F.coalesce("label", "_id")).drop("label")
-        parts = named.groupBy("_key", "_label").agg(F.count(F.lit(1)).alias("_part"))
-        open_keys = parts.groupBy("_key").agg(
-            F.max(F.struct("_part", "_label")).getField("_label").alias("_main"),
-            F.count(F.lit(1)).alias("_parts"),
-            F.sum("_part").alias("_total"),
-        )
-        open_keys = open_keys.filter("_parts > 1")
-        left = attach(named, open_keys, ["_key"], "_total", ["_id"]).filter("_main IS NOT NULL")
-        left = stored(left.select("_key", "_id", "_n", "_label", "_main", "_total"), "open")
-        if left.isEmpty():
-            break
-        outside = left.filter("_label != _main")
-        rank = F.row_number().over(Window.partitionBy("_key").orderBy("_id"))
-        chosen = outside.withColumn("_rank", rank).filter(F.col("_rank") <= BLOCK)
-        chosen = stored(chosen.select("_key", "_id", "_n", "_label", "_total"), "chosen")
-        one = chosen.select("_key", F.col("_id").alias("u"), F.col("_n").alias("_nu"), F.col("_label").alias("_lu"))
-        other = left.select("_key", F.col("_id").alias("v"), F.col("_n").alias("_nv"), F.col("_label").alias("_lv"))
-        pairs = one.join(other, "_key").filter((F.col("_lu") != F.col("_lv")) & comparable("_nu", "_nv"))
-        new = confirm(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
-        if not new.isEmpty():
-            hung = labels.select(F.col("node").alias("u"), F.col("label").alias("v")).filter("u != v")
-            labels = stored(components(hung.unionByName(new)), "labels")
-        pending = stored(left.join(chosen, ["_key", "_id"], "left_anti").select("_key", "_id", "_n"), "pending")
+
+    # buckets that still span several components: everyone's closest partner first, which connects most of them, then
+    # all that is left
+    pending = members.filter(F.col("_id") != F.col("_low")).select("_key", "_t", "_id", "_n")
+    close, wide = least_equal(percent / 100, WIDE), None
+    bands = signatures.select("_id", "_a", "_b")
+    for best in (True, False):
+        unsettled = stored(_open_buckets(pending, labels), "open")
+        if wide is None:
+            wide = stored(_wide_signatures(texts.join(unsettled.select("_id").distinct(), "_id", "left_semi"), shingle), "wide")
+        pairs = _close_pairs(unsettled.join(bands, "_id").join(wide, "_id"), unsettled.count(), percent, close, best).distinct()
+        found = stored(_verified(pairs, texts, shingle, percent), "links")
+        hung = labels.select(F.col("node").alias("u"), F.col("label").alias("v")).filter("u != v")
+        labels = stored(components(hung.unionByName(found)), "labels")
+        pending = unsettled.select("_key", "_t", "_id", "_n")
 
     named = classes.join(labels.select(F.col("node").alias("_rep"), "label"), "_rep", "left")
     named = named.select(*same, "_size", F.coalesce("label", "_rep").alias("_component"))

@@ -22,15 +22,22 @@ def unpack(blob: bytes) -> np.ndarray:
     return out.view(np.uint64).reshape(-1)
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as differences."""
-    return pack(np.diff(keys, prepend=np.uint64(0)))
+def pack_keys(keys: np.ndarray, spare: int = 0) -> bytes:
+    """Sorted 64-bit keys as differences; their lowest ``spare`` bits must be 0 and are left out."""
+    short = keys >> np.uint64(spare)
+    low = short[:1] if len(short) else np.zeros(1, np.uint64)
+    return bytes([spare]) + low.astype(np.uint64).tobytes() + pack(np.diff(short, prepend=low))
 
 
 def unpack_keys(blob: bytes) -> np.ndarray:
-    return np.add.accumulate(unpack(blob))
+    low = np.frombuffer(blob[1:9], np.uint64)
+    return (np.add.accumulate(unpack(blob[9:])) + low) << np.uint64(blob[0])
 
 
-def range_bounds(ranges: int) -> np.ndarray:
-    """Inner bounds that divide the space of 64-bit hashes into equal ``ranges``."""
-    return np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
+def range_slices(keys: np.ndarray, ranges: int) -> list[tuple[int, slice]]:
+    """Ranges of the 64-bit hash space that hold any of the sorted ``keys``, and where in ``keys``."""
+    if not len(keys):
+        return []
+    number = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    first = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+    return [(int(number[a]), slice(int(a), int(b))) for a, b in zip(first, np.r_[first[1:], len(keys)], strict=True)]

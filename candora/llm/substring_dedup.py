@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candora.llm import tokens
-from candora.llm.packing import pack, pack_keys, range_bounds, unpack, unpack_keys
+from candora.llm.packing import pack, pack_keys, range_slices, unpack, unpack_keys
 from candora.llm.shared import attach, stored, stored_chunks
 
 WINDOW = 20
 ANCHOR = 6  # words of an anchor
 CHUNK_BYTES = 6 << 20
-RANGE_KEYS = 1 << 21
+RANGE_KEYS = 1 << 20
 SHARD_WORDS = 1 << 20  # words that a shard's index holds
 CROWDED = 2000  # segments of an anchor above which its windows travel one by one
 
@@ -218,19 +218,17 @@ class Chunk:
 
 def _anchor_requests(chunks: DataFrame, ranges: int, window: int, anchor: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds = range_bounds(ranges)
         for batch in batches:
             for row in range(batch.num_rows):
                 name, sizes, data = (batch.column(k)[row].as_py() for k in range(3))
                 found = segments_of(Chunk(sizes, data).words, window, anchor)
                 keys, counts = np.unique(found["anchor"], return_counts=True)
-                cut = np.r_[0, np.searchsorted(keys, bounds), len(keys)]
-                own = [r for r in range(ranges) if cut[r] < cut[r + 1]]
+                own = range_slices(keys, ranges)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(own, pa.int32()), pa.array([name] * len(own), pa.string()),
-                        pa.array([pack_keys(keys[cut[r] : cut[r + 1]]) for r in own], pa.binary()),
-                        pa.array([pack(np.minimum(counts[cut[r] : cut[r + 1]], 2)) for r in own], pa.binary()),
+                        pa.array([r for r, _ in own], pa.int32()), pa.array([name] * len(own), pa.string()),
+                        pa.array([pack_keys(keys[at]) for _, at in own], pa.binary()),
+                        pa.array([pack(np.minimum(counts[at], 2)) for _, at in own], pa.binary()),
                     ],
                     ["_range", "_chunk", "_keys", "_counts"],
                 )

@@ -9,7 +9,8 @@ Training uses sentences that inherit the label of their document, repeated sente
 are mostly harmless, so words count as positive examples only where their frequency in toxic sentences is far above that
 in clean ones. Landmarks are drawn from both kinds, every example is mapped by the Nyström method, and a squared-hinge
 support vector machine is fitted. As its decision function is a sum over landmarks, it folds into one table over
-subsequences, which scores all words of a text in a few array passes. A text scores as its worst word does.
+subsequences, which scores all words of a text in a few array passes. A logistic function of a text's worst words and of
+how many there are is its score.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ CANDIDATES = 4000  # words with the strongest contrast that are looked at
 CLEAN_WORDS = 6000  # words of clean sentences used as negative examples, the most frequent and a hash sample
 LANDMARKS = 400
 FLOOR = 4.0  # added to the deviance that a word of toxic sentences must have
-HARD = -0.5  # decision value from which a word of clean sentences becomes a negative example of the second fit
+SUSPICIOUS = -0.5  # decision value from which a word counts as evidence
+RIDGE = 1e-3
 THRESHOLD = 0.3
 PIECE = 1 << 20  # characters scored at a time
 
@@ -137,53 +139,48 @@ def word_scores(sym: np.ndarray, table: np.ndarray) -> np.ndarray:
     return sums / _scale(np.diff(edges) + 1)
 
 
+def evidence(values: list[np.ndarray], words: int) -> np.ndarray:
+    """What the decision values of a text's suspicious words (above :data:`SUSPICIOUS`) say about it: the three worst,
+    how many there are of moderate and of strong ones, and their density."""
+    found = np.sort(np.concatenate([np.full(3, SUSPICIOUS), *values]))[::-1]
+    moderate, strong = int((found > 0.3).sum()), int((found > 0.7).sum())
+    dense = 50 / max(1, words)
+    return np.array([*found[:3], np.log1p(moderate), np.log1p(strong), min(3.0, moderate * dense), min(3.0, strong * dense)])
+
+
 @dataclass
 class ToxicityModel:
-    """``table``: weight of each subsequence; the score is a sigmoid of ``slope * (worst word + intercept)``."""
+    """``table``: weight of each subsequence in a word's decision value; ``weights`` and ``offset`` turn the evidence of
+    a text's words into its score, a sigmoid."""
 
     table: np.ndarray
     intercept: float
-    slope: float
+    weights: np.ndarray
+    offset: float
 
-    def score(self, text: str | None) -> float:
-        """Score of a whole text; long texts go piece by piece, cut at white space."""
-        worst, low, text = -1.0, 0, text or ""
-        while low < len(text):
-            high = len(text)
-            if high - low > PIECE:
-                high = low + PIECE
-                while high < len(text) and not text[high].isspace():
-                    high += 1
-            found = word_scores(symbols(text[low:high]), self.table)
-            if len(found):
-                worst = max(worst, float(found.max()))
-            low = high
-        value = self.slope * (worst + self.intercept)
-        return float(1 / (1 + np.exp(-np.clip(value, -30, 30))))
-
-    def score_many(self, texts: list[str | None]) -> np.ndarray:
-        """Scores of several texts; short ones are scored together."""
-        out, group, size = np.zeros(len(texts)), [], 0
+    def evidence_of(self, texts: list[str | None]) -> np.ndarray:
+        """Evidence of whole texts, one row each. Short texts are read together, long ones piece by piece at white
+        space."""
+        out, group, size = np.zeros((len(texts), 7)), [], 0
 
         def flush() -> None:
             if not group:
                 return
             parts = [symbols(texts[k] or "") for k in group]
             # each part ends with an edge: between two parts lies an empty word without subsequences
-            sym = np.concatenate(parts)
-            found = word_scores(sym, self.table)
-            count = np.array([np.count_nonzero(p == EDGE) for p in parts])
-            first = np.cumsum(count) - count
-            found = np.append(found, -1.0)
-            between = (first + count - 1)[:-1]
-            found[between] = -1.0
-            value = self.slope * (np.maximum(np.maximum.reduceat(found, first), -1.0) + self.intercept)
-            out[group] = 1 / (1 + np.exp(-np.clip(value, -30, 30)))
+            value = np.append(word_scores(np.concatenate(parts), self.table), -1.0) + self.intercept
+            words = np.array([np.count_nonzero(p == EDGE) for p in parts]) - 1
+            first = np.cumsum(words + 1) - (words + 1)
+            value[(first + words)[:-1]] = SUSPICIOUS
+            hits = np.flatnonzero(value[:-1] > SUSPICIOUS)
+            low, high = np.searchsorted(hits, first), np.searchsorted(hits, first + words)
+            for k, a, b, n in zip(group, low, high, words, strict=True):
+                out[k] = evidence([value[hits[a:b]]], int(n))
             group.clear()
 
         for k, text in enumerate(texts):
             if text is not None and len(text) > PIECE // 4:
-                out[k] = self.score(text)
+                out[k] = self._long(text)
                 continue
             group.append(k)
             size += len(text or "")
@@ -193,6 +190,25 @@ class ToxicityModel:
         flush()
         return out
 
+    def _long(self, text: str) -> np.ndarray:
+        found, words, low = [], 0, 0
+        while low < len(text):
+            high = min(len(text), low + PIECE)
+            while high < len(text) and not text[high].isspace():
+                high += 1
+            value = word_scores(symbols(text[low:high]), self.table) + self.intercept
+            found.append(value[value > SUSPICIOUS])
+            words += len(value)
+            low = high
+        return evidence(found, words)
+
+    def score_many(self, texts: list[str | None]) -> np.ndarray:
+        value = self.evidence_of(texts) @ self.weights + self.offset
+        return 1 / (1 + np.exp(-np.clip(value, -30, 30)))
+
+    def score(self, text: str | None) -> float:
+        return float(self.score_many([text])[0])
+
 
 def _features(strings: list[str], index: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Scaled kernel feature vectors of words, over the subsequences ``index`` (default: all that occur)."""
@@ -216,11 +232,11 @@ def _features(strings: list[str], index: np.ndarray | None) -> tuple[np.ndarray,
 def fit_words(words: list[str], toxic: np.ndarray, weight: np.ndarray) -> ToxicityModel:
     """Nyström features and squared-hinge support vector machine for labelled words.
 
-    Without both classes the model is constant: it scores everything low (no toxic example) by its intercept.
+    Without both classes the model scores everything low. The weights of a text's evidence are fitted by :func:`calibrate`.
     """
     size = SYMBOLS**LENGTH
     if not toxic.any() or toxic.all():
-        return ToxicityModel(np.zeros(size, np.float32), -1.0, 4.0)
+        return ToxicityModel(np.zeros(size, np.float32), -1.0, np.zeros(7), -4.0)
     positive, negative = np.flatnonzero(toxic), np.flatnonzero(~toxic)
     half = LANDMARKS // 2
     marks = np.r_[positive[:half], negative[: LANDMARKS - min(half, len(positive))]]
@@ -249,7 +265,7 @@ def fit_words(words: list[str], toxic: np.ndarray, weight: np.ndarray) -> Toxici
     beta = whiten @ w[:-1]
     table = np.zeros(size, np.float32)
     table[index] = landmarks.T.astype(np.float64) @ beta
-    return ToxicityModel(table, float(w[-1]), 4.0)
+    return ToxicityModel(table, float(w[-1]), np.zeros(7), -4.0)
 
 
 _SENTENCE = r"[^.!?\n]+"
@@ -297,9 +313,18 @@ def fit_toxicity(labelled: DataFrame, id_col: str, text_col: str, label_col: str
     ]
     sample = stored(parts[0].unionByName(parts[1]), "sample")
     model = _fit_sample(sample)
-    raw = score_toxicity(sample, ToxicityModel(model.table, 0.0, 1.0), "_id", "_text", keep="_toxic").toPandas()
-    worst = np.log(raw["score"] / (1 - raw["score"])).to_numpy()  # at most 2 * DOCUMENTS numbers
-    return calibrate(model, worst, raw["_toxic"].to_numpy() == 1)
+    found = _evidence(sample, model).toPandas()  # at most 2 * DOCUMENTS rows
+    return calibrate(model, np.array(found["_found"].tolist(), float).reshape(len(found), 7), found["_toxic"].to_numpy() == 1)
+
+
+def _evidence(sample: DataFrame, model: ToxicityModel) -> DataFrame:
+    shared = sample.sparkSession.sparkContext.broadcast(model)  # 4 MB
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [shared.value.evidence_of(batch.column(0).slice(k, 200).to_pylist()) for k in range(0, batch.num_rows, 200)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows).tolist(), pa.list_(pa.float64())), batch.column(1)], ["_found", "_toxic"])
+
+    return over_batches(sample.select("_text", "_toxic"), work, "_found array<double>, _toxic int")
 
 
 def _fit_sample(sample: DataFrame) -> ToxicityModel:
@@ -320,13 +345,7 @@ def _fit_sample(sample: DataFrame) -> ToxicityModel:
     clean = rated.filter((c > 0) & (F.col("_g") <= limit))
     common = clean.orderBy(F.desc("_clean"), "_word").limit(CLEAN_WORDS // 3).collect()
     spread = clean.orderBy(F.xxhash64("_word"), "_word").limit(CLEAN_WORDS - CLEAN_WORDS // 3).collect()
-    model = _fit_rows(strong, [*common, *spread])
-    # words of clean sentences that this model takes for insults join the negative examples
-    hard = _scored_words(clean.select("_word", "_clean"), model).filter(F.col("_value") + model.intercept > HARD)
-    hard = hard.orderBy(F.desc("_value"), "_word").limit(CLEAN_WORDS // 6).collect()
-    if hard:
-        model = _fit_rows(strong, [*hard, *common, *spread])
-    return model
+    return _fit_rows(strong, [*common, *spread])
 
 
 def _fit_rows(strong: list, negative: list) -> ToxicityModel:
@@ -337,56 +356,48 @@ def _fit_rows(strong: list, negative: list) -> ToxicityModel:
     return fit_words(words, toxic, weight)
 
 
-def _scored_words(words: DataFrame, model: ToxicityModel) -> DataFrame:
-    shared = words.sparkSession.sparkContext.broadcast(model)  # 4 MB
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = batch.column(0).to_pylist()
-        sym = symbols(" ".join(_back(w) for w in own))
-        value = word_scores(sym, shared.value.table)
-        if len(value) != len(own):  # a run of single letters was joined: one by one then
-            value = np.array([word_scores(symbols(_back(w)), shared.value.table).max(initial=-1.0) for w in own])
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value.astype(float))], ["_word", "_clean", "_value"])
-
-    return over_batches(words, work, "_word string, _clean long, _value double")
-
-
-def calibrate(model: ToxicityModel, worst: np.ndarray, toxic: np.ndarray) -> ToxicityModel:
-    """Place the score :data:`THRESHOLD` where it separates the documents' worst words best, in the widest such gap."""
+def calibrate(model: ToxicityModel, found: np.ndarray, toxic: np.ndarray) -> ToxicityModel:
+    """Logistic regression of the label on the evidence, both classes weighing the same; the score :data:`THRESHOLD` is
+    then placed where it separates the documents best, in the middle of the widest such gap."""
     if not toxic.any() or toxic.all():
         return model
-    order = np.argsort(worst, kind="stable")
-    value, flag = worst[order], toxic[order]
-    missed = np.r_[0, np.cumsum(flag)] / flag.sum()
-    alarms = 1 - np.r_[0, np.cumsum(~flag)] / (~flag).sum()
-    loss = missed + alarms
+    mean, scale = found.mean(0), found.std(0) + 1e-9
+    x = np.c_[(found - mean) / scale, np.ones(len(found))]
+    weight = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())
+    ridge = np.r_[np.full(x.shape[1] - 1, RIDGE), 1e-9]
+    w = np.zeros(x.shape[1])
+    for _ in range(50):  # Newton's method
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (weight * (p - toxic)) + ridge * w)
+        w = w - step
+        if np.abs(step).max() < 1e-9:
+            break
+    value = np.sort(x @ w)
+    order = np.argsort(x @ w, kind="stable")
+    missed = np.r_[0, np.cumsum(toxic[order])] / toxic.sum()
+    alarms = 1 - np.r_[0, np.cumsum(~toxic[order])] / (~toxic).sum()
     edges = np.r_[value[0] - 1.0, value, value[-1] + 1.0]
-    gap = np.diff(edges)
+    gap, loss = np.diff(edges), missed + alarms
     loss[gap <= 0] = np.inf
     best = np.flatnonzero(loss <= loss.min() + 1e-12)
     at = best[np.argmax(gap[best])]
     border = (edges[at] + edges[at + 1]) / 2
-    slope = 4.0 / max(0.05, float(np.median(worst[toxic])) - border)
-    return ToxicityModel(model.table, float(np.log(THRESHOLD / (1 - THRESHOLD)) / slope - border), slope)
+    offset = w[-1] - (w[:-1] * mean / scale).sum() - border + np.log(THRESHOLD / (1 - THRESHOLD))
+    return ToxicityModel(model.table, model.intercept, w[:-1] / scale, float(offset))
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str, text_col: str, keep: str | None = None) -> DataFrame:
-    """``id_col``, ``score`` (0 to 1) of every whole text and the column ``keep``; texts without words score low."""
+def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str, text_col: str) -> DataFrame:
+    """``id_col`` and ``score`` (0 to 1) of every whole text; texts without words score low."""
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB, whatever the data
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(1)
         scores = [shared.value.score_many(texts.slice(k, 200).to_pylist()) for k in range(0, len(texts), 200)]
-        columns = [batch.column(0), pa.array(np.concatenate(scores))]
-        return pa.RecordBatch.from_arrays(columns + list(batch.columns[2:]), [id_col, "score", *more])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores))], [id_col, "score"])
 
-    more = [keep] if keep else []
-    extra = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in more)
     return over_batches(
-        docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_scored_text"), *more),
-        work,
-        f"`{id_col}` {kind}, score double{extra}",
+        docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_scored_text")), work, f"`{id_col}` {kind}, score double"
     )
 
 
