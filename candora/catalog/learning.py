@@ -120,11 +120,14 @@ def rf_feature_importance(spark, sf):
 
 def mlp_focal_train(spark, sf):
     rows = splits.stratified_split(vectors(spark, sf))
-    parts = {s: rows.filter(F.col("split") == s) for s in ("train", "validation")}
+    parts = {s: rows.filter(F.col("split") == s) for s in ("train", "validation", "test")}
     trained = mlp.mlp_focal_train(
         parts["train"], parts["validation"], hidden=(64, 32), epochs=10, steps_per_epoch=2
     )
-    return rounded(trained.history)
+    tested = evaluation.all_metrics(trained(parts["test"]).withColumn("m", F.lit("test")), ["m"])
+    test = tested.select(F.col("auc_roc").alias("test_auc_roc"), F.col("macro_f1").alias("test_macro_f1")).collect()[0]
+    best = F.col("epoch") == trained.best_epoch
+    return rounded(trained.history.withColumns({c: F.when(best, F.lit(test[c])) for c in ("test_auc_roc", "test_macro_f1")}))
 
 
 QUERIES = {

@@ -31,8 +31,8 @@ def _per_user(df: DataFrame, *aggregates: Column) -> DataFrame:
 
 
 def _attach(df: DataFrame, stats: DataFrame, key: str) -> DataFrame:
-    sizes = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    return spread_join(df, stats, [key], "_rows", spread_by=["review_id"], sizes=sizes)
+    """Join statistics back to the rows. They are computed once; their row counts tell which keys are hot."""
+    return spread_join(df, freeze(stats), [key], "_rows", spread_by=["review_id"])
 
 
 def _or_zero(df: DataFrame, name: str, value: Column | None = None) -> DataFrame:
@@ -106,6 +106,7 @@ def _review_times(df: DataFrame) -> DataFrame:
 
 def _split_by_weight(times: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Users whose times fit one small array, and the others (None when there are none)."""
+    times = freeze(times)
     heavy = times.groupBy("user_id").agg(F.count(F.lit(1)).alias("_rows"))
     heavy = heavy.filter(F.col("_rows") > ARRAY_LIMIT)
     found = heavy.count()

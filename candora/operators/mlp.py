@@ -76,14 +76,20 @@ class TrainedMlp:
         return mlp_score(df, self.layers)
 
 
+def _uniform(keys: np.ndarray, columns: int, seed: int) -> np.ndarray:
+    """Random numbers in [0, 1) that depend on each row's key alone, not on where the row is processed."""
+    with np.errstate(over="ignore"):
+        h = keys.astype(np.int64).view(np.uint64)[:, None] + np.uint64(seed + 1) * np.uint64(0x9E3779B97F4A7C15)
+        h = h + np.arange(1, columns + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((h ^ (h >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+
+
 def _gradient_task(layers: Layers, gamma: float, alpha: float, dropout: float, seed: int):
     """Per-partition sum of focal-loss gradients as one flat array, with row count, loss and hits."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        context = TaskContext.get()
-        rng = np.random.default_rng([seed, context.partitionId() if context else 0])
         total, rows, loss_sum, hits = None, 0, 0.0, 0
         for frame in frames:
             if frame.empty:
@@ -97,7 +103,8 @@ def _gradient_task(layers: Layers, gamma: float, alpha: float, dropout: float, s
                 if i < len(layers) - 1:
                     mask = (hidden > 0).astype(float)
                     if dropout > 0:
-                        mask *= (rng.random(hidden.shape) >= dropout) / (1.0 - dropout)
+                        kept = _uniform(frame["_key"].to_numpy(), hidden.shape[1], seed * 16 + i) >= dropout
+                        mask *= kept / (1.0 - dropout)
                     hidden = hidden * mask
                     masks.append(mask)
             z = hidden[:, 0]
@@ -178,7 +185,9 @@ def mlp_focal_train(
     """
     spark = train.sparkSession
     slim = train.select(
-        "review_id", F.col("label").cast("int").alias("label"), F.col("features").cast("array<double>").alias("features")
+        F.xxhash64("review_id").alias("_key"),
+        F.col("label").cast("int").alias("label"),
+        F.col("features").cast("array<double>").alias("features"),
     ).persist()
     width = one_row(slim.agg(F.max(F.size("features")).alias("w")))["w"]
     if alpha is None:
@@ -188,13 +197,16 @@ def mlp_focal_train(
     first, second, step = np.zeros_like(weights), np.zeros_like(weights), 0
     snapshots, progress = [], []
     partitions = slim.rdd.getNumPartitions()
-    batch = F.pmod(F.xxhash64("review_id"), F.lit(steps_per_epoch))
+    # every batch is cached on its own, so a step reads the rows of its batch only
+    batch = F.pmod(F.col("_key"), F.lit(steps_per_epoch))
+    batches = [slim]
+    if steps_per_epoch > 1:
+        batches = [slim.filter(batch == part).persist() for part in range(steps_per_epoch)]
     for epoch in range(1, epochs + 1):
         seen, loss, hits = 0, 0.0, 0
         for part in range(steps_per_epoch):
-            rows = slim.filter(batch == part) if steps_per_epoch > 1 else slim
             task = _gradient_task(layers, gamma, alpha, dropout, seed * 100_003 + step)
-            sums = rows.select("label", "features").mapInPandas(task, schema=_GRADIENT_SCHEMA)
+            sums = batches[part].mapInPandas(task, schema=_GRADIENT_SCHEMA)
             if partitions > PARTIAL_SUMS:
                 sums = sums.repartition(PARTIAL_SUMS).mapInPandas(_add_up(), schema=_GRADIENT_SCHEMA)
             parts = sums.collect()  # at most PARTIAL_SUMS gradients
@@ -211,7 +223,8 @@ def mlp_focal_train(
             seen, loss, hits = seen + count, loss + sum(r["loss"] for r in parts), hits + sum(r["hits"] for r in parts)
         snapshots.append(layers)
         progress.append((epoch, loss / seen, hits / seen))
-    slim.unpersist()
+    for rows in (*batches, slim):
+        rows.unpersist()
     history = _history(spark, validation, snapshots, progress)
     best = one_row(best_epoch(history))["best_epoch"]
     return TrainedMlp(snapshots[best - 1], history, best)
