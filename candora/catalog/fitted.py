@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from candora.catalog import behavior as behavior_catalog
 from candora.catalog import text as text_catalog
 from candora.catalog.learning import behavior_vectors
-from candora.catalog.views import REVIEWS_SQL, VECTORS_SQL, r6, reviews, rounded, table, text_reviews, vectors
+from candora.catalog.views import REVIEWS_SQL, VECTORS_SQL, r6, reviews, rounded, text_reviews, vectors
 from candora.operators import behavior, evaluation, fusion, mlp, models, persistence, splits, text, validation
 from candora.plans.storage import freeze, scratch_path
 

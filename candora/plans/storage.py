@@ -36,14 +36,3 @@ def freeze(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and read it back from reliable storage from then on."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread_few_files(df: DataFrame, key: str) -> DataFrame:
-    """Hash the rows by ``key`` when they come from fewer files than there are cores.
-
-    A scan of few files has few tasks, which starves work that is heavy per row. Large tables have many
-    files and pass through without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df.inputFiles())
-    return df.repartition(cores, key) if 0 < files < cores else df
