@@ -31,7 +31,7 @@ def folder(spark, tmp_path_factory):
         toxic[k] = int(k % 5 == 0)
         rows.append([k, " ".join(w)])
     items = [[k, " ".join(text(30))] for k in range(3)]
-    rows += [[300, rows[1][1] + "  "], [301, rows[1][1].replace(" ", "\n")], [302, " ".join(words(rows[2][1])[:-1] + ["changed"])]]
+    rows += [[300, rows[1][1].replace(" ", "  ")], [301, rows[1][1].replace(" ", "\n")], [302, " ".join(words(rows[2][1])[:-1] + ["changed"])]]
     rows += [[303, " ".join(text(40) + words(items[1][1]) + text(20))], [304, None], [305, ""], [306, " ".join(text(9000))], [307, rows[0][1]]]
     path = str(tmp_path_factory.mktemp("sf"))
     docs = [(i, t, "en", rng.choice(["a", "b", None]), len(t or "")) for i, t in rows] + [(None, "no id", "en", "a", 5)]
