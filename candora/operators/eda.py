@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -195,6 +197,27 @@ def feature_correlation(
     return long.withColumn("rank", F.when(against, F.row_number().over(order)))
 
 
+def _kernel_sums(label_col: str, grid: int):
+    """Sum of the kernels of a task's values at all grid points, one row per label and feature."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[tuple, np.ndarray] = {}
+        for frame in frames:
+            for key, rows in frame.groupby([label_col, "feature"]):
+                h, start, step = (float(rows[c].iloc[0]) for c in ("h", "start", "step"))
+                points = start + step * np.arange(grid)
+                sums = total.setdefault(key, np.zeros(grid))
+                values, counts = rows["v"].to_numpy(float), rows["n"].to_numpy(float)
+                for low in range(0, len(values), 2000):
+                    u = (points[None, :] - values[low : low + 2000, None]) / h
+                    sums += counts[low : low + 2000] @ np.exp(-u * u / 2)
+        if total:
+            labels, features = zip(*total, strict=True)
+            yield pd.DataFrame({label_col: labels, "feature": features, "sums": [s.tolist() for s in total.values()]})
+
+    return run
+
+
 def feature_density(
     df: DataFrame,
     columns: Sequence[str] = tuple(BEHAVIOR_FEATURES),
@@ -206,8 +229,8 @@ def feature_density(
 ) -> DataFrame:
     """Gaussian kernel density per feature and label on ``grid`` points from min - cut·h to max + cut·h.
 
-    ``h`` is Scott's bandwidth times ``adjust``. Distinct values carry counts, and a value only visits the
-    grid points within nine bandwidths, beyond which its kernel is below double precision.
+    ``h`` is Scott's bandwidth times ``adjust``. Distinct values carry counts; a task adds the kernels of its values
+    into one array per label and feature, and only those arrays are merged.
     """
     shaped = df.filter(F.col(label_col).isin(0, 1)).select(
         label_col,
@@ -231,14 +254,12 @@ def feature_density(
         .drop("sd", "lo", "hi")
     )
     placed = counts.join(F.broadcast(frame), [label_col, "feature"])  # two labels x features
-    reach = 9 * F.col("h")
-    first = F.greatest(F.floor((F.col("v") - reach - F.col("start")) / F.col("step")), F.lit(0)).cast("int")
-    last = F.least(F.ceil((F.col("v") + reach - F.col("start")) / F.col("step")), F.lit(grid - 1)).cast("int")
-    visits = placed.withColumn("point", F.explode(F.sequence(first, last)))
-    x = F.col("start") + F.col("point") * F.col("step")
-    u = (x - F.col("v")) / F.col("h")
-    kernel = F.sum(F.col("n") * F.exp(-u * u / 2))
-    sums = visits.groupBy(label_col, "feature", "point", "total", "h", "start", "step").agg(kernel.alias("k"))
+    kind = placed.schema[label_col].dataType.simpleString()
+    summed = placed.select(label_col, "feature", "v", "n", "h", "start", "step").mapInPandas(
+        _kernel_sums(label_col, grid), f"{label_col} {kind}, feature string, sums array<double>"
+    )
+    cells = summed.select(label_col, "feature", F.posexplode("sums").alias("point", "part"))
+    sums = cells.groupBy(label_col, "feature", "point").agg(F.sum("part").alias("k"))
     every = frame.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
     joined = every.join(sums.select(label_col, "feature", "point", "k"), [label_col, "feature", "point"], "left")
     norm = F.col("total") * F.col("h") * F.sqrt(2 * F.pi())
