@@ -9,8 +9,8 @@ meets. An anchor that occurs once in the corpus ends there. Segments with the sa
 stays, the windows of the others are repeats. First segments whose anchor stands in different segments are laid out in
 order of appearance and indexed per shard: suffix order, Burrows-Wheeler transform, wavelet matrix with rank counts.
 Backward search streams their windows through the index; a window whose suffix interval holds an earlier place is a
-repeat, and runs of such windows are reported as intervals. Windows of anchors with very many segments go to shards of
-their own content one by one, so a passage that stands everywhere does not fill one shard.
+repeat, and runs of such windows are reported as intervals. Windows of anchors with very many segments are not indexed
+but counted by content one by one, as whole segments are, so a passage that stands everywhere does not fill one shard.
 
 Texts are held as compressed chunks in a table bucketed by chunk, read again by each step without being shuffled.
 """
@@ -36,7 +36,7 @@ ANCHOR = 6  # words of an anchor
 CHUNK_BYTES = 6 << 20
 RANGE_KEYS = 1 << 20
 SHARD_WORDS = 1 << 20  # words that a shard's index holds
-CROWDED = 2000  # segments of an anchor above which its windows travel one by one
+CROWDED = 2000  # segments of an anchor above which its windows are counted one by one
 
 
 class WaveletMatrix:
@@ -263,6 +263,12 @@ def _content(words: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[
     return out[0].view(np.int64), out[1].view(np.int64)
 
 
+def _later(places: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Rows of ``places`` whose content ``repeated`` has at an earlier place: places in texts are compared, not copies of an id."""
+    found = attach(places, repeated.select("_c1", "_c2", "_first", "_n"), ["_c1", "_c2"], "_n", ["_id", "_start"])
+    return found.filter(F.col("_first").isNotNull() & ((F.col("_id") != F.col("_first._id")) | (F.col("_start") != F.col("_first._start"))))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """One row per text: id, ``n_words``, ``n_removed``, ``kept_sha256`` and ``kept_text`` (kept words, one space between).
 
@@ -312,9 +318,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n"), F.first("_anchor").alias("_anchor"), F.first("_windows").alias("_windows")
     )
     contents = stored(contents, "contents")
-    repeated = contents.filter("_n > 1")
-    later = attach(found, repeated.select(*same, "_first", "_n"), same, "_n", ["_id", "_start"])
-    later = later.filter(F.col("_first").isNotNull() & ((F.col("_id") != F.col("_first._id")) | (F.col("_start") != F.col("_first._start"))))
+    later = _later(found, contents.filter("_n > 1"))
     whole = later.select("_chunk", "_row", "_start", (F.col("_start") + F.col("_windows") + window - 1).alias("_end"))
 
     # first segments whose anchor has several contents
@@ -324,10 +328,35 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "_first._chunk", "_first._row", "_first._id", "_first._start", "_anchor", "_windows", (F.col("_segments") > CROWDED).alias("_crowded")
     )
     wanted = stored(wanted, "wanted")
-    words_sent = wanted.agg(
-        F.sum(F.when(F.col("_crowded"), F.col("_windows") * window).otherwise(F.col("_windows") + window - 1)).alias("n")
-    ).collect()[0]["n"]
-    shards = int(max(4, -(-(words_sent or 0) // SHARD_WORDS)))
+    sent = wanted.agg(
+        F.sum(F.when(~F.col("_crowded"), F.col("_windows") + window - 1)).alias("words"), F.count(F.when(F.col("_crowded"), 1)).alias("crowded")
+    ).collect()[0]
+    shards = int(max(4, -(-(sent["words"] or 0) // SHARD_WORDS)))
+
+    def singles(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema(
+            [("_chunk", pa.string()), ("_row", pa.int32()), ("_id", left.schema.field("_ids").type.value_type),
+             ("_start", pa.int64()), ("_c1", pa.int64()), ("_c2", pa.int64())]
+        )
+        if not right.num_rows or not left.num_rows:
+            return schema.empty_table()
+        chunk = Chunk(left.column("_sizes")[0].as_py(), left.column("_data")[0].as_py())
+        row, start, windows = (right.column(c).to_numpy() for c in ("_row", "_start", "_windows"))
+        source = np.repeat(np.arange(len(row)), windows)
+        inner = start[source] + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+        first = chunk.words.first[row[source]] + inner
+        halves = []
+        for low in range(0, len(first), 1 << 16):  # the words of that many windows are laid out at once
+            part = first[low : low + (1 << 16)]
+            halves.append(_content(chunk.words.hash, part, np.full(len(part), window)))
+        c1, c2 = (np.concatenate([h[k] for h in halves]) for k in (0, 1))
+        return pa.Table.from_arrays(
+            [
+                pa.array([left.column("_chunk")[0].as_py()] * len(source), pa.string()), pa.array(row[source], pa.int32()),
+                right.column("_id").combine_chunks().take(pa.array(source)), pa.array(inner, pa.int64()), pa.array(c1), pa.array(c2),
+            ],
+            schema=schema,
+        )
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["_shard", "_chunk", "_row", "_id", "_start", "_words"]
@@ -338,34 +367,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if not right.num_rows or not left.num_rows:
             return schema.empty_table()
         chunk = Chunk(left.column("_sizes")[0].as_py(), left.column("_data")[0].as_py())
-        row, start, anchors, windows, crowded = (
-            right.column(c).to_numpy() for c in ("_row", "_start", "_anchor", "_windows", "_crowded")
-        )
-        ids = right.column("_id").combine_chunks()
-        # a crowded segment is cut into its windows
-        pieces = np.where(crowded, windows, 1)
-        source = np.repeat(np.arange(len(row)), pieces)
-        inner = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        first = chunk.words.first[row[source]] + start[source] + inner
-        length = np.where(crowded[source], window, windows[source] + window - 1)
-        key = anchors[source].view(np.uint64)
-        single = crowded[source]
-        if single.any():
-            key = key.copy()
-            key[single] = _content(chunk.words.hash, first[single], length[single])[0].view(np.uint64)
-        shard = (tokens.mix(key) % np.uint64(shards)).astype(np.int64)
+        row, start, anchors, windows = (right.column(c).to_numpy() for c in ("_row", "_start", "_anchor", "_windows"))
+        first = chunk.words.first[row] + start
+        length = windows + window - 1
+        shard = (tokens.mix(anchors.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
         hashes = chunk.words.hash
         return pa.Table.from_arrays(
             [
-                pa.array(shard), pa.array([left.column("_chunk")[0].as_py()] * len(source), pa.string()), pa.array(row[source], pa.int32()),
-                ids.take(pa.array(source)), pa.array(start[source] + inner, pa.int64()),
+                pa.array(shard), pa.array([left.column("_chunk")[0].as_py()] * len(row), pa.string()), pa.array(row, pa.int32()),
+                right.column("_id").combine_chunks(), pa.array(start, pa.int64()),
                 pa.array([hashes[a : a + n].tobytes() for a, n in zip(first.tolist(), length.tolist(), strict=True)], pa.binary()),
             ],
             schema=schema,
         ).select(names)
 
     schema = f"_shard long, _chunk string, _row int, _id {kind}, _start long, _words binary"
-    segments = chunks.select("_chunk", "_ids", "_sizes", "_data").groupBy("_chunk").cogroup(wanted.groupBy("_chunk")).applyInArrow(cut, schema)
+    texts = chunks.select("_chunk", "_ids", "_sizes", "_data").groupBy("_chunk")
+    segments = texts.cogroup(wanted.filter("NOT _crowded").groupBy("_chunk")).applyInArrow(cut, schema)
 
     def index(table: pa.Table) -> pa.Table:
         table = table.sort_by([("_id", "ascending"), ("_start", "ascending")])
@@ -388,7 +406,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         )
 
     partial = segments.groupBy("_shard").applyInArrow(index, "_chunk string, _row int, _start long, _end long")
-    intervals = whole.select("_chunk", "_row", "_start", "_end").unionByName(partial)
+    intervals = whole.unionByName(partial)
+    if sent["crowded"]:
+        schema = f"_chunk string, _row int, _id {kind}, _start long, _c1 long, _c2 long"
+        windows = stored(texts.cogroup(wanted.filter("_crowded").groupBy("_chunk")).applyInArrow(singles, schema), "windows")
+        counted = windows.groupBy(*same).agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n"))
+        later = _later(windows, stored(counted.filter("_n > 1"), "repeated"))
+        intervals = intervals.unionByName(later.select("_chunk", "_row", "_start", (F.col("_start") + window).alias("_end")))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = Chunk(left.column("_sizes")[0].as_py(), left.column("_data")[0].as_py())
@@ -419,7 +443,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             [id_col, "n_words", "n_removed", "kept_sha256", "kept_text"],
         )
 
-    grouped = chunks.select("_chunk", "_ids", "_sizes", "_data").groupBy("_chunk").cogroup(intervals.groupBy("_chunk"))
+    grouped = texts.cogroup(intervals.groupBy("_chunk"))
     return grouped.applyInArrow(finish, f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 

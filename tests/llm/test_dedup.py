@@ -97,6 +97,23 @@ def test_crowded_anchors(corpus, monkeypatch):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == expected
 
 
+def test_windows_of_a_passage_that_stands_everywhere_are_not_indexed(spark, monkeypatch):
+    rng = random.Random(6)
+    passage, searched = prose(rng, 30, 10**6), substring_dedup.repeated_windows
+    docs = [(k, f"{prose(rng, 25, 10**6)} {passage} {prose(rng, 25, 10**6)}") for k in range(60)]
+    docs += [(100, f"{passage} {docs[0][1]}"), (101, docs[1][1])]
+
+    def few(found, lengths, window):
+        assert len(lengths) <= 10, "a shard was sent the windows of all texts"
+        return searched(found, lengths, window)
+
+    monkeypatch.setattr(substring_dedup, "CROWDED", 10)
+    monkeypatch.setattr(substring_dedup, "repeated_windows", few)
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(table).collect()}
+    assert got == repeats(docs) and got[0][1] == 0 and got[5][1] == 30 and got[101][1] == 80
+
+
 def test_fm_index_counts():
     import numpy as np
 
