@@ -90,6 +90,23 @@ def test_neighbours_without_markup(spark):
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
+def test_copies_are_no_neighbours(spark):
+    def page(k):
+        return f"<body><div>Menu of the site</div><div>All news</div><p>Own text {k}</p><p>More of {k}</p><div>Imprint</div></body>"
+
+    rows = [(10 * k + c, f"http://h.example/p/{k}.html?copy={c}", page(k)) for k in range(6) for c in range(4)]
+    rows += [(90, "http://h.example/p/2-empty", ""), (91, "http://h.example/p/3-near", page(3) + "<p>Read 17 times</p>")]
+    rows += [(92, "http://h.example/p/4-article", page(4).replace("<p>", "<article><p>", 1).replace("<div>Imp", "</article><div>Imp"))]
+    rows += [(100 + c, "http://alone.example/", page(9)) for c in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r["page_id"]: r["text"].split("\n\n") for r in html_text.extract_text(pages).collect()}
+    assert len(got) == len(rows) and got[90] == [""] and got[92] == ["Own text 4", "More of 4"]
+    for k in range(6):
+        assert all(got[10 * k + c] == [f"Own text {k}", f"More of {k}"] for c in range(4))
+    assert got[91] == ["Own text 3", "More of 3", "Read 17 times"]
+    assert all(len(got[100 + c]) == 5 for c in range(3))
+
+
 def test_longest_common_subsequence():
     rng = random.Random(4)
     for _ in range(60):
