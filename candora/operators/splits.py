@@ -151,17 +151,23 @@ def sample_n(df: DataFrame, n: int, seed: int = 42, key: str = "review_id") -> D
     """``n`` rows without replacement: those with the smallest keyed hashes.
 
     Up to :data:`MERGED_ROWS` this is a top-k per task and a merge. More rows are cut off by position in a global sort
-    of the rows below a hash that slightly more than ``n`` rows lie under.
+    of the rows up to the cell of hashes (counted first, 65,536 at most) in which the ``n``-th lies. Keys may repeat or
+    be null: their rows share a hash, and the other columns spread them over the sort.
     """
     hashed = df.withColumn("_h", keyed_md5(seed, F.col(key)))
     if n <= MERGED_ROWS:
         return hashed.orderBy("_h", key).limit(n).drop("_h")
-    total = df.count()
-    if n >= total:
+    cells = hashed.groupBy(F.substring("_h", 1, 4).alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()
+    last, below = None, 0
+    for cell in sorted(cells, key=lambda c: c["cell"]):
+        last, below = cell["cell"], below + cell["n"]
+        if below >= n:
+            break
+    if last is None or below < n:
         return df
-    slack = n + 10 * math.sqrt(n)  # ten deviations: fewer rows below the hash don't happen
-    below = format(min((1 << 60) - 1, int(slack / total * (1 << 60))), "015x")
-    placed = global_row_number(hashed.filter(F.substring("_h", 1, 15) <= below), ["_h", key], "_place")
+    ties = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()])
+    candidates = hashed.filter(F.substring("_h", 1, 4) <= last).withColumn("_tie", ties)
+    placed = global_row_number(candidates, ["_h", key, "_tie"], "_place").drop("_tie")
     return placed.filter(F.col("_place") < n).drop("_h", "_place")
 
 

@@ -80,3 +80,16 @@ def test_large_poisson_means_are_split(spark):
 def test_row_level_ranks_are_not_single_partition(spark, orders, many_chunks):
     for df in (splits.stratified_kfold(orders), splits.stratified_split(orders)):
         assert "SinglePartition" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_sample_of_repeated_and_null_keys(spark, monkeypatch):
+    monkeypatch.setattr(splits, "MERGED_ROWS", 10)
+    key = F.when(F.col("id") % 3 > 0, F.col("id")).when(F.col("id") < 1500, F.lit(7))
+    df = spark.range(3000).select(key.alias("review_id"), F.col("id").alias("row"))  # a sixth has one id, a sixth has none
+    for seed in range(4):
+        got = [(r["review_id"], r["row"]) for r in splits.sample_n(df, 1200, seed).collect()]
+        assert len(got) == len(set(got)) == 1200
+        hashes = {r["review_id"]: r["h"] for r in df.select("review_id", splits.keyed_md5(seed, F.col("review_id")).alias("h")).collect()}
+        everyone = sorted(hashes[r["review_id"]] for r in df.collect())
+        assert sorted(hashes[k] for k, _ in got) == everyone[:1200]
+    assert splits.sample_n(df, 3000).count() == splits.sample_n(df, 5000).count() == 3000 and splits.sample_n(df.limit(0), 20).count() == 0
