@@ -1,4 +1,7 @@
-"""Trigram language model as a weighted backoff automaton, learned from and applied to whole corpora.
+"""Trigram language model with the weights of a backoff automaton, learned from and applied to whole corpora.
+
+The automaton below defines the scores; it is not built. :func:`traverse` looks up the counts of each position's word,
+pair and triple and evaluates for all positions at once what following the arcs would give.
 
 States are the beginning of a text and the words and word pairs seen in training. A state h has an arc for every word w
 seen after it, with weight ``(c(h w) + m p(w)) / (c(h) + m)``, where p belongs to the state without h's first word, and a
