@@ -5,11 +5,13 @@ from __future__ import annotations
 from candora.llm import (
     decontamination,
     exact_dedup,
+    hard_negatives,
     html_text,
     language_id,
     language_model,
     minhash_dedup,
     mixing,
+    ranked_search,
     substring_dedup,
     toxicity,
     warc,
@@ -26,9 +28,13 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_language_id": language_id.op10_language_id,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_ranked_search": ranked_search.op13_ranked_search,
 }
 ORACLES = {
     "op1_warc": warc.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op9_decontamination": decontamination.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
+    "op13_ranked_search": ranked_search.ORACLE,
 }
