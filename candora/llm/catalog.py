@@ -11,6 +11,7 @@ from candora.llm import (
     language_model,
     minhash_dedup,
     mixing,
+    pii,
     ranked_search,
     substring_dedup,
     toxicity,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_language_id": language_id.op10_language_id,
+    "op11_pii": pii.op11_pii,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_ranked_search": ranked_search.op13_ranked_search,
 }
