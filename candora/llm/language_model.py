@@ -112,7 +112,7 @@ class Chunk:
     def __init__(self, held, lengths, codes: bytes, words: bytes, spare: int):
         self.lengths = np.asarray(lengths, np.int64)
         self.code = unpack(codes).astype(np.int64)
-        self.words = unpack_keys(words) >> np.uint64(spare) << np.uint64(spare)
+        self.words = unpack_keys(words)  # 64 bits: what is counted of words is exact
         self.held = np.asarray(held, bool)
         self.start = np.cumsum(self.lengths) - self.lengths
         self.before = np.empty(len(self.code), np.int64)
@@ -139,8 +139,8 @@ class Chunk:
 
 
 def _spare_bits(size: int) -> int:
-    """Low bits of a key that can go: what is left tells each of ``size`` tokens' words, pairs and triples from all
-    others but for one in ``2 ** GUARD_BITS``, in small corpora as in large ones."""
+    """Low bits of a pair's or triple's key that can go: what is left tells each of ``size`` tokens' pairs and triples
+    from all others but for one in ``2 ** GUARD_BITS``, in small corpora as in large ones."""
     return max(0, 64 - GUARD_BITS - (3 * size).bit_length())
 
 
@@ -153,7 +153,7 @@ def _requests(chunks: DataFrame, ranges: int, spare: int) -> DataFrame:
                 out = []
                 for kind, (keys, counts) in enumerate(zip(chunk.keys(), chunk.counts(), strict=True)):
                     for r, own in range_slices(keys, ranges):
-                        out.append((r, kind, name, pack_keys(keys[own], spare), pack(counts[own])))
+                        out.append((r, kind, name, pack_keys(keys[own], spare if kind else 0), pack(counts[own])))
                 columns = list(zip(*out, strict=True))
                 kinds = [pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays(

@@ -274,6 +274,19 @@ def _open_buckets(pending: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(keys, "_key")
 
 
+def _by_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, width: int) -> DataFrame:
+    """:func:`near_duplicates` of rows that their ids don't tell apart: by numbers of rows, named by ids afterwards."""
+    texts = docs.select(F.col(id_col).alias("_own"), F.col(text_col).cast("string").alias("_text"))
+    texts = stored(texts.withColumn("_number", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(texts, "_number", "_text", shingle=shingle, percent=percent, width=width)
+    found = stored(found.join(texts.select("_number", "_own"), "_number"), "found")
+    names = found.groupBy("component_id").agg(F.min("_own").alias("_name"), F.count(F.lit(1)).alias("_size"))
+    named = attach(found, names, ["component_id"], "_size", ["_number"])
+    return named.select(
+        F.col("_own").alias(id_col), "n_shingles", F.col("_name").alias("component_id"), F.col("_own").eqNullSafe(F.col("_name")).alias("kept")
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -286,11 +299,15 @@ def near_duplicates(
     """One row per document: id, ``n_shingles``, ``component_id`` (smallest id of its component), ``kept``.
 
     Documents are linked when ``100 * intersection >= percent * union`` of their sets of ``shingle``-word shingles (A-Z
-    lower-cased; fewer words count as one shingle). Null, empty and blank texts have no shingle and stay alone.
-    Ids must be unique and not null; other columns are ignored.
+    lower-cased; fewer words count as one shingle). Null, empty and blank texts have no shingle and stay alone. Rows with
+    repeated or null ids are documents of their own: a component is named by its smallest id (null only if it has no
+    other), and every row that carries this id is kept. Other columns are ignored.
     """
     halves = halves_for(percent / 100, width)
     rows = stored(sketch(docs, id_col, text_col, shingle, halves, width), "sketches")
+    ids = rows.groupBy("_id").agg(F.count(F.lit(1)).alias("n"))
+    if not ids.filter("n > 1 OR _id IS NULL").isEmpty():
+        return _by_rows(docs, id_col, text_col, shingle, percent, width)
     same = ["_f1", "_f2", "_n"]
     classes = rows.filter("_n > 0").groupBy(*same).agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_size"))
     classes = stored(classes, "classes")

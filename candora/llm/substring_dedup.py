@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -264,17 +265,18 @@ def _content(words: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[
 
 
 def _later(places: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Rows of ``places`` whose content ``repeated`` has at an earlier place: places in texts are compared, not copies of an id."""
-    found = attach(places, repeated.select("_c1", "_c2", "_first", "_n"), ["_c1", "_c2"], "_n", ["_id", "_start"])
-    return found.filter(F.col("_first").isNotNull() & ((F.col("_id") != F.col("_first._id")) | (F.col("_start") != F.col("_first._start"))))
+    """Rows of ``places`` whose content ``repeated`` has at an earlier place."""
+    found = attach(places, repeated.select("_c1", "_c2", "_first", "_n"), ["_c1", "_c2"], "_n", ["_chunk", "_row", "_start"])
+    elsewhere = [F.col(c) != F.col(f"_first.{c}") for c in ("_chunk", "_row", "_start")]
+    return found.filter(F.col("_first").isNotNull() & (elsewhere[0] | elsewhere[1] | elsewhere[2]))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """One row per text: id, ``n_words``, ``n_removed``, ``kept_sha256`` and ``kept_text`` (kept words, one space between).
 
-    Words are split at white space and compared as they are. Null and empty texts have no words. Ids should be unique
-    and not null (equal ids are ordered by their place in the text alone, so neither copy's windows count as earlier).
-    Other columns are ignored.
+    Words are split at white space and compared as they are. Null and empty texts have no words. Rows with a null id come
+    before all others; rows with equal ids are texts of their own, one of them the earlier (the place in the input
+    decides). Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -313,7 +315,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = chunks.select("_chunk", "_ids", "_sizes", "_data").groupBy("_chunk").cogroup(answers.groupBy("_chunk"))
     found = stored(found.applyInArrow(occurrences, schema), "segments")
     same = ["_c1", "_c2"]
-    place = F.struct("_id", "_start", "_chunk", "_row")
+    place = F.struct("_id", "_chunk", "_row", "_start")
     contents = found.groupBy(*same).agg(
         F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n"), F.first("_anchor").alias("_anchor"), F.first("_windows").alias("_windows")
     )
@@ -386,7 +388,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     segments = texts.cogroup(wanted.filter("NOT _crowded").groupBy("_chunk")).applyInArrow(cut, schema)
 
     def index(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("_id", "ascending"), ("_start", "ascending")])
+        order = [(c, "ascending") for c in ("_id", "_chunk", "_row", "_start")]
+        table = table.take(pc.sort_indices(table, sort_keys=order, null_placement="at_start"))
         lengths = np.array([len(b) // 8 for b in table.column("_words").to_pylist()], np.int64)
         words = np.frombuffer(b"".join(table.column("_words").to_pylist()), np.uint64)
         begin = np.cumsum(lengths) - lengths

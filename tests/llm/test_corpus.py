@@ -77,6 +77,27 @@ def test_article_of_a_page():
     assert html_text.main_lines(lines, kinds, []) == ["A & B", "First line.", "Second one é", "a < b > c xy", "u", "v"]
 
 
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ('<p>one <img class="ad"> two</p>', "one two"), ("<p>see <embed src=x> rest</p>", "see rest"), ('a <br class="share">b', "a b"),
+        ('x <input class="login" value=q>y<hr class=menu>z', "x y|z"), ("<link class=sidebar>k <wbr id=ad>l", "k l"),
+        ('<aside>gone <img> too</aside><p>k</p>', "k"), ('<p class="ad">gone<p>k', "k"),
+    ],
+)
+def test_void_elements_take_nothing_along(source, text):
+    for whole in (source, f"<article>{source}</article>"):
+        lines, kinds = html_text.page_lines(whole)
+        assert "|".join(html_text.main_lines(lines, kinds, [False] * len(lines))) == text
+
+
+def test_pages_without_names(spark):
+    rows = [(None, "http://h/1", "<article>one</article>"), (None, "http://h/1", "<article>one</article>"), (3, None, "<p>x"), (3, "http://h/3", "<p>y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(((r["page_id"], r["text"]) for r in html_text.extract_text(pages).collect()), key=str)
+    assert got == [(3, "x"), (3, "y"), (None, "one"), (None, "one")]
+
+
 def test_neighbours_without_markup(spark):
     def page(k):
         return f"<body><div>Menu of the site</div><div>All news</div><p>Own text {k}</p><p>More of {k}</p><div>Imprint</div></body>"
@@ -231,7 +252,9 @@ def test_insults_are_learned(spark):
     assert got[1002] > 0.3 and max(got[1000], got[1001], got[1003]) < 0.3
     plain, gapped, inserted = (model.score(f"re the {w} ing") for w in ("slurpig", "s l u r p i g", "slurpxig"))
     assert plain >= 0.3 and gapped >= 0.3 and inserted > model.score("re the stedly ing")
-    assert model.score_many(["ing", None, "dumbolt " * 5]) == pytest.approx([model.score("ing"), model.score(None), model.score("dumbolt")])
+    texts = ["ing", None, "dumbolt " * 5, "dumbolt", ""]
+    assert model.score_many(texts) == pytest.approx([model.score(t) for t in texts])
+    assert model.score("dumbolt " * 5) >= model.score("dumbolt")  # repeats are evidence
 
 
 def test_toxicity_without_labels(spark):

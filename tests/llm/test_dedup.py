@@ -172,3 +172,26 @@ def test_empty_tables(spark, corpus):
     assert substring_dedup.remove_repeats(none).count() == 0
     assert decontamination.find_contained(none, items).count() == 0
     assert decontamination.find_contained(corpus, items.limit(0)).count() == 0
+
+
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    rng = random.Random(9)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(7, a), (7, a), (3, a), (None, b), (None, b), (5, c), (5, b), (None, None), (9, c + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash_dedup.near_duplicates(docs).collect()
+    found = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in got), key=str)
+    want = [(7, 3, False), (7, 3, False), (3, 3, True), (None, 5, False), (None, 5, False), (5, 5, True), (5, 5, True), (None, None, True), (9, 5, False)]
+    assert found == sorted(want, key=str)
+
+
+def test_repeats_between_rows_of_one_id(spark):
+    rng = random.Random(10)
+    text, other = " ".join(f"u{k}" for k in range(50)), prose(rng, 40)
+    rows = [(1, text), (1, text), (None, other), (None, other), (2, f"a {other} b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for crowded in (2000, 0):
+        old, substring_dedup.CROWDED = substring_dedup.CROWDED, crowded
+        got = sorted(((r["doc_id"], r["n_removed"]) for r in substring_dedup.remove_repeats(docs).collect()), key=str)
+        substring_dedup.CROWDED = old
+        assert got == sorted([(1, 0), (1, 50), (None, 0), (None, 40), (2, 40)], key=str)
