@@ -34,8 +34,8 @@ from candora.llm.shared import over_batches, stored
 
 TOP = 10
 BLOCK_TERMS = 500_000  # item terms (with repeats) searched at a time: bounds the broadcast index of items
-CHUNK_DOCS = 4096  # documents of one tree
-CHUNK_ENTRIES = 1_000_000  # terms of the documents of one tree; a longer document stands alone
+CHUNK_DOCS = 1024  # documents of one tree
+CHUNK_ENTRIES = 200_000  # terms of the documents of one tree; a longer document stands alone
 LEAF = 24  # documents that are scored together
 SAFE = 1e-9  # relative error allowed for in bounds; sums of 64-bit floats of this length err by far less
 
