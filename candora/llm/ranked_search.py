@@ -26,17 +26,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candora.llm import tokens
+from candora.llm.packing import pack, unpack
 from candora.llm.shared import over_batches, stored
 
 TOP = 10
 BLOCK_TERMS = 500_000  # item terms (with repeats) searched at a time: bounds the broadcast index of items
-CHUNK_DOCS = 1024  # documents of one tree
-CHUNK_ENTRIES = 200_000  # terms of the documents of one tree; a longer document stands alone
-LEAF = 24  # documents that are scored together
+CHUNK_DOCS = 2048  # documents of one tree
+CHUNK_ENTRIES = 250_000  # terms of the documents of one tree; a longer document stands alone
+LEAF = 64  # documents that are scored together
 SAFE = 1e-9  # relative error allowed for in bounds; sums of 64-bit floats of this length err by far less
 
 _TERMS = np.full(256, 32, np.uint8)  # every byte of a term as itself, A-Z lower-cased; the rest are blanks
@@ -136,8 +138,9 @@ def occurrence_weights(tf: np.ndarray, n: np.ndarray, documents: int, total: int
 class Tree:
     """Documents in rows of a sparse matrix, and the nodes over them.
 
-    Row ``i`` holds ``term[first[i]:first[i + 1]]`` with ``weight``. A node has rows ``rows[begin:end]``, children
-    ``left`` and ``right`` (-1 at leaves), its radius, and centroid entries ``c_first[k]:c_first[k + 1]``.
+    Place ``i`` is document ``rows[i]`` and holds ``term[first[i]:first[i + 1]]`` with ``weight``. A node has the places
+    ``begin`` to ``end``, children ``left`` and ``right`` (-1 at leaves), its radius, and centroid entries
+    ``c_first[k]:c_first[k + 1]``.
     """
 
     first: np.ndarray
@@ -154,15 +157,39 @@ class Tree:
     c_mean: np.ndarray
     c_above: np.ndarray
 
-    def entries(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the entries of ``rows``, and where each row's entries begin among them."""
-        size = self.first[rows + 1] - self.first[rows]
-        starts = np.cumsum(size) - size
-        return np.repeat(self.first[rows] - starts, size) + np.arange(size.sum()), starts
-
 
 _FIELDS = ("first", "term", "weight", "rows", "begin", "end", "left", "right", "radius", "c_first", "c_term", "c_mean", "c_above")
-_KINDS = ("<i8", "<i4", "<i8", "<i4", "<i4", "<i4", "<i4", "<i4", "<f8", "<i8", "<i4", "<f8", "<f8")
+_REAL = {"radius", "c_mean", "c_above"}
+
+
+def to_blobs(tree: Tree) -> list[bytes]:
+    """Compressed fields; real numbers with 24 bits, rounded up (a larger centroid or excess only raises bounds)."""
+    out = []
+    for name in _FIELDS:
+        values = getattr(tree, name)
+        if name in _REAL:
+            short = np.nextafter(values.astype(np.float32), np.float32(np.inf))
+            out.append(zstandard.ZstdCompressor(level=1).compress(short.tobytes()))
+        else:
+            out.append(pack(values + 1 if name in ("left", "right") else values))  # -1 at leaves
+    return out
+
+
+def from_blobs(blobs: list[bytes]) -> Tree:
+    fields = {}
+    for name, blob in zip(_FIELDS, blobs, strict=True):
+        if name in _REAL:
+            fields[name] = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.float32).astype(float)
+        else:
+            fields[name] = unpack(blob).view(np.int64) - (name in ("left", "right"))
+    return Tree(**fields)
+
+
+def _entries(first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the entries of ``rows``, and where each row's entries begin among them."""
+    size = first[rows + 1] - first[rows]
+    starts = np.cumsum(size) - size
+    return np.repeat(first[rows] - starts, size) + np.arange(size.sum()), starts
 
 
 def build_tree(first: np.ndarray, term: np.ndarray, weight: np.ndarray) -> Tree:
@@ -191,7 +218,7 @@ def build_tree(first: np.ndarray, term: np.ndarray, weight: np.ndarray) -> Tree:
         if parent >= 0:
             (right if is_right else left)[parent] = node
         rows = tree.rows[low:high]
-        entries, starts = tree.entries(rows)
+        entries, starts = _entries(first, rows)
         order = np.argsort(term[entries], kind="stable")
         sorted_terms, sorted_values = term[entries][order], value[entries][order]
         new = np.flatnonzero(np.r_[True, sorted_terms[1:] != sorted_terms[:-1]])
@@ -222,6 +249,8 @@ def build_tree(first: np.ndarray, term: np.ndarray, weight: np.ndarray) -> Tree:
             near_far = np.arange(len(rows)) < size
         tree.rows[low:high] = np.concatenate([rows[near_far], rows[~near_far]])
         open_nodes += [(low + size, high, node, True), (low, low + size, node, False)]
+    entries, starts = _entries(first, tree.rows)
+    tree.first, tree.term, tree.weight = np.r_[starts, len(entries)].astype(np.int64), term[entries], weight[entries]
     tree.begin, tree.end = np.array(begin, np.int64), np.array(end, np.int64)
     tree.left, tree.right, tree.radius = np.array(left, np.int64), np.array(right, np.int64), np.array(radius, float)
     tree.c_first = np.r_[0, np.cumsum([len(t) for t in terms])].astype(np.int64)
@@ -244,11 +273,13 @@ def search_tree(
     least = max(least, 1)
 
     def bound(node: int) -> float:
-        own = slice(tree.c_first[node], tree.c_first[node + 1])
-        use = coefficient[tree.c_term[own]]
-        product = float(use @ tree.c_mean[own])
-        high = product + min(norm * tree.radius[node], float(use @ tree.c_above[own]))
-        return high * (1 + SAFE) + 1
+        low, high = tree.c_first[node], tree.c_first[node + 1]
+        at = low + np.searchsorted(tree.c_term[low:high], terms)
+        at[at == high] = low
+        hit = tree.c_term[at] == terms
+        at, use = at[hit], times[hit]
+        product = float(use @ tree.c_mean[at])
+        return (product + min(norm * tree.radius[node], float(use @ tree.c_above[at]))) * (1 + SAFE) + 1
 
     heap = [(-bound(0), 0)] if len(tree.begin) else []
     scored = 0
@@ -263,9 +294,9 @@ def search_tree(
                     heapq.heappush(heap, (-limit, child))
             continue
         scored += 1
-        rows = tree.rows[tree.begin[node] : tree.end[node]]
-        entries, starts = tree.entries(rows)
-        scores = np.add.reduceat(coefficient[tree.term[entries]] * tree.weight[entries], starts)
+        places = tree.first[tree.begin[node] : tree.end[node] + 1]
+        rows, own = tree.rows[tree.begin[node] : tree.end[node]], slice(places[0], places[-1])
+        scores = np.add.reduceat(coefficient[tree.term[own]] * tree.weight[own], places[:-1] - places[0])
         good = scores >= least
         for entry in zip(scores[good].tolist(), (-rows[good]).tolist(), strict=True):
             if len(best) < top:
@@ -309,7 +340,7 @@ def _trees(postings: DataFrame, kind: str, documents: int, total: int, weights)
             length = np.repeat(n.to_numpy(zero_copy_only=False), np.diff(first))
             weight = weights.value[term] * occurrence_weights(tf, length, documents, total)
             tree = build_tree(first, term, weight)
-            packed = [pa.array([getattr(tree, f).astype(k).tobytes()], pa.binary()) for f, k in zip(_FIELDS, _KINDS, strict=True)]
+            packed = [pa.array([blob], pa.binary()) for blob in to_blobs(tree)]
             whole = pa.array(np.array([0, len(ids)], np.int32))
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(whole, ids), *packed], ["_ids", *_FIELDS])
 
@@ -325,11 +356,7 @@ def _found(trees: DataFrame, kind: str, items, size: int, top: int, leaves: int
         coefficient = np.zeros(size, np.int64)
         for batch in batches:
             for k in range(batch.num_rows):
-                fields = [
-                    np.frombuffer(batch.column(f)[k].as_buffer(), kind).astype(np.int64 if "i" in kind else float, copy=False)
-                    for f, kind in zip(_FIELDS, _KINDS, strict=True)
-                ]
-                tree = Tree(*fields)
+                tree = from_blobs([batch.column(f)[k].as_py() for f in _FIELDS])
                 item, score, row = [], [], []
                 for q in range(len(numbers)):
                     own = slice(first[q], first[q + 1])

@@ -173,6 +173,10 @@ def test_trees_are_exact_and_prune():
     weight[first[1500] :] = np.tile(weight[: first[1]], 200)
     tree = ranked_search.build_tree(first, term, weight)
     assert sorted(tree.rows) == list(range(len(rows)))
+    again = ranked_search.from_blobs(ranked_search.to_blobs(tree))
+    assert all((getattr(again, f) == getattr(tree, f)).all() for f in ranked_search._FIELDS if f not in ranked_search._REAL)
+    assert all((getattr(again, f) >= getattr(tree, f)).all() for f in ranked_search._REAL)
+    tree = again
     leaves, scratch = int((tree.left < 0).sum()), np.zeros(520, np.int64)
     visited = 0
     for item in range(60):
