@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from candora.catalog import behavior as behavior_catalog
 from candora.catalog import text as text_catalog
 from candora.catalog.learning import behavior_vectors
 from candora.catalog.views import REVIEWS_SQL, VECTORS_SQL, r6, reviews, rounded, text_reviews, vectors
+from candora.functions.columns import sigmoid
 from candora.operators import behavior, evaluation, fusion, mlp, models, persistence, splits, text, validation
+from candora.operators.balance import with_class_weight
 from candora.plans.storage import freeze, scratch_path
 
 
@@ -48,33 +51,62 @@ def pca_variance(spark, sf):
 
 
 def logreg_optimum(spark, sf):
-    """Gradient of the penalised weighted loss at the fitted weights, per feature."""
+    """Gradient of the penalised weighted loss at the fitted weights, per feature and for the intercept."""
     rows = freeze(vectors(spark, sf))
-    score = models.logreg_balanced(rows, max_iter=1000, tolerance=1e-12)
+    score = models.logreg_balanced(rows, max_iter=1000, tolerance=1e-9)
     path = scratch_path(spark, "logreg")
     persistence.save_logistic(score, path)
-    score = persistence.load_logistic(path)
-    weights = models.with_class_weight(rows)
-    fitted = score(weights)
-    beta = score.model.coefficients.toArray()
+    score = persistence.load_logistic(spark, path)
+    fitted = score(with_class_weight(rows))
     error = F.col("weight") * (F.col("prob") - F.col("label"))
-    from pyspark.ml.functions import vector_to_array
-
-    cells = fitted.select(error.alias("e"), F.posexplode(vector_to_array("features")).alias("position", "x"))
+    with_one = F.concat(F.col("features").cast("array<double>"), F.array(F.lit(1.0)))
+    cells = fitted.select(error.alias("e"), F.posexplode(with_one).alias("position", "x"))
     sums = cells.groupBy("position").agg(F.sum(F.col("e") * F.col("x")).alias("g"))
-    known = F.array(*[F.lit(float(b)) for b in beta])
-    return sums.select("position", (F.abs(F.col("g") + known[F.col("position")]) < 1e-3).alias("is_zero"))
+    beta = F.array(*[F.lit(float(b)) for b in [*score.weights[0][:-1], 0.0]])  # the intercept isn't penalised
+    return sums.select("position", (F.abs(F.col("g") + beta[F.col("position")]) < 1e-3).alias("is_zero"))
+
 
+def svm_optimum(spark, sf):
+    """Gradient of the penalised squared hinge loss of each machine, per feature and for the intercept, and how many rows it counts.
 
-def svm_members(spark, sf):
-    """Probabilities of the loaded model against the mean of its members' calibrated ones."""
-    rows = vectors(spark, sf)
+    Each machine (fold 1, 2 and 3) leaves its own fold out; places are computed with the loaded model.
+    """
+    rows = freeze(vectors(spark, sf))
+    score = models.linear_svm_calibrated(rows, max_iter=1000, tolerance=1e-9)
     path = scratch_path(spark, "svm")
-    persistence.save_svm(models.linear_svm_calibrated(rows), path)
-    scored = persistence.load_svm(spark, path)(rows, margins=True)
-    mean = (F.col("_m0") + F.col("_m1") + F.col("_m2")) / 3
-    fits = (F.abs(F.col("prob") - mean) < 1e-12) & (F.col("prob") > 0) & (F.col("prob") < 1)
-    return scored.agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(fits, True)).alias("n_fits"))
+    persistence.save_svm(score, path)
+    score = persistence.load_svm(spark, path)
+    folds = splits.stratified_kfold(rows.select("review_id", "label", "features"), 3)
+    scored = freeze(score(folds, margins=True))
+    parts = []
+    for machine in (1, 2, 3):
+        rest = with_class_weight(scored.filter(F.col("fold") != machine))
+        sign = 2 * F.col("label") - 1
+        pull = -2 * F.col("weight") * sign * F.greatest(F.lit(0.0), 1 - sign * F.col("_margins")[machine - 1])
+        with_one = F.concat(F.col("features").cast("array<double>"), F.array(F.lit(1.0)))
+        cells = rest.select(pull.alias("e"), F.posexplode(with_one).alias("position", "x"))
+        sums = cells.groupBy("position").agg(F.sum(F.col("e") * F.col("x")).alias("g"), F.count(F.lit(1)).alias("n_rows"))
+        beta = F.array(*[F.lit(float(b)) for b in score.weights[machine - 1]])
+        zero = (F.abs(F.col("g") + beta[F.col("position")]) < 1e-3).alias("is_zero")
+        parts.append(sums.select(F.lit(machine).alias("machine"), "position", zero, "n_rows"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def svm_calibration(spark, sf):
+    """Stationarity of each machine's sigmoid on the fold that it left out: errors and errors times margins add up to zero."""
+    rows = freeze(vectors(spark, sf))
+    score = models.linear_svm_calibrated(rows)
+    folds = splits.stratified_kfold(rows.select("review_id", "label", "features"), 3)
+    scored = score(folds, margins=True)
+    place = F.col("fold") - 1
+    slopes, offsets = (F.array(*[F.lit(float(x)) for x in score.curves[:, k]])[place] for k in (0, 1))
+    margin = F.col("_margins")[place]
+    ones = F.sum("label").over(Window.partitionBy("fold"))
+    zeros = F.count(F.lit(1)).over(Window.partitionBy("fold")) - ones
+    goal = F.when(F.col("label") == 1, (ones + 1) / (ones + 2)).otherwise(1 / (zeros + 2))
+    errors = scored.select("fold", margin.alias("m"), (sigmoid(margin * slopes + offsets) - goal).alias("e"))
+    sums = errors.groupBy("fold").agg(F.sum("e").alias("a"), F.sum(F.col("e") * F.col("m")).alias("b"), F.count(F.lit(1)).alias("n_rows"))
+    return sums.select("fold", ((F.abs("a") < 1e-4) & (F.abs("b") < 1e-4)).alias("is_zero"), "n_rows")
 
 
 def forest_stump(spark, sf):
@@ -88,13 +120,41 @@ def forest_stump(spark, sf):
     forest = models.random_forest(rows, trees=1, depth=1)
     persistence.save_forest(forest, path)
     importance = models.rf_feature_importance(forest, ["rating"]).collect()[0]["importance"]
-    scored = persistence.load_forest(path)(rows)
+    scored = persistence.load_forest(spark, path)(rows)
     return rounded(
         scored.groupBy("rating").agg(F.max("prob").alias("prob"), F.count(F.lit(1)).alias("n_rows"))
         .withColumn("importance", F.lit(float(importance)))
     )
 
 
+LEVELS = 2
+
+
+def _three_features(spark, sf):
+    """Rating, store and month of each review; the label is turned round for high ratings of some stores."""
+    rows = reviews(spark, sf)
+    store, month = F.pmod("product_id", F.lit(5)), F.month("date")
+    turned = F.when((F.col("rating") >= 3) & (store < 2), 1 - F.col("label")).otherwise(F.col("label"))
+    values = [F.col("rating").cast("double"), store.cast("double"), month.cast("double")]
+    return rows.select("review_id", turned.alias("label"), F.array(*values).alias("features"))
+
+
+def tree_of_two_levels(spark, sf):
+    """One tree of depth 2 on three features: the probability of every combination of their values."""
+    rows = freeze(_three_features(spark, sf))
+    path = scratch_path(spark, "tree")
+    persistence.save_forest(models.random_forest(rows, trees=1, depth=LEVELS), path)
+    scored = persistence.load_forest(spark, path)(rows)
+    scored = scored.select(*[F.col("features")[k].alias(n) for k, n in enumerate(("rating", "store", "month"))], "prob")
+    return rounded(scored.groupBy("rating", "store", "month").agg(F.max("prob").alias("prob"), F.count(F.lit(1)).alias("n_rows")))
+
+
+def tree_importance(spark, sf):
+    """Shares of the three features in the gain of one tree of depth 2."""
+    forest = models.random_forest(_three_features(spark, sf), trees=1, depth=LEVELS)
+    return rounded(models.rf_feature_importance(forest, ["rating", "store", "month"]))
+
+
 def document_reviews(spark, sf):
     """Documents as reviews with text and behaviour."""
     texts = text_reviews(spark, sf).filter(F.col("label").isNotNull())
@@ -148,11 +208,40 @@ def cross_validated_forest(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        saved_scaler, saved_tfidf, pca_variance, logreg_optimum, svm_members, forest_stump, fusion_model, fusion_history,
+        saved_scaler, saved_tfidf, pca_variance, logreg_optimum, svm_optimum, svm_calibration, forest_stump, tree_of_two_levels,
+        tree_importance, fusion_model, fusion_history,
         all_models, cross_validated_forest,
     )
 }
 
+_FOLDS_SQL = """
+    folded AS (
+      SELECT review_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('42|' || review_id), review_id) - 1) % 3 + 1 AS INTEGER) AS fold
+      FROM vectors)"""
+
+
+def _cut_sql(name: str, rows: str, node: str) -> str:
+    """Best cut by Gini impurity in each node of ``rows`` (value lists ``v``): feature, the largest value on the left, gain."""
+    return f"""
+    cells_{name} AS (SELECT {node} AS node, f, v[f] AS x, count(*)::DOUBLE AS n, sum(label)::DOUBLE AS k
+      FROM {rows}, (SELECT unnest([1, 2, 3]) AS f) GROUP BY ALL),
+    sides_{name} AS (SELECT node, f, x, sum(n) OVER up AS ln, sum(k) OVER up AS lk, sum(n) OVER whole AS tn, sum(k) OVER whole AS tk
+      FROM cells_{name} WINDOW up AS (PARTITION BY node, f ORDER BY x), whole AS (PARTITION BY node, f)),
+    {name} AS (
+      SELECT node, f, x, 2 * tk * (tn - tk) / tn - 2 * lk * (ln - lk) / ln - 2 * (tk - lk) * (tn - ln - tk + lk) / (tn - ln) AS gain
+      FROM sides_{name} WHERE ln < tn QUALIFY row_number() OVER (PARTITION BY node ORDER BY round(gain, 6) DESC, f, x) = 1)"""
+
+
+_TREE_SQL = f"""
+    {REVIEWS_SQL},
+    base AS (SELECT review_id, [rating::DOUBLE, (product_id % 5)::DOUBLE, month(date)::DOUBLE] AS v,
+      CASE WHEN rating >= 3 AND product_id % 5 < 2 THEN 1 - label ELSE label END AS label FROM reviews),
+    {_cut_sql('cut0', 'base', '0')},
+    halves AS (SELECT base.*, v[f] <= x AS side FROM base, cut0),
+    {_cut_sql('cut1', 'halves', 'side')},
+    quarters AS (SELECT review_id, v, label, side, coalesce(v[f] <= x, true) AS part FROM halves LEFT JOIN cut1 ON side = node),
+    leaves AS (SELECT v[1] AS v1, v[2] AS v2, v[3] AS v3, avg(label) OVER (PARTITION BY side, part) AS leaf FROM quarters)"""
+
 ORACLES = {
     "saved_scaler": behavior_catalog.ORACLES["standardize_apply"],
     "saved_tfidf": text_catalog.ORACLES["tfidf"],
@@ -161,8 +250,24 @@ ORACLES = {
         cells AS (SELECT review_id, unnest(range(1, 65)) AS j, features FROM vectors),
         spread AS (SELECT j, var_pop(features[j]) AS v FROM cells GROUP BY j)
         SELECT round(sum(v), 4) AS total_variance, true AS uncorrelated, true AS descending FROM spread""",
-    "logreg_optimum": "SELECT CAST(range AS INTEGER) AS position, true AS is_zero FROM range(0, 64)",
-    "svm_members": "SELECT count(*) AS n_rows, count(*) AS n_fits FROM embeddings",
+    "logreg_optimum": "SELECT CAST(range AS INTEGER) AS position, true AS is_zero FROM range(0, 65)",
+    "svm_optimum": f"""
+        WITH {VECTORS_SQL}, {_FOLDS_SQL}
+        SELECT machine, CAST(range AS INTEGER) AS position, true AS is_zero, count(*) AS n_rows
+        FROM folded JOIN (SELECT unnest([1, 2, 3])::INTEGER AS machine) ON fold <> machine, range(0, 65) GROUP BY ALL""",
+    "svm_calibration": f"""
+        WITH {VECTORS_SQL}, {_FOLDS_SQL}
+        SELECT fold, true AS is_zero, count(*) AS n_rows FROM folded GROUP BY fold""",
+    "tree_of_two_levels": f"""
+        WITH {_TREE_SQL}
+        SELECT v1 AS rating, v2 AS store, v3 AS month, {r6('any_value(leaf)')} AS prob, count(*) AS n_rows FROM leaves GROUP BY ALL""",
+    "tree_importance": f"""
+        WITH {_TREE_SQL},
+        gains AS (SELECT f, sum(gain) AS gain FROM (SELECT f, gain FROM cut0 UNION ALL SELECT f, gain FROM cut1) GROUP BY f),
+        shares AS (SELECT ['rating', 'store', 'month'][n.f] AS feature, coalesce(gain, 0) / (SELECT sum(gain) FROM gains) AS importance
+          FROM (SELECT unnest([1, 2, 3]) AS f) n LEFT JOIN gains USING (f))
+        SELECT feature, {r6('importance')} AS importance, CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank
+        FROM shares""",
     "forest_stump": f"""
         WITH {REVIEWS_SQL},
         turned AS (SELECT rating, CASE WHEN rating >= 3 THEN 1 - label ELSE label END AS label FROM reviews),

@@ -1,33 +1,29 @@
-"""Baseline classifiers on Spark ML behind the ``fit(train) -> score(rows)`` protocol.
+"""Baseline classifiers behind the ``fit(train) -> score(rows)`` protocol.
 
 Inputs are ``(review_id, label, features)`` with ``features`` a double array or an ML vector.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.ml.classification import (
-    LinearSVC,
-    LogisticRegression,
-    LogisticRegressionModel,
-    RandomForestClassificationModel,
-    RandomForestClassifier,
-)
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import numpy as np
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from candora.operators.balance import with_class_weight
+from candora.functions.columns import sigmoid
+from candora.operators import linear
+from candora.operators.forest import ForestScore, random_forest, rf_feature_importance
 from candora.operators.splits import stratified_kfold
 from candora.operators.text import tfidf_fit, tfidf_vectors
 from candora.operators.validation import Fit, Score
-from candora.plans.storage import shared_dir
 
+__all__ = [
+    "ForestScore", "LogisticScore", "SvmScore", "as_vectors", "linear_svm_calibrated", "logreg_balanced", "on_tfidf", "random_forest",
+    "rf_feature_importance",
+]
 
-TOLERANCE = 1e-4  # relative convergence tolerance of the iterative learners
+TOLERANCE = 1e-4  # the gradient's fall, relative to the first one, at which the iterative learners stop
 
 
 def as_vectors(df: DataFrame, column: str = "features") -> DataFrame:
@@ -37,154 +33,65 @@ def as_vectors(df: DataFrame, column: str = "features") -> DataFrame:
     return df.withColumn(column, array_to_vector(F.col(column).cast("array<double>")))
 
 
-ROWS_PER_TASK = 1000  # below this a task's start-up outweighs its work
-MOST_ROWS = 500_000  # rows that a task holds at most
-
-
-def _placed(df: DataFrame) -> tuple[DataFrame, int]:
-    """Training rows hashed by id and cached, and how many there are.
-
-    Every optimiser iteration and tree level is a pass over these rows: small tables take few tasks, and no task
-    holds more than :data:`MOST_ROWS` rows, however large the table.
-    """
-    spark = df.sparkSession
-    usual = max(
-        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    )
-    rows = df.count()
-    tasks = max(1, min(rows // ROWS_PER_TASK, usual), rows // MOST_ROWS)
-    return df.repartition(tasks, "review_id").persist(), rows
-
-
-def _with_prob(scored: DataFrame) -> DataFrame:
-    return (
-        scored.withColumn("prob", vector_to_array("probability")[1])
-        .withColumn("pred", F.col("prediction").cast("int"))
-        .drop("rawPrediction", "probability", "prediction")
-    )
-
-
 class LogisticScore:
-    """Fitted logistic regression: callable on rows."""
+    """Fitted logistic regression: callable on rows. ``weights`` has a row, the intercept last."""
 
-    def __init__(self, model: LogisticRegressionModel) -> None:
-        self.model = model
+    def __init__(self, weights: np.ndarray) -> None:
+        self.weights = weights
 
     def __call__(self, df: DataFrame) -> DataFrame:
-        return _with_prob(self.model.transform(as_vectors(df)))
+        scored = linear.margins(df, self.weights)
+        scored = scored.withColumn("prob", sigmoid(F.col("_margins")[0])).drop("_margins")
+        return scored.withColumn("pred", (F.col("prob") > 0.5).cast("int"))
 
 
 def logreg_balanced(
     train: DataFrame, c: float = 1.0, max_iter: int = 100, tolerance: float = TOLERANCE
 ) -> LogisticScore:
-    """L2 logistic regression with balanced class weights.
+    """L2 logistic regression with balanced class weights: ``|w|^2 / 2`` plus ``c`` times the summed, weighted losses.
 
-    ``regParam`` = 1 / (c · Σ weight): the penalty of a loss summed, not averaged, over the rows. Balanced
-    weights sum to the number of rows.
+    The intercept isn't penalised. Rows without a label take no part; what is missing in a vector counts as 0.
     """
-    placed, rows = _placed(as_vectors(train))
-    weighted = with_class_weight(placed)
-    learner = LogisticRegression(
-        weightCol="weight", regParam=1.0 / (c * rows), standardization=False, maxIter=max_iter,
-        tol=tolerance,
-    )
-    model = learner.fit(weighted)
-    placed.unpersist()
-    return LogisticScore(model)
+    blocks, width, seen = linear.packed(train.select("label", "features"))
+    classes = c * linear.balanced(seen.sum(axis=0))[None, :]
+    weights = linear.solve(blocks, width, linear.LOGISTIC, classes, False, max_iter, tolerance)
+    blocks.unpersist()
+    return LogisticScore(weights)
 
 
 class SvmScore:
-    """Calibrated linear SVMs, one per fold: callable on rows."""
-
-    def __init__(self, members: list) -> None:
-        self.members = members
+    """Calibrated linear machines, one per fold: callable on rows.
 
-    def __call__(self, df: DataFrame, margins: bool = False) -> DataFrame:
-        """Add ``prob`` and ``pred``; with ``margins`` also the calibrated probability ``_m0``, … of each member."""
-        out, parts = as_vectors(df), []
-        for i, (svm, platt) in enumerate(self.members):
-            slope, offset = float(platt.coefficients[0]), float(platt.intercept)
-            raw = f"_raw{i}"
-            out = svm.copy({svm.rawPredictionCol: raw, svm.predictionCol: f"_p{i}"}).transform(out)
-            margin = vector_to_array(raw)[1]
-            parts.append(F.lit(1.0) / (F.lit(1.0) + F.exp(-(margin * slope + offset))))
-        if margins:
-            out = out.withColumns({f"_m{i}": part for i, part in enumerate(parts)})
-        count = len(self.members)
-        extra = [f"_raw{i}" for i in range(count)] + [f"_p{i}" for i in range(count)]
-        scored = out.withColumn("prob", sum(parts[1:], parts[0]) / count).drop(*extra)
-        return scored.withColumn("pred", (F.col("prob") >= 0.5).cast("int"))
-
-
-def linear_svm_calibrated(train: DataFrame, c: float = 1.0, folds: int = 3, max_iter: int = 100) -> SvmScore:
-    """Balanced linear SVM (hinge loss) whose margin is turned into a probability by a sigmoid.
-
-    Each of ``folds`` models is fitted on the other folds and calibrated on its own fold; probabilities are
-    averaged over the models.
+    ``weights`` has a row per machine (the intercept last), ``curves`` the slope and offset of its sigmoid.
     """
-    numbered, _ = _placed(stratified_kfold(as_vectors(train), folds))
-    members = []
-    for fold in range(1, folds + 1):
-        rest = with_class_weight(numbered.filter(F.col("fold") != fold).drop("fold"))
-        svm = LinearSVC(
-            weightCol="weight", regParam=1.0 / (c * rest.count()), standardization=False, maxIter=max_iter,
-            tol=TOLERANCE,
-        ).fit(rest)
-        margins = _margins(svm, numbered.filter(F.col("fold") == fold))
-        platt = LogisticRegression(featuresCol="_margin", maxIter=max_iter, tol=TOLERANCE).fit(margins)
-        members.append((svm, platt))
-    numbered.unpersist()
-    return SvmScore(members)
-
 
-def _margins(svm, rows: DataFrame) -> DataFrame:
-    raw = svm.transform(rows)
-    margin = array_to_vector(F.array(vector_to_array("rawPrediction")[1]))
-    return raw.select("label", margin.alias("_margin"))
+    def __init__(self, weights: np.ndarray, curves: np.ndarray) -> None:
+        self.weights, self.curves = weights, curves
 
+    def __call__(self, df: DataFrame, margins: bool = False) -> DataFrame:
+        """Add ``prob`` and ``pred``; with ``margins`` also each machine's margin, as the array ``_margins``."""
+        scored = linear.margins(df, self.weights)
+        parts = [sigmoid(F.col("_margins")[k] * float(a) + float(b)) for k, (a, b) in enumerate(self.curves)]
+        scored = scored.withColumn("prob", sum(parts[1:], parts[0]) / len(parts))
+        scored = scored.withColumn("pred", (F.col("prob") > 0.5).cast("int"))
+        return scored if margins else scored.drop("_margins")
 
-class ForestScore:
-    """Fitted forest: callable on rows, with its impurity importances."""
 
-    def __init__(self, model: RandomForestClassificationModel) -> None:
-        self.model = model
+def linear_svm_calibrated(train: DataFrame, c: float = 1.0, folds: int = 3, max_iter: int = 100, tolerance: float = TOLERANCE) -> SvmScore:
+    """Balanced linear machine (squared hinge loss, the intercept penalised) whose margin is made a probability by a sigmoid.
 
-    def __call__(self, df: DataFrame) -> DataFrame:
-        return _with_prob(self.model.transform(as_vectors(df)))
-
-
-def random_forest(
-    train: DataFrame, trees: int = 200, depth: int = 15, balanced: bool = False, seed: int = 42
-) -> ForestScore:
-    """Random forest, plain or with balanced class weights."""
-    shared_dir(train.sparkSession)  # node ids are checkpointed there
-    learner = RandomForestClassifier(
-        numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=True, maxMemoryInMB=1024,
-        bootstrap=trees > 1,  # a single tree sees every row once
-    )
-    placed, _ = _placed(as_vectors(train))
-    rows = placed
-    if balanced:
-        rows = with_class_weight(placed)
-        learner = learner.setWeightCol("weight")
-    model = learner.fit(rows)
-    placed.unpersist()
-    return ForestScore(model)
-
-
-def rf_feature_importance(forest: ForestScore, names: Sequence[str]) -> DataFrame:
-    """Impurity importances by name, ranked."""
-    importances = forest.model.featureImportances.toArray()
-    order = sorted(range(len(names)), key=lambda i: (-importances[i], names[i]))
-    rows = [(names[i], float(importances[i]), rank) for rank, i in enumerate(order, 1)]
-    schema = T.StructType(
-        [
-            T.StructField("feature", T.StringType()),
-            T.StructField("importance", T.DoubleType()),
-            T.StructField("rank", T.IntegerType()),
-        ]
-    )
-    return SparkSession.active().createDataFrame(rows, schema)
+    Each of ``folds`` machines is fitted on the other folds, all of them side by side, and calibrated on its own fold;
+    probabilities are averaged over the machines. Rows without a label take no part.
+    """
+    numbered = stratified_kfold(train.select("review_id", "label", "features"), folds)
+    blocks, width, seen = linear.packed(numbered)
+    own = np.zeros((folds + 1, 2))
+    own[: len(seen)] = seen
+    rest = own.sum(axis=0) - own[1:]
+    weights = linear.solve(blocks, width, linear.SQUARED_HINGE, c * linear.balanced(rest), True, max_iter, tolerance)
+    curves = linear.platt(blocks, weights, own[1:])
+    blocks.unpersist()
+    return SvmScore(weights, curves)
 
 
 def on_tfidf(learner: Fit, max_features: int = 50_000, min_df: int = 2) -> Fit:

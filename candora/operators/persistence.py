@@ -6,13 +6,13 @@ Every ``save_*`` writes below a new folder (an existing one is an error) and eve
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.classification import LinearSVCModel, LogisticRegressionModel, RandomForestClassificationModel
 from pyspark.ml.feature import PCAModel, StandardScalerModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candora.operators.forest import ForestScore, forest_from, forest_table
 from candora.operators.mlp import Layers, TrainedMlp
-from candora.operators.models import ForestScore, LogisticScore, SvmScore
+from candora.operators.models import LogisticScore, SvmScore
 from candora.operators.text import PcaModel, TfidfModel
 
 
@@ -46,34 +46,38 @@ def load_pca(spark: SparkSession, path: str) -> PcaModel:
     return PcaModel(StandardScalerModel.load(f"{path}/center"), PCAModel.load(f"{path}/rotation"), signs)
 
 
+def _save_rows(rows: np.ndarray, path: str) -> None:
+    table = SparkSession.active().createDataFrame([(k, [float(x) for x in r]) for k, r in enumerate(rows)], "place int, numbers array<double>")
+    table.coalesce(1).write.parquet(path)
+
+
+def _load_rows(spark: SparkSession, path: str) -> np.ndarray:
+    return np.array([r["numbers"] for r in spark.read.parquet(path).orderBy("place").collect()])  # one per fitted machine
+
+
 def save_logistic(score: LogisticScore, path: str) -> None:
-    score.model.save(f"{path}/model")
+    _save_rows(score.weights, f"{path}/weights")
 
 
-def load_logistic(path: str) -> LogisticScore:
-    return LogisticScore(LogisticRegressionModel.load(f"{path}/model"))
+def load_logistic(spark: SparkSession, path: str) -> LogisticScore:
+    return LogisticScore(_load_rows(spark, f"{path}/weights"))
 
 
 def save_svm(score: SvmScore, path: str) -> None:
-    for k, (svm, platt) in enumerate(score.members):
-        svm.save(f"{path}/svm-{k}")
-        platt.save(f"{path}/platt-{k}")
-    SparkSession.active().range(len(score.members)).coalesce(1).write.parquet(f"{path}/members")
+    _save_rows(score.weights, f"{path}/weights")
+    _save_rows(score.curves, f"{path}/curves")
 
 
 def load_svm(spark: SparkSession, path: str) -> SvmScore:
-    count = spark.read.parquet(f"{path}/members").count()
-    return SvmScore(
-        [(LinearSVCModel.load(f"{path}/svm-{k}"), LogisticRegressionModel.load(f"{path}/platt-{k}")) for k in range(count)]
-    )
+    return SvmScore(_load_rows(spark, f"{path}/weights"), _load_rows(spark, f"{path}/curves"))
 
 
 def save_forest(score: ForestScore, path: str) -> None:
-    score.model.save(f"{path}/model")
+    forest_table(score).coalesce(1).write.parquet(f"{path}/model")
 
 
-def load_forest(path: str) -> ForestScore:
-    return ForestScore(RandomForestClassificationModel.load(f"{path}/model"))
+def load_forest(spark: SparkSession, path: str) -> ForestScore:
+    return forest_from(spark.read.parquet(f"{path}/model"))
 
 
 def save_mlp(trained: TrainedMlp, path: str) -> None:
