@@ -131,13 +131,13 @@ def _block(batch: pa.RecordBatch, k: int) -> tuple[Rows, np.ndarray, np.ndarray]
 
 
 class Sums:
-    """Adds up over all blocks what ``work(rows, label, fold, *known)`` gives for each: one flat array of numbers."""
+    """Adds up over all blocks what ``work(rows, label, fold, *known)`` gives for each: a flat array of ``length`` numbers."""
 
     def __init__(self, blocks: DataFrame):
         self.blocks = blocks
         self.many = blocks.rdd.getNumPartitions() > PARTIAL_SUMS
 
-    def __call__(self, work: Callable[..., np.ndarray], *known) -> np.ndarray:
+    def __call__(self, length: int, work: Callable[..., np.ndarray], *known) -> np.ndarray:
         context = self.blocks.sparkSession.sparkContext
         shared = context.broadcast(known)  # as long as the weights: problems times features
 
@@ -164,7 +164,7 @@ class Sums:
             part = np.frombuffer(r["sums"], float)
             found[r["part"]] = found[r["part"]] + part if r["part"] in found else part
         shared.unpersist()
-        return np.concatenate([found[k] for k in sorted(found)]) if found else np.zeros(0)
+        return np.concatenate([found[k] for k in sorted(found)]) if found else np.zeros(length)
 
 
 def _shares(label: np.ndarray, fold: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -252,12 +252,12 @@ def solve(blocks: DataFrame, width: int, loss: str, classes: np.ndarray, penalis
         return rows.weighted(curvature * rows.times(way), size).ravel()
 
     def value(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found = sums(at, weights)
         count = len(classes)
+        found = sums(count + count * size, at, weights)
         return found[:count] + 0.5 * (ridge * weights * weights).sum(axis=1), found[count:].reshape(count, size) + ridge * weights
 
     def curve(weights: np.ndarray, way: np.ndarray) -> np.ndarray:
-        return sums(bend, weights, way).reshape(way.shape) + ridge * way
+        return sums(way.size, bend, weights, way).reshape(way.shape) + ridge * way
 
     return minimise(value, curve, (len(classes), size), max_iter, tolerance)
 
@@ -290,11 +290,11 @@ def platt(blocks: DataFrame, weights: np.ndarray, counts: np.ndarray, max_iter:
         return np.concatenate([loss.sum(axis=1), np.stack([(error * margin).sum(axis=1), error.sum(axis=1)], 1).ravel()])
 
     def value(curves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found = sums(work, weights, curves, None)
+        found = sums(3 * problems, work, weights, curves, None)
         return found[:problems], found[problems:].reshape(problems, 2)
 
     def curve(curves: np.ndarray, way: np.ndarray) -> np.ndarray:
-        return sums(work, weights, curves, way).reshape(problems, 2) + 1e-12 * way
+        return sums(2 * problems, work, weights, curves, way).reshape(problems, 2) + 1e-12 * way
 
     return minimise(value, curve, (problems, 2), max_iter, 1e-8)
 
