@@ -169,7 +169,7 @@ def fusion_model(spark, sf):
     """Fitted on train, epoch picked on validation, saved, loaded, and the test rows scored and measured."""
     rows = freeze(splits.stratified_split(document_reviews(spark, sf)))
     parts = {s: rows.filter(F.col("split") == s).drop("split") for s in ("train", "validation", "test")}
-    model = fusion.fit_fusion(parts["train"], parts["validation"], hidden=(32, 16), epochs=5, steps_per_epoch=2)
+    model = fusion.fit_fusion(parts["train"], parts["validation"])
     path = scratch_path(spark, "fusion")
     model.save(path)
     scored = fusion.FusionModel.load(spark, path)(parts["test"])
@@ -180,7 +180,7 @@ def fusion_history(spark, sf):
     """Training history of the network on fused vectors, as a long table."""
     rows = freeze(splits.stratified_split(document_reviews(spark, sf)))
     parts = [rows.filter(F.col("split") == s).drop("split") for s in ("train", "validation")]
-    model = fusion.fit_fusion(*parts, hidden=(16,), epochs=4, steps_per_epoch=2)
+    model = fusion.fit_fusion(*parts)
     return rounded(mlp.training_history(model.network.history))
 
 

@@ -118,12 +118,29 @@ def rf_feature_importance(spark, sf):
     return rounded(models.rf_feature_importance(models.random_forest(train), BEHAVIOR_FEATURES))
 
 
+def mlp_gradient(spark, sf):
+    """Gradient of the mean focal loss at fixed weights."""
+    return rounded(mlp.loss_gradient(vectors(spark, sf), fixed_layers(), alpha=0.8))
+
+
+STEP = 0.05
+
+
+def mlp_step(spark, sf):
+    """Weights after one step over all rows from fixed weights."""
+    rows = vectors(spark, sf)
+    trained = mlp.mlp_focal_train(rows, rows, epochs=1, batch=1 << 40, lr=STEP, alpha=0.8, dropout=0.0, layers=fixed_layers())
+    cells = []
+    for k, layer in enumerate(trained.layers):
+        for kind, values in zip(("weights", "bias"), layer, strict=True):
+            cells += [(k, kind, place, float(v)) for place, v in enumerate(values.ravel())]
+    return rounded(spark.createDataFrame(cells, "layer int, kind string, position int, value double"))
+
+
 def mlp_focal_train(spark, sf):
     rows = splits.stratified_split(vectors(spark, sf))
     parts = {s: rows.filter(F.col("split") == s) for s in ("train", "validation", "test")}
-    trained = mlp.mlp_focal_train(
-        parts["train"], parts["validation"], hidden=(64, 32), epochs=10, steps_per_epoch=2
-    )
+    trained = mlp.mlp_focal_train(parts["train"], parts["validation"])
     tested = evaluation.all_metrics(trained(parts["test"]).withColumn("m", F.lit("test")), ["m"])
     test = tested.select(F.col("auc_roc").alias("test_auc_roc"), F.col("macro_f1").alias("test_macro_f1")).collect()[0]
     best = F.col("epoch") == trained.best_epoch
@@ -135,7 +152,7 @@ QUERIES = {
     for f in (
         class_weights, focal_alpha, focal_loss, focal_loss_mean, sigmoid_score, mlp_score, training_history,
         best_epoch, logreg_balanced, linear_svm_calibrated, random_forest, random_forest_balanced,
-        rf_feature_importance, mlp_focal_train,
+        rf_feature_importance, mlp_gradient, mlp_step, mlp_focal_train,
     )
 }
 
@@ -166,6 +183,33 @@ def _forward() -> str:
     return f"SELECT review_id, {' + '.join(units)} + {b2[0]} AS z FROM vectors"
 
 
+def _backward() -> str:
+    """Gradient of the mean focal loss (alpha 0.8, gamma 2) by cell, and the fixed weights."""
+    (w1, b1), (w2, b2) = fixed_layers()
+    units = ", ".join(f"list_dot_product(features, {[float(w) for w in w1[j]]}::DOUBLE[]) + {b1[j]}" for j in range(HIDDEN))
+    outer = [float(w) for w in w2[0]]
+    flat = [float(w) for w in w1.ravel()]
+    return f"""
+    h AS (SELECT review_id, label, features, [{units}] AS h FROM vectors),
+    z AS (SELECT *, list_dot_product([greatest(0.0::DOUBLE, u) FOR u IN h], {outer}::DOUBLE[]) + {b2[0]} AS z FROM h),
+    p AS (SELECT *, CASE WHEN label = 1 THEN 1 / (1 + exp(-z)) ELSE 1 - 1 / (1 + exp(-z)) END AS pt,
+      CASE WHEN label = 1 THEN 0.8::DOUBLE ELSE -0.2::DOUBLE END AS a FROM z),
+    s AS (SELECT *, a * (2 * pow(1 - pt, 2) * pt * ln(pt) - pow(1 - pt, 3)) AS slope FROM p),
+    u AS (SELECT *, unnest(range(0, {HIDDEN}))::INTEGER AS j FROM s),
+    i AS (SELECT slope * ({outer}::DOUBLE[])[j + 1] * (h[j + 1] > 0)::INTEGER AS back, j, features FROM u),
+    c AS (SELECT back * features[x + 1] AS g, j * {WIDTH} + x AS position FROM (SELECT *, unnest(range(0, {WIDTH}))::INTEGER AS x FROM i)),
+    cells AS (
+      SELECT 0 AS layer, 'weights' AS kind, position, avg(g) AS gradient FROM c GROUP BY position
+      UNION ALL SELECT 0, 'bias', j, avg(back) FROM i GROUP BY j
+      UNION ALL SELECT 1, 'weights', j, avg(slope * greatest(0.0::DOUBLE, h[j + 1])) FROM u GROUP BY j
+      UNION ALL SELECT 1, 'bias', 0, avg(slope) FROM s),
+    known AS (
+      SELECT 0 AS layer, 'weights' AS kind, unnest(range(0, {len(flat)})) AS position, unnest({flat}::DOUBLE[]) AS w
+      UNION ALL SELECT 0, 'bias', unnest(range(0, {HIDDEN})), unnest({[float(b) for b in b1]}::DOUBLE[])
+      UNION ALL SELECT 1, 'weights', unnest(range(0, {HIDDEN})), unnest({outer}::DOUBLE[])
+      UNION ALL SELECT 1, 'bias', 0, {b2[0]}::DOUBLE)"""
+
+
 _EPOCHS = f"""
     WITH {SCORED_SQL}, epochs AS (SELECT *, CAST(year(date) - 1994 AS INTEGER) AS epoch FROM scored),
     {metrics_sql('epochs', 'epoch')}, {auc_sql('epochs', 'epoch')}"""
@@ -186,6 +230,14 @@ ORACLES = {
         WITH {VECTORS_SQL}, z AS ({_forward()})
         SELECT review_id, {r6('z')} AS logit, {r6('1 / (1 + exp(-z))')} AS prob,
                CAST(CASE WHEN z >= 0 THEN 1 ELSE 0 END AS INTEGER) AS pred FROM z""",
+    "mlp_gradient": f"""
+        WITH {VECTORS_SQL}, {_backward()}
+        SELECT CAST(layer AS INTEGER) AS layer, kind, CAST(position AS INTEGER) AS position, {r6('gradient')} AS gradient FROM cells""",
+    "mlp_step": f"""
+        WITH {VECTORS_SQL}, {_backward()}
+        SELECT CAST(layer AS INTEGER) AS layer, kind, CAST(position AS INTEGER) AS position,
+               {r6(f'w - {STEP} * gradient / (abs(gradient) + 1e-8)')} AS value
+        FROM cells JOIN known USING (layer, kind, position)""",
     "training_history": f"""
         {_EPOCHS}
         SELECT epoch, 'val_accuracy' AS metric, {r6('accuracy')} AS value FROM metrics

@@ -1,7 +1,7 @@
 """Point-in-time variants of the reviewer features: a row only sees what was known when it was posted.
 
-Rows are first reduced to one row per (user, time); running sums then come from a range-partitioned layout,
-so a user with a third of all reviews is spread over many tasks. Equal timestamps are not prior.
+Rows are first reduced to one row per (user, time); running sums are then taken inside each day and over the days
+before, so a user with a third of all reviews is spread over many tasks. Equal timestamps are not prior.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candora.functions.columns import epoch_micros
-from candora.plans.ordering import exact_percentiles, running_totals
+from candora.plans.ordering import bucketed_totals, exact_percentiles
 from candora.plans.skew import spread_join
 from candora.schema import BEHAVIOR_FEATURES, DAY_MICROS
 
@@ -29,8 +29,8 @@ def _history(df: DataFrame) -> DataFrame:
             F.coalesce(F.sum("rating"), F.lit(0.0)).alias("_s"),
         )
     )
-    totals = running_totals(
-        moments, ["user_id"], ["_t"], {"_cum_rows": "_rows", "_cum_n": "_n", "_cum_s": "_s"}
+    totals = bucketed_totals(
+        moments, ["user_id"], "_t", [], {"_cum_rows": "_rows", "_cum_n": "_n", "_cum_s": "_s"}, DAY_MICROS
     )
     return totals.select(
         "user_id",
@@ -82,8 +82,8 @@ def trailing_counts(df: DataFrame, days: int = 30) -> DataFrame:
         (F.col("_t") - days * DAY_MICROS).alias("_at"),
         F.lit(1).alias("_probe"),
     )
-    counted = running_totals(
-        events.unionByName(probes), ["user_id"], ["_at", "_probe", "_t"], {"_seen": "_rows"}
+    counted = bucketed_totals(
+        events.unionByName(probes), ["user_id"], "_at", ["_probe", "_t"], {"_seen": "_rows"}, DAY_MICROS
     )
     signed = F.when(F.col("_probe") == 0, F.col("_seen")).otherwise(-F.col("_seen"))
     return counted.groupBy("user_id", "_t").agg(

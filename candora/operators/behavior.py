@@ -7,8 +7,11 @@ back with salted hot keys, so no task ever holds one user's or one product's row
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +21,7 @@ from candora.plans.skew import spread_join
 from candora.plans.storage import freeze
 from candora.schema import BEHAVIOR_FEATURES, DAY_MICROS
 
-ARRAY_LIMIT = 4096  # most distinct review times of one user that are scanned as one array
+LINEAR_LIMIT = 1_000_000  # most distinct review times of one user that pass through one task
 BROADCAST_LIMIT = 100_000  # most user ids that are ever broadcast
 
 
@@ -105,10 +108,10 @@ def _review_times(df: DataFrame) -> DataFrame:
 
 
 def _split_by_weight(times: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Users whose times fit one small array, and the others (None when there are none)."""
+    """Users whose times pass through one task, and the others (None when there are none)."""
     times = freeze(times)
     heavy = times.groupBy("user_id").agg(F.count(F.lit(1)).alias("_rows"))
-    heavy = heavy.filter(F.col("_rows") > ARRAY_LIMIT)
+    heavy = heavy.filter(F.col("_rows") > LINEAR_LIMIT)
     found = heavy.count()
     if found == 0:
         return times, None
@@ -123,23 +126,65 @@ def _split_by_weight(times: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return light, marked.filter(F.col("_heavy")).drop("_heavy")
 
 
-def _light_windows(times: DataFrame, reach: int) -> DataFrame:
-    """Per user: sorted times and the greedy windows, folded over one bounded array."""
-    sorted_times = F.sort_array(F.collect_list(F.struct("t", "n")))
-    arrays = times.groupBy("user_id").agg(sorted_times.alias("times"))
-    first = F.element_at("times", 1)
-    seed = F.array(F.struct(first["t"].alias("start"), F.lit(0).cast("bigint").alias("size")))
-
-    def step(windows: Column, x: Column) -> Column:
-        last = F.element_at(windows, -1)
-        grown = F.struct(last["start"].alias("start"), (last["size"] + x["n"]).alias("size"))
-        opened = F.struct(x["t"].alias("start"), x["n"].alias("size"))
-        return F.when(
-            x["t"] < last["start"] + reach,
-            F.concat(F.slice(windows, F.lit(1), F.size(windows) - 1), F.array(grown)),
-        ).otherwise(F.concat(windows, F.array(opened)))
-
-    return arrays.withColumn("windows", F.aggregate("times", seed, step))
+def greedy_windows(user: np.ndarray, t: np.ndarray, n: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Window number (from 1), start and size for sorted distinct times; ``user`` marks with True where a user begins."""
+    count = len(t)
+    begins = np.flatnonzero(user)
+    segment = np.cumsum(user) - 1
+    ends = np.r_[begins[1:], count]
+    # the first time at or after t + reach: a probe is sorted before equal times, and the times before it are counted
+    probe = np.r_[np.ones(count, np.int64), np.zeros(count, np.int64)]
+    order = np.lexsort((probe, np.r_[t, t + reach], np.r_[segment, segment]))
+    seen = np.cumsum(probe[order])
+    following = np.empty(count, np.int64)
+    asks = order >= count
+    following[order[asks] - count] = seen[asks]
+    opens = np.zeros(count, bool)
+    current = begins
+    while len(current):  # all users side by side, as often as the longest history has windows
+        opens[current] = True
+        after = following[current]
+        current = after[after < ends[segment[current]]]
+    number = np.cumsum(opens)
+    first = np.flatnonzero(opens)
+    size = np.add.reduceat(n, first) if count else n
+    return number - number[begins][segment] + 1, t[first][number - 1], size[number - 1]
+
+
+def _linear_windows(times: DataFrame, reach: int) -> DataFrame:
+    """Greedy windows in one pass over each task's users, sorted by user and time.
+
+    What is left of the last user of a batch waits for the next one, so memory holds a batch and one user at most.
+    """
+    names = ["user_id", "t", "n", "window_no", "window_start", "window_size"]
+
+    def located(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        users = rows.column("user_id").combine_chunks()
+        t, n = (rows.column(c).to_numpy() for c in ("t", "n"))
+        changes = pc.not_equal(users.slice(1), users.slice(0, len(users) - 1)).to_numpy(zero_copy_only=False).astype(bool)
+        found = greedy_windows(np.r_[True, changes], t, n, reach)
+        return pa.RecordBatch.from_arrays([users, pa.array(t), pa.array(n), *(pa.array(x.astype(np.int64)) for x in found)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            users = batch.column(0)
+            last = users[batch.num_rows - 1]
+            own = pc.index(users, last).as_py()  # the last user's first row of the batch
+            if own == 0 and (not held or held[0].column(0)[0] == last):
+                held.append(batch)
+                continue
+            yield located(pa.Table.from_batches([*held, batch.slice(0, own)]))
+            held = [batch.slice(own)]
+        if held:
+            yield located(pa.Table.from_batches(held))
+
+    placed = times.select("user_id", "t", "n").repartition("user_id").sortWithinPartitions("user_id", "t")
+    kind = times.schema["user_id"].dataType.simpleString()
+    return placed.mapInArrow(run, f"user_id {kind}, t long, n long, window_no long, window_start long, window_size long")
 
 
 def _next_index(times: DataFrame, reach: int) -> DataFrame:
@@ -198,24 +243,7 @@ def _windowed_times(df: DataFrame, days: int) -> DataFrame:
     reach = (days + 1) * DAY_MICROS  # whole elapsed days <= days means less than days + 1 days
     light, heavy = _split_by_weight(_review_times(df))
 
-    def locate(windows: Column):
-        def at(x: Column) -> Column:
-            opened = F.filter(windows, lambda w: w["start"] <= x["t"])
-            last = F.element_at(opened, -1)
-            return F.struct(
-                x["t"].alias("t"),
-                x["n"].alias("n"),
-                F.size(opened).cast("bigint").alias("window_no"),
-                last["start"].alias("window_start"),
-                last["size"].alias("window_size"),
-            )
-
-        return at
-
-    located = _light_windows(light, reach).select(
-        "user_id", F.explode(F.transform("times", locate(F.col("windows")))).alias("r")
-    )
-    out = located.select("user_id", "r.*")
+    out = _linear_windows(light, reach)
     return out if heavy is None else out.unionByName(_heavy_windows(heavy, reach))
 
 
@@ -242,15 +270,8 @@ def burst_windows(df: DataFrame, days: int = 30) -> DataFrame:
 
 def _burst_reviews(df: DataFrame, days: int) -> DataFrame:
     """Number of in-burst reviews per user."""
-    reach = (days + 1) * DAY_MICROS
-    light, heavy = _split_by_weight(_review_times(df))
-    bursts = F.filter("windows", lambda w: w["size"] >= 2)
-    total = F.aggregate(bursts, F.lit(0).cast("bigint"), lambda acc, w: acc + w["size"])
-    out = _light_windows(light, reach).select("user_id", total.alias("_burst_rows"))
-    if heavy is None:
-        return out
-    windows = _heavy_windows(heavy, reach).filter(F.col("window_size") >= 2)
-    return out.unionByName(windows.groupBy("user_id").agg(F.sum("n").alias("_burst_rows")))
+    windows = _windowed_times(df, days).filter(F.col("window_size") >= 2)
+    return windows.groupBy("user_id").agg(F.sum("n").alias("_burst_rows"))
 
 
 def _with_burst_ratio(stats: DataFrame, df: DataFrame, days: int) -> DataFrame:

@@ -1,8 +1,12 @@
 """Focal-loss multilayer perceptron trained data-parallel.
 
-Each optimisation step is one Spark job: tasks compute the gradient of their rows, partial gradients are
-added up on the executors, and the driver applies one Adam update to the (small) weights. Rows never leave
-the executors; what moves is one gradient per partial sum.
+Rows are packed once into blocks that stay cached on the executors. An epoch is one job: each task goes through its
+blocks in mini-batches, starting from the common weights, and the tasks' results are averaged. What moves is one set of
+weights a task (added up on the executors beyond :data:`PARTIAL_SUMS` tasks) and the common ones back.
+
+One exchange of gradients a step, inside a barrier stage, was measured and left: Spark's exchange between the tasks of a
+barrier stage takes 1.0 s however small the message (4 tasks, 20 exchanges of 200 kB), so 30 epochs of 10 steps would
+take five minutes.
 """
 
 from __future__ import annotations
@@ -11,9 +15,11 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from candora.operators.balance import focal_alpha
 from candora.operators.evaluation import all_metrics
@@ -22,7 +28,9 @@ from candora.plans.storage import freeze
 
 Layers = list[tuple[np.ndarray, np.ndarray]]  # (weights out x in, bias) per layer
 
-PARTIAL_SUMS = 16  # gradients that reach the driver per step
+PARTIAL_SUMS = 16  # states that reach the driver per epoch
+ROWS_PER_TASK = 20_000  # rows that train in one task; more of them are dealt over several
+MOST_ROWS = 500_000  # rows that a task holds at most
 
 
 def xavier_layers(sizes: Sequence[int], seed: int = 42) -> Layers:
@@ -50,14 +58,15 @@ def forward_function(layers: Layers) -> Callable[[np.ndarray], np.ndarray]:
 
 
 def mlp_score(df: DataFrame, layers: Layers, column: str = "features", threshold: float = 0.5) -> DataFrame:
-    """Add logit, probability and prediction, one matrix product per Arrow batch and layer."""
-    forward = forward_function(layers)
+    """Add logit, probability and prediction, one matrix product per Arrow batch and layer.
+
+    What is missing in a vector counts as 0.
+    """
+    forward, width = forward_function(layers), layers[0][0].shape[1]
 
-    @F.pandas_udf("double")
-    def logit(vectors: pd.Series) -> pd.Series:
-        if len(vectors) == 0:
-            return pd.Series([], dtype=float)
-        return pd.Series(forward(np.stack(vectors.to_numpy())))
+    @F.arrow_udf(T.DoubleType())
+    def logit(vectors: pa.Array) -> pa.Array:
+        return pa.array(forward(dense_rows(vectors, width)))
 
     scored = df.withColumn("logit", logit(F.col(column).cast("array<double>")))
     scored = scored.withColumn("prob", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("logit"))))
@@ -86,68 +95,150 @@ def _uniform(keys: np.ndarray, columns: int, seed: int) -> np.ndarray:
     return ((h ^ (h >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
 
 
-def _gradient_task(layers: Layers, gamma: float, alpha: float, dropout: float, seed: int):
-    """Per-partition sum of focal-loss gradients as one flat array, with row count, loss and hits."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, rows, loss_sum, hits = None, 0, 0.0, 0
-        for frame in frames:
-            if frame.empty:
-                continue
-            x = np.stack(frame["features"].to_numpy()).astype(float)
-            y = frame["label"].to_numpy().astype(float)
-            inputs, masks, hidden = [], [], x
-            for i, (weights, bias) in enumerate(layers):
-                inputs.append(hidden)
-                hidden = hidden @ weights.T + bias
-                if i < len(layers) - 1:
-                    mask = (hidden > 0).astype(float)
-                    if dropout > 0:
-                        kept = _uniform(frame["_key"].to_numpy(), hidden.shape[1], seed * 16 + i) >= dropout
-                        mask *= kept / (1.0 - dropout)
-                    hidden = hidden * mask
-                    masks.append(mask)
-            z = hidden[:, 0]
-            p = 1.0 / (1.0 + np.exp(-z))
-            p_true = np.clip(np.where(y == 1, p, 1.0 - p), 1e-12, 1.0)
-            a = np.where(y == 1, alpha, 1.0 - alpha)
-            bce = np.maximum(z, 0) - z * y + np.log1p(np.exp(-np.abs(z)))
-            miss = 1.0 - p_true
-            loss_sum += float((a * miss**gamma * bce).sum())
-            hits += int(((p >= 0.5) == (y == 1)).sum())
-            rows += len(y)
-            sign = np.where(y == 1, 1.0, -1.0)
-            slope = a * sign * (gamma * miss**gamma * p_true * np.log(p_true) - miss ** (gamma + 1.0))
-            back = slope[:, None]
-            grads: list[np.ndarray] = []
-            for i in range(len(layers) - 1, -1, -1):
-                grads[:0] = [(back.T @ inputs[i]).ravel(), back.sum(axis=0)]
-                if i > 0:
-                    back = (back @ layers[i][0]) * masks[i - 1]
-            flat = np.concatenate(grads)
-            total = flat if total is None else total + flat
-        if total is not None:
-            yield pd.DataFrame({"rows": [rows], "loss": [loss_sum], "hits": [hits], "grad": [total]})
+def focal_gradient(
+    layers: Layers, x: np.ndarray, y: np.ndarray, gamma: float, alpha: float, dropout: float = 0.0, keys: np.ndarray | None = None, seed: int = 0
+) -> tuple[np.ndarray, float, int]:
+    """Gradient of the summed focal loss as one flat array, the loss, and how many rows are predicted right.
+
+    With ``dropout`` the rows' ``keys`` and the seed say which units are left out.
+    """
+    inputs, masks, hidden = [], [], x
+    for i, (weights, bias) in enumerate(layers):
+        inputs.append(hidden)
+        hidden = hidden @ weights.T + bias
+        if i < len(layers) - 1:
+            mask = (hidden > 0).astype(float)
+            if dropout > 0:
+                mask *= (_uniform(keys, hidden.shape[1], seed * 16 + i) >= dropout) / (1.0 - dropout)
+            hidden = hidden * mask
+            masks.append(mask)
+    z = hidden[:, 0]
+    p = 1.0 / (1.0 + np.exp(-z))
+    p_true = np.clip(np.where(y == 1, p, 1.0 - p), 1e-12, 1.0)
+    a = np.where(y == 1, alpha, 1.0 - alpha)
+    bce = np.maximum(z, 0) - z * y + np.log1p(np.exp(-np.abs(z)))
+    miss = 1.0 - p_true
+    sign = np.where(y == 1, 1.0, -1.0)
+    back = (a * sign * (gamma * miss**gamma * p_true * np.log(p_true) - miss ** (gamma + 1.0)))[:, None]
+    grads: list[np.ndarray] = []
+    for i in range(len(layers) - 1, -1, -1):
+        grads[:0] = [(back.T @ inputs[i]).ravel(), back.sum(axis=0)]
+        if i > 0:
+            back = (back @ layers[i][0]) * masks[i - 1]
+    return np.concatenate(grads), float((a * miss**gamma * bce).sum()), int(((p >= 0.5) == (y == 1)).sum())
+
+
+def _blocks(rows: DataFrame, width: int) -> DataFrame:
+    """Rows packed for the network: features, labels and keys of an Arrow batch in one row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = dense_rows(batch.column(2), width)
+                y, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 0))
+                blob = [pa.array([v.tobytes()], pa.binary()) for v in (x, y.astype(float), keys.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(blob, ["_x", "_y", "_keys"])
+
+    return rows.select("_key", "label", "features").mapInArrow(run, "_x binary, _y binary, _keys binary")
+
+
+def dense_rows(lists: pa.Array, width: int) -> np.ndarray:
+    """Arrays of numbers as rows of a matrix; what is missing counts as 0."""
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = np.nan_to_num(lists.flatten().to_numpy(zero_copy_only=False).astype(float), nan=0.0)
+    if (size == width).all():
+        return flat.reshape(-1, width)
+    out = np.zeros((len(size), width))
+    row, place = np.repeat(np.arange(len(size)), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    out[row[place < width], place[place < width]] = flat[place < width]
+    return out
 
-    return run
 
+def _decoded(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x, y, keys = (np.frombuffer(batch.column(c)[k].as_py(), kind) for c, kind in enumerate((float, float, np.int64)))
+    return x.reshape(len(y), -1), y, keys
+
+
+def loss_gradient(df: DataFrame, layers: Layers, gamma: float = 2.0, alpha: float = 0.5) -> DataFrame:
+    """Gradient of the mean focal loss over all rows: ``(layer, kind, position, gradient)``, one pass, added up by position."""
+    names = [(i, kind) for i in range(len(layers)) for kind in ("weights", "bias")]
+    sizes = [part.size for layer in layers for part in layer]
+    place = pa.array(np.concatenate([np.arange(n) for n in sizes]), pa.int32())
+    layer = pa.array(np.repeat([i for i, _ in names], sizes), pa.int32())
+    kind = pa.array(np.repeat([k for _, k in names], sizes), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = np.zeros(len(place)), 0
+        for batch in batches:
+            x = dense_rows(batch.column(1), layers[0][0].shape[1])
+            total += focal_gradient(layers, x, batch.column(0).to_numpy(zero_copy_only=False).astype(float), gamma, alpha)[0]
+            rows += batch.num_rows
+        counts = pa.array(np.full(len(place), rows))
+        yield pa.RecordBatch.from_arrays([layer, kind, place, pa.array(total), counts], ["layer", "kind", "position", "g", "n"])
+
+    slim = df.filter(F.col("label").isNotNull()).select(F.col("label").cast("int"), F.col("features").cast("array<double>"))
+    sums = slim.mapInArrow(run, "layer int, kind string, position int, g double, n long").groupBy("layer", "kind", "position")
+    return sums.agg((F.sum("g") / F.sum("n")).alias("gradient"))
+
+
+@dataclass
+class _State:
+    """Weights and Adam's moments as flat arrays, and how many steps were taken."""
 
-def _add_up():
-    """Sum of partial gradients, once per partition."""
+    weights: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
+    steps: float
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, rows, loss, hits = None, 0, 0.0, 0
-        for frame in frames:
-            for r in frame.itertuples():
-                total = np.asarray(r.grad) if total is None else total + np.asarray(r.grad)
-                rows, loss, hits = rows + r.rows, loss + r.loss, hits + r.hits
-        if total is not None:
-            yield pd.DataFrame({"rows": [rows], "loss": [loss], "hits": [hits], "grad": [total]})
+    def step(self, gradient: np.ndarray, lr: float) -> None:
+        self.steps += 1
+        self.first = 0.9 * self.first + 0.1 * gradient
+        self.second = 0.999 * self.second + 0.001 * gradient**2
+        self.weights = self.weights - lr * (self.first / (1 - 0.9**self.steps)) / (np.sqrt(self.second / (1 - 0.999**self.steps)) + 1e-8)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.weights, self.first, self.second, [self.steps]])
+
+    @classmethod
+    def of(cls, flat: np.ndarray) -> _State:
+        weights, first, second = np.split(np.array(flat[:-1]), 3)
+        return cls(weights, first, second, float(flat[-1]))
+
+
+_SUMS = "rows bigint, loss double, hits bigint, state binary"
+
+
+def _sums(rows: int, loss: float, hits: int, state: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array([rows]), pa.array([loss]), pa.array([hits]), pa.array([state.tobytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["rows", "loss", "hits", "state"])
+
+
+def _epoch_task(known, like: Layers, epoch: int, batch_rows: int, lr: float, gamma: float, alpha: float, dropout: float, seed: int):
+    """One epoch over a task's rows in shuffled batches, from the common state; yields the new state times the rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, rows, loss, hits = _State.of(known.value), 0, 0.0, 0
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x, y, keys = _decoded(batch, k)
+                order = np.argsort(_uniform(keys, 1, seed * 100_003 + epoch)[:, 0], kind="stable")
+                for low in range(0, len(order), batch_rows):
+                    own = order[low : low + batch_rows]
+                    number = seed * 100_003 + int(state.steps)
+                    gradient, more, right = focal_gradient(_unflatten(state.weights, like), x[own], y[own], gamma, alpha, dropout, keys[own], number)
+                    state.step(gradient / len(own), lr)
+                    rows, loss, hits = rows + len(own), loss + more, hits + right
+        if rows:
+            yield _sums(rows, loss, hits, state.flat() * rows)
 
     return run
 
 
-_GRADIENT_SCHEMA = "rows bigint, loss double, hits bigint, grad array<double>"
+def _add_up(table: pa.Table) -> pa.Table:
+    state = sum(np.frombuffer(x.as_buffer(), float) for x in table.column("state"))
+    return pa.Table.from_batches([_sums(pc.sum(table.column("rows")).as_py(), pc.sum(table.column("loss")).as_py(), pc.sum(table.column("hits")).as_py(), state)])
 
 
 def _flatten(layers: Layers) -> np.ndarray:
@@ -170,85 +261,99 @@ def mlp_focal_train(
     hidden: Sequence[int] = (256, 64),
     epochs: int = 30,
     *,
-    steps_per_epoch: int = 8,
+    batch: int = 128,
     lr: float = 1e-3,
     gamma: float = 2.0,
     alpha: float | None = None,
     dropout: float = 0.3,
     seed: int = 42,
+    layers: Layers | None = None,
+    restart: str | None = None,
 ) -> TrainedMlp:
     """Train on ``(review_id, label, features)`` and keep the epoch with the best validation AUC.
 
-    An epoch visits every row once, in ``steps_per_epoch`` batches cut by a hash of the id, so the batch size
-    grows with the data while the number of jobs does not. Validation scores of all epochs are computed in
-    one pass at the end.
+    An epoch is one job: every task takes Adam steps over its rows in shuffled batches of ``batch`` rows, and the tasks'
+    weights and moments are averaged by their rows. Tables of up to :data:`ROWS_PER_TASK` rows are one task, which is
+    plain mini-batch training. ``layers`` are the weights to begin with. With ``restart``, a folder that all executors
+    reach, the state is written after each epoch, and a later call with the same folder goes on behind the last one.
+    Validation scores of all epochs are computed in one pass at the end. Rows without a label take no part; what is
+    missing in a vector counts as 0; without training rows the weights stay as they were.
     """
     spark = train.sparkSession
-    slim = train.select(
-        F.xxhash64("review_id").alias("_key"),
-        F.col("label").cast("int").alias("label"),
+    slim = train.filter(F.col("label").isNotNull()).select(
+        F.xxhash64("review_id", "features").alias("_key"), F.col("label").cast("int").alias("label"),
         F.col("features").cast("array<double>").alias("features"),
     ).persist()
-    width = one_row(slim.agg(F.max(F.size("features")).alias("w")))["w"]
+    sizes = one_row(slim.agg(F.max(F.size("features")).alias("w"), F.count(F.lit(1)).alias("n")))
+    width = layers[0][0].shape[1] if layers else max(1, sizes["w"] or 1)
     if alpha is None:
-        alpha = one_row(focal_alpha(slim))["alpha"]
-    layers = xavier_layers([width, *hidden, 1], seed)
-    weights = _flatten(layers)
-    first, second, step = np.zeros_like(weights), np.zeros_like(weights), 0
+        alpha = one_row(focal_alpha(slim))["alpha"] if sizes["n"] else 0.5
+    like = layers or xavier_layers([width, *hidden, 1], seed)
+    start = _flatten(like)
+    state = _State(start, np.zeros_like(start), np.zeros_like(start), 0.0)
+    usual = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(1, min(sizes["n"] // ROWS_PER_TASK, usual), sizes["n"] // MOST_ROWS)
+    blocks = _blocks(slim.repartition(tasks, "_key").sortWithinPartitions("_key"), width).persist()
     snapshots, progress = [], []
-    partitions = slim.rdd.getNumPartitions()
-    # every batch is cached on its own, so a step reads the rows of its batch only
-    batch = F.pmod(F.col("_key"), F.lit(steps_per_epoch))
-    batches = [slim]
-    if steps_per_epoch > 1:
-        batches = [slim.filter(batch == part).persist() for part in range(steps_per_epoch)]
+    done = _epochs_done(spark, restart)
     for epoch in range(1, epochs + 1):
-        seen, loss, hits = 0, 0.0, 0
-        for part in range(steps_per_epoch):
-            task = _gradient_task(layers, gamma, alpha, dropout, seed * 100_003 + step)
-            sums = batches[part].mapInPandas(task, schema=_GRADIENT_SCHEMA)
-            if partitions > PARTIAL_SUMS:
-                sums = sums.repartition(PARTIAL_SUMS).mapInPandas(_add_up(), schema=_GRADIENT_SCHEMA)
-            parts = sums.collect()  # at most PARTIAL_SUMS gradients
-            count = sum(r["rows"] for r in parts)
-            if count == 0:
-                continue
-            gradient = np.sum([np.asarray(r["grad"]) for r in parts], axis=0) / count
-            step += 1
-            first = 0.9 * first + 0.1 * gradient
-            second = 0.999 * second + 0.001 * gradient**2
-            update = (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-            weights = weights - lr * update
-            layers = _unflatten(weights, layers)
-            seen, loss, hits = seen + count, loss + sum(r["loss"] for r in parts), hits + sum(r["hits"] for r in parts)
-        snapshots.append(layers)
-        progress.append((epoch, loss / seen, hits / seen))
-    for rows in (*batches, slim):
-        rows.unpersist()
+        if epoch in done:
+            flat, loss, accuracy = done[epoch]
+            state = _State.of(flat)
+        else:
+            known = spark.sparkContext.broadcast(state.flat())  # three numbers a weight
+            task = _epoch_task(known, like, epoch, batch, lr, gamma, alpha, dropout, seed)
+            sums = blocks.mapInArrow(task, _SUMS)
+            if tasks > PARTIAL_SUMS:
+                sums = sums.groupBy(F.pmod(F.monotonically_increasing_id(), F.lit(PARTIAL_SUMS))).applyInArrow(_add_up, _SUMS)
+            parts = sums.collect()  # at most PARTIAL_SUMS states
+            known.unpersist()
+            rows = max(1, sum(r["rows"] for r in parts))
+            if parts:
+                state = _State.of(sum(np.frombuffer(r["state"], float) for r in parts) / rows)
+            loss, accuracy = sum(r["loss"] for r in parts) / rows, sum(r["hits"] for r in parts) / rows
+            if restart:
+                row = [(epoch, [float(v) for v in state.flat()], loss, accuracy)]
+                spark.createDataFrame(row, _EPOCH).coalesce(1).write.mode("overwrite").parquet(f"{restart}/epoch={epoch}")
+        snapshots.append(_unflatten(state.weights, like))
+        progress.append((epoch, loss, accuracy))
+    for frame in (blocks, slim):
+        frame.unpersist()
     history = _history(spark, validation, snapshots, progress)
     best = one_row(best_epoch(history))["best_epoch"]
     return TrainedMlp(snapshots[best - 1], history, best)
 
 
+_EPOCH = "number int, state array<double>, loss double, accuracy double"
+
+
+def _epochs_done(spark: SparkSession, folder: str | None) -> dict[int, tuple[np.ndarray, float, float]]:
+    """States written below ``folder`` by an earlier call, by epoch."""
+    if not folder:
+        return {}
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return {}
+    rows = spark.read.schema(_EPOCH).parquet(folder).orderBy("number").collect()  # one per epoch
+    return {r["number"]: (np.array(r["state"]), r["loss"], r["accuracy"]) for r in rows}
+
+
 def _history(spark: SparkSession, validation: DataFrame, snapshots: list[Layers], progress) -> DataFrame:
     """Per-epoch training progress and validation metrics; all epochs are scored in one pass."""
-    forwards = [forward_function(s) for s in snapshots]
+    forwards, width = [forward_function(s) for s in snapshots], snapshots[0][0][0].shape[1]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if frame.empty:
-                continue
-            x = np.stack(frame["features"].to_numpy()).astype(float)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = dense_rows(batch.column(1), width)
             for epoch, forward in enumerate(forwards, 1):
                 p = 1.0 / (1.0 + np.exp(-forward(x)))
-                yield pd.DataFrame(
-                    {"epoch": epoch, "label": frame["label"], "prob": p, "pred": (p >= 0.5).astype(int)}
-                )
+                columns = [pa.array(np.full(len(p), epoch, np.int32)), batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["epoch", "label", "prob", "pred"])
 
-    slim = validation.select(
+    slim = validation.filter(F.col("label").isNotNull()).select(
         F.col("label").cast("int").alias("label"), F.col("features").cast("array<double>").alias("features")
     )
-    scored = slim.mapInPandas(run, schema="epoch int, label int, prob double, pred int")
+    scored = slim.mapInArrow(run, "epoch int, label int, prob double, pred int")
     measured = all_metrics(freeze(scored), ["epoch"])
     trained = spark.createDataFrame(progress, "epoch int, train_loss double, train_accuracy double")
     return freeze(

@@ -90,6 +90,35 @@ def running_totals(
     return joined.drop("_o_chunk", "_o_pos", "_o_key", "_o_c", "_o_k", *[f"_oc_{out}" for out in totals])
 
 
+BUCKET_ROWS = 2_000_000  # rows of one bucket that a task sums up
+
+
+def bucketed_totals(
+    df: DataFrame, by: Sequence[str], at: str, ties: Sequence[str | Column], totals: Mapping[str, str], width: int
+) -> DataFrame:
+    """Inclusive running sums within each ``by`` group in the order of ``at`` (whole numbers) and ``ties``.
+
+    Two levels instead of a global order: sums inside buckets of ``width`` along ``at``, and over a group's buckets the
+    sums of the buckets before. A hot group is spread over its buckets. If a single bucket holds more than
+    :data:`BUCKET_ROWS` rows, the sums come from :func:`running_totals`.
+    """
+    by = list(by)
+    bucketed = df.withColumn("_b", F.floor(F.col(at) / F.lit(width)))
+    sizes = bucketed.groupBy(*by, "_b").agg(
+        F.count(F.lit(1)).alias("_b_rows"), *[F.sum(source).alias(f"_b_{out}") for out, source in totals.items()]
+    )
+    sizes = freeze(sizes)
+    if (sizes.agg(F.max("_b_rows").alias("n")).collect()[0]["n"] or 0) > BUCKET_ROWS:
+        return running_totals(df, by, [at, *ties], totals)
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = sizes.select(*by, "_b", *[F.sum(f"_b_{out}").over(before).alias(f"_b_{out}") for out in totals])
+    inside = Window.partitionBy(*by, "_b").orderBy(at, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    summed = bucketed.withColumns({out: F.sum(source).over(inside) for out, source in totals.items()})
+    joined = summed.join(earlier, [*by, "_b"])
+    names = {out: F.col(out) + F.coalesce(F.col(f"_b_{out}"), F.lit(0)) for out in totals}
+    return joined.withColumns(names).drop("_b", *[f"_b_{out}" for out in totals])
+
+
 def exact_percentiles(
     df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = ()
 ) -> DataFrame:

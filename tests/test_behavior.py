@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+from collections import Counter
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,19 +32,19 @@ EXPECTED_BURSTS = {
 }
 
 
-@pytest.mark.parametrize("limit", [4096, 2])
+@pytest.mark.parametrize("limit", [1_000_000, 2])
 def test_burst_edges(spark, monkeypatch, limit):
-    monkeypatch.setattr(behavior, "ARRAY_LIMIT", limit)
+    monkeypatch.setattr(behavior, "LINEAR_LIMIT", limit)
     rows = behavior.burst_windows(burst_edges(spark)).collect()
     assert {r["review_id"]: (r["window_no"], r["window_size"], r["in_burst"]) for r in rows} == EXPECTED_BURSTS
 
 
 @pytest.mark.parametrize("broadcast", [100_000, 0])
 def test_long_histories_match_short_ones(spark, orders, many_chunks, monkeypatch, broadcast):
-    """The pointer-doubling path and the array path give the same windows."""
+    """The pointer-doubling path and the pass over sorted times give the same windows."""
     columns = ["review_id", "window_no", "window_start", "window_size", "in_burst"]
     short = behavior.burst_windows(orders).select(columns).collect()
-    monkeypatch.setattr(behavior, "ARRAY_LIMIT", 3)
+    monkeypatch.setattr(behavior, "LINEAR_LIMIT", 3)
     monkeypatch.setattr(behavior, "BROADCAST_LIMIT", broadcast)
     long = behavior.burst_windows(orders).select(columns).collect()
     assert sorted(map(tuple, long)) == sorted(map(tuple, short))
@@ -51,6 +53,46 @@ def test_long_histories_match_short_ones(spark, orders, many_chunks, monkeypatch
     assert ratios == {r["review_id"]: r["burst_ratio"] for r in behavior.burst_ratio(orders).collect()}
 
 
+def plain_windows(times, reach):
+    out, start = [], None
+    for t, n in times:
+        if start is None or t >= start + reach:
+            start = t
+            out.append([])
+        out[-1].append((t, n))
+    return [(t, k, w[0][0], sum(n for _, n in w)) for k, w in enumerate(out, 1) for t, _ in w]
+
+
+def test_one_pass_equals_the_rule():
+    rng = np.random.default_rng(6)
+    histories = [np.unique(rng.integers(0, 400, rng.integers(1, 80))) for _ in range(200)]
+    t, n = np.concatenate(histories), rng.integers(1, 4, sum(map(len, histories)))
+    begins = np.zeros(len(t), bool)
+    begins[np.r_[0, np.cumsum([len(h) for h in histories])[:-1]]] = True
+    number, start, size = behavior.greedy_windows(begins, t, n, 31)
+    at, want = 0, []
+    for h in histories:
+        want += plain_windows(list(zip(h.tolist(), n[at : at + len(h)].tolist(), strict=True)), 31)
+        at += len(h)
+    assert list(zip(t.tolist(), number.tolist(), start.tolist(), size.tolist(), strict=True)) == want
+
+
+def test_users_longer_than_a_batch(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    rows = [(k, f"u{k % 3 if k < 900 else k}", "p", 1.0, 0, T0 + timedelta(days=int(k * 7 % 2000))) for k in range(1000)]
+    got = {r["review_id"]: (r["window_no"], r["window_size"]) for r in behavior.burst_windows(table(spark, rows)).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    for user in {r[1] for r in rows}:
+        days = Counter(r[5] for r in rows if r[1] == user)
+        want = {t: (k, size) for t, k, _, size in plain_windows(sorted(days.items()), timedelta(days=31))}
+        assert all(got[r[0]] == want[r[5]] for r in rows if r[1] == user)
+
+
+def test_windows_gather_no_arrays(spark, orders):
+    plan = behavior.burst_windows(orders)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "SinglePartition" not in plan
+
+
 def test_account_age_counts_elapsed_days(spark):
     rows = [(1, "u", "p", 1.0, 0, datetime(2020, 1, 1, 23, 50)), (2, "u", "p", 1.0, 0, datetime(2020, 1, 2, 0, 10))]
     got = behavior.account_age_at_review(table(spark, rows)).collect()

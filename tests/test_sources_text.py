@@ -122,19 +122,13 @@ def test_learners_learn(spark):
     assert sum(r["importance"] for r in ranked) == pytest.approx(1.0)
 
 
-def test_mlp_gradient_matches_differences(spark):
+def test_mlp_gradient_matches_differences():
     """The analytic focal gradient equals a numeric derivative of the focal loss."""
-    import pandas as pd
-
     layers = mlp.xavier_layers([3, 4, 1], 1)
-    frame = pd.DataFrame({"label": [1, 0, 1], "features": [np.array([0.3, -1.0, 2.0]), np.array([1.0, 0.5, -0.2]), np.array([-0.7, 0.1, 0.4])]})
-
-    def loss(flat):
-        task = mlp._gradient_task(mlp._unflatten(flat, layers), 2.0, 0.7, 0.0, 0)
-        return next(task(iter([frame])))["loss"][0]
-
+    x, y = np.array([[0.3, -1.0, 2.0], [1.0, 0.5, -0.2], [-0.7, 0.1, 0.4]]), np.array([1.0, 0.0, 1.0])
+    loss = lambda flat: mlp.focal_gradient(mlp._unflatten(flat, layers), x, y, 2.0, 0.7)[1]
     flat = mlp._flatten(layers)
-    gradient = next(mlp._gradient_task(layers, 2.0, 0.7, 0.0, 0)(iter([frame])))["grad"][0]
+    gradient = mlp.focal_gradient(layers, x, y, 2.0, 0.7)[0]
     for i in range(0, len(flat), 3):
         step = np.zeros_like(flat)
         step[i] = 1e-6
@@ -143,13 +137,46 @@ def test_mlp_gradient_matches_differences(spark):
 
 def test_mlp_training_improves(spark):
     rows = separable(spark)
-    trained = mlp.mlp_focal_train(rows, rows, hidden=(8,), epochs=6, steps_per_epoch=4, lr=0.03)
+    trained = mlp.mlp_focal_train(rows, rows, hidden=(8,), epochs=6, batch=100, lr=0.03)
     history = {r["epoch"]: r for r in trained.history.collect()}
     assert history[6]["train_loss"] < history[1]["train_loss"]
     assert history[trained.best_epoch]["val_auc_roc"] == max(h["val_auc_roc"] for h in history.values()) > 0.9
     assert accuracy(trained(rows)) > 0.85
 
 
+def test_mlp_training_is_plain_mini_batch_training(spark):
+    """One task: the same as Adam over the batches, in order, in plain numpy."""
+    rows = separable(spark, 60)
+    trained = mlp.mlp_focal_train(rows, rows, hidden=(5,), epochs=2, batch=16, lr=0.01, dropout=0.0, alpha=0.7)
+    local = rows.select(F.xxhash64("review_id", "features").alias("k"), "label", "features").orderBy("k").collect()
+    keys, y, x = np.array([r["k"] for r in local]), np.array([r["label"] for r in local], float), np.array([r["features"] for r in local])
+    layers = mlp.xavier_layers([4, 5, 1], 42)
+    w = mlp._flatten(layers)
+    m, v, t = np.zeros_like(w), np.zeros_like(w), 0
+    for epoch in (1, 2):
+        order = np.argsort(mlp._uniform(keys, 1, 42 * 100_003 + epoch)[:, 0])
+        for low in range(0, 60, 16):
+            own = order[low : low + 16]
+            g = mlp.focal_gradient(mlp._unflatten(w, layers), x[own], y[own], 2.0, 0.7)[0] / len(own)
+            t, m, v = t + 1, 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            w = w - 0.01 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        if epoch == trained.best_epoch:
+            assert mlp._flatten(trained.layers) == pytest.approx(w, abs=1e-12)
+
+
+def test_mlp_training_over_many_tasks_and_restarts(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(mlp, "ROWS_PER_TASK", 50)
+    monkeypatch.setattr(mlp, "MOST_ROWS", 20)
+    rows = separable(spark).unionByName(spark.createDataFrame([(9000, None, [1.0] * 4), (9001, 1, None), (9002, 0, [float("nan")] * 4)], separable(spark, 1).schema))
+    settings = {"hidden": (6,), "batch": 10, "lr": 0.1}
+    trained = mlp.mlp_focal_train(rows, rows.filter("label IS NOT NULL"), epochs=4, restart=str(tmp_path / "run"), **settings)
+    assert accuracy(trained(separable(spark))) > 0.85
+    again = mlp.mlp_focal_train(rows, rows.filter("label IS NOT NULL"), epochs=4, restart=str(tmp_path / "run"), **settings)
+    assert again.history.orderBy("epoch").collect() == trained.history.orderBy("epoch").collect()
+    longer = mlp.mlp_focal_train(rows, rows.filter("label IS NOT NULL"), epochs=5, restart=str(tmp_path / "run"), **settings)
+    assert longer.history.filter("epoch <= 4").orderBy("epoch").collect() == trained.history.orderBy("epoch").collect()
+
+
 def test_sampled_attributions_of_a_linear_score_are_exact(spark):
     rows = vectors(spark, SF)
     background = splits.sample_n(rows, 20)
