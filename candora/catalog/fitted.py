@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 from candora.catalog import behavior as behavior_catalog
 from candora.catalog import text as text_catalog
+from candora.catalog.evaluation import _METRICS
 from candora.catalog.learning import behavior_vectors
-from candora.catalog.views import REVIEWS_SQL, VECTORS_SQL, r6, reviews, rounded, text_reviews, vectors
+from candora.catalog.views import (
+    EVENT_REVIEWS_SQL, REVIEWS_SQL, VECTORS_SQL, auc_sql, event_reviews, metrics_sql, r6, reviews, rounded, text_reviews,
+    vectors,
+)
 from candora.functions.columns import sigmoid
-from candora.operators import behavior, evaluation, fusion, mlp, models, persistence, splits, text, validation
+from candora.operators import behavior, cleaning, evaluation, fusion, mlp, models, persistence, splits, text, validation
 from candora.operators.balance import with_class_weight
 from candora.plans.storage import freeze, scratch_path
+from candora.schema import BEHAVIOR_FEATURES
 
 
 def saved_scaler(spark, sf):
@@ -177,32 +182,72 @@ def fusion_model(spark, sf):
 
 
 def fusion_history(spark, sf):
-    """Training history of the network on fused vectors, as a long table."""
+    """Training history of the network on fused vectors as a long table, with the test rows' metrics at the best epoch."""
     rows = freeze(splits.stratified_split(document_reviews(spark, sf)))
-    parts = [rows.filter(F.col("split") == s).drop("split") for s in ("train", "validation")]
-    model = fusion.fit_fusion(*parts)
-    return rounded(mlp.training_history(model.network.history))
+    parts = {s: rows.filter(F.col("split") == s).drop("split") for s in ("train", "validation", "test")}
+    model = fusion.fit_fusion(parts["train"], parts["validation"])
+    tested = evaluation.all_metrics(freeze(model(parts["test"])).withColumn("epoch", F.lit(model.network.best_epoch)), ["epoch"])
+    tested = tested.select("epoch", *[F.col(c).alias(f"test_{c}") for c in ("accuracy", "auc_roc", "macro_f1")])
+    return rounded(mlp.training_history(model.network.history).unionByName(mlp.training_history(tested)))
+
+
+LEARNERS = {
+    "logistic regression": models.logreg_balanced, "linear svm": models.linear_svm_calibrated, "random forest": models.random_forest,
+}
 
 
 def all_models(spark, sf):
-    """Learners on the behaviour vectors of one split, side by side."""
+    """Learners on the behaviour vectors of one split, side by side, with their defaults (200 trees of depth 15)."""
     train, test = (freeze(part) for part in behavior_vectors(spark, sf))
-    learners = {
-        "logistic regression": models.logreg_balanced,
-        "linear svm": models.linear_svm_calibrated,
-        "forest of 20 trees": lambda rows: models.random_forest(rows, trees=20, depth=8),
-    }
-    scored = validation.score_all(train, test, learners)
+    scored = validation.score_all(train, test, LEARNERS)
     return rounded(evaluation.model_comparison(validation.compared(scored)))
 
 
 def cross_validated_forest(spark, sf):
-    """Five folds of a real learner."""
-    train, _ = behavior_vectors(spark, sf)
-    rows = freeze(splits.stratified_kfold(train, 5))
+    """Five folds of all reviews, 200 trees of depth 15 each."""
+    features = behavior.behavior_features(reviews(spark, sf), keep=["label"])
+    rows = freeze(splits.stratified_kfold(cleaning.to_vectors(features, BEHAVIOR_FEATURES), 5))
     folds = validation.folds_from_numbers(rows, 5)
-    result = validation.cross_validate(rows.drop("fold"), folds, lambda part: models.random_forest(part, trees=10, depth=5))
-    return rounded(result.aggregated())
+    return rounded(validation.cross_validate(rows.drop("fold"), folds, models.random_forest).aggregated())
+
+
+TEXT_WIDTH, PADDING = 64, 16
+
+
+def ablation_models(spark, sf):
+    """Logistic regression on text and behaviour together, on text, and on behaviour; everything fitted on train."""
+    rows = freeze(splits.stratified_split(document_reviews(spark, sf), validation=0.0))
+    train, test = (rows.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
+    tfidf = text.tfidf_fit(train)
+    tfidf.vocabulary = freeze(tfidf.vocabulary)
+    scaler = freeze(behavior.standardize_fit(behavior.behavior_features(train)))
+
+    def fused(part):
+        scaled = behavior.standardize_apply(behavior.behavior_features(part), scaler)
+        numbers = cleaning.pad_features(cleaning.to_vectors(scaled, BEHAVIOR_FEATURES), "features", PADDING)
+        return freeze(cleaning.fuse_features(fusion.hashed_vectors(part, tfidf, TEXT_WIDTH, ("label",)), numbers.select("review_id", "features")))
+
+    both = TEXT_WIDTH + PADDING
+    slices = {"full": (0, both), "text": (0, TEXT_WIDTH), "behavior": (TEXT_WIDTH, both)}
+    return rounded(validation.ablation(fused(train), fused(test), slices, models.logreg_balanced, "full"))
+
+
+def cross_domain_models(spark, sf):
+    """Learners fitted on the reviews' behaviour vectors, scaled by their statistics, and measured on another source's."""
+    source = freeze(behavior.behavior_features(reviews(spark, sf), keep=["label"]))
+    target = behavior.behavior_features(event_reviews(spark, sf), keep=["label"])
+    stats = freeze(behavior.standardize_fit(source))
+    parts = [freeze(cleaning.to_vectors(behavior.standardize_apply(part, stats), BEHAVIOR_FEATURES)) for part in (source, target)]
+    return rounded(validation.cross_domain_eval(*parts, LEARNERS))
+
+
+def cross_domain_tree(spark, sf):
+    """A tree of two levels learnt on the reviews and measured on another source."""
+    learn = {"tree": lambda rows: models.random_forest(rows, trees=1, depth=LEVELS)}
+    target = event_reviews(spark, sf).filter(F.col("label").isNotNull())
+    values = [F.coalesce("rating", F.lit(0.0)).cast("double"), F.lit(0.0), F.coalesce(F.month("date"), F.lit(0)).cast("double")]
+    target = target.select("review_id", "label", F.array(*values).alias("features"))
+    return rounded(validation.cross_domain_eval(_three_features(spark, sf), target, learn))
 
 
 QUERIES = {
@@ -210,7 +255,7 @@ QUERIES = {
     for f in (
         saved_scaler, saved_tfidf, pca_variance, logreg_optimum, svm_optimum, svm_calibration, forest_stump, tree_of_two_levels,
         tree_importance, fusion_model, fusion_history,
-        all_models, cross_validated_forest,
+        all_models, cross_validated_forest, ablation_models, cross_domain_models, cross_domain_tree,
     )
 }
 
@@ -240,7 +285,7 @@ _TREE_SQL = f"""
     halves AS (SELECT base.*, v[f] <= x AS side FROM base, cut0),
     {_cut_sql('cut1', 'halves', 'side')},
     quarters AS (SELECT review_id, v, label, side, coalesce(v[f] <= x, true) AS part FROM halves LEFT JOIN cut1 ON side = node),
-    leaves AS (SELECT v[1] AS v1, v[2] AS v2, v[3] AS v3, avg(label) OVER (PARTITION BY side, part) AS leaf FROM quarters)"""
+    leaves AS (SELECT side, part, v[1] AS v1, v[2] AS v2, v[3] AS v3, avg(label) OVER (PARTITION BY side, part) AS leaf FROM quarters)"""
 
 ORACLES = {
     "saved_scaler": behavior_catalog.ORACLES["standardize_apply"],
@@ -261,6 +306,18 @@ ORACLES = {
     "tree_of_two_levels": f"""
         WITH {_TREE_SQL}
         SELECT v1 AS rating, v2 AS store, v3 AS month, {r6('any_value(leaf)')} AS prob, count(*) AS n_rows FROM leaves GROUP BY ALL""",
+    "cross_domain_tree": f"""
+        WITH {EVENT_REVIEWS_SQL}, {_TREE_SQL},
+        target AS (SELECT review_id, label, [coalesce(rating, 0)::DOUBLE, 0.0::DOUBLE, coalesce(month(date), 0)::DOUBLE] AS v
+          FROM event_reviews WHERE label IS NOT NULL),
+        sided AS (SELECT target.*, v[f] <= x AS side FROM target, cut0),
+        parted AS (SELECT sided.*, coalesce(v[f] <= x, true) AS part FROM sided LEFT JOIN cut1 ON side = node),
+        probs AS (SELECT DISTINCT side, part, leaf FROM leaves),
+        measured AS (SELECT 'tree' AS model, review_id, label, leaf AS prob, CAST(leaf > 0.5 AS INTEGER) AS pred
+          FROM parted JOIN probs USING (side, part)),
+        {metrics_sql('measured', 'model')}, {auc_sql('measured', 'model')}
+        SELECT model, tn, fp, fn, tp, {_METRICS}, {r6('auc_roc')} AS auc_roc
+        FROM metrics JOIN areas USING (model)""",
     "tree_importance": f"""
         WITH {_TREE_SQL},
         gains AS (SELECT f, sum(gain) AS gain FROM (SELECT f, gain FROM cut0 UNION ALL SELECT f, gain FROM cut1) GROUP BY f),

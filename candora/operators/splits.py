@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from candora.functions.columns import epoch_micros, hash_uniform, keyed_md5
 from candora.operators.balance import class_weights
-from candora.plans.ordering import global_row_number
+from candora.plans.ordering import bucketed_totals, global_row_number
 from candora.schema import DAY_MICROS
 
 _SECOND_MICROS = 1_000_000
@@ -59,32 +59,33 @@ def temporal_split(df: DataFrame, fraction: float = 0.8, date_col: str = "date")
 
 
 CELL_ROWS = 4096  # rows that a hash cell holds at most in expectation
+CELLS_PER_TASK = 1 << 16  # cells whose sizes one task adds up
 
 
 def _hash_position(df: DataFrame, by: str, key: str, seed: int) -> DataFrame:
     """``_rank`` = 0-based position of each row in the md5 order of its ``by`` group, ``_size`` = group size.
 
     Leading hex digits cut every group into equal cells, more of them the more rows there are, so that a task ranks
-    some thousand rows of a cell however large the group is. Rows are shuffled once: the join and the window share (by, cell). Rows
-    without a ``by`` value belong to no stratum and are left out.
+    some thousand rows of a cell however large the group is, and the cells' sizes are added up in two levels. Rows are
+    shuffled once: the join and the window share (by, cell). ``by`` has few values. Rows without a ``by`` value belong to no stratum and are left out.
     """
     digits = max(2, math.ceil(math.log(max(1, df.count()) / CELL_ROWS + 1, 16)))
     hashed = df.withColumn("_h", keyed_md5(seed, F.col(key))).withColumn(
         "_cell", F.substring("_h", 1, digits)
     )
     cells = hashed.groupBy(by, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    ordered = Window.partitionBy(by).orderBy("_cell")
-    offsets = cells.select(
-        by,
-        "_cell",
-        (F.sum("_n").over(ordered) - F.col("_n")).alias("_before"),
-        F.sum("_n").over(Window.partitionBy(by)).alias("_size"),
-    )
+    numbered = cells.withColumn("_place", F.conv("_cell", 16, 10).cast("long"))
+    summed = bucketed_totals(numbered, [by], "_place", [], {"_upto": "_n"}, CELLS_PER_TASK)
+    offsets = summed.select(by, "_cell", (F.col("_upto") - F.col("_n")).alias("_before"))
+    sizes = [(r[by], r["_size"]) for r in hashed.groupBy(by).agg(F.count(F.lit(1)).alias("_size")).collect()]  # one row a label
+    size = F.lit(0).cast("long")
+    for value, rows in sizes:
+        if value is not None:
+            size = F.when(F.col(by) == F.lit(value), F.lit(rows).cast("long")).otherwise(size)
     inside = Window.partitionBy(by, "_cell").orderBy("_h", key)
     ranked = hashed.withColumn("_r", F.row_number().over(inside) - 1).join(offsets, [by, "_cell"])
-    return ranked.withColumn("_rank", F.col("_r") + F.col("_before")).drop(
-        "_h", "_cell", "_r", "_before"
-    )
+    ranked = ranked.withColumn("_rank", F.col("_r") + F.col("_before")).withColumn("_size", size)
+    return ranked.drop("_h", "_cell", "_r", "_before")
 
 
 def stratified_split(
