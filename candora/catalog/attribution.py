@@ -27,6 +27,16 @@ def shapley_sampling(spark, sf):
     return attr.groupBy("review_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("phi"), 6).alias("total"))
 
 
+def shapley_coalitions(spark, sf):
+    """Values by coalitions of a linear score: exact, with errors of 0."""
+    import numpy as np
+
+    rows = vectors(spark, sf)
+    weights = np.array(WEIGHTS)
+    found = attribution.shapley_coalitions(rows, splits.sample_n(rows, 20), lambda x: x @ weights, NAMES, pairs=96)
+    return rounded(found.select("review_id", "feature", "phi", "error"))
+
+
 def shapley_linear(spark, sf):
     return rounded(_attributed(spark, sf))
 
@@ -54,7 +64,7 @@ def value_attr_relation(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        shapley_sampling, shapley_linear, global_importance, branch_importance, branch_by_volume, row_explanation,
+        shapley_sampling, shapley_coalitions, shapley_linear, global_importance, branch_importance, branch_by_volume, row_explanation,
         value_attr_relation,
     )
 }
@@ -88,6 +98,14 @@ ORACLES = {
         background AS (SELECT * FROM vectors ORDER BY md5('42|' || review_id), review_id LIMIT 50),
         base AS (SELECT avg({_network('features')}) AS b FROM background)
         SELECT review_id, CAST(64 AS BIGINT) AS n, {r6(f"({_network('features')}) - b")} AS total FROM vectors, base""",
+    "shapley_coalitions": f"""
+        WITH {VECTORS_SQL},
+        background AS (SELECT * FROM vectors ORDER BY md5('42|' || review_id), review_id LIMIT 20),
+        named(j, feature, branch, w) AS (VALUES {_NAMED}),
+        means AS (SELECT j, avg(x) AS m FROM (
+          SELECT unnest(features) AS x, generate_subscripts(features, 1) AS j FROM background) GROUP BY j),
+        cells AS (SELECT review_id, unnest(features) AS x, generate_subscripts(features, 1) AS j FROM vectors)
+        SELECT review_id, feature, {r6('w * (x - m)')} AS phi, 0.0::DOUBLE AS error FROM cells JOIN means USING (j) JOIN named USING (j)""",
     "shapley_linear": f"""
         {_ATTR} SELECT review_id, label, feature, branch, {r6('value')} AS value, {r6('phi')} AS phi FROM attr""",
     "global_importance": f"""

@@ -6,9 +6,11 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from candora.operators.mlp import dense_rows
 from candora.plans.ordering import exact_percentiles
 from candora.plans.scalars import one_row
 from candora.schema import BEHAVIOR_FEATURES
@@ -94,6 +96,98 @@ def shapley_sampling(
     return explain.select("review_id", "label", column).mapInPandas(run, schema=schema)
 
 
+def coalitions(width: int, pairs: int, seed: int) -> np.ndarray:
+    """``pairs`` random sets of features and their complements, by rows; sizes as the Shapley kernel weighs them."""
+    rng = np.random.default_rng(seed)
+    sizes = np.arange(1, width)
+    chosen = rng.choice(sizes, pairs, p=(1 / (sizes * (width - sizes))) / (1 / (sizes * (width - sizes))).sum())
+    sets = np.stack([rng.permutation(width) for _ in range(pairs)]) < chosen[:, None]
+    return np.stack([sets, ~sets], 1).reshape(2 * pairs, width)
+
+
+def coalition_values(sets: np.ndarray, gains: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Attributions and their standard errors by least squares, each row's adding up to its total.
+
+    ``gains`` holds for every row (rows by sets) what the sets gain over the empty one. Errors come from the residuals of
+    the pairs of a set and its complement, which are drawn independently of each other.
+    """
+    z = sets.astype(float)
+    inverse = np.linalg.pinv(z.T @ z, hermitian=True)
+    one = inverse.sum(axis=1)
+    free = gains @ z @ inverse
+    values = free - ((free.sum(axis=1) - totals) / one.sum())[:, None] * one
+    # the restriction takes what moves the total out of every direction
+    spread = inverse - np.outer(one, one) / one.sum()
+    residual = gains - values @ z.T
+    influence = (residual[:, :, None] * (z @ spread)).reshape(len(gains), len(z) // 2, 2, -1).sum(axis=2)
+    return values, np.sqrt((influence**2).sum(axis=1))
+
+
+def shapley_coalitions(
+    explain: DataFrame,
+    background: DataFrame,
+    score: Callable[[np.ndarray], np.ndarray],
+    names: Names,
+    *,
+    pairs: int | None = None,
+    column: str = "features",
+    seed: int = 42,
+    background_limit: int = 1000,
+) -> DataFrame:
+    """Shapley values of any batch score function by weighted least squares over random coalitions, with standard errors.
+
+    A coalition's value is the mean score of the row's features in the coalition and the background's outside. ``pairs``
+    (default: four a feature) sets and their complements are drawn once by the Shapley kernel and shared by all rows. The
+    values of a row add up to its score minus the mean background score exactly, and are exact for linear scores. Extra
+    column: ``error``. Explained rows stay distributed; the background is limited to ``background_limit`` rows. What is
+    missing in a vector counts as 0.
+    """
+    rows = background.select(column).limit(background_limit + 1).collect()
+    if not rows or len(rows) > background_limit:
+        raise ValueError(f"the background must have 1 to {background_limit} rows; take a sample of it first")
+    base = np.array(sorted(list(map(float, r[0])) for r in rows))
+    width = base.shape[1]
+    if width != len(names):
+        raise ValueError("one name per vector position is needed")
+    pairs = 4 * width if pairs is None else pairs
+    if pairs < width:
+        raise ValueError("fewer pairs than features leave the values undetermined")
+    sets = coalitions(width, pairs, seed) if width > 1 else np.zeros((0, 1), bool)
+    every = np.vstack([np.zeros((1, width), bool), sets, np.ones((1, width), bool)])
+    at_once = max(1, WORK_CELLS // (len(base) * width))
+    features, branches = (pa.array([n[k] for n in names]) for k in (0, 1))
+    columns = ["review_id", "label", "feature", "branch", "value", "phi", "error"]
+
+    def value_of(x: np.ndarray) -> np.ndarray:
+        out = []
+        for low in range(0, len(every), at_once):
+            mixed = np.where(every[low : low + at_once, None, :], x, base)
+            out.append(np.asarray(score(mixed.reshape(-1, width)), float).reshape(-1, len(base)).mean(axis=1))
+        return np.concatenate(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(low, ROWS_AT_ONCE)
+                x = dense_rows(part.column(2), width)
+                found = np.stack([value_of(row) for row in x])
+                totals = found[:, -1] - found[:, 0]
+                phi, error = totals[:, None], np.zeros((len(x), 1))
+                if width > 1:
+                    phi, error = coalition_values(sets, found[:, 1:-1] - found[:, :1], totals)
+                who = pa.array(np.repeat(np.arange(len(x)), width))
+                place = pa.array(np.tile(np.arange(width), len(x)))
+                numbers = (pa.array(np.ascontiguousarray(v).ravel()) for v in (x, phi, error))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(who), part.column(1).take(who), features.take(place), branches.take(place), *numbers], columns
+                )
+
+    id_kind, label_kind = (explain.schema[c].dataType.simpleString() for c in ("review_id", "label"))
+    schema = f"review_id {id_kind}, label {label_kind}, feature string, branch string, value double, phi double, error double"
+    slim = explain.select("review_id", "label", F.col(column).cast("array<double>").alias(column))
+    return slim.mapInArrow(run, schema)
+
+
 def shapley_linear(
     explain: DataFrame, background: DataFrame, weights: Sequence[float], names: Names,
     column: str = "features",

@@ -190,6 +190,32 @@ def test_sampled_attributions_of_a_linear_score_are_exact(spark):
     assert worst[0] < 1e-9 and worst[1] == rows.count() * 64
 
 
+def test_coalition_values_of_a_product(spark):
+    """Exact Shapley values by all orders, against estimates within their standard errors; totals are exact."""
+    import itertools
+
+    rng = np.random.default_rng(12)
+    rows = [(k, 0, [float(v) for v in rng.normal(size=4)]) for k in range(6)] + [(90, 1, None), (91, 1, [1.0, None])]
+    explain = spark.createDataFrame(rows, "review_id long, label int, features array<double>")
+    base = [[float(v) for v in rng.normal(size=4)] for _ in range(3)]
+    background = spark.createDataFrame([(b,) for b in base], "features array<double>")
+    names = [(c, "text") for c in "abcd"]
+    score = lambda x: x[:, 0] * x[:, 1] + 2 * x[:, 2] + np.maximum(x[:, 3], x[:, 0])
+    got = attribution.shapley_coalitions(explain, background, score, names, pairs=400).collect()
+    assert len(got) == 4 * len(rows)
+    for k, _, vector in rows:
+        x = np.array([v or 0.0 for v in [*(vector or []), 0, 0, 0, 0][:4]])
+        value = lambda chosen, x=x: np.mean([score(np.where([j in chosen for j in range(4)], x, b)[None])[0] for b in np.array(base)])
+        exact = np.zeros(4)
+        for order in itertools.permutations(range(4)):
+            for place, j in enumerate(order):
+                exact[j] += (value(set(order[: place + 1])) - value(set(order[:place]))) / 24
+        own = {r["feature"]: r for r in got if r["review_id"] == k}
+        phi, error = (np.array([own[c][name] for c in "abcd"]) for name in ("phi", "error"))
+        assert phi.sum() == pytest.approx(exact.sum(), abs=1e-9)
+        assert (np.abs(phi - exact) <= 5 * error + 1e-9).all() and error.max() < 0.2
+
+
 def test_background_must_be_small(spark):
     rows = vectors(spark, SF)
     with pytest.raises(ValueError):
