@@ -10,8 +10,8 @@ from candora.catalog.views import (
 )
 from candora.operators import cleaning, evaluation, splits
 from candora.plans.storage import scratch_path
+from candora.sources import matrices, sinks
 from candora.sources import reviews as sources
-from candora.sources import sinks
 
 SPACE = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
 
@@ -48,6 +48,14 @@ def surrogate_review_id(spark, sf):
     return sources.surrogate_review_id(rows, ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
 
 
+def matrix_files(spark, sf):
+    """Vectors written as matrix files in the order of their ids, and read back by ranges of rows."""
+    path = scratch_path(spark, "matrix")
+    matrices.write_matrix_files(vectors(spark, sf), path, "review_id")
+    cells = matrices.read_matrix_file(spark, path, range_bytes=1 << 16).select("row", F.posexplode("features").alias("position", "value"))
+    return rounded(cells)
+
+
 def read_feature_matrix(spark, sf):
     wide = table(spark, sf, "lineitem").selectExpr(
         "l_orderkey AS review_id", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
@@ -159,7 +167,7 @@ def oversample_minority(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        ingest_reviews, normalize_types, surrogate_review_id, read_feature_matrix, write_splits, write_results,
+        ingest_reviews, normalize_types, surrogate_review_id, matrix_files, read_feature_matrix, write_splits, write_results,
         clean_reviews, cleaning_report, text_lengths, dataset_profile, split_summary, pad_features,
         fuse_features, slice_branch, temporal_split, stratified_split, stratified_kfold, temporal_kfold,
         train_eval_union, sample_n, oversample_minority,
@@ -209,6 +217,10 @@ ORACLES = {
                'r' || lpad(CAST(row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS VARCHAR), 8, '0')
                  AS review_id
         FROM orders""",
+    "matrix_files": f"""
+        WITH {VECTORS_SQL},
+        numbered AS (SELECT row_number() OVER (ORDER BY review_id) - 1 AS row, features FROM vectors)
+        SELECT row, CAST(generate_subscripts(features, 1) - 1 AS INTEGER) AS position, {r6('unnest(features)')} AS value FROM numbered""",
     "read_feature_matrix": f"""
         SELECT l_orderkey AS review_id, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label,
                {r6('l_quantity')} AS f0, {r6('l_extendedprice')} AS f1, {r6('l_discount')} AS f2, {r6('l_tax')} AS f3

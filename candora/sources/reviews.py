@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from candora.plans.ordering import global_row_number
 from candora.schema import COLUMN_ALIASES, REVIEW_COLUMNS
+from candora.sources.quoted_csv import read_quoted_csv
 
 
 YEAR_1, YEAR_10000 = -62_135_596_800, 253_402_300_800  # seconds since 1970
@@ -42,11 +43,13 @@ def ingest_reviews(
 
     CSV is read as strings, without a schema-inference pass, and all files of a folder must have the first one's
     header: another order of columns is an error, not a shift of values. JSON is read with the known names as strings,
-    also without inference, and rows may differ in naming. ``multi_line`` keeps line breaks inside quoted
-    text but makes each file one task; turn it off for huge files whose texts hold no line breaks.
+    also without inference, and rows may differ in naming. ``multi_line`` keeps line breaks inside quoted text; large
+    files are split among tasks all the same (:mod:`candora.sources.quoted_csv`, which reads the files twice).
     """
-    if fmt == "csv":
-        raw = spark.read.csv(path, header=True, multiLine=multi_line, quote='"', escape='"', enforceSchema=False)
+    if fmt == "csv" and multi_line:
+        raw = read_quoted_csv(spark, path)
+    elif fmt == "csv":
+        raw = spark.read.csv(path, header=True, quote='"', escape='"', enforceSchema=False)
     elif fmt == "parquet":
         raw = spark.read.parquet(path)
     elif fmt == "json":
