@@ -15,16 +15,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candora.llm.shared import stored
+from candora.llm import tokens
+from candora.llm.shared import over_batches, stored
 from candora.plans.ordering import running_totals
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 256  # words of a block
 SHARD_WORDS = 1 << 20  # words of an output shard, unless that would make more than MAX_SHARDS
 MAX_SHARDS = 1 << 16
+RANGE_SLOTS = 1 << 14  # slots of a source that a task lays out at a time
 MAX_SOURCES = 1_000_000  # one small record per source is held by the driver and the tasks; more is an error
 
 
@@ -52,21 +56,43 @@ def targets(sizes: Sequence[int], weights: Sequence[float], share: float, most:
 
 def permute(index: np.ndarray, size: int, key: int) -> np.ndarray:
     """Pseudorandom permutation of ``range(size)``, evaluated at ``index``."""
+    return _walk(index, size, _network(size, key)[0])
+
+
+def unpermute(value: np.ndarray, size: int, key: int) -> np.ndarray:
+    """Indices that :func:`permute` maps to ``value``."""
+    return _walk(value, size, _network(size, key)[1])
+
+
+def _network(size: int, key: int):
+    """A keyed permutation of at least ``size`` numbers, and its inverse."""
     half = max(1, ((size - 1).bit_length() + 1) // 2)
-    mask = np.uint64((1 << half) - 1)
+    mask, shift = np.uint64((1 << half) - 1), np.uint64(half)
     rounds = np.random.Generator(np.random.PCG64(key)).integers(1, 1 << 63, 6, dtype=np.uint64) | np.uint64(1)
-    shift = np.uint64(half)
 
-    def once(x: np.ndarray) -> np.ndarray:
+    def mixed(x: np.ndarray, k: np.uint64) -> np.ndarray:
+        y = (x + k) * np.uint64(0x9E3779B97F4A7C15)
+        return (((y ^ (y >> np.uint64(29))) * k) >> np.uint64(40)) & mask
+
+    def there(x: np.ndarray) -> np.ndarray:
         left, right = x >> shift, x & mask
         for k in rounds:
-            mixed = (right + k) * np.uint64(0x9E3779B97F4A7C15)
-            mixed = (mixed ^ (mixed >> np.uint64(29))) * k
-            left, right = right, left ^ ((mixed >> np.uint64(40)) & mask)
+            left, right = right, left ^ mixed(right, k)
+        return (left << shift) | right
+
+    def back(x: np.ndarray) -> np.ndarray:
+        left, right = x >> shift, x & mask
+        for k in rounds[::-1]:
+            left, right = right ^ mixed(left, k), left
         return (left << shift) | right
 
+    return there, back
+
+
+def _walk(index: np.ndarray, size: int, once) -> np.ndarray:
+    """Along the cycle of each index until the value is below ``size``."""
     out = once(index.astype(np.uint64))
-    while True:  # walk along the cycle until the value is below size
+    while True:
         outside = out >= size
         if not outside.any():
             return out.astype(np.int64)
@@ -110,8 +136,7 @@ def plan_mix(sizes: Sequence[int], goals: Sequence[float], block: int, shard_wor
             slots[k], last[k] = passes * n, block
             continue
         # where the short last block comes in the pass that is cut off
-        order = permute(np.arange(n), int(n), int(keys[k]) + passes) if n <= 1 << 20 else None
-        at = int(np.flatnonzero(order == n - 1)[0]) if order is not None else _position(int(n), int(keys[k]) + passes)
+        at = int(unpermute(np.array([n - 1]), int(n), int(keys[k]) + passes)[0])
         if rest <= at * block:
             more = -(-rest // block)
             left = rest - (more - 1) * block
@@ -125,15 +150,6 @@ def plan_mix(sizes: Sequence[int], goals: Sequence[float], block: int, shard_wor
     return Plan(blocks, slots, last, keys, shards, seed)
 
 
-def _position(size: int, key: int, step: int = 1 << 20) -> int:
-    """Index that :func:`permute` maps to ``size - 1``, looked for piece by piece."""
-    for low in range(0, size, step):
-        found = np.flatnonzero(permute(np.arange(low, min(size, low + step)), size, key) == size - 1)
-        if len(found):
-            return low + int(found[0])
-    raise AssertionError("not a permutation")
-
-
 def _slots(spark, plan: Plan) -> DataFrame:
     """``_shard``, ``_source``, ``_slot``, ``_block`` and ``_most`` (words to take of the block) of the whole mix."""
     total = int(plan.slots.sum())
@@ -165,33 +181,42 @@ def _slots(spark, plan: Plan) -> DataFrame:
     if rest:
         numbered = numbered.unionByName(spark.createDataFrame(rest, numbered.schema))
 
+    # ranges of a bounded number of slots, dealt over the tasks: a source may hold almost all of them
+    starts = F.sequence(F.col("_from"), F.col("_from") + F.col("_count") - 1, F.lit(RANGE_SLOTS).cast("long"))
+    ranges = numbered.filter("_count > 0").withColumn("_low", F.explode(starts))
+    ranges = ranges.select("_shard", "_source", "_low", F.least(F.col("_low") + RANGE_SLOTS, F.col("_from") + F.col("_count")).alias("_high"))
+    ranges = ranges.repartition("_shard", "_source", "_low")
+
     def expand(frames):
         for frame in frames:
-            for shard, source, count, first in frame.itertuples(index=False):
-                for low in range(int(first), min(int(first + count), int(plan.slots[source])), 1 << 18):
-                    slot = np.arange(low, min(int(first + count), int(plan.slots[source]), low + (1 << 18)))
-                    most = np.full(len(slot), np.iinfo(np.int64).max)
-                    most[slot == plan.slots[source] - 1] = plan.last_words[source]
-                    yield pd.DataFrame(
-                        {
-                            "_shard": np.full(len(slot), shard) if shard >= 0 else slot % plan.shards,
-                            "_source": np.full(len(slot), source),
-                            "_slot": slot,
-                            "_block": plan.block_of(int(source), slot),
-                            "_most": most,
-                        }
-                    )
-
-    return numbered.mapInPandas(expand, "_shard long, _source long, _slot long, _block long, _most long")
+            for shard, source, low, high in frame.itertuples(index=False):
+                slot = np.arange(int(low), min(int(high), int(plan.slots[source])))
+                if not len(slot):
+                    continue
+                most = np.full(len(slot), np.iinfo(np.int64).max)
+                most[slot == plan.slots[source] - 1] = plan.last_words[source]
+                yield pd.DataFrame(
+                    {
+                        "_shard": np.full(len(slot), shard) if shard >= 0 else slot % plan.shards,
+                        "_source": np.full(len(slot), source),
+                        "_slot": slot,
+                        "_block": plan.block_of(int(source), slot),
+                        "_most": most,
+                    }
+                )
+
+    return ranges.mapInPandas(expand, "_shard long, _source long, _slot long, _block long, _most long")
 
 
 @dataclass
 class Mix:
-    """``rows``: one row per document with ``_id``, ``source``, ``size``, ``source_size``, ``target`` and ``_start``;
-    ``pieces``: what each slot takes (``_shard``, ``_source``, ``_slot``, ``_id``, ``_start``, ``first_word``, ``n_words``)."""
+    """``rows``: one row per document with ``_row``, ``_id``, ``source``, ``size``, ``source_size``, ``target`` and
+    ``_start``; ``pieces``: what each slot takes (``_shard``, ``_source``, ``_slot``, ``_row``, ``_start``, ``first_word``,
+    ``n_words``); ``texts``: ``_row`` and ``_text`` of the documents, from storage."""
 
     rows: DataFrame
     pieces: DataFrame
+    texts: DataFrame
 
 
 def mix_sources(
@@ -214,10 +239,10 @@ def mix_sources(
     is a source. An empty table gives an empty mix. Other columns are ignored.
     """
     spark = docs.sparkSession
-    sizes = stored(
-        docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")),
-        "sizes",
-    )
+    text = F.col(text_col).cast("string")
+    read = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), text.alias("_text"), word_count(text).alias("size"))
+    # the number of a row is its key: ids may be null or repeat
+    sizes = stored(read.withColumn("_row", F.monotonically_increasing_id()), "sizes")
     found = sizes.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -230,53 +255,88 @@ def mix_sources(
         f"source {sizes.schema['source'].dataType.simpleString()}, _source long, source_size long, target double",
     )
     known = sizes.join(F.broadcast(named), sizes["source"].eqNullSafe(named["source"])).drop(named["source"])
-    known = known.select("_id", "source", "size", "_source", "source_size", "target")
-    placed = running_totals(known, ["_source"], ["_id", "size"], {"_end": "size"})
+    known = known.select("_row", "_id", "source", "size", "_source", "source_size", "target")
+    placed = running_totals(known, ["_source"], ["_id", "size", "_row"], {"_end": "size"})
     rows = stored(placed.withColumn("_start", F.col("_end") - F.col("size")).drop("_end"), "placed")
     whole = rows.filter("size > 0")
     first, last = F.expr(f"_start div {block}"), F.expr(f"(_start + size - 1) div {block}")
-    parts = whole.select("_id", "_source", "_start", "size", F.explode(F.sequence(first, last)).alias("_block"))
+    parts = whole.select("_row", "_source", "_start", "size", F.explode(F.sequence(first, last)).alias("_block"))
     low = F.greatest(F.col("_start"), F.col("_block") * block)
     high = F.least(F.col("_start") + F.col("size"), (F.col("_block") + 1) * block)
-    parts = parts.select("_id", "_source", "_start", "_block", low.alias("_low"), high.alias("_high"))
+    parts = parts.select("_row", "_source", "_start", "_block", low.alias("_low"), high.alias("_high"))
     joined = parts.join(_slots(spark, plan), ["_source", "_block"])
     # a shortened slot takes the first words of its block
     end = F.least(F.col("_high"), F.when(F.col("_most") < block, F.col("_block") * block + F.col("_most")).otherwise(F.col("_high")))
     pieces = joined.withColumn("n_words", end - F.col("_low")).filter("n_words > 0")
     pieces = pieces.select(
-        "_shard", "_source", "_slot", "_id", "_start", (F.col("_low") - F.col("_start")).alias("first_word"), "n_words"
+        "_shard", "_source", "_slot", "_row", "_start", (F.col("_low") - F.col("_start")).alias("first_word"), "n_words"
     )
-    return Mix(rows, pieces)
+    return Mix(rows, pieces, sizes.filter("size > 0").select("_row", "_text"))
 
 
-def taken_words(mix: Mix) -> DataFrame:
-    """Every document with ``size``, ``source_size``, ``target`` and ``taken``, the words the mix takes of it."""
-    taken = mix.pieces.groupBy("_source", "_start").agg(F.sum("n_words").alias("taken"))
-    # a document with words starts at a place of its own
-    keyed = mix.rows.withColumn("_start", F.when(F.col("size") > 0, F.col("_start")))
-    return keyed.join(taken, ["_source", "_start"], "left").select(
-        "_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken")
-    )
-
+def write_mix(mix: Mix) -> DataFrame:
+    """The mix, written below the shared folder: ``shard``, ``source_number``, ``slot``, ``text`` (the slot's words, as they
+    stand in the documents, pieces of several documents joined by a blank), ``rows`` and ``counts`` (the documents' row
+    numbers and how many words each gives).
 
-def mixed_texts(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The mix itself: ``shard``, ``source_number``, ``slot`` and ``text`` (the block's words). Ids must be unique."""
-    texts = docs.select(F.col(id_col).alias("_id"), F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)).alias("_w"))
-    cut = mix.pieces.join(texts, "_id").withColumn(
-        "_part", F.array_join(F.slice("_w", F.col("first_word").cast("int") + 1, F.col("n_words").cast("int")), " ")
+    A document's pieces are cut out of it together, where its text is; then the pieces of a slot meet.
+    """
+    cuts = F.collect_list(F.struct("_shard", "_source", "_slot", "first_word", "n_words", (F.col("_start") + F.col("first_word")).alias("_at")))
+    wanted = mix.pieces.groupBy("_row").agg(cuts.alias("_cuts"))  # as many as a document has blocks, times the passes
+    names = ["_shard", "_source", "_slot", "_at", "_row", "n_words", "_part"]
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, offsets = tokens.buffers(batch.column(1))
+        pieces = batch.column(2).flatten()
+        field = {n: pieces.field(n).to_numpy(zero_copy_only=False) for n in ("_shard", "_source", "_slot", "first_word", "n_words", "_at")}
+        doc = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False))
+        low, high = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64)
+        for first, last in tokens.row_groups(offsets):
+            own = offsets[first : last + 1]
+            found = word_edges(data[own[0] : own[-1]], own - own[0])
+            mine = slice(*np.searchsorted(doc, [first, last]))
+            begin = found[2][doc[mine] - first] + field["first_word"][mine]
+            low[mine], high[mine] = found[0][begin] + own[0], found[1][begin + field["n_words"][mine] - 1] + own[0]
+        ends = np.cumsum(high - low)
+        place = np.repeat(low - (ends - (high - low)), high - low) + np.arange(ends[-1] if len(ends) else 0)
+        raw = pa.py_buffer(np.ascontiguousarray(data[place]))
+        text = pa.Array.from_buffers(pa.large_string(), len(doc), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64)), raw]).cast(pa.string())
+        columns = [pa.array(field[n]) for n in ("_shard", "_source", "_slot", "_at")]
+        return pa.RecordBatch.from_arrays([*columns, batch.column(0).take(pa.array(doc)), pa.array(field["n_words"]), text], names)
+
+    joined = mix.texts.join(wanted, "_row").select("_row", "_text", "_cuts")
+    parts = over_batches(joined, cut, "_shard long, _source long, _slot long, _at long, _row long, n_words long, _part string")
+    blocks = parts.groupBy("_shard", "_source", "_slot").agg(
+        F.sort_array(F.collect_list(F.struct("_at", "_part", "_row", "n_words"))).alias("_parts")  # a block's words at most
     )
-    blocks = cut.groupBy("_shard", "_source", "_slot").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("_start") + F.col("first_word"), "_part"))).alias("_parts")
+    named = blocks.select(
+        F.col("_shard").alias("shard"), F.col("_source").alias("source_number"), F.col("_slot").alias("slot"),
+        F.array_join(F.col("_parts._part"), " ").alias("text"), F.col("_parts._row").alias("rows"), F.col("_parts.n_words").alias("counts"),
     )
-    return blocks.select(
-        F.col("_shard").alias("shard"),
-        F.col("_source").alias("source_number"),
-        F.col("_slot").alias("slot"),
-        F.array_join(F.col("_parts._part"), " ").alias("text"),
+    return stored(named, "mix")
+
+
+def word_edges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Beginnings and ends of all words, and the number of each text's first word."""
+    blank = (data == 32) | ((data >= 9) & (data <= 13))
+    before, after = np.r_[True, blank[:-1]], np.r_[blank[1:], True]
+    before[offsets[:-1][offsets[:-1] < len(data)]] = True
+    after[offsets[1:][offsets[1:] > 0] - 1] = True
+    start = np.flatnonzero(before & ~blank)
+    return start, np.flatnonzero(after & ~blank) + 1, np.searchsorted(start, offsets)
+
+
+def taken_words(mix: Mix, blocks: DataFrame | None = None) -> DataFrame:
+    """Every document with ``size``, ``source_size``, ``target`` and ``taken``, the words that the written mix takes of it."""
+    blocks = write_mix(mix) if blocks is None else blocks
+    cells = blocks.select(F.explode(F.arrays_zip("rows", "counts")).alias("c"))
+    taken = cells.groupBy(F.col("c.rows").alias("_row")).agg(F.sum("c.counts").alias("taken"))
+    return mix.rows.join(taken, "_row", "left").select(
+        "_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken")
     )
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of each document."""
+    """Words that the mix, which is written below the shared folder, takes of each document."""
     mix = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return taken_words(mix).select(F.col("_id").alias("doc_id"), "size", "source_size", "target", "taken")

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import tempfile
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -168,20 +169,39 @@ def test_mix_meets_its_targets(spark):
     assert len(shards) > 5
 
 
-def test_mixed_texts(spark):
-    docs = spark.createDataFrame([(k, " ".join(f"d{k}_{j}" for j in range(10 + k)), "ab"[k % 2]) for k in range(40)], "doc_id long, text string, source string")
+def test_written_mix_holds_what_is_taken(spark):
+    """The words of the written blocks are those that the plan takes of each document; rows are told apart without ids."""
+    rng = random.Random(3)
+    rows = [(k if k % 5 else None, rng.choice([" ", "\n", " \t "]).join(f"d{k}é{j}" for j in range(rng.randrange(0, 90))), "ab"[k % 2]) for k in range(60)]
+    rows += [(7, "d900é0 " * 3000, "a"), (8, None, "a"), (8, "  ", "b"), (8, "d901é0", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
     mix = mixing.mix_sources(docs, block=16, shard_words=256)
-    texts = mixing.mixed_texts(docs, mix).collect()
-    found = [w for r in texts for w in r["text"].split(" ")]
-    taken = {r["_id"]: r["taken"] for r in mixing.taken_words(mix).collect()}
-    for k in range(40):
-        assert sum(w.startswith(f"d{k}_") for w in found) == taken[k]
-    assert max(len(r["text"].split(" ")) for r in texts) == 16
+    blocks = mixing.write_mix(mix)
+    found = Counter(w.split("é")[0] for r in blocks.collect() for w in words(r["text"]))
+    texts = {r["_row"]: r["_text"] for r in mix.texts.collect()}
+    taken = {r["_row"]: sum(p["n_words"] for p in mix.pieces.filter(f"_row = {r['_row']}").collect()) for r in mix.rows.limit(9).collect()}
+    for row, n in taken.items():
+        if row in texts:
+            assert found[words(texts[row])[0].split("é")[0]] == n
+    out = mixing.taken_words(mix, blocks).collect()
+    assert len(out) == len(rows) and sum(r["taken"] for r in out) == sum(found.values())
+    assert max(len(words(r["text"])) for r in blocks.collect()) == 16
+    assert all(r["taken"] <= 2 * r["size"] for r in out)
+
+
+def test_slots_of_one_source_are_dealt_over_tasks(spark, many_chunks, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_SLOTS", 50)
+    plan = mixing.plan_mix([40_000, 300], [60_000, 300], 8, 1 << 20, 1)
+    slots = mixing._slots(spark, plan)
+    rows = [r["n"] for r in slots.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(rows) == plan.slots.sum() and len(rows) > 3 and max(rows) < 0.5 * sum(rows)
 
 
 def test_permutations_and_targets():
     for n in (1, 2, 3, 17, 1000):
-        assert sorted(mixing.permute(np.arange(n), n, 7).tolist()) == list(range(n))
+        there = mixing.permute(np.arange(n), n, 7)
+        assert sorted(there.tolist()) == list(range(n)) and (mixing.unpermute(there, n, 7) == np.arange(n)).all()
+    assert mixing.permute(mixing.unpermute(np.array([6 * 10**10 - 1]), 6 * 10**10, 3), 6 * 10**10, 3)[0] == 6 * 10**10 - 1
     assert mixing.targets([10, 10, 100], [3, 1, 2], 1.5, 2) == pytest.approx([20, 20, 140])
     assert mixing.targets([0, 10], [3, 1], 1.5, 2) == [0, 15]
 

@@ -104,5 +104,5 @@ def test_entry_without_the_subpackage(tmp_path):
 
 
 def test_entry_registers_all():
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' in q and sum(k.startswith('op') and k[2].isdigit() for k in q) == 10"
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' in q and sum(k.startswith('op') and k[2].isdigit() for k in q) == 13"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
