@@ -1,7 +1,4 @@
-"""Trigram language model with the weights of a backoff automaton, learned from and applied to whole corpora.
-
-The automaton below defines the scores; it is not built. :func:`traverse` looks up the counts of each position's word,
-pair and triple and evaluates for all positions at once what following the arcs would give.
+"""Trigram language model as a weighted backoff automaton, learned from and applied to whole corpora.
 
 States are the beginning of a text and the words and word pairs seen in training. A state h has an arc for every word w
 seen after it, with weight ``(c(h w) + m p(w)) / (c(h) + m)``, where p belongs to the state without h's first word, and a
@@ -10,19 +7,22 @@ them for the unknown word. Weights out of a state sum to one. A text is read onc
 state the arc of the next word is taken, or failure arcs down to a state that has one, and the logarithms add up. A word
 unknown in training leads back to the root.
 
-The automaton of a large corpus fits no machine, so each task gets the part its texts can reach. Texts are cut into
-chunks. A chunk asks for the counts of its distinct words, pairs and triples, in packed requests per range of the hash
+The automaton of a large corpus fits no machine, so each task builds the part its texts can reach (:class:`Automaton`)
+and walks it, all texts of a chunk side by side, one token a step. Long texts are walked in segments: which state a
+segment begins in is known from the two tokens before it. Texts are cut into chunks. A chunk asks for the counts of its distinct words, pairs and triples, in packed requests per range of the hash
 space; each range adds up the counts of all chunks and answers every request in the order of its keys. Work, shuffled
 bytes and answers grow with the input; no task holds more than a chunk or a range, whatever the word frequencies.
 
 The smoothing weight is ``m = a c(h) ** b`` with a and b for pairs and triples from :data:`SMOOTHING`: the choice under
 which training texts set aside for this (one in seven) are likeliest when their own counts are taken out. All choices
-are scored in the same traversal.
+are scored in the same walk. Only these set-aside texts are also scored by formula, since no automaton leaves out each
+text's own counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,7 @@ RANGE_TOKENS = 1 << 20  # tokens of the corpus per range of the hash space
 GUARD_BITS = 24
 # a and b of words, then of pairs: from texts that mostly repeat one another to texts that never do
 SMOOTHING = [(1, 0.9, 0.25, 1), (4, 0.75, 1, 0.75), (4, 0.9, 1, 0.5), (4, 0.9, 1, 1), (16, 0.9, 4, 1), (64, 1, 16, 1)]
+SEGMENT = 256  # tokens that one walk follows; longer texts are several walks
 END, BEGIN = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 PAIR, TRIPLE = np.uint64(0x3C6EF372FE94F82B), np.uint64(0xA54FF53A5F1D36F1)
 
@@ -190,6 +191,91 @@ def _answer(table: pa.Table) -> pa.Table:
     )
 
 
+@dataclass
+class Automaton:
+    """States 0 (the root), then words, the beginning of a text, and pairs; weights are logarithms, one per smoothing.
+
+    ``arc_key`` is state times ``words`` plus word, sorted. The root has an arc for every word. Every other state has a
+    failure arc; what it lacks an arc for is asked of the state that this leads to.
+    """
+
+    words: int
+    arc_key: np.ndarray
+    arc_weight: np.ndarray
+    arc_next: np.ndarray
+    root_weight: np.ndarray
+    root_next: np.ndarray
+    fail_weight: np.ndarray
+    fail_next: np.ndarray
+    entry: np.ndarray  # state after each token of the chunk
+    begin: int
+
+    def walk(self, code: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Log10 probability of each text (its tokens begin at ``start`` of ``code``), a column per smoothing."""
+        pieces = -(-lengths // SEGMENT)
+        text = np.repeat(np.arange(len(start)), pieces)
+        inside = (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * SEGMENT
+        first = start[text] + inside
+        size = np.minimum(lengths[text] - inside, SEGMENT)
+        state = np.where(inside > 0, self.entry[np.maximum(first - 1, 0)], self.begin)
+        order = np.argsort(-size, kind="stable")
+        text, first, size, state = text[order], first[order], size[order], state[order]
+        score = np.zeros((len(text), self.root_weight.shape[1]))
+        for k in range(int(size.max(initial=0))):
+            live = int(np.searchsorted(-size, -k, "left"))  # walks longer than k
+            word, now = code[first[:live] + k], state[:live].copy()
+            todo = np.arange(live)
+            while len(todo):
+                rooted = now[todo] == 0
+                done = todo[rooted]
+                score[done] += self.root_weight[word[done]]
+                state[done] = self.root_next[word[done]]
+                todo = todo[~rooted]
+                key = now[todo] * self.words + word[todo]
+                at = np.minimum(np.searchsorted(self.arc_key, key), max(len(self.arc_key) - 1, 0))
+                hit = self.arc_key[at] == key if len(self.arc_key) else np.zeros(len(todo), bool)
+                done = todo[hit]
+                score[done] += self.arc_weight[at[hit]]
+                state[done] = self.arc_next[at[hit]]
+                todo = todo[~hit]
+                score[todo] += self.fail_weight[now[todo]]
+                now[todo] = self.fail_next[now[todo]]
+        out = np.zeros((len(start), score.shape[1]))
+        np.add.at(out, text, score)
+        return out
+
+
+def build_automaton(chunk: Chunk, counts: list[np.ndarray], texts: float, total: float, distinct: float) -> Automaton:
+    """States and arcs that the chunk's texts can reach, from the corpus counts of its words, pairs and triples."""
+    words, pairs = len(chunk.words), len(chunk.pairs)
+    word_n, pair_n, triple_n = counts[0].astype(float), counts[1].astype(float), counts[2].astype(float)
+    context_n = np.append(word_n, texts)  # every training token has a successor; the last is the beginning of a text
+    before, word = np.zeros(pairs, np.int64), np.zeros(pairs, np.int64)
+    before[chunk.pair], word[chunk.pair] = chunk.before, chunk.code
+    context, under = np.zeros(len(chunk.triples), np.int64), np.zeros(len(chunk.triples), np.int64)
+    context[chunk.triple], under[chunk.triple] = chunk.pair[chunk.inner - 1], chunk.pair[chunk.inner]
+    unigram = (word_n + 1) / (total + (distinct + 1))
+    pair_weight, triple_weight, fails = [], [], []
+    for a, b, a3, b3 in SMOOTHING:
+        m, m3 = a * np.maximum(context_n, 1) ** b, a3 * np.maximum(pair_n, 1) ** b3
+        of_pair = (pair_n + m[before] * unigram[word]) / (context_n[before] + m[before])
+        pair_weight.append(of_pair)
+        triple_weight.append((triple_n + m3[context] * of_pair[under]) / (pair_n[context] + m3[context]))
+        fails.append(np.concatenate([[1.0], m / (context_n + m), m3 / (pair_n + m3)]))
+    pair_arc, triple_arc = np.flatnonzero(pair_n > 0), np.flatnonzero(triple_n > 0)
+    word_state = np.where(word_n > 0, 1 + np.arange(words), 0)
+    pair_state = words + 2 + np.arange(pairs)
+    key = np.concatenate([(1 + before[pair_arc]) * words + word[pair_arc], pair_state[context[triple_arc]] * words + word[under[triple_arc]]])
+    leads = np.concatenate([pair_state[pair_arc], pair_state[under[triple_arc]]])
+    weight = np.concatenate([np.stack(pair_weight, 1)[pair_arc], np.stack(triple_weight, 1)[triple_arc]])
+    order = np.argsort(key, kind="stable")
+    entry = np.where(pair_n[chunk.pair] > 0, pair_state[chunk.pair], word_state[chunk.code])
+    return Automaton(
+        words, key[order], np.log10(weight[order]), leads[order], np.repeat(np.log10(unigram)[:, None], len(SMOOTHING), 1), word_state,
+        np.log10(np.stack(fails, 1)), np.concatenate([np.zeros(words + 2, np.int64), word_state[word]]), entry, words + 1 if texts else 0,
+    )
+
+
 def traverse(chunk: Chunk, counts: list[np.ndarray], texts: float, total: float, distinct: float, tune: np.ndarray):
     """Per text: known tokens, base score, score under each smoothing, and score with its own counts taken out (tuning).
 
@@ -213,7 +299,7 @@ def traverse(chunk: Chunk, counts: list[np.ndarray], texts: float, total: float,
 
     known = add((word > 0).astype(np.int64), chunk.start)
     base = add(np.log10((word + 1) / (total + (distinct + 1))), chunk.start)
-    scores = np.stack([add(x, chunk.start) for x in logs(word, pair, context, triple, around, total)], 1)
+    scores = build_automaton(chunk, counts, texts, total, distinct).walk(chunk.code, chunk.start, chunk.lengths)
     without = np.zeros_like(scores)
     pick = tune & ~chunk.held
     if pick.any():

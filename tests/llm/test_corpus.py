@@ -215,6 +215,52 @@ def test_empty_mix(spark):
 # ---- language model
 
 
+def small_chunk(rng):
+    sizes = [rng.randrange(1, 700 if k == 3 else 30) for k in range(30)]
+    hashes = [np.append(np.array([1 + int(rng.paretovariate(0.8)) % 40 for _ in range(n - 1)], np.uint64) * np.uint64(977), lm.END) for n in sizes]
+    vocabulary, code = np.unique(np.concatenate(hashes), return_inverse=True)
+    return lm.Chunk([k % 4 == 0 for k in range(30)], sizes, lm.pack(code), lm.pack_keys(vocabulary), 0)
+
+
+def test_arcs_out_of_a_state_sum_to_one():
+    """A state's arcs, and through failure arcs those of the states below for all other words, are a distribution."""
+    chunk = small_chunk(random.Random(2))
+    counts = chunk.counts()
+    total, distinct, texts = float(counts[0].sum()), float((counts[0] > 0).sum()), float((~chunk.held).sum())
+    automaton = lm.build_automaton(chunk, counts, texts, total, distinct)
+    assert len(np.unique(automaton.arc_key)) == len(automaton.arc_key)
+    known = np.flatnonzero(counts[0] > 0)
+
+    def chance(state, word):
+        weight = np.zeros(len(lm.SMOOTHING))
+        while state:
+            at = np.searchsorted(automaton.arc_key, state * automaton.words + word)
+            if at < len(automaton.arc_key) and automaton.arc_key[at] == state * automaton.words + word:
+                return 10 ** (weight + automaton.arc_weight[at])
+            weight, state = weight + automaton.fail_weight[state], automaton.fail_next[state]
+        return 10 ** (weight + automaton.root_weight[word])
+
+    def unknown(state):
+        weight = np.zeros(len(lm.SMOOTHING))
+        while state:
+            weight, state = weight + automaton.fail_weight[state], automaton.fail_next[state]
+        return 10 ** weight / (total + distinct + 1)
+
+    going_on = np.delete(automaton.entry, chunk.start + chunk.lengths - 1)  # nothing follows an end
+    states = [0, automaton.begin, *np.unique(going_on)[::7]]
+    for state in states:
+        whole = sum(chance(state, w) for w in known) + unknown(state)
+        assert whole == pytest.approx(np.ones(len(lm.SMOOTHING)), abs=1e-9)
+
+
+def test_segments_walk_like_whole_texts(monkeypatch):
+    chunk = small_chunk(random.Random(5))
+    automaton = lm.build_automaton(chunk, chunk.counts(), float((~chunk.held).sum()), 400.0, 30.0)
+    whole = automaton.walk(chunk.code, chunk.start, chunk.lengths)
+    monkeypatch.setattr(lm, "SEGMENT", 3)
+    assert automaton.walk(chunk.code, chunk.start, chunk.lengths) == pytest.approx(whole)
+
+
 def test_scores_match_a_plain_automaton(spark, monkeypatch):
     monkeypatch.setattr(lm, "CHUNK_TOKENS", 500)
     monkeypatch.setattr(lm, "RANGE_TOKENS", 700)
