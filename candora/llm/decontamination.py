@@ -8,7 +8,8 @@ values; the window minima of larger partitions are minima of those of smaller on
 little more than one. Items below the smallest partition are searched by all their shingles. Every candidate is verified
 by the exact containment of the item's shingles in the whole document.
 
-Items are searched in blocks of bounded size, so that what is broadcast doesn't grow with the benchmark.
+Items with equal shingle sets are searched once. Sets are searched in blocks of bounded size, one broadcast at a time, so
+that what is broadcast doesn't grow with the benchmark.
 """
 
 from __future__ import annotations
@@ -168,23 +169,25 @@ def find_contained(
     and documents that occur repeatedly are reported each time. Other columns, and equal names on both sides, don't
     matter.
     """
-    values = stored(_item_shingles(items, item_id, item_text, shingle).filter(F.size("_values") > 0), "items")
+    named = stored(_item_shingles(items, item_id, item_text, shingle).filter(F.size("_values") > 0), "items")
+    values = stored(named.select("_values").distinct().withColumn("_set", F.monotonically_increasing_id()), "sets")
+    named = named.join(values, "_values").select("_item", "_set")
     total = values.agg(F.sum(F.size("_values")).alias("n")).collect()[0]["n"] or 0
     blocks = max(1, -(-total // BLOCK_SHINGLES))
     id_kind, item_kind = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     item_name = item_id if item_id != doc_id else f"{item_id}_item"
-    schema = f"`{doc_id}` {id_kind}, `{item_name}` {item_kind}, item_shingles long, shared long, containment double"
+    schema = f"`{doc_id}` {id_kind}, _set long, item_shingles long, shared long, containment double"
     texts = docs.select(F.col(doc_id).alias("_id"), F.col(doc_text).cast("string").alias("_text"))
-    names = [doc_id, item_name, "item_shingles", "shared", "containment"]
+    names = [doc_id, "_set", "item_shingles", "shared", "containment"]
     kinds = [pa.int64(), pa.int64(), pa.float64()]
     result = None
     for number in range(blocks):
-        part = values.filter(F.pmod(F.xxhash64("_values"), F.lit(blocks)) == number).select("_item", "_values").toArrow()
+        part = values.filter(F.pmod(F.xxhash64("_values"), F.lit(blocks)) == number).select("_set", "_values").toArrow()
         lists = part.column("_values").combine_chunks()
         value = np.array(lists.flatten().to_numpy(zero_copy_only=False)).view(np.uint64) if len(lists) else np.zeros(0, np.uint64)
         size = np.array([len(x) for x in lists], np.int64)
         index = build_index(value, np.r_[0, np.cumsum(size)].astype(np.int64))
-        known = docs.sparkSession.sparkContext.broadcast((index, part.column("_item").combine_chunks()))
+        known = docs.sparkSession.sparkContext.broadcast((index, part.column("_set").combine_chunks()))
 
         def work(batch: pa.RecordBatch, known=known) -> pa.RecordBatch:
             index, ids = known.value
@@ -206,8 +209,12 @@ def find_contained(
             )
 
         matches = over_batches(texts, work, schema)
+        if blocks > 1:
+            matches = stored(matches, "matches")
+            known.unpersist()
         result = matches if result is None else result.unionByName(matches)
-    return result
+    rows = result.join(named, "_set")
+    return rows.select(doc_id, F.col("_item").cast(item_kind).alias(item_name), "item_shingles", "shared", "containment")
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
