@@ -66,13 +66,13 @@ def wilcoxon_signed_rank(spark, sf):
 
 
 def wilcoxon_by_user(spark, sf):
-    """Many pairs with ties (most-used rating per label): normal approximation, statistic only in SQL."""
+    """Many pairs with ties (highest rating per label): normal approximation, corrected for ties."""
     users = reviews(spark, sf).groupBy("user_id").agg(
         F.max(F.when(F.col("label") == 1, F.col("rating"))).alias("a"),
         F.max(F.when(F.col("label") == 0, F.col("rating"))).alias("b"),
     )
     both = users.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
-    return rounded(significance.wilcoxon_signed_rank(both, "a", "b").select("n_pairs", "n", "statistic"))
+    return rounded(significance.wilcoxon_signed_rank(both, "a", "b"))
 
 
 def _rating_cv(spark, sf):
@@ -293,10 +293,19 @@ ORACLES = {
         pairs AS (SELECT d FROM users WHERE d IS NOT NULL),
         ranks AS (
           SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0::DOUBLE AS r
-          FROM pairs WHERE d <> 0)
-        SELECT (SELECT count(*) FROM pairs) AS n_pairs, CAST(count(*) AS INTEGER) AS n,
-               {r6('least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END))')} AS statistic
-        FROM ranks""",
+          FROM pairs WHERE d <> 0),
+        tied AS (SELECT sum(pow(t, 3) - t) AS ties FROM (SELECT count(*)::DOUBLE AS t FROM ranks GROUP BY abs(d))),
+        stat AS (
+          SELECT (SELECT count(*) FROM pairs) AS n_pairs, count(*) AS n, any_value(ties) AS ties,
+            least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS w
+          FROM ranks, tied),
+        score AS (
+          SELECT *, greatest(abs(w - n * (n + 1) / 4.0::DOUBLE) / sqrt((n::DOUBLE * (n + 1) * (2 * n + 1) - ties / 2) / 24), 1e-9) AS z FROM stat),
+        tail AS (  -- the normal distribution's series: odd powers over odd factorials
+          SELECT *, 1 - 2 * exp(-z * z / 2) / sqrt(2 * pi()) * list_sum([
+            exp((2 * k + 1) * ln(z) - (k + 1) * ln(2) - lgamma(k + 1.5) + ln(pi()) / 2) FOR k IN range(0, 400)]) AS p FROM score)
+        SELECT n_pairs, CAST(n AS BIGINT) AS n, {r6('w')} AS statistic, {r6('p')} AS p_value, CAST(CASE WHEN p < 0.05 THEN 1 ELSE 0 END AS INTEGER) AS significant
+        FROM tail""",
     "cross_validate": f"""
         {_RATING_CV} SELECT CAST(fold AS INTEGER) AS fold, tn, fp, fn, tp, {_METRICS}, {r6('auc_roc')} AS auc_roc FROM measured""",
     "cross_validate_summary": f"{_RATING_CV} "

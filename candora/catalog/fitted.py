@@ -160,6 +160,15 @@ def tree_importance(spark, sf):
     return rounded(models.rf_feature_importance(forest, ["rating", "store", "month"]))
 
 
+ABLATED = {"full": (0, 3), "rating": (0, 1), "store and month": (1, 3)}
+
+
+def ablation_tree(spark, sf):
+    """A tree of two levels on all three features and on slices of them, measured on the rows it learnt from."""
+    rows = freeze(_three_features(spark, sf))
+    return rounded(validation.ablation(rows, rows, ABLATED, lambda part: models.random_forest(part, trees=1, depth=LEVELS), "full"))
+
+
 def document_reviews(spark, sf):
     """Documents as reviews with text and behaviour."""
     texts = text_reviews(spark, sf).filter(F.col("label").isNotNull())
@@ -254,7 +263,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         saved_scaler, saved_tfidf, pca_variance, logreg_optimum, svm_optimum, svm_calibration, forest_stump, tree_of_two_levels,
-        tree_importance, fusion_model, fusion_history,
+        tree_importance, ablation_tree, fusion_model, fusion_history,
         all_models, cross_validated_forest, ablation_models, cross_domain_models, cross_domain_tree,
     )
 }
@@ -265,11 +274,11 @@ _FOLDS_SQL = """
       FROM vectors)"""
 
 
-def _cut_sql(name: str, rows: str, node: str) -> str:
+def _cut_sql(name: str, rows: str, node: str, features: str = "[1, 2, 3]") -> str:
     """Best cut by Gini impurity in each node of ``rows`` (value lists ``v``): feature, the largest value on the left, gain."""
     return f"""
     cells_{name} AS (SELECT {node} AS node, f, v[f] AS x, count(*)::DOUBLE AS n, sum(label)::DOUBLE AS k
-      FROM {rows}, (SELECT unnest([1, 2, 3]) AS f) GROUP BY ALL),
+      FROM {rows}, (SELECT unnest({features}) AS f) GROUP BY ALL),
     sides_{name} AS (SELECT node, f, x, sum(n) OVER up AS ln, sum(k) OVER up AS lk, sum(n) OVER whole AS tn, sum(k) OVER whole AS tk
       FROM cells_{name} WINDOW up AS (PARTITION BY node, f ORDER BY x), whole AS (PARTITION BY node, f)),
     {name} AS (
@@ -277,17 +286,43 @@ def _cut_sql(name: str, rows: str, node: str) -> str:
       FROM sides_{name} WHERE ln < tn QUALIFY row_number() OVER (PARTITION BY node ORDER BY round(gain, 6) DESC, f, x) = 1)"""
 
 
-_TREE_SQL = f"""
+_BASE_SQL = f"""
     {REVIEWS_SQL},
     base AS (SELECT review_id, [rating::DOUBLE, (product_id % 5)::DOUBLE, month(date)::DOUBLE] AS v,
-      CASE WHEN rating >= 3 AND product_id % 5 < 2 THEN 1 - label ELSE label END AS label FROM reviews),
+      CASE WHEN rating >= 3 AND product_id % 5 < 2 THEN 1 - label ELSE label END AS label FROM reviews)"""
+
+_TREE_SQL = f"""
+    {_BASE_SQL},
     {_cut_sql('cut0', 'base', '0')},
     halves AS (SELECT base.*, v[f] <= x AS side FROM base, cut0),
     {_cut_sql('cut1', 'halves', 'side')},
     quarters AS (SELECT review_id, v, label, side, coalesce(v[f] <= x, true) AS part FROM halves LEFT JOIN cut1 ON side = node),
     leaves AS (SELECT side, part, v[1] AS v1, v[2] AS v2, v[3] AS v3, avg(label) OVER (PARTITION BY side, part) AS leaf FROM quarters)"""
 
+
+
+def _ablation_sql() -> str:
+    parts, names = [], list(ABLATED)
+    for k, (low, high) in enumerate(ABLATED.values()):
+        features = str(list(range(low + 1, high + 1)))
+        parts.append(f"""
+    {_cut_sql(f'top{k}', 'base', '0', features)},
+    halves{k} AS (SELECT base.*, v[f] <= x AS side FROM base, top{k}),
+    {_cut_sql(f'low{k}', f'halves{k}', 'side', features)},
+    quarters{k} AS (SELECT h.review_id, label, side, coalesce(v[f] <= x, true) AS part FROM halves{k} h LEFT JOIN low{k} ON side = node),
+    scored{k} AS (SELECT '{names[k]}' AS config, review_id, label, avg(label) OVER (PARTITION BY side, part) AS prob FROM quarters{k})""")
+    every = " UNION ALL ".join(f"SELECT config, review_id, label, prob, CAST(prob > 0.5 AS INTEGER) AS pred FROM scored{k}" for k in range(len(names)))
+    return f"""
+        WITH {_BASE_SQL}, {', '.join(parts)},
+        every AS ({every}), {metrics_sql('every', 'config')}, {auc_sql('every', 'config')},
+        measures AS (SELECT config, auc_roc, macro_f1 FROM metrics JOIN areas USING (config))
+        SELECT config, {r6('b.auc_roc')} AS auc_roc, {r6('b.macro_f1')} AS macro_f1, {r6('(b.auc_roc - f.auc_roc) * 100')} AS auc_delta_pp,
+               {r6('(b.macro_f1 - f.macro_f1) * 100')} AS f1_delta_pp
+        FROM measures b JOIN (SELECT auc_roc, macro_f1 FROM measures WHERE config = 'full') f ON true"""
+
+
 ORACLES = {
+    "ablation_tree": _ablation_sql(),
     "saved_scaler": behavior_catalog.ORACLES["standardize_apply"],
     "saved_tfidf": text_catalog.ORACLES["tfidf"],
     "pca_variance": f"""
