@@ -250,6 +250,14 @@ def cross_domain_models(spark, sf):
     return rounded(validation.cross_domain_eval(*parts, LEARNERS))
 
 
+def cross_domain_text(spark, sf):
+    """Text learners on the English documents, vocabulary and term weights from these alone, measured on the other languages."""
+    rows = freeze(text_reviews(spark, sf).filter(F.col("label").isNotNull()).select("review_id", "text", "label", "lang"))
+    home, away = (rows.filter(c).drop("lang") for c in (F.col("lang") == "en", F.col("lang") != "en"))
+    learners = {name: models.on_tfidf(LEARNERS[name]) for name in ("logistic regression", "linear svm")}
+    return rounded(validation.cross_domain_eval(home, away, learners))
+
+
 def cross_domain_tree(spark, sf):
     """A tree of two levels learnt on the reviews and measured on another source."""
     learn = {"tree": lambda rows: models.random_forest(rows, trees=1, depth=LEVELS)}
@@ -264,7 +272,7 @@ QUERIES = {
     for f in (
         saved_scaler, saved_tfidf, pca_variance, logreg_optimum, svm_optimum, svm_calibration, forest_stump, tree_of_two_levels,
         tree_importance, ablation_tree, fusion_model, fusion_history,
-        all_models, cross_validated_forest, ablation_models, cross_domain_models, cross_domain_tree,
+        all_models, cross_validated_forest, ablation_models, cross_domain_models, cross_domain_text, cross_domain_tree,
     )
 }
 
