@@ -29,6 +29,7 @@ BLOCK = 256  # words of a block
 SHARD_WORDS = 1 << 20  # words of an output shard, unless that would make more than MAX_SHARDS
 MAX_SHARDS = 1 << 16
 RANGE_SLOTS = 1 << 14  # slots of a source that a task lays out at a time
+TASK_SLOTS = 1 << 20  # slots that a task lays out
 MAX_SOURCES = 1_000_000  # one small record per source is held by the driver and the tasks; more is an error
 
 
@@ -185,7 +186,8 @@ def _slots(spark, plan: Plan) -> DataFrame:
     starts = F.sequence(F.col("_from"), F.col("_from") + F.col("_count") - 1, F.lit(RANGE_SLOTS).cast("long"))
     ranges = numbered.filter("_count > 0").withColumn("_low", F.explode(starts))
     ranges = ranges.select("_shard", "_source", "_low", F.least(F.col("_low") + RANGE_SLOTS, F.col("_from") + F.col("_count")).alias("_high"))
-    ranges = ranges.repartition("_shard", "_source", "_low")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_SLOTS)
+    ranges = ranges.repartition(tasks, "_shard", "_source", "_low")  # few bytes, much work: a given number isn't coalesced
 
     def expand(frames):
         for frame in frames:
@@ -212,7 +214,8 @@ def _slots(spark, plan: Plan) -> DataFrame:
 class Mix:
     """``rows``: one row per document with ``_row``, ``_id``, ``source``, ``size``, ``source_size``, ``target`` and
     ``_start``; ``pieces``: what each slot takes (``_shard``, ``_source``, ``_slot``, ``_row``, ``_start``, ``first_word``,
-    ``n_words``); ``texts``: ``_row`` and ``_text`` of the documents, from storage."""
+    ``n_words``); ``texts``: ``_row`` and ``_text`` of the documents. ``_row`` is the id, or a number where ids are null or
+    repeat."""
 
     rows: DataFrame
     pieces: DataFrame
@@ -239,10 +242,13 @@ def mix_sources(
     is a source. An empty table gives an empty mix. Other columns are ignored.
     """
     spark = docs.sparkSession
-    text = F.col(text_col).cast("string")
-    read = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), text.alias("_text"), word_count(text).alias("size"))
-    # the number of a row is its key: ids may be null or repeat
-    sizes = stored(read.withColumn("_row", F.monotonically_increasing_id()), "sizes")
+    read = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), F.col(text_col).cast("string").alias("_text"))
+    ids = read.groupBy("_id").agg(F.count(F.lit(1)).alias("n"))
+    if ids.filter("n > 1 OR _id IS NULL").isEmpty():
+        read = read.withColumn("_row", F.col("_id"))
+    else:  # rows that their ids don't tell apart get numbers, which only storage keeps
+        read = stored(read.withColumn("_row", F.monotonically_increasing_id()), "texts")
+    sizes = stored(read.select("_row", "_id", "source", word_count(F.col("_text")).alias("size")), "sizes")
     found = sizes.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -264,22 +270,22 @@ def mix_sources(
     low = F.greatest(F.col("_start"), F.col("_block") * block)
     high = F.least(F.col("_start") + F.col("size"), (F.col("_block") + 1) * block)
     parts = parts.select("_row", "_source", "_start", "_block", low.alias("_low"), high.alias("_high"))
-    joined = parts.join(_slots(spark, plan), ["_source", "_block"])
+    joined = parts.join(_slots(spark, plan).hint("merge"), ["_source", "_block"])  # both sides grow with the documents
     # a shortened slot takes the first words of its block
     end = F.least(F.col("_high"), F.when(F.col("_most") < block, F.col("_block") * block + F.col("_most")).otherwise(F.col("_high")))
     pieces = joined.withColumn("n_words", end - F.col("_low")).filter("n_words > 0")
     pieces = pieces.select(
         "_shard", "_source", "_slot", "_row", "_start", (F.col("_low") - F.col("_start")).alias("first_word"), "n_words"
     )
-    return Mix(rows, pieces, sizes.filter("size > 0").select("_row", "_text"))
+    return Mix(rows, pieces, read.select("_row", "_text"))
 
 
 def write_mix(mix: Mix) -> DataFrame:
-    """The mix, written below the shared folder: ``shard``, ``source_number``, ``slot``, ``text`` (the slot's words, as they
-    stand in the documents, pieces of several documents joined by a blank), ``rows`` and ``counts`` (the documents' row
-    numbers and how many words each gives).
+    """The mix, written below the shared folder, a row per piece: ``shard``, ``source_number``, ``slot``, ``place`` (order
+    of a slot's pieces), ``row`` (the document's key), ``n_words`` and ``text``, as it stands in the document.
 
-    A document's pieces are cut out of it together, where its text is; then the pieces of a slot meet.
+    A document's pieces are cut out of it together, where its text is. :func:`mixed_blocks` puts the pieces of slots
+    together.
     """
     cuts = F.collect_list(F.struct("_shard", "_source", "_slot", "first_word", "n_words", (F.col("_start") + F.col("first_word")).alias("_at")))
     wanted = mix.pieces.groupBy("_row").agg(cuts.alias("_cuts"))  # as many as a document has blocks, times the passes
@@ -305,15 +311,17 @@ def write_mix(mix: Mix) -> DataFrame:
         return pa.RecordBatch.from_arrays([*columns, batch.column(0).take(pa.array(doc)), pa.array(field["n_words"]), text], names)
 
     joined = mix.texts.join(wanted, "_row").select("_row", "_text", "_cuts")
-    parts = over_batches(joined, cut, "_shard long, _source long, _slot long, _at long, _row long, n_words long, _part string")
-    blocks = parts.groupBy("_shard", "_source", "_slot").agg(
-        F.sort_array(F.collect_list(F.struct("_at", "_part", "_row", "n_words"))).alias("_parts")  # a block's words at most
-    )
-    named = blocks.select(
-        F.col("_shard").alias("shard"), F.col("_source").alias("source_number"), F.col("_slot").alias("slot"),
-        F.array_join(F.col("_parts._part"), " ").alias("text"), F.col("_parts._row").alias("rows"), F.col("_parts.n_words").alias("counts"),
-    )
-    return stored(named, "mix")
+    kind = mix.texts.schema["_row"].dataType.simpleString()
+    parts = over_batches(joined, cut, f"_shard long, _source long, _slot long, _at long, _row {kind}, n_words long, _part string")
+    named = {"_shard": "shard", "_source": "source_number", "_slot": "slot", "_at": "place", "_row": "row", "_part": "text"}
+    return stored(parts.withColumnsRenamed(named), "mix")
+
+
+def mixed_blocks(parts: DataFrame) -> DataFrame:
+    """``shard``, ``source_number``, ``slot`` and ``text`` of a written mix: a slot's pieces joined by a blank."""
+    pieces = F.sort_array(F.collect_list(F.struct("place", "text")))  # a block's words at most
+    blocks = parts.groupBy("shard", "source_number", "slot").agg(pieces.alias("_parts"))
+    return blocks.select("shard", "source_number", "slot", F.array_join(F.col("_parts.text"), " ").alias("text"))
 
 
 def word_edges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -326,11 +334,10 @@ def word_edges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, np.flatnonzero(after & ~blank) + 1, np.searchsorted(start, offsets)
 
 
-def taken_words(mix: Mix, blocks: DataFrame | None = None) -> DataFrame:
+def taken_words(mix: Mix, parts: DataFrame | None = None) -> DataFrame:
     """Every document with ``size``, ``source_size``, ``target`` and ``taken``, the words that the written mix takes of it."""
-    blocks = write_mix(mix) if blocks is None else blocks
-    cells = blocks.select(F.explode(F.arrays_zip("rows", "counts")).alias("c"))
-    taken = cells.groupBy(F.col("c.rows").alias("_row")).agg(F.sum("c.counts").alias("taken"))
+    parts = write_mix(mix) if parts is None else parts
+    taken = parts.groupBy(F.col("row").alias("_row")).agg(F.sum("n_words").alias("taken"))
     return mix.rows.join(taken, "_row", "left").select(
         "_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken")
     )

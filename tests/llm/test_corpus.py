@@ -176,14 +176,17 @@ def test_written_mix_holds_what_is_taken(spark):
     rows += [(7, "d900é0 " * 3000, "a"), (8, None, "a"), (8, "  ", "b"), (8, "d901é0", "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
     mix = mixing.mix_sources(docs, block=16, shard_words=256)
-    blocks = mixing.write_mix(mix)
+    parts = mixing.write_mix(mix)
+    blocks = mixing.mixed_blocks(parts)
     found = Counter(w.split("é")[0] for r in blocks.collect() for w in words(r["text"]))
     texts = {r["_row"]: r["_text"] for r in mix.texts.collect()}
     taken = {r["_row"]: sum(p["n_words"] for p in mix.pieces.filter(f"_row = {r['_row']}").collect()) for r in mix.rows.limit(9).collect()}
     for row, n in taken.items():
         if row in texts:
             assert found[words(texts[row])[0].split("é")[0]] == n
-    out = mixing.taken_words(mix, blocks).collect()
+    out = mixing.taken_words(mix, parts).collect()
+    unique = mixing.mix_sources(docs.filter("doc_id < 7"), block=16, shard_words=256)
+    assert unique.texts.schema['_row'].dataType.simpleString() == 'bigint' and mixing.taken_words(unique).count() == 5
     assert len(out) == len(rows) and sum(r["taken"] for r in out) == sum(found.values())
     assert max(len(words(r["text"])) for r in blocks.collect()) == 16
     assert all(r["taken"] <= 2 * r["size"] for r in out)
