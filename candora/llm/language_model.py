@@ -220,7 +220,7 @@ class Automaton:
         state = np.where(inside > 0, self.entry[np.maximum(first - 1, 0)], self.begin)
         order = np.argsort(-size, kind="stable")
         text, first, size, state = text[order], first[order], size[order], state[order]
-        score = np.zeros((len(text), self.root_weight.shape[1]))
+        score = np.zeros((len(text), self.fail_weight.shape[1]))
         for k in range(int(size.max(initial=0))):
             live = int(np.searchsorted(-size, -k, "left"))  # walks longer than k
             word, now = code[first[:live] + k], state[:live].copy()
@@ -255,25 +255,26 @@ def build_automaton(chunk: Chunk, counts: list[np.ndarray], texts: float, total:
     context, under = np.zeros(len(chunk.triples), np.int64), np.zeros(len(chunk.triples), np.int64)
     context[chunk.triple], under[chunk.triple] = chunk.pair[chunk.inner - 1], chunk.pair[chunk.inner]
     unigram = (word_n + 1) / (total + (distinct + 1))
-    pair_weight, triple_weight, fails = [], [], []
-    for a, b, a3, b3 in SMOOTHING:
-        m, m3 = a * np.maximum(context_n, 1) ** b, a3 * np.maximum(pair_n, 1) ** b3
-        of_pair = (pair_n + m[before] * unigram[word]) / (context_n[before] + m[before])
-        pair_weight.append(of_pair)
-        triple_weight.append((triple_n + m3[context] * of_pair[under]) / (pair_n[context] + m3[context]))
-        fails.append(np.concatenate([[1.0], m / (context_n + m), m3 / (pair_n + m3)]))
     pair_arc, triple_arc = np.flatnonzero(pair_n > 0), np.flatnonzero(triple_n > 0)
     word_state = np.where(word_n > 0, 1 + np.arange(words), 0)
     pair_state = words + 2 + np.arange(pairs)
     key = np.concatenate([(1 + before[pair_arc]) * words + word[pair_arc], pair_state[context[triple_arc]] * words + word[under[triple_arc]]])
-    leads = np.concatenate([pair_state[pair_arc], pair_state[under[triple_arc]]])
-    weight = np.concatenate([np.stack(pair_weight, 1)[pair_arc], np.stack(triple_weight, 1)[triple_arc]])
     order = np.argsort(key, kind="stable")
+    leads = np.concatenate([pair_state[pair_arc], pair_state[under[triple_arc]]])[order]
+    # one column after the other into its place: the tables are the largest of the task
+    arc_weight, fail_weight = np.empty((len(key), len(SMOOTHING))), np.zeros((words + 2 + pairs, len(SMOOTHING)))
+    for k, (a, b, a3, b3) in enumerate(SMOOTHING):
+        m, m3 = a * np.maximum(context_n, 1) ** b, a3 * np.maximum(pair_n, 1) ** b3
+        of_pair = (pair_n + m[before] * unigram[word]) / (context_n[before] + m[before])
+        of_triple = (triple_n[triple_arc] + (m3[context] * of_pair[under])[triple_arc]) / (pair_n[context] + m3[context])[triple_arc]
+        arc_weight[:, k] = np.log10(np.concatenate([of_pair[pair_arc], of_triple])[order])
+        fail_weight[1 : words + 2, k] = np.log10(m / (context_n + m))
+        fail_weight[words + 2 :, k] = np.log10(m3 / (pair_n + m3))
     entry = np.where(pair_n[chunk.pair] > 0, pair_state[chunk.pair], word_state[chunk.code])
+    fail_next = np.concatenate([np.zeros(words + 2, np.int64), word_state[word]])
     return Automaton(
-        words, key[order], np.log10(weight[order]), leads[order], np.repeat(np.log10(unigram)[:, None], len(SMOOTHING), 1), word_state,
-        np.log10(np.stack(fails, 1)), np.concatenate([np.zeros(words + 2, np.int64), word_state[word]]), entry, words + 1 if texts else 0,
-    )
+        words, key[order], arc_weight, leads, np.log10(unigram)[:, None], word_state, fail_weight, fail_next, entry, words + 1 if texts else 0
+    )
 
 
 def traverse(chunk: Chunk, counts: list[np.ndarray], texts: float, total: float, distinct: float, tune: np.ndarray):
