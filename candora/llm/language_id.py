@@ -233,7 +233,9 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         rows.filter(wanted).select("_id", "_text", "_lang"), work, "id string, lang string, features array<int>, counts array<int>"
     )
     sample = stored(sample, "sample").filter(F.size("features") > 0)
-    table = sample.withColumn("aside", F.crc32(F.concat(F.lit("aside"), "id").cast("binary")) % 5 == 0).orderBy("id").toArrow()
+    table = sample.withColumn("aside", F.crc32(F.concat(F.lit("aside"), "id").cast("binary")) % 5 == 0)
+    # repeated ids are told apart by what they count, so that the order of training is the same in every run
+    table = table.orderBy("id", F.xxhash64("features", "counts"), "lang").toArrow()
     number = {lang: k for k, lang in enumerate(languages)}
     examples, aside = [], []
     for lang, features, counts, set_aside in zip(*(table.column(c) for c in ("lang", "features", "counts", "aside")), strict=True):
@@ -247,7 +249,12 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``lang_pred`` and ``score`` of every whole text; ``und`` with score 0 where there is no letter."""
+    """``id_col``, ``lang_pred`` and ``score`` of every whole text; ``und`` with score 0 where there is no letter.
+
+    Null and empty texts have no letter. Null and repeated ids and repeated rows are predicted one by one; equal texts get
+    equal predictions, however long they are. Empty tables give an empty result; other columns, whatever their names,
+    don't matter. A model that learned no language predicts ``und``.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS by at most MAX_LANGUAGES numbers
 
@@ -267,8 +274,8 @@ def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
 
 
 def in_training(id_col: str):
-    """Documents that may teach: crc32 of the id as text, modulo 4, is not 2."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2
+    """Documents that may teach: crc32 of the id as text, modulo 4, is not 2. Those without an id don't."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2, F.lit(False))
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

@@ -387,7 +387,13 @@ def calibrate(model: ToxicityModel, found: np.ndarray, toxic: np.ndarray) -> Tox
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str, text_col: str) -> DataFrame:
-    """``id_col`` and ``score`` (0 to 1) of every whole text; texts without words score low."""
+    """``id_col`` and ``score`` (0 to 1) of every whole text; null, empty and wordless texts score low.
+
+    Repeated words are evidence: a text with an insult five times scores at least what one with it once does. Null and
+    repeated ids and repeated rows are scored one by one, and equal texts score equal. Texts of more than
+    :data:`PIECE` characters are read piece by piece, cut at white space. Empty tables give an empty result; other columns,
+    whatever their names, don't matter.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB, whatever the data
 
@@ -415,8 +421,8 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str, threshold:
 
 
 def in_training(id_col: str):
-    """Documents that may teach: crc32 of the id as text, modulo 4, is not 2."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2
+    """Documents that may teach: crc32 of the id as text, modulo 4, is not 2. Those without an id don't."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2, F.lit(False))
 
 
 def fit_from_folder(spark, docs: DataFrame, sf_dir: str) -> ToxicityModel:

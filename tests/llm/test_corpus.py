@@ -365,3 +365,25 @@ def test_temperature():
     logits = np.tile([5.0, 0.0], (80, 1))
     t = language_id.fit_temperature(logits, truth)
     assert 1 / (1 + np.exp(-5 / t)) == pytest.approx(0.75, abs=0.01)
+
+
+def test_scores_of_dirty_rows(spark, tmp_path):
+    """Toxicity and language: null and repeated ids, null and empty texts, repeated rows, clashing names, empty tables."""
+    rng = random.Random(11)
+    word = {"aa": lambda: rng.choice(["the", "and", "thing", "over"]), "bb": lambda: rng.choice(["der", "und", "ding", "über"])}
+    rows = [(k, " ".join(word[lang]() for _ in range(30)) + (" dumbolt dumbolt" if k % 3 == 0 else ""), lang, 0.5, "x") for k, lang in enumerate(["aa", "bb"] * 80)]
+    rows += [(None, rows[0][1], "aa", 0.1, "y"), (None, None, None, 0.1, "y"), (7, "", "aa", 0.0, "z"), (7, " .1 ", "bb", 0.0, "z"), rows[3], rows[3]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string").repartition(3)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(k, 1, int(k % 3 == 0)) for k in range(160)] + [(None, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for query, value in ((toxicity.op7_toxicity, "predicted"), (language_id.op10_language_id, "lang_pred")):
+        got = query(spark, str(tmp_path)).collect()
+        assert len(got) == len(rows) and all(r["held_out"] is not None and 0 <= r["score"] <= 1 for r in got)
+        assert all(r["held_out"] for r in got if r["doc_id"] is None)
+        assert len({(r["score"], r[value]) for r in got if r["doc_id"] == 3}) == 1
+    found = {r["doc_id"]: r["lang_pred"] for r in got}
+    assert all(found[k] == lang for k, _, lang, _, _ in rows[:160] if k != 7)
+    assert [r["lang_pred"] for r in got if r["doc_id"] is None].count("und") == 1
+    model = language_id.fit_languages(docs.filter("doc_id < 100"))
+    assert language_id.predict_languages(docs.limit(0), model).count() == 0
