@@ -34,6 +34,7 @@ BLOCK = 8192  # rows of a block of a list
 BINS = 1024  # bins of a list at most: the driver knows each
 GROWTH = 4  # a round takes so many times the rows of all rounds before
 PART = 100_000  # anchors that visit a block in one task
+VISITS = 200_000  # visits of blocks that a task lays out at a time
 SLACK = 1e-6  # added to cosines: above the error of an angle near 0 (2e-8)
 _LOW, _HIGH = -(1 << 62), 1 << 62
 
@@ -273,27 +274,32 @@ def _visits(open_anchors: DataFrame, lists: Lists, number: int, parts: int) -> D
     places = [np.flatnonzero((lists.cluster == c) & (lists.round == number)) for c in range(len(lists.centres))]
     names = ["_a", "_id", "_label", "_v", "_lo", "_hi"]
 
+    def laid_out(batch: pa.RecordBatch, rows: np.ndarray, blocks: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for begin in range(0, len(rows), 10_000):
+            take = pa.array(rows[begin : begin + 10_000])
+            part = pc.take(batch.column("_a"), take).to_numpy(zero_copy_only=False) % parts
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(blocks[begin : begin + 10_000]), pa.array(part.astype(np.int32)), *(batch.column(c).take(take) for c in names)],
+                ["_chunk", "_part", *names],
+            )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             clusters, norms, angles = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_cluster", "_norm", "_angle"))
             least = np.array([min(x) for x in batch.column("_lo").to_pylist()])
-            who, chunk = [], []
+            who, chunk, held = [], [], 0
             for k in range(batch.num_rows):
                 bins = places[clusters[k]]
                 bins = bins[lists.bound(bins, norms[k], angles[k]) >= least[k]]
                 for b in bins:
                     chunk.append(np.arange(lists.first[b], lists.first[b] + lists.blocks[b]))
                     who.append(np.full(int(lists.blocks[b]), k))
-            if not who:
-                continue
-            rows, blocks = np.concatenate(who), np.concatenate(chunk)
-            for begin in range(0, len(rows), 10_000):
-                take = pa.array(rows[begin : begin + 10_000])
-                part = pc.take(batch.column("_a"), take).to_numpy(zero_copy_only=False) % parts
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(blocks[begin : begin + 10_000]), pa.array(part.astype(np.int32)), *(batch.column(c).take(take) for c in names)],
-                    ["_chunk", "_part", *names],
-                )
+                    held += int(lists.blocks[b])
+                if held >= VISITS:
+                    yield from laid_out(batch, np.concatenate(who), np.concatenate(chunk))
+                    who, chunk, held = [], [], 0
+            if held:
+                yield from laid_out(batch, np.concatenate(who), np.concatenate(chunk))
 
     schema = "_chunk long, _part int, _a long, _id long, _label long, _v binary, _lo array<long>, _hi array<long>"
     return open_anchors.mapInArrow(run, schema)

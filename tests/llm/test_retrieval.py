@@ -56,7 +56,8 @@ def vectors(seed, count, width=6):
 
 
 @pytest.mark.parametrize(("clusters", "block", "part"), [(3, 40, 100_000), (1, 10_000, 100_000), (5, 25, 7)])
-def test_hard_negatives_are_exact(spark, clusters, block, part):
+def test_hard_negatives_are_exact(spark, monkeypatch, clusters, block, part):
+    monkeypatch.setattr(hard_negatives, "VISITS", 3 if part == 7 else 200_000)
     rows = vectors(1, 400)
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], SCHEMA).repartition(3)
     got = hard_negatives.mine(df, F.col("vec_id") % 10 == 0, clusters=clusters, block=block, part_size=part)
