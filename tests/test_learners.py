@@ -68,6 +68,32 @@ def test_both_plans_grow_the_same_trees(spark, monkeypatch, balanced):
     assert again(df).select("prob").collect() == whole(df).select("prob").collect()
 
 
+@pytest.mark.parametrize(("rows", "depth"), [(1 << 40, 0), (1 << 40, 9), (150, 9), (40, 9), (0, 4)])
+def test_nodes_grown_by_one_task_continue_the_tree(spark, monkeypatch, rows, depth):
+    """Trees cut level by level down to nodes of few rows are those grown in one go, whatever few is."""
+    _, _, df = table(spark)
+    df = df.cache()
+    whole = models.random_forest(df, trees=3, depth=depth, balanced=True)
+    monkeypatch.setattr(forest, "LOCAL_BYTES", 0)
+    monkeypatch.setattr(forest, "NODE_ROWS", rows)
+    monkeypatch.setattr(forest, "SHUFFLE_BYTES", 4000)  # two trees at a time
+    monkeypatch.setattr(forest, "CHUNK_ROWS", 50)
+    same(whole, models.random_forest(df, trees=3, depth=depth, balanced=True))
+
+
+def test_large_tables_take_few_passes(spark, monkeypatch):
+    """Beyond the broadcast, a forest of nodes that one task can grow costs no pass a level."""
+    _, _, df = table(spark)
+    whole = models.random_forest(df, trees=5, depth=12)
+    monkeypatch.setattr(forest, "LOCAL_BYTES", 0)
+    passes = []
+    monkeypatch.setattr(forest, "_cuts_of_nodes", lambda *a: pytest.fail("cut on the driver"))
+    group = type(df).groupBy
+    monkeypatch.setattr(type(df), "groupBy", lambda self, *names: passes.extend(names[:1]) or group(self, *names))
+    same(whole, models.random_forest(df, trees=5, depth=12))
+    assert passes == ["_t"]
+
+
 def test_forest_on_dirty_rows(spark):
     _, _, df = table(spark, n=200)
     odd = spark.createDataFrame(
