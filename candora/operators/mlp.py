@@ -215,23 +215,33 @@ def _sums(rows: int, loss: float, hits: int, state: np.ndarray) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays(columns, ["rows", "loss", "hits", "state"])
 
 
-def _epoch_task(known, like: Layers, epoch: int, batch_rows: int, lr: float, gamma: float, alpha: float, dropout: float, seed: int):
-    """One epoch over a task's rows in shuffled batches, from the common state; yields the new state times the rows."""
+def _epoch_task(known, like: Layers, epoch: int, batch_rows: int, lr: float, gamma: float, alpha: float, dropout: float, seed: int, whole: bool):
+    """One epoch over a task's rows in shuffled batches, from the common state; yields the new state times the rows.
+
+    With ``whole`` all tasks' rows are one batch: no step is taken, the summed gradient is yielded in the state's place.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, rows, loss, hits = _State.of(known.value), 0, 0.0, 0
+        held, waiting = np.zeros_like(state.weights), 0
         for batch in batches:
             for k in range(batch.num_rows):
                 x, y, keys = _decoded(batch, k)
                 order = np.argsort(_uniform(keys, 1, seed * 100_003 + epoch)[:, 0], kind="stable")
-                for low in range(0, len(order), batch_rows):
-                    own = order[low : low + batch_rows]
+                low = 0
+                while low < len(order):  # a batch may go on in the next block
+                    own = order[low : low + batch_rows - waiting]
                     number = seed * 100_003 + int(state.steps)
                     gradient, more, right = focal_gradient(_unflatten(state.weights, like), x[own], y[own], gamma, alpha, dropout, keys[own], number)
-                    state.step(gradient / len(own), lr)
+                    low, held, waiting = low + len(own), held + gradient, waiting + len(own)
                     rows, loss, hits = rows + len(own), loss + more, hits + right
+                    if waiting == batch_rows and not whole:
+                        state.step(held / waiting, lr)
+                        held, waiting = np.zeros_like(held), 0
+        if waiting and not whole:
+            state.step(held / waiting, lr)
         if rows:
-            yield _sums(rows, loss, hits, state.flat() * rows)
+            yield _sums(rows, loss, hits, held if whole else state.flat() * rows)
 
     return run
 
@@ -274,7 +284,8 @@ def mlp_focal_train(
 
     An epoch is one job: every task takes Adam steps over its rows in shuffled batches of ``batch`` rows, and the tasks'
     weights and moments are averaged by their rows. Tables of up to :data:`ROWS_PER_TASK` rows are one task, which is
-    plain mini-batch training. ``layers`` are the weights to begin with. With ``restart``, a folder that all executors
+    plain mini-batch training. A batch is not cut at a block of rows, and one that covers the table is one step from the
+    gradient of all tasks; in between, it ends with its task's rows (:data:`MOST_ROWS` at most). ``layers`` are the weights to begin with. With ``restart``, a folder that all executors
     reach, the state is written after each epoch, and a later call with the same folder goes on behind the last one.
     Validation scores of all epochs are computed in one pass at the end. Rows without a label take no part; what is
     missing in a vector counts as 0; without training rows the weights stay as they were.
@@ -292,7 +303,9 @@ def mlp_focal_train(
     start = _flatten(like)
     state = _State(start, np.zeros_like(start), np.zeros_like(start), 0.0)
     usual = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    tasks = max(1, min(sizes["n"] // ROWS_PER_TASK, usual), sizes["n"] // MOST_ROWS)
+    whole = batch >= sizes["n"]
+    fewest = sizes["n"] // MOST_ROWS
+    tasks = max(1, min(sizes["n"] // ROWS_PER_TASK, usual, sizes["n"] if whole else sizes["n"] // batch), fewest)
     blocks = _blocks(slim.repartition(tasks, "_key").sortWithinPartitions("_key"), width).persist()
     snapshots, progress = [], []
     done = _epochs_done(spark, restart)
@@ -302,7 +315,7 @@ def mlp_focal_train(
             state = _State.of(flat)
         else:
             known = spark.sparkContext.broadcast(state.flat())  # three numbers a weight
-            task = _epoch_task(known, like, epoch, batch, lr, gamma, alpha, dropout, seed)
+            task = _epoch_task(known, like, epoch, batch, lr, gamma, alpha, dropout, seed, whole)
             sums = blocks.mapInArrow(task, _SUMS)
             if tasks > PARTIAL_SUMS:
                 sums = sums.groupBy(F.pmod(F.monotonically_increasing_id(), F.lit(PARTIAL_SUMS))).applyInArrow(_add_up, _SUMS)
@@ -310,7 +323,11 @@ def mlp_focal_train(
             known.unpersist()
             rows = max(1, sum(r["rows"] for r in parts))
             if parts:
-                state = _State.of(sum(np.frombuffer(r["state"], float) for r in parts) / rows)
+                mean = sum(np.frombuffer(r["state"], float) for r in parts) / rows
+                if whole:
+                    state.step(mean, lr)
+                else:
+                    state = _State.of(mean)
             loss, accuracy = sum(r["loss"] for r in parts) / rows, sum(r["hits"] for r in parts) / rows
             if restart:
                 row = [(epoch, [float(v) for v in state.flat()], loss, accuracy)]

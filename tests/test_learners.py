@@ -193,3 +193,22 @@ def test_linear_learners_on_dirty_rows(spark):
         assert one_class.filter("prob IS NULL").count() == 0
         nothing = fit(df.limit(0))(df)
         assert nothing.filter("prob IS NULL").count() == 0
+
+
+@pytest.mark.parametrize("rows_per_task", [100, 20_000])
+def test_one_step_over_all_rows_whatever_their_layout(spark, monkeypatch, rows_per_task):
+    """A batch larger than the table is one step from the mean gradient, in one task or several and beyond one block."""
+    from candora.operators import mlp
+
+    monkeypatch.setattr(mlp, "ROWS_PER_TASK", rows_per_task)
+    x, y, df = table(spark, n=900)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    start = mlp.xavier_layers([4, 3, 1])
+    settings = {"epochs": 1, "lr": 0.05, "alpha": 0.7, "dropout": 0.0, "layers": start}
+    got = mlp._flatten(mlp.mlp_focal_train(df, df, batch=1 << 40, **settings).layers)
+    state = mlp._State(mlp._flatten(start), *(np.zeros(len(got)) for _ in range(2)), 0.0)
+    state.step(mlp.focal_gradient(start, x, y, 2.0, 0.7)[0] / len(y), 0.05)
+    assert got == pytest.approx(state.weights, abs=1e-9)
+    taken = mlp.mlp_focal_train(df, df, batch=300, **settings)  # batches go on beyond a block
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert np.abs(mlp._flatten(taken.layers) - got).max() > 1e-3
