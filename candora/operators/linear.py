@@ -26,6 +26,7 @@ ROWS_PER_TASK = 1000  # below this a task's start-up outweighs its work
 MOST_ROWS = 500_000  # rows that a task holds at most
 CONJUGATE_STEPS = 60
 HALVINGS = 30
+CALIBRATED = 1e-12  # the gradient's fall at which a sigmoid is fitted: sums over all rows, so near rounding
 
 
 @dataclass
@@ -296,7 +297,7 @@ def platt(blocks: DataFrame, weights: np.ndarray, counts: np.ndarray, max_iter:
     def curve(curves: np.ndarray, way: np.ndarray) -> np.ndarray:
         return sums(2 * problems, work, weights, curves, way).reshape(problems, 2) + 1e-12 * way
 
-    return minimise(value, curve, (problems, 2), max_iter, 1e-8)
+    return minimise(value, curve, (problems, 2), max_iter, CALIBRATED)
 
 
 def margins(df: DataFrame, weights: np.ndarray, column: str = "features") -> DataFrame:

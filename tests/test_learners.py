@@ -212,3 +212,20 @@ def test_one_step_over_all_rows_whatever_their_layout(spark, monkeypatch, rows_p
     taken = mlp.mlp_focal_train(df, df, batch=300, **settings)  # batches go on beyond a block
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert np.abs(mlp._flatten(taken.layers) - got).max() > 1e-3
+
+
+def test_sigmoids_are_stationary_for_large_sums(spark):
+    """Errors and errors times margins vanish in absolute terms, as the sums they are, also where the first ones are large."""
+    x, y, df = table(spark, n=300)
+    numbered = df.withColumn("features", F.expr("transform(features, v -> v * 100000)")).withColumn("fold", (F.col("review_id") % 2 + 1).cast("int"))
+    blocks, _, seen = linear.packed(numbered)
+    weights = np.tile([1.0, 0.5, -0.5, 0.2, 3.0], (2, 1))
+    curves = linear.platt(blocks, weights, seen[1:])
+    blocks.unpersist()
+    for k in (0, 1):
+        own = np.arange(300) % 2 == k
+        margin = x[own] * 1e5 @ weights[k, :4] + 3
+        one = y[own].sum()
+        goal = np.where(y[own] == 1, (one + 1) / (one + 2), 1 / (own.sum() - one + 2))
+        error = 1 / (1 + np.exp(-(curves[k, 0] * margin + curves[k, 1]))) - goal
+        assert abs(error.sum()) < 1e-4 and abs((error * margin).sum()) < 1e-4
