@@ -262,7 +262,8 @@ def hashed_embedding(weights: DataFrame, dim: int = 64) -> DataFrame:
 def hashing_encoder(dim: int = 64) -> Encoder:
     """Default encoder: signed, log-scaled counts of hashed words, scaled to unit length.
 
-    Words are those of :func:`tokenize_words` but for accents, which are kept: an encoder sees plain texts.
+    Words are those of :func:`tokenize_words` but for accents, which are kept: an encoder sees plain texts. Where the signs
+    of a text's words cancel out in every cell, the counts are taken without signs: only a text without words is zero.
     """
 
     def encode(texts: list[str]) -> np.ndarray:
@@ -274,6 +275,9 @@ def hashing_encoder(dim: int = 64) -> Encoder:
         value = np.where(own & 1, 1.0, -1.0) * (1.0 + np.log(counts.tf))
         cell = counts.row * dim + (own >> 1) % dim
         out = np.bincount(cell, weights=value, minlength=len(texts) * dim).reshape(len(texts), dim)
+        bare = np.bincount(cell, weights=np.abs(value), minlength=len(texts) * dim).reshape(len(texts), dim)
+        norms = np.linalg.norm(out, axis=1, keepdims=True)
+        out = np.where(norms > 1e-9 * np.linalg.norm(bare, axis=1, keepdims=True), out, bare)
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norms == 0, 1.0, norms)
 

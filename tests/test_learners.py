@@ -229,3 +229,10 @@ def test_sigmoids_are_stationary_for_large_sums(spark):
         goal = np.where(y[own] == 1, (one + 1) / (one + 2), 1 / (own.sum() - one + 2))
         error = 1 / (1 + np.exp(-(curves[k, 0] * margin + curves[k, 1]))) - goal
         assert abs(error.sum()) < 1e-4 and abs((error * margin).sum()) < 1e-4
+
+
+def test_words_whose_signs_cancel_keep_their_length():
+    from candora.operators.text import hashing_encoder
+
+    encode = hashing_encoder(64)  # w0 and w13 share a cell, with opposite signs
+    assert np.linalg.norm(encode(["w0 w13", "w13 w0 w0 w13", "w0", "", "! a"]), axis=1) == pytest.approx([1, 1, 1, 0, 0])
