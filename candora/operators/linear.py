@@ -24,6 +24,8 @@ PARTIAL_SUMS = 16  # sums of tasks that the driver adds up itself
 SLICE = 1 << 18  # numbers of a sum that are added up together beyond
 ROWS_PER_TASK = 1000  # below this a task's start-up outweighs its work
 MOST_ROWS = 500_000  # rows that a task holds at most
+MOST_ENTRIES = 8_000_000  # entries that a task holds at most
+BLOCK_ENTRIES = 500_000  # entries of a block
 CONJUGATE_STEPS = 60
 HALVINGS = 30
 CALIBRATED = 1e-12  # the gradient's fall at which a sigmoid is fitted: sums over all rows, so near rounding
@@ -74,27 +76,43 @@ def sparse_rows(column: pa.Array) -> Rows:
     return Rows(first, index, value)
 
 
-def _width(column: str, df: DataFrame) -> int:
+def _sizes(df: DataFrame, column: str = "features") -> tuple[int, int]:
+    """The number of features, and of all rows' entries."""
     if isinstance(df.schema[column].dataType, VectorUDT):
-        size = df.select(_length()(column).alias("n"))
+        size = df.select(_length("size")(column).alias("n"), _length("entries")(column).alias("entries"))
     else:
-        size = df.select(F.size(column).alias("n"))
-    return max(1, size.agg(F.max("n").alias("n")).collect()[0]["n"] or 1)
+        size = df.select(F.size(column).alias("n"), F.size(column).alias("entries"))
+    found = size.agg(F.max("n").alias("n"), F.sum(F.greatest("entries", F.lit(0)).cast("long")).alias("entries")).collect()[0]
+    return max(1, found["n"] or 1), found["entries"] or 0
 
 
-def _length():
+def _length(what: str):
     @F.arrow_udf(T.IntegerType())
     def length(column: pa.Array) -> pa.Array:
         dense = pc.list_value_length(column.field("values"))
-        return pc.cast(pc.coalesce(column.field("size"), dense), pa.int32())
+        return pc.cast(dense if what == "entries" else pc.coalesce(column.field("size"), dense), pa.int32())
 
     return length
 
 
+def _pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch cut so that a piece has at most ``most`` entries, or one row."""
+    column = batch.column(2)
+    lists = column.field("values") if pa.types.is_struct(column.type) else column
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, low = np.cumsum(size), 0
+    while low < batch.num_rows:
+        before = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def packed(train: DataFrame) -> tuple[DataFrame, int, np.ndarray]:
     """Cached blocks of ``(label, fold, features)``, the number of features, and rows by fold and label.
 
-    Rows without a label take no part. Small tables take few tasks, and no task holds more than :data:`MOST_ROWS` rows.
+    Rows without a label take no part. Small tables take few tasks, and no task holds more than :data:`MOST_ROWS` rows or
+    :data:`MOST_ENTRIES` entries, but for chance: all blocks of a task may reach Python at once.
     """
     spark = train.sparkSession
     if "fold" not in train.columns:
@@ -106,17 +124,19 @@ def packed(train: DataFrame) -> tuple[DataFrame, int, np.ndarray]:
     for r in counts:
         seen[r["fold"], r["label"]] = r["n"]
     rows = int(seen.sum())
-    width = _width("features", slim)
+    width, entries = _sizes(slim)
     usual = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    tasks = max(1, min(rows // ROWS_PER_TASK, usual), rows // MOST_ROWS)
+    tasks = max(1, min(rows // ROWS_PER_TASK, usual), rows // MOST_ROWS, entries // MOST_ENTRIES)
+    most = BLOCK_ENTRIES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = sparse_rows(batch.column(2))
-            parts = (found.first.astype(np.int64), found.index.astype(np.int32), found.value)
-            own = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int32) for c in (0, 1)]
-            blob = [pa.array([x.tobytes()], pa.binary()) for x in (*parts, *own)]
-            yield pa.RecordBatch.from_arrays(blob, ["_first", "_index", "_value", "_label", "_fold"])
+            for part in _pieces(batch, most):
+                found = sparse_rows(part.column(2))
+                parts = (found.first.astype(np.int64), found.index.astype(np.int32), found.value)
+                own = [part.column(c).to_numpy(zero_copy_only=False).astype(np.int32) for c in (0, 1)]
+                blob = [pa.array([x.tobytes()], pa.binary()) for x in (*parts, *own)]
+                yield pa.RecordBatch.from_arrays(blob, ["_first", "_index", "_value", "_label", "_fold"])
 
     blocks = slim.repartition(tasks).mapInArrow(run, "_first binary, _index binary, _value binary, _label binary, _fold binary")
     blocks = blocks.persist()

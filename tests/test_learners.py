@@ -236,3 +236,17 @@ def test_words_whose_signs_cancel_keep_their_length():
 
     encode = hashing_encoder(64)  # w0 and w13 share a cell, with opposite signs
     assert np.linalg.norm(encode(["w0 w13", "w13 w0 w0 w13", "w0", "", "! a"]), axis=1) == pytest.approx([1, 1, 1, 0, 0])
+
+
+def test_tasks_and_blocks_are_bounded_by_entries(spark, monkeypatch):
+    """Long rows make more tasks and smaller blocks, and the same sums."""
+    x, y, df = table(spark, n=400)
+    plain = models.logreg_balanced(df, tolerance=1e-10).weights
+    monkeypatch.setattr(linear, "MOST_ENTRIES", 400)
+    monkeypatch.setattr(linear, "BLOCK_ENTRIES", 30)
+    blocks, width, seen = linear.packed(df)
+    sizes = [len(r["_index"]) // 4 for r in blocks.collect()]
+    assert blocks.rdd.getNumPartitions() == 4 and max(sizes) <= 30 and sum(sizes) == x.size and width == 4 and seen.sum() == 400
+    monkeypatch.setattr(linear, "BLOCK_ENTRIES", 3)  # less than a row
+    assert len(linear.packed(df)[0].collect()) == 400
+    assert models.logreg_balanced(df, tolerance=1e-10).weights == pytest.approx(plain, abs=1e-7)
