@@ -125,7 +125,8 @@ def packed(train: DataFrame) -> tuple[DataFrame, int, np.ndarray]:
         seen[r["fold"], r["label"]] = r["n"]
     rows = int(seen.sum())
     width, entries = _sizes(slim)
-    usual = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # a task's sums are as long as the weights, however few its rows: no more tasks than can run at once
+    usual = spark.sparkContext.defaultParallelism
     tasks = max(1, min(rows // ROWS_PER_TASK, usual), rows // MOST_ROWS, entries // MOST_ENTRIES)
     most = BLOCK_ENTRIES
 
@@ -148,25 +149,34 @@ def packed(train: DataFrame) -> tuple[DataFrame, int, np.ndarray]:
 def _block(batch: pa.RecordBatch, k: int) -> tuple[Rows, np.ndarray, np.ndarray]:
     kinds = (np.int64, np.int32, float, np.int32, np.int32)
     first, index, value, label, fold = (np.frombuffer(batch.column(c)[k].as_py(), kind) for c, kind in enumerate(kinds))
-    return Rows(first, index, value), label, fold
+    return Rows(first, index.astype(np.intp), value), label, fold
+
+
+def _margin_block(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    margin, label, fold = (np.frombuffer(batch.column(c)[k].as_py(), kind) for c, kind in enumerate((float, np.int32, np.int32)))
+    return margin, label, fold
 
 
 class Sums:
-    """Adds up over all blocks what ``work(rows, label, fold, *known)`` gives for each: a flat array of ``length`` numbers."""
+    """Adds up over all blocks what ``work(rows, label, fold, *known)`` gives for each: a flat array of ``length`` numbers.
 
-    def __init__(self, blocks: DataFrame):
-        self.blocks = blocks
+    ``decode`` reads ``rows``, ``label`` and ``fold`` of a block.
+    """
+
+    def __init__(self, blocks: DataFrame, decode: Callable[[pa.RecordBatch, int], tuple] = _block):
+        self.blocks, self.decode = blocks, decode
         self.many = blocks.rdd.getNumPartitions() > PARTIAL_SUMS
 
     def __call__(self, length: int, work: Callable[..., np.ndarray], *known) -> np.ndarray:
         context = self.blocks.sparkSession.sparkContext
         shared = context.broadcast(known)  # as long as the weights: problems times features
+        decode = self.decode
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
             for batch in batches:
                 for k in range(batch.num_rows):
-                    part = work(*_block(batch, k), *shared.value)
+                    part = work(*decode(batch, k), *shared.value)
                     total = part if total is None else total + part
             if total is not None:
                 for low in range(0, len(total), SLICE):
@@ -269,8 +279,11 @@ def solve(blocks: DataFrame, width: int, loss: str, classes: np.ndarray, penalis
         return np.concatenate([losses.sum(axis=1), rows.weighted(slopes, size).ravel()])
 
     def bend(rows: Rows, label: np.ndarray, fold: np.ndarray, weights: np.ndarray, way: np.ndarray) -> np.ndarray:
-        curvature = _slopes(loss, rows.times(weights), label, _shares(label, fold, classes))[2]
-        return rows.weighted(curvature * rows.times(way), size).ravel()
+        open_ = np.flatnonzero(way.any(axis=1))  # problems that are done have no direction
+        out = np.zeros((len(classes), size))
+        curvature = _slopes(loss, rows.times(weights[open_]), label, _shares(label, fold, classes)[open_])[2]
+        out[open_] = rows.weighted(curvature * rows.times(way[open_]), size)
+        return out.ravel()
 
     def value(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         count = len(classes)
@@ -291,33 +304,48 @@ def balanced(counts: np.ndarray) -> np.ndarray:
 def platt(blocks: DataFrame, weights: np.ndarray, counts: np.ndarray, max_iter: int = 100) -> np.ndarray:
     """Slope and offset of each problem's sigmoid, fitted to its margins on the fold that it left out.
 
-    Targets are Platt's: ``(n1 + 1) / (n1 + 2)`` and ``1 / (n0 + 2)`` with the fold's counts of the labels.
+    Targets are Platt's: ``(n1 + 1) / (n1 + 2)`` and ``1 / (n0 + 2)`` with the fold's counts of the labels. The rows are
+    read once, for their margins; every step then reads a number a row, and its one pass gives the Hessian too.
     """
-    sums = Sums(blocks)
     goals = np.stack([1.0 / (counts[:, 0] + 2.0), (counts[:, 1] + 1.0) / (counts[:, 1] + 2.0)], 1)
     problems = len(weights)
+    known = blocks.sparkSession.sparkContext.broadcast(weights)
 
-    def work(rows: Rows, label: np.ndarray, fold: np.ndarray, weights: np.ndarray, curves: np.ndarray, way: np.ndarray | None) -> np.ndarray:
-        margin = rows.times(weights)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                rows, label, fold = _block(batch, k)
+                own = np.flatnonzero((fold >= 1) & (fold <= problems))
+                margin = rows.times(known.value)[fold[own] - 1, own]
+                blob = [pa.array([x.tobytes()], pa.binary()) for x in (margin, label[own], fold[own])]
+                yield pa.RecordBatch.from_arrays(blob, ["_margin", "_label", "_fold"])
+
+    margins = blocks.mapInArrow(run, "_margin binary, _label binary, _fold binary").persist()
+    sums = Sums(margins, _margin_block)
+
+    def work(margin: np.ndarray, label: np.ndarray, fold: np.ndarray, curves: np.ndarray) -> np.ndarray:
         own = fold[None, :] == np.arange(1, problems + 1)[:, None]
         z = curves[:, :1] * margin + curves[:, 1:]
         p = 0.5 * (1.0 + np.tanh(0.5 * z))
         goal = goals[:, label]
-        if way is not None:
-            bent = own * p * (1.0 - p) * (way[:, :1] * margin + way[:, 1:])
-            return np.stack([(bent * margin).sum(axis=1), bent.sum(axis=1)], 1).ravel()
-        loss = own * (np.logaddexp(0.0, z) - goal * z)
-        error = own * (p - goal)
-        return np.concatenate([loss.sum(axis=1), np.stack([(error * margin).sum(axis=1), error.sum(axis=1)], 1).ravel()])
+        error, bent = own * (p - goal), own * p * (1.0 - p)
+        parts = (own * (np.logaddexp(0.0, z) - goal * z), error * margin, error, bent * margin * margin, bent * margin, bent)
+        return np.concatenate([part.sum(axis=1) for part in parts])
+
+    hessians: dict[tuple, np.ndarray] = {}  # of the places tried so far, by problem: two numbers each way
 
     def value(curves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found = sums(3 * problems, work, weights, curves, None)
-        return found[:problems], found[problems:].reshape(problems, 2)
+        loss, by_slope, by_offset, *bent = sums(6 * problems, work, curves).reshape(6, problems)
+        for k in range(problems):
+            hessians[k, *curves[k].tolist()] = np.array([[bent[0][k], bent[1][k]], [bent[1][k], bent[2][k]]])
+        return loss, np.stack([by_slope, by_offset], 1)
 
     def curve(curves: np.ndarray, way: np.ndarray) -> np.ndarray:
-        return sums(2 * problems, work, weights, curves, way).reshape(problems, 2) + 1e-12 * way
+        return np.stack([hessians[k, *curves[k].tolist()] @ way[k] for k in range(problems)]) + 1e-12 * way
 
-    return minimise(value, curve, (problems, 2), max_iter, CALIBRATED)
+    curves = minimise(value, curve, (problems, 2), max_iter, CALIBRATED)
+    margins.unpersist()
+    return curves
 
 
 def margins(df: DataFrame, weights: np.ndarray, column: str = "features") -> DataFrame:

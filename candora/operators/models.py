@@ -17,6 +17,7 @@ from candora.operators.forest import ForestScore, random_forest, rf_feature_impo
 from candora.operators.splits import stratified_kfold
 from candora.operators.text import tfidf_fit, tfidf_vectors
 from candora.operators.validation import Fit, Score
+from candora.plans.storage import freeze
 
 __all__ = [
     "ForestScore", "LogisticScore", "SvmScore", "as_vectors", "linear_svm_calibrated", "logreg_balanced", "on_tfidf", "random_forest",
@@ -83,7 +84,9 @@ def linear_svm_calibrated(train: DataFrame, c: float = 1.0, folds: int = 3, max_
     Each of ``folds`` machines is fitted on the other folds, all of them side by side, and calibrated on its own fold;
     probabilities are averaged over the machines. Rows without a label take no part.
     """
-    numbered = stratified_kfold(train.select("review_id", "label", "features"), folds)
+    rows = freeze(train.select("review_id", "label", "features").withColumn("_row", F.monotonically_increasing_id()))
+    numbers = stratified_kfold(rows.select("review_id", "label", "_row"), folds)  # ranked without the vectors
+    numbered = rows.join(numbers.select("_row", "fold"), "_row")
     blocks, width, seen = linear.packed(numbered)
     own = np.zeros((folds + 1, 2))
     own[: len(seen)] = seen

@@ -250,3 +250,34 @@ def test_tasks_and_blocks_are_bounded_by_entries(spark, monkeypatch):
     monkeypatch.setattr(linear, "BLOCK_ENTRIES", 3)  # less than a row
     assert len(linear.packed(df)[0].collect()) == 400
     assert models.logreg_balanced(df, tolerance=1e-10).weights == pytest.approx(plain, abs=1e-7)
+
+
+def test_calibration_reads_the_vectors_once(spark, monkeypatch):
+    """Folds are numbered without making the vectors again, and a sigmoid's steps don't pass over the rows."""
+    x, y, df = table(spark, n=300)
+    made, passes = spark.sparkContext.accumulator(0), []
+
+    @F.udf("array<double>")
+    def counted(features):
+        made.add(1)
+        return features
+
+    counted = counted.asNondeterministic()  # not made again by the optimiser
+    old = linear.platt
+    call = linear.Sums.__call__
+    monkeypatch.setattr(linear.Sums, "__call__", lambda self, *a: passes.append(self.blocks.columns) or call(self, *a))
+    monkeypatch.setattr(linear, "platt", lambda *a: passes.clear() or old(*a))
+    models.linear_svm_calibrated(df.withColumn("features", counted("features")))
+    assert made.value == 300
+    assert passes and all("_value" not in columns for columns in passes) and len(passes) < 40
+
+
+def test_no_more_tasks_than_cores_for_few_entries(spark, monkeypatch):
+    """Every task adds up sums as long as the weights, so many shuffle partitions make no more of them."""
+    _, _, df = table(spark, n=400)
+    monkeypatch.setattr(linear, "ROWS_PER_TASK", 1)
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    blocks, _, _ = linear.packed(df)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert blocks.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    blocks.unpersist()
