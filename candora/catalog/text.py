@@ -36,7 +36,7 @@ def tfidf(spark, sf):
 def hashed_embedding(spark, sf):
     rows = text_reviews(spark, sf)
     model = text.tfidf_fit(rows.filter(F.col("label").isNotNull()))
-    return rounded(text.hashed_embedding(text.tfidf_transform(rows, model), 64))
+    return rounded(text.hashed_tfidf(rows, model, 64))
 
 
 def text_embedding(spark, sf):

@@ -18,17 +18,6 @@ from candora.plans.storage import freeze
 from candora.schema import BEHAVIOR_FEATURES
 
 
-def hashed_vectors(df: DataFrame, model: text.TfidfModel, width: int, keep: Sequence[str] = ()) -> DataFrame:
-    """Hashed TF-IDF as dense vectors, one per row; texts without known terms are zero vectors."""
-    cells = text.hashed_embedding(text.tfidf_transform(df.select("review_id", "text"), model), width)
-    filled = cells.groupBy("review_id").agg(  # at most ``width`` cells
-        F.map_from_entries(F.collect_list(F.struct("position", "value"))).alias("_cells")
-    )
-    joined = df.select("review_id", *keep).join(filled, "review_id", "left")
-    vector = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda p: F.coalesce(F.element_at("_cells", p), F.lit(0.0)))
-    return joined.select("review_id", *keep, vector.alias("features"))
-
-
 @dataclass
 class FusionModel:
     """Fitted parts; call it on reviews to get ``prob`` and ``pred``."""
@@ -66,7 +55,7 @@ class FusionModel:
 
 
 def _vectors(reviews, tfidf, pca, scaler, embedding, padding, keep) -> DataFrame:
-    texts = text.pca_transform(hashed_vectors(reviews, tfidf, embedding, keep), pca)
+    texts = text.pca_transform(text.hashed_vectors(reviews, tfidf, embedding, keep), pca)
     scaled = behavior.standardize_apply(behavior.behavior_features(reviews), scaler)
     numbers = scaled.select("review_id", pad_vector(F.array(*BEHAVIOR_FEATURES), padding).alias("features"))
     return cleaning.fuse_features(texts, numbers)
@@ -87,7 +76,7 @@ def fit_fusion(
     """Fit all parts on ``train``; ``validation`` only picks the epoch. Both hold reviews with text and label."""
     tfidf = text.tfidf_fit(train, min_df=min_df)
     tfidf.vocabulary = freeze(tfidf.vocabulary)
-    pca = text.pca_fit(freeze(hashed_vectors(train, tfidf, embedding)), components)
+    pca = text.pca_fit(freeze(text.hashed_vectors(train, tfidf, embedding)), components)
     scaler = freeze(behavior.standardize_fit(behavior.behavior_features(train)))
     parts = [freeze(_vectors(rows, tfidf, pca, scaler, embedding, padding, ("label",))) for rows in (train, validation)]
     network = mlp.mlp_focal_train(*parts, hidden=hidden, epochs=epochs, **training)

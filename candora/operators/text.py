@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.ml.feature import PCA, PCAModel, StandardScaler, StandardScalerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candora.functions.text import ngrams, tokens
@@ -37,6 +37,7 @@ def word_ngrams(df: DataFrame, low: int = 1, high: int = 2, column: str = "text"
 
 
 TEXTS_PER_STEP = 500  # texts whose terms are counted at a time
+TOKENS_PER_STEP = 500_000  # tokens of the texts whose terms are looked up or added up at a time, but for one long text
 
 
 @dataclass
@@ -106,6 +107,49 @@ def term_counts(df: DataFrame, low: int = 1, high: int = 2) -> DataFrame:
     return _tokenized(df, ["review_id"]).mapInArrow(work, f"review_id {kind}, term string, tf bigint")
 
 
+def _token_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.Array]]:
+    """Arrow batches with a last column of tokens, cut to steps by their tokens: the step, each token's row, and the tokens."""
+    for batch in batches:
+        lists = batch.column(batch.num_columns - 1)
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        low = 0
+        while low < batch.num_rows:
+            before = ends[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(ends, before + TOKENS_PER_STEP, "right")))
+            step = batch.slice(low, high - low)
+            sizes = np.diff(ends[low:high], prepend=before)
+            yield step, np.repeat(np.arange(high - low), sizes), step.column(step.num_columns - 1).flatten()
+            low = high
+
+
+def _term_sums(df: DataFrame, low: int, high: int) -> DataFrame:
+    """``(term, df, cf)`` with several rows a term: texts that hold it and how often, added up where the texts are."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step, row, found in _token_steps(batches):
+            words = pc.dictionary_encode(found)
+            code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            base = max(1, len(words.dictionary))
+            gram, at, names = code, np.arange(len(code)), words.dictionary  # grams, where they start, and their terms
+            for n in range(1, high + 1):
+                if n > 1:
+                    inside = at + n - 1 < len(code)
+                    inside[inside] = row[at[inside]] == row[at[inside] + n - 1]
+                    at, gram = at[inside], gram[inside]
+                    distinct, gram = np.unique(gram * base + code[at + n - 1], return_inverse=True)
+                    first, last = (pa.array(x) for x in np.divmod(distinct, base))
+                    names = pc.binary_join_element_wise(names.take(first), words.dictionary.take(last), " ")
+                if n < low or not len(names):
+                    continue
+                times = np.bincount(gram, minlength=len(names))
+                # texts that hold a gram: its first place in each
+                held = np.unique(gram * max(1, step.num_rows) + row[at]) // max(1, step.num_rows)
+                texts = np.bincount(held, minlength=len(names))
+                yield pa.RecordBatch.from_arrays([names, pa.array(texts, pa.int64()), pa.array(times, pa.int64())], ["term", "df", "cf"])
+
+    return _tokenized(df, []).mapInArrow(work, "term string, df bigint, cf bigint")
+
+
 def build_vocabulary(
     df: DataFrame, max_features: int = 50_000, min_df: int = 2, low: int = 1, high: int = 2
 ) -> DataFrame:
@@ -115,9 +159,9 @@ def build_vocabulary(
     at or above it are ever ranked, and the ranking is distributed.
     """
     terms = freeze(
-        term_counts(df, low, high)
+        _term_sums(df, low, high)
         .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+        .agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
         .filter(F.col("df") >= min_df)
     )
     histogram = terms.groupBy("cf").agg(F.count(F.lit(1)).alias("n"))
@@ -154,26 +198,82 @@ def tfidf_fit(
 BROADCAST_TERMS = 1_000_000  # largest vocabulary that is broadcast
 
 
+@dataclass
+class _Known:
+    """A vocabulary for looking up grams by number: no term is spelt out to be found.
+
+    ``grams[n - 1]`` holds the sorted keys of the grams of ``n`` words that begin a term (number of the gram before times
+    the number of words, plus the last word's number), and ``places[n - 1]`` the place of the term that each is, or -1.
+    """
+
+    words: pa.Array
+    grams: list[np.ndarray]
+    places: list[np.ndarray]
+    term: pa.Array
+    idf: np.ndarray
+    index: np.ndarray
+
+    @classmethod
+    def of(cls, table: pa.Table) -> _Known:
+        """Of a table ``(term, idf, index)`` in the order of ``index``."""
+        terms = table.column("term").combine_chunks()
+        lists = pc.split_pattern(terms, " ")
+        words = pc.dictionary_encode(lists.flatten())
+        code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        length = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        first = np.cumsum(length) - length
+        grams, places, number = [], [], np.zeros(len(length), np.int64)
+        for n in range(1, int(length.max(initial=0)) + 1):
+            long = np.flatnonzero(length >= n)
+            distinct, number[long] = np.unique(number[long] * len(words.dictionary) + code[first[long] + n - 1], return_inverse=True)
+            place = np.full(len(distinct), -1)
+            whole = np.flatnonzero(length == n)
+            place[number[whole]] = whole
+            grams.append(distinct)
+            places.append(place)
+        return cls(words.dictionary, grams, places, terms, *(table.column(c).to_numpy() for c in ("idf", "index")))
+
+    def found(self, row: np.ndarray, tokens: pa.Array, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """Row and place of every gram of ``low`` to ``high`` words that is a term, repeats included."""
+        words = pc.dictionary_encode(tokens)
+        own = pc.fill_null(pc.index_in(words.dictionary, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        code = own[words.indices.to_numpy(zero_copy_only=False)] if len(own) else np.zeros(0, np.int64)
+        at = np.flatnonzero(code >= 0)
+        number, rows, places = np.zeros(len(at), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n, (keys, place) in enumerate(zip(self.grams[:high], self.places, strict=False), 1):
+            if n > 1:
+                inside = at + n - 1 < len(code)
+                inside[inside] = (row[at[inside]] == row[at[inside] + n - 1]) & (code[at[inside] + n - 1] >= 0)
+                at, number = at[inside], number[inside]
+            wanted = number * len(self.words) + code[at + n - 1]
+            number = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            known = keys[number] == wanted
+            at, number = at[known], number[known]
+            if n >= low:
+                term = place[number] >= 0
+                rows.append(row[at[term]])
+                places.append(place[number[term]])
+        return np.concatenate(rows), np.concatenate(places)
+
+
 def _weighted_steps(model: TfidfModel, low: int, high: int):
-    """Function over Arrow batches that yields each step with row, vocabulary place and weight of its terms.
+    """Function over Arrow batches that yields each step with row, place in the vocabulary and weight of its terms.
 
-    Needs a vocabulary small enough to broadcast: at most :data:`BROADCAST_TERMS` terms.
+    Places are in the order of ``index``. Needs a vocabulary small enough to broadcast: at most :data:`BROADCAST_TERMS` terms.
     """
-    known = model.vocabulary.select("term", "idf", "index").orderBy("index").toArrow().combine_chunks()
+    known = _Known.of(model.vocabulary.select("term", "idf", "index").orderBy("index").toArrow().combine_chunks())
     shared = model.vocabulary.sparkSession.sparkContext.broadcast(known)
 
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        table = shared.value
-        names = table.column("term").combine_chunks()
-        idf, index = (table.column(c).to_numpy() for c in ("idf", "index"))
-        for step, found in _counted_steps(batches, low, high):
-            place = pc.fill_null(pc.index_in(found.term, value_set=names), -1).to_numpy(zero_copy_only=False)
-            at = np.flatnonzero(place >= 0)
-            at = at[np.lexsort((index[place[at]], found.row[at]))]
-            row, place = found.row[at], place[at]
-            weight = (1.0 + np.log(found.tf[at])) * idf[place]
+        known = shared.value
+        size = max(1, len(known.term))
+        for step, row, tokens in _token_steps(batches):
+            rows, places = known.found(row, tokens, low, high)
+            key, tf = np.unique(rows * size + places, return_counts=True)
+            row, place = np.divmod(key, size)
+            weight = (1.0 + np.log(tf)) * known.idf[place]
             norm = np.sqrt(np.bincount(row, weights=weight * weight, minlength=step.num_rows))
-            yield step, row, found.term.take(pa.array(at)), index[place], weight / norm[row]
+            yield step, row, place, weight / norm[row], known
 
     return steps
 
@@ -189,10 +289,10 @@ def tfidf_transform(df: DataFrame, model: TfidfModel, low: int = 1, high: int =
         steps = _weighted_steps(model, low, high)
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for step, row, term, index, weight in steps(batches):
-                ids = step.column(0).take(pa.array(row))
+            for step, row, place, weight, known in steps(batches):
+                ids, term = step.column(0).take(pa.array(row)), known.term.take(pa.array(place))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, term, pa.array(index, pa.int32()), pa.array(weight)], ["review_id", "term", "index", "weight"]
+                    [ids, term, pa.array(known.index[place], pa.int32()), pa.array(weight)], ["review_id", "term", "index", "weight"]
                 )
 
         schema = f"review_id {kind}, term string, index int, weight double"
@@ -223,7 +323,8 @@ def tfidf_vectors(df: DataFrame, model: TfidfModel, keep: tuple[str, ...] = ("la
         columns = ["review_id", *keep]
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for step, row, _, index, weight in steps(batches):
+            for step, row, place, weight, known in steps(batches):
+                index = known.index[place]
                 first = pa.array(np.searchsorted(row, np.arange(step.num_rows + 1)).astype(np.int32))
                 lists = [
                     pa.ListArray.from_arrays(first, pa.array(index, pa.int32())),
@@ -250,13 +351,72 @@ def _sparse(size: int):
     return build
 
 
-def hashed_embedding(weights: DataFrame, dim: int = 64) -> DataFrame:
-    """Signed feature hashing of TF-IDF weights: ``(review_id, position, value)``, zero cells left out."""
+def _hash_cell(dim: int) -> tuple[Column, Column]:
+    """A term's position and sign."""
     digest = F.md5("term")
     position = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % dim).cast("int")
-    negative = F.substring(digest, 9, 1).isin(list("01234567"))
-    signed = F.when(negative, -F.col("weight")).otherwise(F.col("weight"))
-    return weights.groupBy("review_id", position.alias("position")).agg(F.sum(signed).alias("value"))
+    return position, F.when(F.substring(digest, 9, 1).isin(list("01234567")), -1.0).otherwise(1.0)
+
+
+def hashed_embedding(weights: DataFrame, dim: int = 64) -> DataFrame:
+    """Signed feature hashing of TF-IDF weights: ``(review_id, position, value)``, zero cells left out."""
+    position, sign = _hash_cell(dim)
+    return weights.groupBy("review_id", position.alias("position")).agg(F.sum(sign * F.col("weight")).alias("value"))
+
+
+def _hashed_steps(model: TfidfModel, dim: int):
+    """Function over Arrow batches that yields each step with its rows' hashed weights, and how many terms each cell holds."""
+    steps, (position, sign) = _weighted_steps(model, 1, 2), _hash_cell(dim)
+    cells = model.vocabulary.select("index", position.alias("position"), sign.alias("sign")).orderBy("index").toArrow()
+    shared = model.vocabulary.sparkSession.sparkContext.broadcast(tuple(cells.column(c).to_numpy() for c in ("position", "sign")))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        position, sign = shared.value
+        for step, row, place, weight, _ in steps(batches):
+            cell = row * dim + position[place]
+            value = np.bincount(cell, weight * sign[place], step.num_rows * dim).astype(float)  # whole numbers where there is no cell
+            yield step, value, np.bincount(cell, minlength=step.num_rows * dim)
+
+    return hashed
+
+
+def hashed_tfidf(df: DataFrame, model: TfidfModel, dim: int = 64) -> DataFrame:
+    """:func:`hashed_embedding` of the texts' weights. Where the vocabulary can be broadcast, cells are added up where the texts are."""
+    if model.size > BROADCAST_TERMS:
+        return hashed_embedding(tfidf_transform(df, model), dim)
+    steps = _hashed_steps(model, dim)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step, value, terms in steps(batches):
+            at = np.flatnonzero(terms)
+            ids = step.column(0).take(pa.array(at // dim))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(at % dim, pa.int32()), pa.array(value[at])], ["review_id", "position", "value"])
+
+    kind = df.schema["review_id"].dataType.simpleString()
+    cells = _tokenized(df, ["review_id"]).mapInArrow(work, f"review_id {kind}, position int, value double")
+    return cells.groupBy("review_id", "position").agg(F.sum("value").alias("value"))  # an id may have several texts
+
+
+def hashed_vectors(df: DataFrame, model: TfidfModel, dim: int = 64, keep: Sequence[str] = ()) -> DataFrame:
+    """Hashed TF-IDF as dense vectors ``features``, one per row; texts without known terms are zero vectors."""
+    if model.size > BROADCAST_TERMS:
+        cells = hashed_embedding(tfidf_transform(df.select("review_id", "text"), model), dim)
+        filled = cells.groupBy("review_id").agg(  # at most ``dim`` cells
+            F.map_from_entries(F.collect_list(F.struct("position", "value"))).alias("_cells")
+        )
+        joined = df.select("review_id", *keep).join(filled, "review_id", "left")
+        vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda p: F.coalesce(F.element_at("_cells", p), F.lit(0.0)))
+        return joined.select("review_id", *keep, vector.alias("features"))
+    steps = _hashed_steps(model, dim)
+    columns = ["review_id", *keep]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step, value, _ in steps(batches):
+            first = pa.array(np.arange(step.num_rows + 1, dtype=np.int32) * dim)
+            yield pa.RecordBatch.from_arrays([*step.columns[:-1], pa.ListArray.from_arrays(first, pa.array(value))], [*columns, "features"])
+
+    kept = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
+    return _tokenized(df, columns).mapInArrow(work, f"{kept}, features array<double>")
 
 
 def hashing_encoder(dim: int = 64) -> Encoder:

@@ -220,3 +220,26 @@ def test_background_must_be_small(spark):
     rows = vectors(spark, SF)
     with pytest.raises(ValueError):
         attribution.shapley_sampling(rows, rows, lambda x: x[:, 0], attribution.fused_names(58), background_limit=10)
+
+
+def test_hashed_vectors_are_one_per_row_and_steps_bounded(spark, monkeypatch):
+    """Texts that share an id keep their own vectors; a step holds a bounded number of tokens; terms of any place are found."""
+    monkeypatch.setattr(text, "TOKENS_PER_STEP", 5)
+    rows = [(1, "aa bb cc aa bb"), (1, "cc dd"), (2, "aa bb dd dd"), (3, None), (4, "zz yy"), (5, "cc aa bb cc dd")]
+    df = spark.createDataFrame(rows, "review_id long, text string").coalesce(1)
+    model = text.tfidf_fit(df)
+    assert {r["term"]: (r["df"], r["cf"]) for r in model.vocabulary.collect()} == {
+        "aa": (3, 4), "bb": (3, 4), "cc": (3, 4), "dd": (3, 4), "aa bb": (3, 4), "bb cc": (2, 2), "cc aa": (2, 2), "cc dd": (2, 2),
+    }
+    got = text.hashed_vectors(df, model, 8).collect()
+    alone = [text.hashed_vectors(df.filter(F.col("text").eqNullSafe(F.lit(t))), model, 8).collect()[0]["features"] for _, t in rows]
+    assert [r["review_id"] for r in got] == [k for k, _ in rows]
+    assert [r["features"] for r in got] == alone and got[0]["features"] != got[1]["features"] and not any(got[3]["features"] + got[4]["features"])
+    cells = {(r["review_id"], r["position"]): r["value"] for r in text.hashed_tfidf(df, model, 8).collect()}
+    long = {(r["review_id"], r["position"]): r["value"] for r in text.hashed_embedding(text.tfidf_transform(df, model), 8).collect()}
+    assert cells == pytest.approx(long)
+    monkeypatch.setattr(text, "BROADCAST_TERMS", 0)
+    joined = {(r["review_id"], r["position"]): r["value"] for r in text.hashed_tfidf(df.filter("review_id <> 1"), model, 8).collect()}
+    assert joined == pytest.approx({k: v for k, v in long.items() if k[0] != 1})
+    tokens = text._tokenized(df, []).toArrow().combine_chunks().to_batches()
+    assert [step.num_rows for step, _, _ in text._token_steps(iter(tokens))] == [1, 1, 2, 1, 1]
