@@ -1,13 +1,19 @@
 """Linear learners by a distributed truncated Newton method.
 
 Rows are packed once into sparse blocks that stay cached on the executors. A step asks all tasks for one sum: the loss and
-gradient at some weights, or the product of the Hessian with some direction (Hessians are never formed). Several problems
-on the same rows, such as the folds of a calibrated machine, are solved side by side: every pass over a block serves all
-of them, and each has its own step lengths and stops on its own. Only sums as long as the weights reach the driver.
+gradient at some weights, or the product of the Hessian with some direction. Several problems on the same rows, such as
+the folds of a calibrated machine, are solved side by side: every pass over a block serves all of them, and each has its
+own step lengths and stops on its own. Only sums as long as the weights reach the driver.
+
+Passes are what costs, so few are made. Up to :data:`HESSIAN_WIDTH` features the pass for the gradient adds up the whole
+Hessian too, and a Newton step needs no other. Beyond, the conjugate gradients are preconditioned with the Hessian of a
+bounded sample of rows, which the driver inverts; it only says in which order directions are tried, and the fit ends, as
+without it, when the gradient of all rows has fallen.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -26,6 +32,11 @@ ROWS_PER_TASK = 1000  # below this a task's start-up outweighs its work
 MOST_ROWS = 500_000  # rows that a task holds at most
 MOST_ENTRIES = 8_000_000  # entries that a task holds at most
 BLOCK_ENTRIES = 500_000  # entries of a block
+HESSIAN_WIDTH = 256  # features up to which Hessians are added up
+SAMPLE_ROWS = 2000  # rows, about, whose Hessian stands for that of all in the preconditioner
+SAMPLE_ENTRIES = 4_000_000  # entries, about, that they have at most
+LEVEL = 1.0  # part of the weight that a sampled row stands for that is held to be chance
+GRAM_COLUMNS = 2048  # features of the sample that are laid out at a time
 CONJUGATE_STEPS = 60
 HALVINGS = 30
 CALIBRATED = 1e-12  # the gradient's fall at which a sigmoid is fitted: sums over all rows, so near rounding
@@ -57,6 +68,40 @@ class Rows:
             out[k, -1] = a.sum()
         return out
 
+    def taken(self, own: np.ndarray) -> Rows:
+        """The rows numbered ``own``."""
+        size = np.diff(self.first)[own]
+        first = np.r_[0, np.cumsum(size)]
+        at = np.repeat(self.first[own] - first[:-1], size) + np.arange(first[-1])
+        return Rows(first, self.index[at], self.value[at])
+
+    def products(self) -> np.ndarray:
+        """Inner products of all pairs of rows, each with a last entry of 1 for the intercept."""
+        count = len(self.first) - 1
+        row = np.repeat(np.arange(count), np.diff(self.first))
+        distinct, place = np.unique(self.index, return_inverse=True)
+        order = np.argsort(place, kind="stable")
+        ends = np.searchsorted(place[order], np.arange(0, len(distinct) + GRAM_COLUMNS, GRAM_COLUMNS))
+        out = np.ones((count, count))
+        for low, (start, stop) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            part = order[start:stop]
+            cell = row[part] * GRAM_COLUMNS + place[part] - low * GRAM_COLUMNS
+            dense = np.bincount(cell, self.value[part], count * GRAM_COLUMNS).reshape(count, GRAM_COLUMNS).astype(np.float32)
+            out += dense @ dense.T
+        return out
+
+    def dense_parts(self, width: int) -> Iterator[tuple[slice, np.ndarray]]:
+        """Runs of rows as matrices of at most :data:`BLOCK_ENTRIES` numbers or one row, with a last column of ones."""
+        count, most = len(self.first) - 1, max(1, BLOCK_ENTRIES // (width + 1))
+        for low in range(0, count, most):
+            high = min(count, low + most)
+            start, stop = self.first[low], self.first[high]
+            row = np.repeat(np.arange(high - low), np.diff(self.first[low : high + 1]))
+            cell = row * (width + 1) + self.index[start:stop]
+            dense = np.bincount(cell, self.value[start:stop], (high - low) * (width + 1)).reshape(high - low, width + 1)
+            dense[:, -1] = 1.0
+            yield slice(low, high), dense
+
 
 def sparse_rows(column: pa.Array) -> Rows:
     """Rows of a column of vectors or of arrays; what is null or NaN counts as 0."""
@@ -219,13 +264,14 @@ def _slopes(loss: str, margin: np.ndarray, label: np.ndarray, share: np.ndarray)
 
 def minimise(
     value: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], curve: Callable[[np.ndarray, np.ndarray], np.ndarray], shape: tuple[int, int],
-    max_iter: int, tolerance: float,
+    max_iter: int, tolerance: float, near: Callable[[np.ndarray, np.ndarray], Callable[[np.ndarray], np.ndarray]] | None = None,
 ) -> np.ndarray:
     """Minimum of each of several smooth convex functions: a row of weights for each.
 
     ``value`` gives values and gradients, ``curve`` products of the Hessians with directions. Directions come from
     conjugate gradients, cut off early as long as the gradient is large; a problem is done when its gradient has fallen to
-    ``tolerance`` times the first one.
+    ``tolerance`` times the first one. ``near(weights, active)`` gives the product with about the Hessians' inverses, to
+    precondition them.
     """
     weights = np.zeros(shape)
     now, slope = value(weights)
@@ -236,18 +282,21 @@ def minimise(
         if not active.any():
             break
         limit = np.minimum(0.1, np.sqrt(size / np.maximum(start, 1e-300))) * size
+        inverse = near(weights, active) if near else np.copy
         move, rest = np.zeros(shape), np.where(active[:, None], -slope, 0.0)
-        way, square, live = rest.copy(), (rest * rest).sum(axis=1), active.copy()
+        way = inverse(rest)
+        square, live = (rest * way).sum(axis=1), active.copy()
         for _ in range(CONJUGATE_STEPS):
             bent = curve(weights, way)
             length = np.where(live, square / np.maximum((way * bent).sum(axis=1), 1e-300), 0.0)
             move += length[:, None] * way
             rest = rest - length[:, None] * bent
-            fresh = (rest * rest).sum(axis=1)
-            live &= np.sqrt(fresh) > limit
+            live &= np.linalg.norm(rest, axis=1) > limit
             if not live.any():
                 break
-            way = np.where(live[:, None], rest + (fresh / np.maximum(square, 1e-300))[:, None] * way, 0.0)
+            eased = inverse(rest)
+            fresh = (rest * eased).sum(axis=1)
+            way = np.where(live[:, None], eased + (fresh / np.maximum(square, 1e-300))[:, None] * way, 0.0)
             square = fresh
         drop, step, open_ = (slope * move).sum(axis=1), np.where(active, 1.0, 0.0), active.copy()
         for _ in range(HALVINGS):
@@ -264,19 +313,86 @@ def minimise(
     return weights
 
 
+def _sample(blocks: DataFrame) -> tuple[Rows, np.ndarray, np.ndarray, float]:
+    """Some rows of all blocks, drawn by chance, their labels and folds, and the share of all rows that they are, about."""
+    rows, entries = Sums(blocks)(2, lambda rows, label, fold: np.array([len(label), len(rows.index)], float))
+    share = min(1.0, SAMPLE_ROWS / max(1.0, rows), SAMPLE_ENTRIES / max(1.0, entries))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                rows, label, fold = _block(batch, k)
+                own = np.flatnonzero(np.random.default_rng(zlib.crc32(rows.value.tobytes())).random(len(label)) < share)
+                some = rows.taken(own)
+                parts = (np.diff(some.first), some.index, some.value, label[own].astype(np.int64), fold[own].astype(np.int64))
+                blob = [pa.array([x.tobytes()], pa.binary()) for x in parts]
+                yield pa.RecordBatch.from_arrays(blob, ["_size", "_index", "_value", "_label", "_fold"])
+
+    drawn = blocks.mapInArrow(run, "_size binary, _index binary, _value binary, _label binary, _fold binary").toArrow()
+    kinds = (np.int64, np.int64, float, np.int64, np.int64)
+    size, index, value, label, fold = (
+        np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in drawn.column(c)] or [np.zeros(0, kind)]) for c, kind in enumerate(kinds)
+    )
+    return Rows(np.r_[0, np.cumsum(size)], index, value), label, fold, share
+
+
+def _sampled_inverse(blocks: DataFrame, loss: str, classes: np.ndarray, ridge: np.ndarray):
+    """For :func:`minimise`: products with the inverse of the sample's Hessian, scaled up to all rows.
+
+    The inverse is that of a multiple of the identity plus the sample's part (a matrix of the sample's rows is inverted,
+    not one of the features). The multiple is what a row of the sample stands for beyond itself, besides the penalty of 1.
+    """
+    rows, label, fold, share = _sample(blocks)
+    products, counts = rows.products(), _shares(label, fold, classes) / share
+    size = len(ridge)
+
+    def near(weights: np.ndarray, active: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+        bent = _slopes(loss, rows.times(weights), label, counts)[2]
+        parts = {}
+        for k in np.flatnonzero(active):
+            own = np.flatnonzero(bent[k] > 0)
+            root = np.sqrt(bent[k, own])
+            inner = products[np.ix_(own, own)] * root * root[:, None]
+            level = 1.0 + (1.0 - share) * LEVEL * (inner.diagonal().mean() if len(own) else 0.0)
+            inner[np.diag_indices(len(own))] += level
+            parts[k] = (rows.taken(own), root, np.linalg.inv(inner), level)
+
+        def inverse(rest: np.ndarray) -> np.ndarray:
+            out = np.zeros_like(rest)
+            for k, (some, root, inner, level) in parts.items():
+                out[k] = rest[k] / level
+                if len(root):
+                    amounts = root * (inner @ (root * some.times(rest[k : k + 1])[0]))
+                    out[k] -= some.weighted(amounts[None, :], size)[0] / level
+            return out
+
+        return inverse
+
+    return near
+
+
 def solve(blocks: DataFrame, width: int, loss: str, classes: np.ndarray, penalised: bool, max_iter: int, tolerance: float) -> np.ndarray:
     """Weights (the intercept last) with the least ``|w|^2 / 2`` plus weighted losses, a row for each row of ``classes``.
 
     ``classes`` holds what a row of each label counts in each problem. ``penalised`` counts the intercept among ``w``.
     """
     sums = Sums(blocks)
-    size = width + 1
+    size, count = width + 1, len(classes)
     ridge = np.ones(size)
     ridge[-1] = float(penalised)
+    small = width <= HESSIAN_WIDTH
+    hessians: dict[tuple[int, bytes], np.ndarray] = {}  # of the latest places, by problem
 
     def at(rows: Rows, label: np.ndarray, fold: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        losses, slopes, _ = _slopes(loss, rows.times(weights), label, _shares(label, fold, classes))
-        return np.concatenate([losses.sum(axis=1), rows.weighted(slopes, size).ravel()])
+        losses, slopes, bent = _slopes(loss, rows.times(weights), label, _shares(label, fold, classes))
+        parts = [losses.sum(axis=1), rows.weighted(slopes, size).ravel()]
+        if small:
+            whole = np.zeros((count, size, size))
+            for own, dense in rows.dense_parts(width):
+                for k in range(count):
+                    whole[k] += (dense * bent[k, own, None]).T @ dense
+            parts.append(whole.ravel())
+        return np.concatenate(parts)
 
     def bend(rows: Rows, label: np.ndarray, fold: np.ndarray, weights: np.ndarray, way: np.ndarray) -> np.ndarray:
         open_ = np.flatnonzero(way.any(axis=1))  # problems that are done have no direction
@@ -286,14 +402,27 @@ def solve(blocks: DataFrame, width: int, loss: str, classes: np.ndarray, penalis
         return out.ravel()
 
     def value(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        count = len(classes)
-        found = sums(count + count * size, at, weights)
-        return found[:count] + 0.5 * (ridge * weights * weights).sum(axis=1), found[count:].reshape(count, size) + ridge * weights
+        found = sums(count + count * size * (1 + small * size), at, weights)
+        if small:
+            for k, whole in enumerate(found[count + count * size :].reshape(count, size, size)):
+                hessians[k, weights[k].tobytes()] = whole + np.diag(ridge)
+        losses, slopes = found[:count], found[count : count + count * size].reshape(count, size)
+        return losses + 0.5 * (ridge * weights * weights).sum(axis=1), slopes + ridge * weights
 
     def curve(weights: np.ndarray, way: np.ndarray) -> np.ndarray:
+        if small:
+            return np.stack([hessians[k, weights[k].tobytes()] @ way[k] for k in range(count)])
         return sums(way.size, bend, weights, way).reshape(way.shape) + ridge * way
 
-    return minimise(value, curve, (len(classes), size), max_iter, tolerance)
+    def exact(weights: np.ndarray, active: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+        kept = [(k, weights[k].tobytes()) for k in range(count)]
+        for key in set(hessians) - set(kept):
+            del hessians[key]
+        inverses = np.stack([np.linalg.pinv(hessians[key], hermitian=True) for key in kept])
+        return lambda rest: np.einsum("kij,kj->ki", inverses, rest)
+
+    near = exact if small else _sampled_inverse(blocks, loss, classes, ridge)
+    return minimise(value, curve, (count, size), max_iter, tolerance, near)
 
 
 def balanced(counts: np.ndarray) -> np.ndarray:
