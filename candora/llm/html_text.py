@@ -3,10 +3,12 @@
 Pages of a host are ordered by URL path, and each page is paired with the nearest pages before and after it whose lines
 differ from its own: a copy of a page says nothing about furniture, nor does a page without lines. Text lines (one per
 block element) that are in the longest common subsequence with both are the host's furniture and are deleted; the first
-and last page of a host have one such neighbour, which decides alone. Lines inside an ``article`` or ``main`` element are
-the page's own and take no part. What the differencing leaves outside is then checked against the markup: menus, page
-headers, footers, sidebars, notices, adverts, forms and reader comments go, and where a page has an article, the rest
-outside it too. So the markup decides pages with an article, and the differencing those without one.
+and last page of a host have one such neighbour, which decides alone. All lines take part. The lines that are left are
+then checked against the markup: menus, page headers, footers, sidebars, notices, adverts, forms and reader comments go.
+Lines left inside ``article`` or ``main`` elements stand for these: each such element is taken whole, for a line that it
+shares with other pages is still part of it, and what is outside goes. So an element that the neighbours repeat (a teaser,
+a box of the host) is furniture beside one that is the page's own. Where they repeat all of them, the page's own article
+can't be told from a copy's, and all of them stay.
 
 Order and pairing use rows of a global sort, so a host with a third of all pages is not a group of its own, and pages
 with equal lines that follow one another are paired once, as a run.
@@ -32,7 +34,7 @@ from candora.plans.ordering import global_row_number, running_totals
 from candora.plans.skew import spread_join
 
 CHUNK_BYTES = 4 << 20  # html of the pages that are stored together
-OUTSIDE, OWN, FURNITURE = 0, 1, 2  # a line outside any known part, inside the article, inside a part that is dropped
+OUTSIDE, OWN, FURNITURE = 0, 1, -1  # a line outside any known part, in the page's first article (then 2, 3, …), in a part that is dropped
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -72,7 +74,10 @@ def _roles(attrs: str) -> set[str]:
 
 
 def page_lines(source: str) -> tuple[list[str], list[int]]:
-    """Text lines of a page in order, and what each belongs to (:data:`OUTSIDE`, :data:`OWN`, :data:`FURNITURE`)."""
+    """Text lines of a page in order, and what each belongs to: :data:`OUTSIDE`, :data:`FURNITURE`, or its article's number.
+
+    Articles are numbered from :data:`OWN`; one inside another counts to it.
+    """
     tokens: list[tuple[int, int, str, bool, str]] = []
     at = 0
     while m := _TOKEN.search(source, at):
@@ -108,6 +113,7 @@ def page_lines(source: str) -> tuple[list[str], list[int]]:
     text: list[str] = []
     kind = OUTSIDE
     own_end = drop_end = -1
+    article = OWN - 1  # number of the latest
 
     def flush() -> None:
         line = " ".join(html.unescape("".join(text)).split())
@@ -117,7 +123,7 @@ def page_lines(source: str) -> tuple[list[str], list[int]]:
             kinds.append(kind)
 
     def now(k: int) -> int:
-        return FURNITURE if k < drop_end else OWN if k < own_end else OUTSIDE
+        return FURNITURE if k < drop_end else article if k < own_end else OUTSIDE
 
     at = 0
     for k, (start, stop, name, closing, attrs) in enumerate(tokens):
@@ -136,6 +142,7 @@ def page_lines(source: str) -> tuple[list[str], list[int]]:
                 if k >= drop_end:
                     flush()
                     own_end = end_of(k)
+                    article += 1
             elif k >= drop_end and name not in ("html", "body"):
                 inside = k < own_end
                 if name in _DROPPED or roles & _PARTS or (not inside and (name in _HEADS or roles & _HEADS)):
@@ -221,7 +228,7 @@ def _parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
                     text, kind = page_lines(source) if source else ([], [])
                     lines.append(text)
                     kinds.append(kind)
-                columns = [part.column(0), part.column(1), _lists(lines, pa.string()), _lists(kinds, pa.int8())]
+                columns = [part.column(0), part.column(1), _lists(lines, pa.string()), _lists(kinds, pa.int32())]
                 blob = _to_blob(pa.RecordBatch.from_arrays(columns, ["id", "url", "lines", "kinds"]))
                 name = f"{TaskContext.get().partitionId()}-{number}"
                 number += 1
@@ -231,16 +238,16 @@ def _parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
     return stored_chunks(rows.mapInArrow(work, "_chunk string, _blob binary"), "lines")
 
 
-def _outside_lines(chunks: DataFrame) -> DataFrame:
-    """``_chunk``, ``_row`` (place in the chunk), ``_url`` and the hashes of the lines outside the article."""
+def _hashed_lines(chunks: DataFrame) -> DataFrame:
+    """``_chunk``, ``_row`` (place in the chunk), ``_url`` and the hashes of the lines."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, blob in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True):
                 page = _from_blob(blob)
                 hashes = [
-                    [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t, k in zip(text, kind, strict=True) if k != OWN]
-                    for text, kind in zip(page.column("lines").to_pylist(), page.column("kinds").to_pylist(), strict=True)
+                    [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t in text]
+                    for text in page.column("lines").to_pylist()
                 ]
                 rows = pa.array(np.arange(page.num_rows, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
@@ -252,11 +259,11 @@ def _outside_lines(chunks: DataFrame) -> DataFrame:
 
 
 def _shared_lines(rows: DataFrame) -> DataFrame:
-    """``_chunk``, ``_row`` and, for its lines outside the article, whether the neighbours share them.
+    """``_chunk``, ``_row`` and, for each of its lines, whether the neighbours share it.
 
-    Pages without such lines are left out.
+    Pages without lines are left out.
     """
-    rows = stored(rows.filter(F.size("_hashes") > 0), "outside")
+    rows = stored(rows.filter(F.size("_hashes") > 0), "hashed")
     bare = F.regexp_replace(F.lower(F.coalesce("_url", F.lit(""))), r"^[a-z][a-z0-9+.-]*://", "")
     slim = rows.withColumn("_b", F.regexp_replace(bare, r"[?#].*$", "")).withColumn("_host", F.substring_index("_b", "/", 1))
     path = F.regexp_replace(F.expr("substr(_b, length(_host) + 1)"), r"(\.html?)?/*$", "")
@@ -291,13 +298,16 @@ def _shared_lines(rows: DataFrame) -> DataFrame:
 
 
 def main_lines(lines: list[str], kinds: list[int], shared: list[bool]) -> list[str]:
-    """Lines that stay: the article's own, or without an article those that the neighbours don't share and no menu holds.
+    """Lines that stay of those that the neighbours don't share, once checked against the markup.
 
-    ``shared`` has a flag for each line that is not the article's own.
+    ``shared`` has a flag for each line; without neighbours it may be empty. Articles that hold a line that isn't shared
+    are taken whole, and alone. If there are articles and all lines in them are shared, all of them are taken.
     """
-    if OWN in kinds:
-        return [t for t, k in zip(lines, kinds, strict=True) if k == OWN]
-    return [t for t, k, s in zip(lines, kinds, shared, strict=True) if not s and k != FURNITURE]
+    left = [k for k, s in zip(kinds, shared or [False] * len(kinds), strict=True) if not s and k >= OWN]
+    articles = set(left) or {k for k in kinds if k >= OWN}
+    if articles:
+        return [t for t, k in zip(lines, kinds, strict=True) if k in articles]
+    return [t for t, k, s in zip(lines, kinds, shared or [False] * len(kinds), strict=True) if not s and k != FURNITURE]
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -307,7 +317,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows and ids are extracted one by one. Other columns are ignored.
     """
     chunks = _parsed(pages, id_col, url_col, html_col)
-    flags = _shared_lines(_outside_lines(chunks))
+    flags = _shared_lines(_hashed_lines(chunks))
     kind = pages.schema[id_col].dataType.simpleString()
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
