@@ -31,7 +31,7 @@ class FusionModel:
 
     def vectors(self, reviews: DataFrame, keep: Sequence[str] = ("label",)) -> DataFrame:
         """``features``: text coordinates, then padded behaviour features of these reviews among themselves."""
-        return _vectors(reviews, self.tfidf, self.pca, self.scaler, self.embedding, self.padding, keep)
+        return _vectors(reviews, text.hashed_vectors(reviews, self.tfidf, self.embedding, keep), self.pca, self.scaler, self.padding)
 
     def __call__(self, reviews: DataFrame) -> DataFrame:
         return self.network(self.vectors(reviews))
@@ -54,8 +54,8 @@ class FusionModel:
         )
 
 
-def _vectors(reviews, tfidf, pca, scaler, embedding, padding, keep) -> DataFrame:
-    texts = text.pca_transform(text.hashed_vectors(reviews, tfidf, embedding, keep), pca)
+def _vectors(reviews, hashed, pca, scaler, padding) -> DataFrame:
+    texts = text.pca_transform(hashed, pca)
     scaled = behavior.standardize_apply(behavior.behavior_features(reviews), scaler)
     numbers = scaled.select("review_id", pad_vector(F.array(*BEHAVIOR_FEATURES), padding).alias("features"))
     return cleaning.fuse_features(texts, numbers)
@@ -76,8 +76,10 @@ def fit_fusion(
     """Fit all parts on ``train``; ``validation`` only picks the epoch. Both hold reviews with text and label."""
     tfidf = text.tfidf_fit(train, min_df=min_df)
     tfidf.vocabulary = freeze(tfidf.vocabulary)
-    pca = text.pca_fit(freeze(text.hashed_vectors(train, tfidf, embedding)), components)
+    hashed = freeze(text.hashed_vectors(train, tfidf, embedding, ("label",)))  # for the components and for the network
+    pca = text.pca_fit(hashed, components)
     scaler = freeze(behavior.standardize_fit(behavior.behavior_features(train)))
-    parts = [freeze(_vectors(rows, tfidf, pca, scaler, embedding, padding, ("label",))) for rows in (train, validation)]
+    checked = text.hashed_vectors(validation, tfidf, embedding, ("label",))
+    parts = [freeze(_vectors(rows, found, pca, scaler, padding)) for rows, found in ((train, hashed), (validation, checked))]
     network = mlp.mlp_focal_train(*parts, hidden=hidden, epochs=epochs, **training)
     return FusionModel(tfidf, pca, scaler, network, embedding, padding)

@@ -60,3 +60,18 @@ def test_cross_domain_text_counts_the_words_once(spark, monkeypatch):
         monkeypatch.setattr(module, "tfidf_fit", lambda *a, **k: fits.append(1) or fit(*a, **k))
     assert QUERIES["cross_domain_text"](spark, "/root/testdata/sf0.001").count() == 2
     assert len(fits) == 1
+
+
+def test_fusion_hashes_its_texts_once(spark, monkeypatch):
+    from candora.catalog import fitted
+    from candora.operators import fusion, splits, text
+
+    rows = splits.stratified_split(fitted.document_reviews(spark, "/root/testdata/sf0.001")).cache()
+    parts = [rows.filter(rows.split == s).drop("split") for s in ("train", "validation")]
+    calls, hashed = [], text.hashed_vectors
+    monkeypatch.setattr(text, "hashed_vectors", lambda df, *a: calls.append(df) or hashed(df, *a))
+    model = fusion.fit_fusion(*parts, components=4, hidden=(4,), epochs=1)
+    assert [any(df is part for part in parts) for df in calls] == [True, True]
+    vectors = model.vectors(parts[1]).collect()
+    assert len(vectors) == parts[1].count() and all(len(r["features"]) == 4 + 16 for r in vectors)
+    rows.unpersist()
