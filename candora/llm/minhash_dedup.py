@@ -321,7 +321,8 @@ def near_duplicates(
         F.min("_id").alias("_low"), F.min_by("_n", "_id").alias("_low_n"), F.count(F.lit(1)).alias("_members")
     )
     buckets = buckets.filter("_members > 1")
-    members = stored(keyed.join(buckets, "_key"), "members")
+    # Spark's estimate doesn't know that every row became one per table, and would broadcast them all
+    members = stored(keyed.join(buckets.hint("merge"), "_key"), "members")
 
     involved = members.select("_id").distinct()
     signatures = stored(rows.select("_id", "_sig", "_a", "_b").join(involved, "_id", "left_semi"), "signatures")

@@ -77,6 +77,18 @@ def test_block_of_a_bucket_is_worked_off(corpus, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == expected
 
 
+def test_rows_repeated_for_every_table_are_never_broadcast(corpus, monkeypatch):
+    plans, stored = {}, minhash_dedup.stored
+
+    def planned(df, name):
+        plans[name] = df._jdf.queryExecution().sparkPlan().toString()
+        return stored(df, name)
+
+    monkeypatch.setattr(minhash_dedup, "stored", planned)
+    minhash_dedup.near_duplicates(corpus)
+    assert "Generate explode" in plans["members"] and "BroadcastHashJoin [_key" not in plans["members"]
+
+
 def test_miss_probability():
     for similarity in (0.8, 0.85):
         m = minhash_dedup.halves_for(similarity)
