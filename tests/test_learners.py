@@ -81,6 +81,23 @@ def test_nodes_grown_by_one_task_continue_the_tree(spark, monkeypatch, rows, dep
     same(whole, models.random_forest(df, trees=3, depth=depth, balanced=True))
 
 
+def test_nodes_are_counted_in_small_parts(monkeypatch):
+    """Once a node's rows fit a part, no array is longer than one, and the trees are those of whole arrays."""
+    rng = np.random.default_rng(8)
+    bins = rng.integers(0, 30, (3000, 5)).astype(np.uint8)
+    label, keys = (rng.random(3000) < 0.2 + 0.5 * (bins[:, 0] > bins[:, 1])).astype(np.uint8), rng.integers(0, 1 << 60, 3000)
+    settings = {"bootstrap": True, "depth": 12, "seed": 1, "take": 2, "classes": np.ones(2)}
+    whole, sizes, counts = [forest.grow(bins, label, keys, t, **settings) for t in range(3)], [], forest._counts
+    monkeypatch.setattr(forest, "PART_ROWS", 100)
+    monkeypatch.setattr(forest, "GROUP_NODES", 3)
+    monkeypatch.setattr(forest, "_counts", lambda coded, weight, node, *a: sizes.append(len(node)) or counts(coded, weight, node, *a))
+    for t, tree in enumerate(whole):
+        parted = forest.grow(bins, label, keys, t, **settings)
+        for name in ("feature", "cut", "left", "prob", "gain"):
+            assert getattr(parted, name) == pytest.approx(getattr(tree, name), abs=1e-9)
+    assert max(sizes) <= 100
+
+
 def test_large_tables_take_few_passes(spark, monkeypatch):
     """Beyond the broadcast, a forest of nodes that one task can grow costs no pass a level."""
     _, _, df = table(spark)
